@@ -97,7 +97,7 @@ def _map(values: dict[str, int]) -> str:
 
 
 def readings(df: DataFrame, text: str) -> DataFrame:
-    """`df` with `_readings array<struct<us: bigint, off: int>>`: every way the text can be read as a time.
+    """`df` with `_readings array<struct<us: bigint, off: int>>`, every way the text can be read as a time, and `_grain`.
 
     `us` is the wall-clock time in microseconds, `off` its seconds ahead of UTC, null if the text names no zone.
     """
@@ -142,6 +142,7 @@ def readings(df: DataFrame, text: str) -> DataFrame:
         ),
     )
     df = df.withColumn("_clock", F.expr(clock)).withColumn("_off", F.expr(offset))
+    df = df.withColumn("_grain", F.expr("case when size(_p) <> 9 then 1 when _p[3] = '' then 86400 when _p[4] = '' then 3600 when _p[5] = '' then 60 else 1 end"))
     epochs = ", ".join(f"try_cast(floor(_n * {unit}) as bigint)" for unit in ("1000000BD", "1000BD", "1BD", "0.001BD"))
     df = df.withColumn(
         "_readings",
@@ -154,17 +155,18 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     return df.drop("_p", "_n", "_t", "_days", "_clock", "_off")
 
 
-def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str] = ("utc_us", "time_status")) -> DataFrame:
+def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str, str] = ("utc_us", "time_status", "grain_s")) -> DataFrame:
     """`df` with the instant of `text` in microseconds since 1970 UTC, and how it was found.
 
     zones: `zone_intervals` of every zone that `zone` names. standard: true where the clock keeps winter time all year.
     The status is `exact`, `ambiguous` (the local time occurs twice), `nonexistent` (it was skipped), `out_of_window`
     (readable, but no reading is at most `window_days` before `received`), `unreadable` or, for a null text, null.
+    `grain_s` is the unit in seconds to which the text was cut, 1 for seconds and finer.
     The instant is null for a null text and -1 without a usable reading. A null `received` leaves nothing to place a
     reading by, so it gives -1; a null or unknown zone gives -1 where the text has none of its own. Rows are
     never dropped, doubled or moved, and other columns stay as they are.
     """
-    utc, status = fields
+    utc, status, grain = fields
     out = readings(df, text)
     keys = {"_zone": F.col(zone), "_standard": F.coalesce(standard, F.lit(False)) if standard is not None else F.lit(False), "_year": F.year(F.col(received))}
     spans = zones.select(F.col("zone").alias("_zone"), F.col("standard").alias("_standard"), F.col("year").alias("_year"), F.col("spans").alias("_spans"))
@@ -189,7 +191,7 @@ def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone
             ),
         }
     )
-    return out.drop("_readings", "_zone", "_standard", "_year", "_spans", "_got", "_found", "_best")
+    return out.withColumnRenamed("_grain", grain).drop("_readings", "_zone", "_standard", "_year", "_spans", "_got", "_found", "_best")
 
 
 def usual(text: str, pattern: str = USUAL_STAMP) -> Column:

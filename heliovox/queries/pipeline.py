@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from heliovox.operators import rover
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible irradiance value of the loggers and captures."""
+    ghi = rover.implausible_readings(spark, sf_dir).select(F.lit("legnaro_ghi").alias("table_name"), F.col("reading_id").alias("row_id"), F.col("field").alias("field_name"))
+    beam = rover.implausible_capture_rows(spark, sf_dir).select(F.lit("plane3_capture_window_perez").alias("table_name"), "row_id", F.col("field").alias("field_name"))
+    return ghi.unionByName(beam)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One UTC instant for every time text that is not in its table's usual form."""
     parts = [
@@ -18,5 +25,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 SQL: dict[str, str] = {}
