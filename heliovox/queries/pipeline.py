@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heliovox.operators import rover
+from heliovox.operators import regrid, rover
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One time-weighted mean per logger and period."""
+    return regrid.regrid(rover.logger_readings(spark, sf_dir), source="logger_id", time_us="utc_us", value="ghi", step_s="step_s")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods without a reading between a logger's first and last."""
+    return p3_grid(spark, sf_dir).where("n_readings = 0").select("logger_id", "slot_us")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid}
 SQL: dict[str, str] = {}
