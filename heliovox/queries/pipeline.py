@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heliovox.operators import regrid, rover
+from heliovox.operators import regrid, rover, schema_drift
+from heliovox.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +36,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_grid(spark, sf_dir).where("n_readings = 0").select("logger_id", "slot_us")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of schema of a plane export against the export before it."""
+    rows = table(spark, sf_dir, "plane_records")
+    return schema_drift.changes(rows, series="series_id", file="file_id", at="exported_at", body="body").withColumnRenamed("file", "file_id")
+
+
+def p4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plane records in one schema."""
+    rows = table(spark, sf_dir, "plane_records").withColumnRenamed("record_id", "plane_record_id")
+    return schema_drift.union_table(rows, series="series_id", file="file_id", at="exported_at", body="body", keep=["plane_record_id", "family", "exported_at", "line_no"])
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_planes": p4_planes}
 SQL: dict[str, str] = {}
