@@ -12,17 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in spark.checkpoint.dir, which all executors share, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a folder of this machine only in local mode, where the setting is missing."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = os.path.join(tempfile.gettempdir(), f"heliovox-{os.getuid()}-checkpoints")
+    return shared
+
 
-    A folder of this machine is set only where the setting is missing, as in local tests.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there, which cuts its lineage."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), f"heliovox-{os.getuid()}-checkpoints")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
