@@ -51,16 +51,14 @@ def regrid(rows: DataFrame, *, source: str, time_us: str, value: str, step_s: st
     chunks = _chunked(rows, source, time_us, value, step_s)
     within = chunks.select("source", "step", F.map_from_entries("cells").alias("known"), F.explode(F.sequence("first", "last")).alias("slot"))
     within = within.select("source", "step", "slot", F.expr("try_element_at(known, slot)").alias("s"))
-    # Between stretches: from the last period of one to the first of the next, in pieces of bounded length.
-    spill = F.expr(f"get(filter(cells, c -> c.cell = (chunk + 1) * {CHUNK}), 0).s")
-    edges = chunks.select("source", "step", "chunk", "first", "last", spill.alias("spill"))
+    # Between stretches: from the last period of one to the first of the next, in pieces of bounded length. The last
+    # reading may hold into the period after its own.
+    edges = chunks.select("source", "step", "chunk", "first", "last", F.expr("get(filter(cells, c -> c.cell = last + 1), 0).s").alias("spill"))
     ordered = Window.partitionBy("source", "step").orderBy("chunk")
-    holes = edges.select(
-        "source", "step", "first", (F.lag("chunk").over(ordered) + 1).alias("next"), F.lag("last").over(ordered).alias("before"), F.lag("spill").over(ordered).alias("spill")
-    )
+    holes = edges.select("source", "step", "first", F.lag("last").over(ordered).alias("before"), F.lag("spill").over(ordered).alias("spill"))
     holes = holes.where("before + 1 < first").withColumn("from", F.explode(F.expr(f"sequence(before + 1, first - 1, {CHUNK}L)")))
     holes = holes.withColumn("slot", F.explode(F.expr(f"sequence(from, least(from + {CHUNK - 1}, first - 1))")))
-    between = holes.select("source", "step", "slot", F.expr(f"if(slot = next * {CHUNK}, spill, null)").alias("s"))
+    between = holes.select("source", "step", "slot", F.expr("if(slot = before + 1, spill, null)").alias("s"))
     held = F.coalesce(F.col("s.held"), F.lit(0))
     n = F.coalesce(F.col("s.n"), F.lit(0))
     return within.unionByName(between).select(

@@ -287,10 +287,10 @@ def rows_of(flagged: DataFrame, rows: DataFrame, source: str, row_id: str, names
     flagged = checkpointed(flagged)
     named = flagged.select(F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias(row_id), "field", "reason")
     often = flagged.where("copies > 2")
-    raw = rows.select("*", F.nanvl(F.col(names[0]).cast("double"), F.lit(None)).alias("_v0"))
-    keys = often.select("source", F.col(names[0]).alias("_k0"), *[F.col(f).alias(f"_k_{f}") for f in names[1:]], "t", "field", "reason")
-    match = (raw[source].eqNullSafe(keys["source"])) & raw["_v0"].eqNullSafe(keys["_k0"])
-    for f in names[1:]:
-        match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_k_{f}"])
-    more = times(raw.join(keys, match)).where(F.coalesce("utc_us", F.lit(-1)) == F.col("t")).select(row_id, "field", "reason")
+    raw = rows
+    keys = often.select(F.col("source").alias("_source"), F.col("t").alias("_t"), F.col("field").alias("_field"), F.col("reason").alias("_reason"), *[F.col(f).alias(f"_k{n}") for n, f in enumerate(names)])
+    match = raw[source].eqNullSafe(keys["_source"])
+    for n, f in enumerate(names):
+        match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_k{n}"])
+    more = times(raw.join(keys, match)).where(F.coalesce("utc_us", F.lit(-1)) == F.col("_t")).select(row_id, F.col("_field").alias("field"), F.col("_reason").alias("reason"))
     return named.unionByName(more).distinct()
