@@ -288,9 +288,9 @@ def rows_of(flagged: DataFrame, rows: DataFrame, source: str, row_id: str, names
     named = flagged.select(F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias(row_id), "field", "reason")
     often = flagged.where("copies > 2")
     raw = rows
-    keys = often.select(F.col("source").alias("_source"), F.col("t").alias("_t"), F.col("field").alias("_field"), F.col("reason").alias("_reason"), *[F.col(f).alias(f"_k{n}") for n, f in enumerate(names)])
-    match = raw[source].eqNullSafe(keys["_source"])
+    keys = often.select(F.col("source").alias("_hit_source"), F.col("t").alias("_hit_t"), F.col("field").alias("_hit_field"), F.col("reason").alias("_hit_reason"), *[F.col(f).alias(f"_hit_{n}") for n, f in enumerate(names)])
+    match = raw[source].eqNullSafe(keys["_hit_source"])
     for n, f in enumerate(names):
-        match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_k{n}"])
-    more = times(raw.join(keys, match)).where(F.coalesce("utc_us", F.lit(-1)) == F.col("_t")).select(row_id, F.col("_field").alias("field"), F.col("_reason").alias("reason"))
+        match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_hit_{n}"])
+    more = times(raw.join(keys, match)).where(F.coalesce("utc_us", F.lit(-1)) == F.col("_hit_t")).select(row_id, F.col("_hit_field").alias("field"), F.col("_hit_reason").alias("reason"))
     return named.unionByName(more).distinct()

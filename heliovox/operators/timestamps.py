@@ -97,7 +97,7 @@ def _map(values: dict[str, int]) -> str:
 
 
 def readings(df: DataFrame, text: str) -> DataFrame:
-    """`df` with `_readings array<struct<us: bigint, off: int>>`, every way the text can be read as a time, and `_grain`.
+    """`df` with `_ts_readings array<struct<us: bigint, off: int>>`, every way the text can be read as a time, and `_ts_grain`.
 
     `us` is the wall-clock time in microseconds, `off` its seconds ahead of UTC, null if the text names no zone.
     """
@@ -106,53 +106,53 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     plain = F.regexp_replace(F.upper(F.trim(F.col(text))), r"^\p{L}+\.?,?\s+(?=\d)", "")
     dashed = F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")
     parts = F.split(F.regexp_replace(dashed, _FULL, r"$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
-    df = df.withColumn("_p", parts).withColumn("_n", F.when(F.col(text).rlike(number), F.expr(f"try_cast(replace(trim(`{text}`), ',', '.') as decimal(38, 9))")))
+    df = df.withColumn("_ts_p", parts).withColumn("_ts_n", F.when(F.col(text).rlike(number), F.expr(f"try_cast(replace(trim(`{text}`), ',', '.') as decimal(38, 9))")))
     df = df.withColumn(
-        "_t",
+        "_ts_t",
         F.expr(
-            """case when size(_p) = 9 then named_struct(
-                 'h', case when _p[7] = '' then coalesce(try_cast(_p[3] as int), 0)
-                           when try_cast(_p[3] as int) between 1 and 12 then try_cast(_p[3] as int) % 12 + if(_p[7] = 'PM', 12, 0) end,
-                 'm', coalesce(try_cast(_p[4] as int), 0),
-                 's', coalesce(try_cast(_p[5] as int), 0),
-                 'f', cast(rpad(substring(_p[6], 1, 6), 6, '0') as int),
-                 'abbr', regexp_extract(_p[8], '^[A-Z]*', 0),
-                 'sign', if(_p[8] like '%-%', -1, 1),
-                 'zh', coalesce(try_cast(regexp_extract(_p[8], '[+-]([0-9]{1,2})', 1) as int), 0),
-                 'zm', coalesce(try_cast(regexp_extract(_p[8], '[+-][0-9]{1,2}:?([0-9]{2})$', 1) as int), 0)) end"""
+            """case when size(_ts_p) = 9 then named_struct(
+                 'h', case when _ts_p[7] = '' then coalesce(try_cast(_ts_p[3] as int), 0)
+                           when try_cast(_ts_p[3] as int) between 1 and 12 then try_cast(_ts_p[3] as int) % 12 + if(_ts_p[7] = 'PM', 12, 0) end,
+                 'm', coalesce(try_cast(_ts_p[4] as int), 0),
+                 's', coalesce(try_cast(_ts_p[5] as int), 0),
+                 'f', cast(rpad(substring(_ts_p[6], 1, 6), 6, '0') as int),
+                 'abbr', regexp_extract(_ts_p[8], '^[A-Z]*', 0),
+                 'sign', if(_ts_p[8] like '%-%', -1, 1),
+                 'zh', coalesce(try_cast(regexp_extract(_ts_p[8], '[+-]([0-9]{1,2})', 1) as int), 0),
+                 'zm', coalesce(try_cast(regexp_extract(_ts_p[8], '[+-][0-9]{1,2}:?([0-9]{2})$', 1) as int), 0)) end"""
         ),
     )
-    clock = "if(_t.h <= 23 and _t.m <= 59 and _t.s <= 59, ((_t.h * 60L + _t.m) * 60L + _t.s) * 1000000L + _t.f, null)"
-    offset = f"if(_p[8] = '', null, try_element_at({_map(ABBREVIATIONS)}, _t.abbr) * 3600 + _t.sign * (_t.zh * 60 + _t.zm) * 60)"
-    known = f"(_p[8] = '' or map_contains_key({_map(ABBREVIATIONS)}, _t.abbr))"
+    clock = "if(_ts_t.h <= 23 and _ts_t.m <= 59 and _ts_t.s <= 59, ((_ts_t.h * 60L + _ts_t.m) * 60L + _ts_t.s) * 1000000L + _ts_t.f, null)"
+    offset = f"if(_ts_p[8] = '', null, try_element_at({_map(ABBREVIATIONS)}, _ts_t.abbr) * 3600 + _ts_t.sign * (_ts_t.zh * 60 + _ts_t.zm) * 60)"
+    known = f"(_ts_p[8] = '' or map_contains_key({_map(ABBREVIATIONS)}, _ts_t.abbr))"
     year = lambda p: f"(cast({p} as int) + if(length({p}) <= 2, 2000, 0))"
     day = lambda y, m, d: f"unix_micros(try_make_timestamp({y}, {m}, {d}, 0, 0, 0, 'UTC'))"
     number_of = lambda p: f"try_cast({p} as int)"
     # Month lengths are checked by try_make_timestamp, which gives null for days that don't exist.
     df = df.withColumn(
-        "_days",
+        "_ts_days",
         F.expr(
             f"""case when not {known} then array(cast(null as bigint))
-                 when length(_p[0]) = 4 then array({day("cast(_p[0] as int)", number_of("_p[1]"), number_of("_p[2]"))})
-                 when length(_p[0]) = 3 or length(_p[2]) not in (2, 4) then array(cast(null as bigint))
-                 when _p[1] rlike '^[^0-9]' then array({day(year("_p[2]"), f"try_element_at({_map(MONTHS)}, substring(_p[1], 1, 3))", "cast(_p[0] as int)")})
-                 else array({day(year("_p[2]"), number_of("_p[1]"), "cast(_p[0] as int)")},
-                            {day(year("_p[2]"), "cast(_p[0] as int)", number_of("_p[1]"))},
-                            if(length(_p[2]) = 2, {day(year("_p[0]"), number_of("_p[1]"), "cast(_p[2] as int)")}, null)) end"""
+                 when length(_ts_p[0]) = 4 then array({day("cast(_ts_p[0] as int)", number_of("_ts_p[1]"), number_of("_ts_p[2]"))})
+                 when length(_ts_p[0]) = 3 or length(_ts_p[2]) not in (2, 4) then array(cast(null as bigint))
+                 when _ts_p[1] rlike '^[^0-9]' then array({day(year("_ts_p[2]"), f"try_element_at({_map(MONTHS)}, substring(_ts_p[1], 1, 3))", "cast(_ts_p[0] as int)")})
+                 else array({day(year("_ts_p[2]"), number_of("_ts_p[1]"), "cast(_ts_p[0] as int)")},
+                            {day(year("_ts_p[2]"), "cast(_ts_p[0] as int)", number_of("_ts_p[1]"))},
+                            if(length(_ts_p[2]) = 2, {day(year("_ts_p[0]"), number_of("_ts_p[1]"), "cast(_ts_p[2] as int)")}, null)) end"""
         ),
     )
-    df = df.withColumn("_clock", F.expr(clock)).withColumn("_off", F.expr(offset))
-    df = df.withColumn("_grain", F.expr("case when size(_p) <> 9 then 1 when _p[3] = '' then 86400 when _p[4] = '' then 3600 when _p[5] = '' then 60 else 1 end"))
-    epochs = ", ".join(f"try_cast(floor(_n * {unit}) as bigint)" for unit in ("1000000BD", "1000BD", "1BD", "0.001BD"))
+    df = df.withColumn("_ts_clock", F.expr(clock)).withColumn("_ts_off", F.expr(offset))
+    df = df.withColumn("_ts_grain", F.expr("case when size(_ts_p) <> 9 then 1 when _ts_p[3] = '' then 86400 when _ts_p[4] = '' then 3600 when _ts_p[5] = '' then 60 else 1 end"))
+    epochs = ", ".join(f"try_cast(floor(_ts_n * {unit}) as bigint)" for unit in ("1000000BD", "1000BD", "1BD", "0.001BD"))
     df = df.withColumn(
-        "_readings",
+        "_ts_readings",
         F.expr(
             f"""filter(concat(
-                 if(size(_p) = 9, transform(_days, x -> named_struct('us', x + _clock, 'off', _off)), array()),
-                 if(_n is not null, transform(array({epochs}), x -> named_struct('us', x, 'off', 0)), array())), x -> x.us is not null)"""
+                 if(size(_ts_p) = 9, transform(_ts_days, x -> named_struct('us', x + _ts_clock, 'off', _ts_off)), array()),
+                 if(_ts_n is not null, transform(array({epochs}), x -> named_struct('us', x, 'off', 0)), array())), x -> x.us is not null)"""
         ),
     )
-    return df.drop("_p", "_n", "_t", "_days", "_clock", "_off")
+    return df.drop("_ts_p", "_ts_n", "_ts_t", "_ts_days", "_ts_clock", "_ts_off")
 
 
 def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str, str] = ("utc_us", "time_status", "grain_s")) -> DataFrame:
@@ -168,30 +168,30 @@ def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone
     """
     utc, status, grain = fields
     out = readings(df, text)
-    keys = {"_zone": F.col(zone), "_standard": F.coalesce(standard, F.lit(False)) if standard is not None else F.lit(False), "_year": F.year(F.col(received))}
-    spans = zones.select(F.col("zone").alias("_zone"), F.col("standard").alias("_standard"), F.col("year").alias("_year"), F.col("spans").alias("_spans"))
-    out = out.withColumns(keys).join(F.broadcast(spans), ["_zone", "_standard", "_year"], "left")
-    out = out.withColumn("_got", F.unix_micros(F.col(received).cast("timestamp")))
+    keys = {"_ts_zone": F.col(zone), "_ts_standard": F.coalesce(standard, F.lit(False)) if standard is not None else F.lit(False), "_ts_year": F.year(F.col(received))}
+    spans = zones.select(F.col("zone").alias("_ts_zone"), F.col("standard").alias("_ts_standard"), F.col("year").alias("_ts_year"), F.col("spans").alias("_ts_spans"))
+    out = out.withColumns(keys).join(F.broadcast(spans), ["_ts_zone", "_ts_standard", "_ts_year"], "left")
+    out = out.withColumn("_ts_got", F.unix_micros(F.col(received).cast("timestamp")))
     out = out.withColumn(
-        "_found",
+        "_ts_found",
         F.expr(
-            """flatten(transform(_readings, r -> if(r.off is not null,
+            """flatten(transform(_ts_readings, r -> if(r.off is not null,
                  array(named_struct('at', r.us - r.off * 1000000L, 'n', 1)),
-                 transform(filter(coalesce(_spans, array()), s -> r.us >= s.lo and r.us < s.hi),
-                           s -> named_struct('at', r.us - s.off * 1000000L, 'n', size(filter(_spans, o -> r.us >= o.lo and r.us < o.hi)))))))"""
+                 transform(filter(coalesce(_ts_spans, array()), s -> r.us >= s.lo and r.us < s.hi),
+                           s -> named_struct('at', r.us - s.off * 1000000L, 'n', size(filter(_ts_spans, o -> r.us >= o.lo and r.us < o.hi)))))))"""
         ),
     )
-    out = out.withColumn("_best", F.expr(f"array_max(filter(_found, x -> x.at <= _got and x.at >= _got - {window_days} * {DAY_US}L))"))
+    out = out.withColumn("_ts_best", F.expr(f"array_max(filter(_ts_found, x -> x.at <= _ts_got and x.at >= _ts_got - {window_days} * {DAY_US}L))"))
     out = out.withColumns(
         {
-            utc: F.expr(f"case when `{text}` is null then null else coalesce(_best.at, -1L) end"),
+            utc: F.expr(f"case when `{text}` is null then null else coalesce(_ts_best.at, -1L) end"),
             status: F.expr(
-                f"""case when `{text}` is null then null when _best.n > 1 then 'ambiguous' when _best.n = 1 then 'exact'
-                     when size(_readings) = 0 then 'unreadable' when size(_found) = 0 then 'nonexistent' else 'out_of_window' end"""
+                f"""case when `{text}` is null then null when _ts_best.n > 1 then 'ambiguous' when _ts_best.n = 1 then 'exact'
+                     when size(_ts_readings) = 0 then 'unreadable' when size(_ts_found) = 0 then 'nonexistent' else 'out_of_window' end"""
             ),
         }
     )
-    return out.withColumnRenamed("_grain", grain).drop("_readings", "_zone", "_standard", "_year", "_spans", "_got", "_found", "_best")
+    return out.withColumnRenamed("_ts_grain", grain).drop("_ts_readings", "_ts_zone", "_ts_standard", "_ts_year", "_ts_spans", "_ts_got", "_ts_found", "_ts_best")
 
 
 def usual(text: str, pattern: str = USUAL_STAMP) -> Column:
