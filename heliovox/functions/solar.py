@@ -21,11 +21,16 @@ def sine_of_elevation(utc_us: Column, lat: Column, lon: Column) -> Column:
     return F.sin(F.radians(lat)) * F.sin(declination) + F.cos(F.radians(lat)) * F.cos(declination) * F.cos(hour_angle)
 
 
+def _above(sine: Column, shift: float = 0.0) -> Column:
+    # greatest skips nulls, so an unknown elevation is asked for first.
+    return F.when(sine.isNotNull(), F.greatest(sine + shift, F.lit(0.0)))
+
+
 def clear_sky(sine: Column) -> Column:
     """W/m2 on level ground under a clear sky, twilight included, near enough to take the daily course out of readings."""
-    return 0.75 * SOLAR_CONSTANT * F.pow(F.greatest(sine + 0.03, F.lit(0.0)), 1.15)
+    return 0.75 * SOLAR_CONSTANT * F.pow(_above(sine, 0.03), 1.15)
 
 
 def most_possible(sine: Column) -> Column:
     """W/m2 on level ground that no sky exceeds: the limit used in radiation networks, with 30 W/m2 for twilight."""
-    return 1.5 * SOLAR_CONSTANT * F.pow(F.greatest(sine, F.lit(0.0)), 1.2) + F.when(sine > -0.02, 30.0).otherwise(15.0)
+    return 1.5 * SOLAR_CONSTANT * F.pow(_above(sine), 1.2) + F.when(sine > -0.02, 30.0).otherwise(15.0)

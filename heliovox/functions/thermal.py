@@ -84,7 +84,7 @@ def flag(surface: Column, inside: Column, outside: Column, material: Column, sus
 
 
 def plane_of_array(direct: Column, diffuse: Column, modifier: Column) -> Column:
-    """Effective irradiance: direct times incidence modifier plus diffuse, none of them below zero, the modifier at most 1."""
+    """Effective irradiance: direct times incidence modifier plus diffuse, none of them below zero, the modifier at most 1; missing parts count as 0."""
     zero = F.lit(0.0)
     iam = F.coalesce(F.least(F.greatest(F.nanvl(modifier, zero), zero), F.lit(1.0)), zero)
     return F.greatest(direct, zero) * iam + F.greatest(diffuse, zero)

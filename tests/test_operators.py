@@ -131,3 +131,19 @@ def test_vote_ties_nulls_and_empty(spark):
     assert sorted(map(tuple, vote.weighted(rows, ["k"], "m", conf="c").select("k", "m").collect())) == [(1, "a"), (2, "c")]
     assert vote.weighted(rows.limit(0), ["k"], "m", conf="c").count() == 0
     assert {r["m"]: r["n"] for r in vote.shares(rows, "m").collect()} == {"a": 1, "b": 1, "c": 2, None: 1}
+
+
+def test_solar_limits_of_an_unknown_time_are_unknown(spark):
+    from heliovox.functions import solar
+
+    df = spark.createDataFrame([(None,), (-0.5,), (0.5,)], "s double")
+    rows = df.select(solar.most_possible(F.col("s")).alias("m"), solar.clear_sky(F.col("s")).alias("c")).collect()
+    assert tuple(rows[0]) == (None, None) and rows[1]["m"] == 15.0 and rows[1]["c"] == 0.0 and rows[2]["m"] > rows[2]["c"] > 400
+
+
+def test_sun_over_rome(spark):
+    from heliovox.functions import solar
+
+    # Noon of the solstice: elevation 90 - 41.9 + 23.44 degrees.
+    at = spark.createDataFrame([(1718968260000000,)], "t long").select(solar.sine_of_elevation(F.col("t"), F.lit(41.9), F.lit(12.5))).first()[0]
+    assert abs(np.degrees(np.arcsin(at)) - 71.5) < 0.2
