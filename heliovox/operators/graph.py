@@ -93,6 +93,67 @@ def fill_enclosed(raster: DataFrame, *, rows: int, cols: int, unknown: int = 18)
     return known.select("row", "col", "label", F.lit(False).alias("filled")).unionByName(inside.select("row", "col", "label", F.lit(True).alias("filled")))
 
 
+def dilated(cells: DataFrame, axes: Sequence[str], *, corners: bool = True) -> DataFrame:
+    """Distinct cells with all their neighbours."""
+    steps = [d for d in product((-1, 0, 1), repeat=len(axes)) if corners or sum(map(abs, d)) <= 1]
+    moves = F.array(*[F.struct(*[F.lit(x).alias(f"_{a}") for x, a in zip(d, axes)]) for d in steps])
+    return cells.select(*axes, F.explode(moves).alias("_d")).select(*[(F.col(a) + F.col(f"_d._{a}")).alias(a) for a in axes]).distinct()
+
+
+def eroded(cells: DataFrame, axes: Sequence[str], *, corners: bool = True) -> DataFrame:
+    """The cells all of whose neighbours are there; a cell is counted once for each neighbour that names it."""
+    steps = [d for d in product((-1, 0, 1), repeat=len(axes)) if corners or sum(map(abs, d)) <= 1]
+    moves = F.array(*[F.struct(*[F.lit(x).alias(f"_{a}") for x, a in zip(d, axes)]) for d in steps])
+    named = cells.select(*axes).distinct().select(*axes, F.explode(moves).alias("_d")).select(*[(F.col(a) + F.col(f"_d._{a}")).alias(a) for a in axes])
+    return named.groupBy(*axes).agg(F.count("*").alias("_n")).where(F.col("_n") == len(steps)).select(*axes)
+
+
+def closed(cells: DataFrame, axes: Sequence[str], *, corners: bool = True) -> DataFrame:
+    return eroded(dilated(cells, axes, corners=corners), axes, corners=corners)
+
+
+def opened(cells: DataFrame, axes: Sequence[str], *, corners: bool = True) -> DataFrame:
+    return dilated(eroded(cells, axes, corners=corners), axes, corners=corners)
+
+
+def wall_holes(cells: DataFrame, *, rows: int, cols: int, least: int, most: int, floor_row: int | None = None) -> DataFrame:
+    """`hole, cells, r0, c0, r1, c1`: empty regions of a wall (`row, col`), after its gaps of one cell are closed, that touch neither the border nor the floor row,
+    of `least` to `most` cells."""
+    walls = closed(cells, ["row", "col"]).where(f"row between 0 and {rows - 1} and col between 0 and {cols - 1}")
+    marked = fill_enclosed(walls.withColumn("label", F.lit(0)), rows=rows, cols=cols, unknown=0).where("filled")
+    parts = cell_components(marked, ["row", "col"], corners=False).groupBy("component").agg(F.count("*").alias("cells"), F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
+    kept = parts.where(F.col("cells").between(least, most))
+    return (kept if floor_row is None else kept.where(F.col("r0") > floor_row)).withColumnRenamed("component", "hole")
+
+
+def inferred_holes(occupied: DataFrame, *, rows: int, cols: int, refine: int = 2) -> DataFrame:
+    """`row, col` on a grid `refine` times finer: the cells of a wall's grid that nothing occupies, each cut into refine x refine."""
+    spark = occupied.sparkSession
+    grid = spark.range(rows).select(F.col("id").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint"))))
+    free = grid.join(occupied.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")), ["row", "col"], "left_anti")
+    part = F.sequence(F.lit(0).cast("bigint"), F.lit(refine - 1).cast("bigint"))
+    return free.withColumn("_r", F.explode(part)).withColumn("_c", F.explode(part)).select((F.col("row") * refine + F.col("_r")).alias("row"), (F.col("col") * refine + F.col("_c")).alias("col"))
+
+
+def footprints(boxes: DataFrame, size: float) -> DataFrame:
+    """Boxes with every cell (`row, col`) that their extent `u0, u1, v0, v1` touches."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("bigint"), F.floor(F.col(b) / size).cast("bigint"))
+    return boxes.where("u0 <= u1 and v0 <= v1").withColumn("row", F.explode(span("v0", "v1"))).withColumn("col", F.explode(span("u0", "u1")))
+
+
+def declutter(points: DataFrame, gap: float, *, least: int | None = None) -> DataFrame:
+    """Points of the largest component of occupied cells of size `gap`, or, with `least`, of every component of so many points."""
+    from heliovox.operators import lattice
+
+    cells = lattice.with_cells(points, gap, names=lattice.INNER)
+    counts = cells.groupBy(*lattice.INNER).agg(F.count("*").alias("_n"))
+    if least is None:
+        return cells.join(largest_component(counts, lattice.INNER, weight="_n"), list(lattice.INNER), "left_semi").drop(*lattice.INNER)
+    labelled = cell_components(counts, lattice.INNER).join(counts, list(lattice.INNER))
+    big = labelled.groupBy("component").agg(F.sum("_n").alias("w")).where(F.col("w") >= least)
+    return cells.join(labelled.join(big, "component", "left_semi").select(*lattice.INNER), list(lattice.INNER), "left_semi").drop(*lattice.INNER)
+
+
 def _mask(rows: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     r0, c0 = int(rows["row"].min()), int(rows["col"].min())
     mask = np.zeros((int(rows["row"].max()) - r0 + 1, int(rows["col"].max()) - c0 + 1), bool)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 AXES, CELL = ("x", "y", "z"), ("i", "j", "k")
+# Cell columns of operators that give back the points themselves, whose own columns may be called i, j or k.
+INNER = ("_cell_i", "_cell_j", "_cell_k")
 
 
 def clean(c: str) -> Column:
@@ -39,8 +41,8 @@ def packed(i: Column, j: Column, k: Column, bits: int = 20) -> Column:
     return F.shiftleft(field(i), 2 * bits) + F.shiftleft(field(j), bits) + field(k)
 
 
-def with_cells(points: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    return points.withColumns({c: index(clean(a), size, o) for c, a, o in zip(CELL, AXES, origin)}).where("i is not null and j is not null and k is not null")
+def with_cells(points: DataFrame, size: float, origin: Sequence[float] = (0.0, 0.0, 0.0), names: Sequence[str] = CELL) -> DataFrame:
+    return points.withColumns({c: index(clean(a), size, o) for c, a, o in zip(names, AXES, origin)}).where(" and ".join(f"{c} is not null" for c in names))
 
 
 def majority(counts: DataFrame, group: Sequence[str], label: str, weight: str) -> DataFrame:

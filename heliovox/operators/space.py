@@ -65,22 +65,22 @@ def bounded_face(points: DataFrame, faces: DataFrame, *, point_id: str, toleranc
 
 def voxel_outliers(points: DataFrame, size: float, ratio: float) -> DataFrame:
     """Points in cells of at least max(2, mean - ratio * std) points, mean and (population) std over points, not cells."""
-    cells = lattice.with_cells(points, size)
-    counts = cells.groupBy(*lattice.CELL).agg(F.count("*").alias("_n"))
+    cells = lattice.with_cells(points, size, names=lattice.INNER)
+    counts = cells.groupBy(*lattice.INNER).agg(F.count("*").alias("_n"))
     # Sums over points from one row per cell.
     n, s, q = F.sum("_n"), F.sum(F.col("_n") * F.col("_n")), F.sum(F.col("_n") * F.col("_n") * F.col("_n"))
     mean = F.try_divide(s, n)
     limit = counts.agg(F.greatest(F.lit(2.0), mean - ratio * F.sqrt(F.greatest(F.try_divide(q, n) - mean * mean, F.lit(0.0)))).alias("_limit"))
-    kept = counts.crossJoin(F.broadcast(limit)).where("_n >= _limit").select(*lattice.CELL)  # one row
-    return cells.join(kept, list(lattice.CELL), "left_semi").drop(*lattice.CELL)
+    kept = counts.crossJoin(F.broadcast(limit)).where("_n >= _limit").select(*lattice.INNER)  # one row
+    return cells.join(kept, list(lattice.INNER), "left_semi").drop(*lattice.INNER)
 
 
 def densest_crop(points: DataFrame, size: float, half: float) -> DataFrame:
     """Points within `half` in x and y of the centre of the fullest cell; of equally full ones the least indices count."""
-    cells = lattice.with_cells(points.withColumn("_z", F.col("z")).withColumn("z", F.lit(0.0)), size).withColumn("z", F.col("_z")).drop("_z")
-    full = cells.groupBy("i", "j").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "i", "j")).alias("b"))
+    i, j = (lattice.index(lattice.clean(a), size) for a in "xy")
+    full = points.select(i.alias("i"), j.alias("j")).dropna().groupBy("i", "j").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "i", "j")).alias("b"))
     at = F.broadcast(full.select(((F.col("b.i") + 0.5) * size).alias("_cx"), ((F.col("b.j") + 0.5) * size).alias("_cy")))  # one row
-    return cells.drop("i", "j", "k").crossJoin(at).where((F.abs(F.col("x") - F.col("_cx")) <= half) & (F.abs(F.col("y") - F.col("_cy")) <= half)).drop("_cx", "_cy")
+    return points.crossJoin(at).where((F.abs(F.col("x") - F.col("_cx")) <= half) & (F.abs(F.col("y") - F.col("_cy")) <= half)).drop("_cx", "_cy")
 
 
 def principal_yaw(points: DataFrame) -> DataFrame:
