@@ -32,8 +32,8 @@ MONTHS = {
 
 FIRST_YEAR, LAST_YEAR = 1970, 2100
 DAY_US = 86_400_000_000
-USUAL_STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$"
-USUAL_EPOCH = r"^\d+\.\d{6}$"
+USUAL_STAMP = "^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{2}:[0-9]{2}$"
+USUAL_EPOCH = "^[0-9]+[.][0-9]{6}$"
 
 _ZONE = r"(?:[A-Z]{1,5}(?:[+-]\d{1,2}(?::?\d{2})?)?|[+-]\d{1,2}(?::?\d{2})?)"
 _FULL = (
@@ -106,7 +106,12 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     plain = F.regexp_replace(F.upper(F.trim(F.col(text))), r"^\p{L}+\.?,?\s+(?=\d)", "")
     dashed = F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})(?=$|T)", "$1-$2-$3")
     parts = F.split(F.regexp_replace(dashed, _FULL, r"$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
-    df = df.withColumn("_ts_p", parts).withColumn("_ts_n", F.when(F.col(text).rlike(number), F.expr(f"try_cast(replace(trim(`{text}`), ',', '.') as decimal(38, 9))")))
+    # The usual form, which most texts have, is read by position.
+    piece = lambda at, n: f"cast(substring(`{text}`, {at}, {n}) as int)"
+    usual_us = f"unix_micros(try_make_timestamp({piece(1, 4)}, {piece(6, 2)}, {piece(9, 2)}, {piece(12, 2)}, {piece(15, 2)}, {piece(18, 2)}, 'UTC'))"
+    usual_off = f"if(substring(`{text}`, 20, 1) = '-', -60, 60) * ({piece(21, 2)} * 60 + {piece(24, 2)})"
+    df = df.withColumn("_ts_quick", F.expr(f"if(length(`{text}`) = 25 and `{text}` rlike '{USUAL_STAMP}', named_struct('us', {usual_us}, 'off', {usual_off}), null)"))
+    df = df.withColumn("_ts_p", F.when(F.col("_ts_quick").isNull(), parts)).withColumn("_ts_n", F.when(F.col(text).rlike(number), F.expr(f"try_cast(replace(trim(`{text}`), ',', '.') as decimal(38, 9))")))
     df = df.withColumn(
         "_ts_t",
         F.expr(
@@ -147,12 +152,12 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn(
         "_ts_readings",
         F.expr(
-            f"""filter(concat(
+            f"""if(_ts_quick is not null, if(_ts_quick.us is null, array(), array(_ts_quick)), filter(concat(
                  if(size(_ts_p) = 9, transform(_ts_days, x -> named_struct('us', x + _ts_clock, 'off', _ts_off)), array()),
-                 if(_ts_n is not null, transform(array({epochs}), x -> named_struct('us', x, 'off', 0)), array())), x -> x.us is not null)"""
+                 if(_ts_n is not null, transform(array({epochs}), x -> named_struct('us', x, 'off', 0)), array())), x -> x.us is not null))"""
         ),
     )
-    return df.drop("_ts_p", "_ts_n", "_ts_t", "_ts_days", "_ts_clock", "_ts_off")
+    return df.drop("_ts_quick", "_ts_p", "_ts_n", "_ts_t", "_ts_days", "_ts_clock", "_ts_off")
 
 
 def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str, str] = ("utc_us", "time_status", "grain_s")) -> DataFrame:

@@ -81,3 +81,9 @@ def test_intervals_agree_with_the_zone(zones):
             for edge in (s["lo"], s["hi"] - 1_000_000):
                 at = datetime.fromtimestamp(edge / 1e6 - s["off"], timezone.utc)
                 assert at.astimezone(ZoneInfo("Europe/Rome")).utcoffset().total_seconds() == s["off"]
+
+
+def test_usual_form_with_impossible_parts(spark, zones):
+    texts = ["2024-02-30 12:00:00+01:00", "2024-02-28 24:00:00+01:00", "2024-02-28 12:00:61+01:00", "2024-02-28 12:00:00-09:30"]
+    df = spark.createDataFrame([(t, datetime(2024, 3, 1), None) for t in texts], "text string, got timestamp, tz string")
+    assert [r["utc_us"] for r in T.normalise(df, zones, text="text", received="got", zone="tz").collect()] == [-1, -1, -1, us("2024-02-28 21:30:00")]
