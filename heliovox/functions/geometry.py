@@ -67,17 +67,21 @@ def rotation_of_vector(phi: Vector) -> list[list[Column]]:
     ]
 
 
-def slerp(q0: Vector, q1: Vector, t: Column) -> list[Column]:
-    """Between two unit quaternions along the shorter arc; linear, made unit again, if they nearly agree."""
-    c = dot(q0, q1)
-    sign = F.when(c < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+def slerp_weights(c: Column, t: Column) -> tuple[Column, Column]:
+    """Weights of two unit quaternions with dot product `c`, along the shorter arc; linear if they nearly agree."""
     theta = clipped_acos(F.abs(c))
     near = F.abs(c) > 0.9995
-    s = F.sin(theta)
-    w0 = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * theta), s))
-    w1 = F.when(near, t).otherwise(F.try_divide(F.sin(t * theta), s)) * sign
-    mixed = [w0 * a + w1 * b for a, b in zip(q0, q1)]
-    return [F.try_divide(m, norm(mixed)) for m in mixed]
+    first = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * theta), F.sin(theta)))
+    second = F.when(near, t).otherwise(F.try_divide(F.sin(t * theta), F.sin(theta)))
+    return first, second * F.when(c < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def slerp(q0: Vector, q1: Vector, t: Column) -> list[Column]:
+    """Between two unit quaternions, made unit again."""
+    w0, w1 = slerp_weights(dot(q0, q1), t)
+    mixed = F.array(*[w0 * a + w1 * b for a, b in zip(q0, q1)])
+    size = F.sqrt(F.aggregate(mixed, F.lit(0.0), lambda acc, x: acc + x * x))
+    return [F.try_divide(mixed[k], size) for k in range(4)]
 
 
 def pinhole(p: Vector, k: tuple[float, float, float, float], distortion: Sequence[float] = (0, 0, 0, 0, 0)) -> tuple[Column, Column]:

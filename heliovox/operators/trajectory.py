@@ -20,10 +20,15 @@ def fill_rotations(rows: DataFrame, *, by: Sequence[str], order: str) -> DataFra
     valid = F.when(F.coalesce(*[F.col(q) for q in QUATERNION[:1]]).isNotNull() & F.col("qw").isNotNull(), F.struct(F.col(order).alias("o"), *QUATERNION))
     a = F.last(valid, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     b = F.first(valid, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Step by step, so that no expression is written out many times over.
     d = rows.withColumns({"_a": a, "_b": b})
-    t = F.coalesce(F.try_divide((F.col(order) - F.col("_a.o")).cast("double"), (F.col("_b.o") - F.col("_a.o")).cast("double")), F.lit(0.0))
-    mixed = g.slerp([F.col(f"_a.{q}") for q in QUATERNION], [F.col(f"_b.{q}") for q in QUATERNION], t)
-    return d.withColumns({q: F.coalesce(F.col(q), m, F.col(f"_a.{q}"), F.col(f"_b.{q}")) for q, m in zip(QUATERNION, mixed)}).drop("_a", "_b")
+    p, q = [F.col(f"_a.{c}") for c in QUATERNION], [F.col(f"_b.{c}") for c in QUATERNION]
+    share = F.coalesce(F.try_divide((F.col(order) - F.col("_a.o")).cast("double"), (F.col("_b.o") - F.col("_a.o")).cast("double")), F.lit(0.0))
+    d = d.withColumns({"_t": share, "_c": g.dot(p, q)}).withColumn("_w", F.array(*g.slerp_weights(F.col("_c"), F.col("_t"))))
+    d = d.withColumn("_m", F.array(*[F.col("_w")[0] * x + F.col("_w")[1] * y for x, y in zip(p, q)]))
+    d = d.withColumn("_n", F.sqrt(F.aggregate("_m", F.lit(0.0), lambda acc, x: acc + x * x)))
+    filled = {c: F.coalesce(F.col(c), F.try_divide(F.col("_m")[k], F.col("_n")), x, y) for k, (c, x, y) in enumerate(zip(QUATERNION, p, q))}
+    return d.withColumns(filled).drop("_a", "_b", "_t", "_c", "_w", "_m", "_n")
 
 
 def heights_from_first(rows: DataFrame, *, by: Sequence[str], order: str, floor: str, z: str) -> DataFrame:
@@ -38,7 +43,7 @@ def snapped_headings(steps: DataFrame, *, by: Sequence[str], segment: str, order
     a = F.radians(heading)
     mean = steps.groupBy(*by, segment).agg(F.degrees(F.atan2(F.sum(F.col(length) * F.sin(a)), F.sum(F.col(length) * F.cos(a)))).alias("_m"))
     base = F.first("_m").over(Window.partitionBy(*by).orderBy(segment).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    turns = mean.withColumn("_turn", F.col("_m") - (base + 90.0 * F.rint((F.col("_m") - base) / 90.0))).drop("_m")
+    turns = mean.withColumn("_turn", F.col("_m") - (base + 90.0 * F.rint(F.round((F.col("_m") - base) / 90.0, 9)))).drop("_m")
     joined = steps.join(turns, [*by, segment]).withColumn("snapped", F.pmod(F.col(heading) - F.col("_turn"), F.lit(360.0))).drop("_turn")
     s = F.radians("snapped")
     return series.reintegrated(joined, by=by, order=order, step={"x": F.col(length) * F.cos(s), "y": F.col(length) * F.sin(s)})
