@@ -97,7 +97,7 @@ def _map(values: dict[str, int]) -> str:
 
 
 def readings(df: DataFrame, text: str) -> DataFrame:
-    """`df` with `_ts_readings array<struct<us: bigint, off: int>>`, every way the text can be read as a time, and `_ts_grain`.
+    """`df` with `_ts_readings array<struct<us: bigint, off: int>>`, every way the text can be read as a time, `_ts_grain`, and, instead, `_ts_quick` for the usual form.
 
     `us` is the wall-clock time in microseconds, `off` its seconds ahead of UTC, null if the text names no zone.
     """
@@ -152,12 +152,12 @@ def readings(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn(
         "_ts_readings",
         F.expr(
-            f"""if(_ts_quick is not null, if(_ts_quick.us is null, array(), array(_ts_quick)), filter(concat(
+            f"""if(_ts_quick is not null, array(), filter(concat(
                  if(size(_ts_p) = 9, transform(_ts_days, x -> named_struct('us', x + _ts_clock, 'off', _ts_off)), array()),
                  if(_ts_n is not null, transform(array({epochs}), x -> named_struct('us', x, 'off', 0)), array())), x -> x.us is not null))"""
         ),
     )
-    return df.drop("_ts_quick", "_ts_p", "_ts_n", "_ts_t", "_ts_days", "_ts_clock", "_ts_off")
+    return df.drop("_ts_p", "_ts_n", "_ts_t", "_ts_days", "_ts_clock", "_ts_off")
 
 
 def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str, str] = ("utc_us", "time_status", "grain_s")) -> DataFrame:
@@ -180,23 +180,30 @@ def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone
     out = out.withColumn(
         "_ts_found",
         F.expr(
-            """flatten(transform(_ts_readings, r -> if(r.off is not null,
+            """if(_ts_quick is not null, array(), flatten(transform(_ts_readings, r -> if(r.off is not null,
                  array(named_struct('at', r.us - r.off * 1000000L, 'n', 1)),
                  transform(filter(coalesce(_ts_spans, array()), s -> r.us >= s.lo and r.us < s.hi),
-                           s -> named_struct('at', r.us - s.off * 1000000L, 'n', size(filter(_ts_spans, o -> r.us >= o.lo and r.us < o.hi)))))))"""
+                           s -> named_struct('at', r.us - s.off * 1000000L, 'n', size(filter(_ts_spans, o -> r.us >= o.lo and r.us < o.hi))))))))"""
+        ),
+    )
+    out = out.withColumn("_ts_at", F.expr("_ts_quick.us - _ts_quick.off * 1000000L"))
+    out = out.withColumn(
+        "_ts_best",
+        F.expr(
+            f"""if(_ts_quick is not null, if(_ts_at <= _ts_got and _ts_at >= _ts_got - {window_days} * {DAY_US}L, named_struct('at', _ts_at, 'n', 1), null),
+                 array_max(filter(_ts_found, x -> x.at <= _ts_got and x.at >= _ts_got - {window_days} * {DAY_US}L)))"""
         ),
     )
-    out = out.withColumn("_ts_best", F.expr(f"array_max(filter(_ts_found, x -> x.at <= _ts_got and x.at >= _ts_got - {window_days} * {DAY_US}L))"))
     out = out.withColumns(
         {
             utc: F.expr(f"case when `{text}` is null then null else coalesce(_ts_best.at, -1L) end"),
             status: F.expr(
                 f"""case when `{text}` is null then null when _ts_best.n > 1 then 'ambiguous' when _ts_best.n = 1 then 'exact'
-                     when size(_ts_readings) = 0 then 'unreadable' when size(_ts_found) = 0 then 'nonexistent' else 'out_of_window' end"""
+                     when _ts_at is not null then 'out_of_window' when size(_ts_readings) = 0 then 'unreadable' when size(_ts_found) = 0 then 'nonexistent' else 'out_of_window' end"""
             ),
         }
     )
-    return out.withColumnRenamed("_ts_grain", grain).drop("_ts_readings", "_ts_zone", "_ts_standard", "_ts_year", "_ts_spans", "_ts_got", "_ts_found", "_ts_best")
+    return out.withColumnRenamed("_ts_grain", grain).drop("_ts_quick", "_ts_at", "_ts_readings", "_ts_zone", "_ts_standard", "_ts_year", "_ts_spans", "_ts_got", "_ts_found", "_ts_best")
 
 
 def usual(text: str, pattern: str = USUAL_STAMP) -> Column:
