@@ -119,11 +119,13 @@ def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, round
     w = (t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1)
     usual = 1.4826 * np.median(np.abs(k[1:-1] - k[:-2] * (1 - w) - k[2:] * w))
 
-    def score(least: np.ndarray, most: np.ndarray, before: np.ndarray, after: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    def score(least: np.ndarray, most: np.ndarray, before: np.ndarray, after: np.ndarray, slope: np.ndarray, course: np.ndarray) -> np.ndarray:
         high, low = np.maximum(before, after), np.minimum(before, after)
         up = least > high
         margin = np.where(up, least - high, np.where(most < low, low - most, 0.0))
         base = np.abs(np.where(up, high, low))
+        # A plain reading between two jumps departs from both neighbours, but not from the wider course.
+        margin = np.where(np.where(up, least - course, course - most) >= margin / 2, margin, 0.0)
         return margin / np.maximum(np.maximum(rule.usual * (usual + rule.floor * base) + slope, np.where(up, rule.up, rule.down) * base), 1e-9)
 
     left = np.arange(len(t))
@@ -135,8 +137,9 @@ def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, round
         one, two = np.zeros(n + 6), np.zeros(n + 6)  # three empty places on either side
         # The bottom of a valley has steep sides as well; a jump stands out from sides that are level, one at least.
         steep = np.r_[0.0, np.abs(np.diff(x)), 0.0]
-        one[4 : n + 2] = score(x[1:-1], x[1:-1], x[:-2], x[2:], np.minimum(steep[: n - 2], steep[3:]))
-        two[4 : n + 1] = score(np.minimum(x[1:-2], x[2:-1]), np.maximum(x[1:-2], x[2:-1]), x[:-3], x[3:], np.minimum(steep[: n - 3], steep[4:]))
+        course = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, min(5, n - 1), mode="reflect"), 2 * min(5, n - 1) + 1), axis=1)
+        one[4 : n + 2] = score(x[1:-1], x[1:-1], x[:-2], x[2:], np.minimum(steep[: n - 2], steep[3:]), course[1:-1])
+        two[4 : n + 1] = score(np.minimum(x[1:-2], x[2:-1]), np.maximum(x[1:-2], x[2:-1]), x[:-3], x[3:], np.minimum(steep[: n - 3], steep[4:]), (course[1:-2] + course[2:-1]) / 2)
         most = np.maximum(one, np.maximum(two, np.r_[0, two[:-1]]))
         around = np.max([most[3 + d : 3 + d + n] for d in (-2, -1, 0, 1, 2)], axis=0)
         single = (one[3 : n + 3] > 1) & (one[3 : n + 3] >= around)

@@ -80,3 +80,11 @@ def test_low_rank_part_leaves_sparse_spikes():
     truth = rng.random(m.shape) < 0.02
     gap = np.abs(m + 3 * truth - S.low_rank(m + 3 * truth, 1))
     assert gap[truth].min() > 2.5 and gap[~truth].max() < 0.2
+
+
+def test_plain_reading_between_two_jumps():
+    t, scale, value = course(4)
+    i = [k for k, x in enumerate(t) if x % DAY == 12 * HOUR][1]
+    value[i - 1], value[i + 1] = 5.0, 9.0
+    found = np.flatnonzero(S.jumps(t, value + 20, scale + 20, RULE))
+    assert found.tolist() == [i - 1, i + 1]
