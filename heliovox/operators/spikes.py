@@ -265,16 +265,26 @@ def flag(
                 kept.append(part.loc[hit, ["source", "t", *names, "first_id", "last_id", "copies"]].assign(field=f, reason=reasons[f][hit]))
             return pd.concat(kept)
 
-        held: pd.DataFrame | None = None
+        def group_of(row: pd.Series) -> tuple:
+            return None if pd.isna(row["source"]) else row["source"], row["block"]
+
+        # Rows come sorted; a group that goes on over many batches is put together once, at its end.
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            sources, block = part["source"].to_numpy(), part["block"].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (sources[1:] != sources[:-1]) | (block[1:] != block[:-1])])
-            held = part.iloc[cuts[-1] :].reset_index(drop=True)
+            if held and len(batch) and group_of(batch.iloc[-1]) == group_of(held[-1].iloc[-1]):
+                held.append(batch)
+                continue
+            part = pd.concat([*held, batch], ignore_index=True) if held else batch
+            if not len(part):
+                continue
+            source, block = pd.factorize(part["source"])[0], part["block"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (block[1:] != block[:-1])])
+            held = [part.iloc[cuts[-1] :].reset_index(drop=True)]
             if len(cuts) > 1:
                 yield finish(part.iloc[: cuts[-1]], cuts)
-        if held is not None and len(held):
-            yield finish(held, np.array([0, len(held)]))
+        if held:
+            last = pd.concat(held, ignore_index=True)
+            yield finish(last, np.array([0, len(last)]))
 
     kind = dict(base.dtypes)
     schema = ", ".join([f"source {kind['source']}", "t bigint", *[f"`{f}` double" for f in names], f"first_id {kind['id']}", f"last_id {kind['id']}", "copies bigint", "field string", "reason string"])

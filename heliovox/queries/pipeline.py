@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heliovox.operators import regrid, rover, schema_drift
+from heliovox.queries import time_sql
 from heliovox.session import table
 
 
@@ -49,4 +50,4 @@ def p4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_planes": p4_planes}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": time_sql.P2, "p3_found": time_sql.P3}

@@ -58,7 +58,7 @@ def rate_verdict(spark: SparkSession, d: str) -> DataFrame:
 def mad_segmentation(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("event_type", "us", "value")
     limits = series.median_and_mad(rows, by=["event_type"], value="value")
-    return series.segments(rows.join(F.broadcast(limits), "event_type"), by=["event_type"], order="us", value="value", threshold=F.col("median") + 1.5 * F.col("mad"), least_move=2, least_rest=10)
+    return series.segments(rows.join(limits, "event_type"), by=["event_type"], order="us", value="value", threshold=F.col("median") + 1.5 * F.col("mad"), least_move=2, least_rest=10)
 
 
 def value_runs(spark: SparkSession, d: str) -> DataFrame:
