@@ -211,3 +211,39 @@ def inscribed(cells: DataFrame, *, by: str) -> DataFrame:
         return pd.DataFrame([(rows[by].iloc[0], area, a + r, b + c, x + r, y + c)], columns=[by, "area", "r0", "c0", "r1", "c1"])
 
     return cells.groupBy(by).applyInPandas(run, f"`{by}` {dict(cells.dtypes)[by]}, area int, r0 int, c0 int, r1 int, c1 int")
+
+
+def merged(rectangles: list[tuple[int, int, int, int]], gate: float = 0.9) -> list[tuple[int, int, int, int]]:
+    """Rectangles (first row, first column, last row, last column; inclusive) that touch along an edge, merged: into their bounding box if they cover at
+    least `gate` of it, else into the largest rectangle within them and those of the rest that don't overlap it."""
+    rest, out = [tuple(map(int, r)) for r in rectangles], []
+    while rest:
+        group, queue = [], [rest.pop(0)]
+        while queue:
+            a = queue.pop()
+            group.append(a)
+            near = [b for b in rest if (a[0] <= b[2] + 1 and b[0] <= a[2] + 1 and a[1] <= b[3] and b[1] <= a[3]) or (a[1] <= b[3] + 1 and b[1] <= a[3] + 1 and a[0] <= b[2] and b[0] <= a[2])]
+            rest = [b for b in rest if b not in near]
+            queue += near
+        r0, c0, r1, c1 = (f(g[k] for g in group) for k, f in enumerate((min, min, max, max)))
+        mask = np.zeros((r1 - r0 + 1, c1 - c0 + 1), bool)
+        for a in group:
+            mask[a[0] - r0 : a[2] - r0 + 1, a[1] - c0 : a[3] - c0 + 1] = True
+        if mask.mean() >= gate:
+            out.append((r0, c0, r1, c1))
+            continue
+        _, a, b, x, y = largest_rectangle(mask)
+        mask[a : x + 1, b : y + 1] = False
+        out.append((a + r0, b + c0, x + r0, y + c0))
+        out += [(p + r0, q + c0, u + r0, v + c0) for p, q, u, v in cover(mask)]
+    return sorted(out)
+
+
+def merged_rectangles(rectangles: DataFrame, *, by: str, gate: float = 0.9) -> DataFrame:
+    """`by, r0, c0, r1, c1`: the merged rectangles of each surface. A task holds one surface's rectangles."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = merged(list(rows[["r0", "c0", "r1", "c1"]].itertuples(index=False, name=None)), gate)
+        return pd.DataFrame([(rows[by].iloc[0], *r) for r in found], columns=[by, "r0", "c0", "r1", "c1"])
+
+    return rectangles.groupBy(by).applyInPandas(run, f"`{by}` {dict(rectangles.dtypes)[by]}, r0 int, c0 int, r1 int, c1 int")

@@ -218,7 +218,7 @@ def flag(
     rows: DataFrame, *, source: str, row_id: str, time_us: str, fields: dict[str, Column], scale: Column | None = None, rule: Rule = Rule(), offset: float = 5.0,
     grain_s: str | None = None, hint: Column | None = None, near_us: Column | None = None, blocks: Blocks = Blocks(), least_run: int = 4,
 ) -> DataFrame:
-    """`source, time, values, first_id, last_id, copies, field, reason`: one row per implausible distinct reading.
+    """`source, t, value_0 ..., first_id, last_id, copies, field, reason`: one row per implausible distinct reading.
 
     fields: value columns, each with the highest value that is physically possible. scale: expected daily course, 1 if
     none; `offset` is added to values and scale, for ratios near zero. grain_s: seconds to which the time was cut when
@@ -228,7 +228,9 @@ def flag(
     cases and don't interrupt a run; NaN counts as null. Readings further apart than the blocks' overlap aren't neighbours
     across a block's edge. An empty table gives an empty result.
     """
-    names = list(fields)
+    # Inside, fields go by number, so that they may have any name.
+    values = {f"value_{n}": f for n, f in enumerate(fields)}
+    names, highs = list(values), dict(zip(values, fields.values()))
     wide = blocks.days * DAY_US
     at = F.coalesce(F.col(time_us), F.lit(-1))
     base = rows.select(
@@ -237,7 +239,7 @@ def flag(
         (hint if hint is not None else F.lit(None)).cast("double").alias("hint"),
         (near_us if near_us is not None else at).cast("bigint").alias("near"),
         (scale if scale is not None else F.lit(1.0)).cast("double").alias("scale"),
-        *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in names], *[high.cast("double").alias("high_" + f) for f, high in fields.items()],
+        *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(v) for v, f in values.items()], *[high.cast("double").alias("high_" + v) for v, high in highs.items()],
     )
     base = base.where(" or ".join(f"`{f}` is not null" for f in names))
     firsts = [F.first(c).alias(c) for c in ("hint", "near", "scale", *["high_" + f for f in names])]
@@ -262,7 +264,7 @@ def flag(
             kept = []
             for f in names:
                 hit = (reasons[f] != "") & home_rows
-                kept.append(part.loc[hit, ["source", "t", *names, "first_id", "last_id", "copies"]].assign(field=f, reason=reasons[f][hit]))
+                kept.append(part.loc[hit, ["source", "t", *names, "first_id", "last_id", "copies"]].assign(field=values[f], reason=reasons[f][hit]))
             return pd.concat(kept)
 
         def group_of(row: pd.Series) -> tuple:
@@ -301,7 +303,7 @@ def rows_of(flagged: DataFrame, rows: DataFrame, source: str, row_id: str, names
     named = flagged.select(F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias(row_id), "field", "reason")
     often = flagged.where("copies > 2")
     raw = rows
-    keys = often.select(F.col("source").alias("_hit_source"), F.col("t").alias("_hit_t"), F.col("field").alias("_hit_field"), F.col("reason").alias("_hit_reason"), *[F.col(f).alias(f"_hit_{n}") for n, f in enumerate(names)])
+    keys = often.select(F.col("source").alias("_hit_source"), F.col("t").alias("_hit_t"), F.col("field").alias("_hit_field"), F.col("reason").alias("_hit_reason"), *[F.col(f"value_{n}").alias(f"_hit_{n}") for n in range(len(names))])
     match = raw[source].eqNullSafe(keys["_hit_source"])
     for n, f in enumerate(names):
         match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_hit_{n}"])

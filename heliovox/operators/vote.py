@@ -54,7 +54,7 @@ def two_level(rows: DataFrame, point: str, cell: str, label: str) -> DataFrame:
     """`cell, label, n, confidence`: the majority of the points' own majorities in each cell."""
     first = rows.where(F.col(label).isNotNull()).groupBy(cell, point, label).agg(F.count("*").alias("votes"))
     # The least of (-votes, label) is the winner; a combinable aggregate instead of a sort.
-    per_point = first.groupBy(cell, point).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(label).alias("l"))).alias("b")).select(cell, F.col("b.l").alias(label))
+    per_point = first.groupBy(cell, point).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(label).alias("l"))).alias("_best")).select(cell, F.col("_best.l").alias(label))
     second = per_point.groupBy(cell, label).agg(F.count("*").alias("n"))
     return _winner(second, [cell], label, "n").withColumnRenamed("_share", "confidence")
 
@@ -98,4 +98,4 @@ def first_passing(candidates: DataFrame, item: str, rank: str, passes: Column, k
     """Per item the candidate of the lowest rank that passes, else the one of the lowest rank, with `accepted`."""
     scored = candidates.withColumn("_ok", F.coalesce(passes, F.lit(False)))
     pick = F.min(F.struct((~F.col("_ok")).alias("bad"), F.col(rank).alias(rank), *keep))
-    return scored.groupBy(item).agg(pick.alias("p")).select(item, (~F.col("p.bad")).alias("accepted"), F.col("p")[rank].alias(rank), *[F.col("p")[c].alias(c) for c in keep])
+    return scored.groupBy(item).agg(pick.alias("_pick")).select(item, (~F.col("_pick.bad")).alias("accepted"), F.col("_pick")[rank].alias(rank), *[F.col("_pick")[c].alias(c) for c in keep])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heliovox.operators import building, graph, series, trajectory
+from heliovox.operators import building, graph, series, trajectory, views
 from heliovox.queries.base import EVENTS, POINTS, events, points
 from heliovox.session import table
 
@@ -78,7 +78,62 @@ def wall_consensus(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("median") - F.col("value")) * F.col("w")) / F.sum("w"), 5).alias("correction"))
 
 
-QUERIES = {f.__name__: f for f in (declutter, closed_occupancy, opened_occupancy, wall_holes, inferred_holes, footprint_cells, oriented_rectangles, floor_levels, heading_snap, rotation_fill, wall_consensus)}
+def region_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Zones of regions, as boxes made of a user's events."""
+    e = events(spark, d).select("user_id", F.hour("ts").alias("h"), "value")
+    boxes = e.groupBy("user_id", (F.col("value") > 50).alias("side")).agg(F.min("h").alias("x0"), F.max("h").alias("x1"), F.floor(F.min("value") / 10).alias("y0"), F.floor(F.max("value") / 10).alias("y1"), F.avg(F.col("value") / 10).alias("cy"), F.count("*").alias("area"))
+    return boxes.select("user_id", "side", views.zone(25).alias("zone"))
+
+
+def image_tiles(spark: SparkSession, d: str) -> DataFrame:
+    frames = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 13 + 101).cast("int").alias("w"), (F.col("n_nationkey") * 7 + 77).cast("int").alias("h"))
+    return views.tiles(frames, width="w", height="h", rows=3, cols=4).select("n_nationkey", "r", "c", "x0", "y0", "x1", "y1")
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Largest and mean turn between poses in succession, per session."""
+    out = views.turn_between(table(spark, d, "posetum").where("qx is not null and qy is not null and qz is not null and qw is not null"), by=["session_id"], order="pose_id")
+    return out.groupBy("session_id").agg(F.count("turn_deg").alias("n"), F.round(F.max("turn_deg"), 3).alias("most"), F.round(F.avg("turn_deg"), 3).alias("mean"))
+
+
+def field_of_view(spark: SparkSession, d: str) -> DataFrame:
+    """What a thermal camera sees, as a box in the image of a stereo camera beside it."""
+    rotation = ((0.999, 0.02, -0.04), (-0.02, 0.9998, 0.0), (0.04, 0.001, 0.9992))
+    return views.field_of_view(64, 48, (60.0, 60.0, 32.0, 24.0), (500.0, 500.0, 640.0, 360.0), rotation, (0.05, -0.02, 0.01), (1280, 720), spark)
+
+
+def wall_layers(spark: SparkSession, d: str) -> DataFrame:
+    return views.layers(events(spark, d).select("event_type", F.floor(F.col("value") / 7).alias("layer")), by=["event_type"], layer="layer")
+
+
+def wall_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each wall's grid that is occupied, glazed or hidden, any layer counting."""
+    cells = events(spark, d).select("event_type", (F.col("user_id") % 48).alias("row"), F.hour("ts").alias("col"), "value")
+    return views.coverage(cells, by="event_type", rows=48, cols=24, kinds={"occupied": F.col("value") > 5, "glass": F.col("value") > 100, "hidden": F.col("value") < 2}, least=0.7).select("event_type", R("occupied"), R("glass"), R("hidden"), "kept")
+
+
+def centre_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of exported planes against those of the first plane of their series: the turn in which they fit best."""
+    p = table(spark, d, "planes").where("corners_3d is not null").select("plane_uid", "series_id", F.posexplode("corners_3d").alias("k", "c"))
+    flat = p.select("plane_uid", "series_id", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"))
+    lead = flat.groupBy("series_id").agg(F.min("plane_uid").alias("lead"))
+    pairs = flat.select("plane_uid", "series_id").distinct().join(lead, "series_id")
+    nominal = pairs.join(flat.select(F.col("plane_uid").alias("lead"), "x", "y"), "lead").select("plane_uid", "x", "y")
+    return views.matched_centres(flat.select("plane_uid", "x", "y"), nominal, by="plane_uid")
+
+
+def merged_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    cells = events(spark, d).select("event_type", (F.col("user_id") % 24).cast("int").alias("row"), F.hour("ts").cast("int").alias("col")).distinct()
+    return graph.merged_rectangles(graph.rectangles(cells, by="event_type"), by="event_type", gate=0.95)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        declutter, closed_occupancy, opened_occupancy, wall_holes, inferred_holes, footprint_cells, oriented_rectangles, floor_levels, heading_snap, rotation_fill, wall_consensus,
+        region_zones, image_tiles, turns, field_of_view, wall_layers, wall_coverage, centre_matching, merged_rectangles,
+    )
+}
 
 _W = "w as (select distinct user_id % 48 r, hour(ts) c from events where value < 8)"
 _N8 = "(select a.x dr, b.x dc from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x))"
@@ -106,4 +161,16 @@ SQL = {
         window w as (partition by user_id order by us rows unbounded preceding)""",
     "wall_consensus": """with r as (select user_id, value, event_id, hour(ts) + 1.0::double w from events), o as (select *, sum(w) over (partition by user_id order by value, event_id) c, sum(w) over (partition by user_id) t from r),
         m as (select user_id, min(value) med from o where 2 * c >= t group by 1) select user_id, count(*) n, round(sum((med - value) * w) / sum(w), 5) correction from r join m using (user_id) where abs(value - med) <= 15 group by 1""",
+    "region_zones": """with b as (select user_id, value > 50 side, min(hour(ts)) x0, max(hour(ts)) x1, floor(min(value) / 10) y0, floor(max(value) / 10) y1, avg(value / 10) cy, count(*) area from events group by 1, 2),
+        s as (select *, greatest(1, x1 - x0) w, greatest(1, y1 - y0) h from b) select user_id, side, case when cy / 25.0 > 0.55 and w > 1.6 * h and y1 >= 22 and area / (w * h) > 0.5 then 'floor' when cy / 25.0 < 0.30 and w > 0.8 * h then 'ceiling'
+        when h > 1.3 * w then 'vertical' else 'any' end as "zone" from s""",
+    "image_tiles": """with f as (select n_nationkey, n_nationkey * 13 + 101 w, n_nationkey * 7 + 77 h from nation) select n_nationkey, r, c, cast(round_even(w * c / 4.0::double, 0) as int) x0, cast(round_even(h * r / 3.0::double, 0) as int) y0,
+        cast(round_even(w * (c + 1) / 4.0::double, 0) as int) x1, cast(round_even(h * (r + 1) / 3.0::double, 0) as int) y1 from f, (select unnest(range(3)) r), (select unnest(range(4)) c)""",
+    "turns": """with p as (select session_id, (qx * lag(qx) over w + qy * lag(qy) over w + qz * lag(qz) over w + qw * lag(qw) over w) c, sqrt(qx * qx + qy * qy + qz * qz + qw * qw) s, lag(sqrt(qx * qx + qy * qy + qz * qz + qw * qw)) over w s0 from posetum
+        where qx is not null and qy is not null and qz is not null and qw is not null window w as (partition by session_id order by pose_id)), t as (select session_id, 2 * degrees(acos(least(1.0::double, abs(c / (s * s0))))) t from p)
+        select session_id, count(t) n, round(max(t), 3) most, round(avg(t), 3) mean from t group by 1""",
+    "wall_layers": """with l as (select event_type, cast(floor(value / 7) as bigint) l from events), c as (select event_type, l, row_number() over (partition by event_type order by count(*) desc, l) i from l group by 1, 2)
+        select c.event_type, any_value(c.l) as "mode", cast(round_even(quantile_cont(l.l, 0.5), 0) as bigint) as "median", cast(round_even(quantile_cont(l.l, 0.95), 0) as bigint) as "outer" from c join l using (event_type) where i = 1 group by 1""",
+    "wall_coverage": """with c as (select event_type, user_id % 48 r, hour(ts) c, bool_or(value > 5) o, bool_or(value > 100) g, bool_or(value < 2) h from events group by 1, 2, 3)
+        select event_type, round(sum(o::int) / 1152.0::double, 6) + 0.0 occupied, round(sum(g::int) / 1152.0::double, 6) + 0.0 glass, round(sum(h::int) / 1152.0::double, 6) + 0.0 hidden, sum(o::int) / 1152.0::double >= 0.7 kept from c group by 1""",
 }

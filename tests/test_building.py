@@ -135,3 +135,29 @@ def test_declutter_and_footprints(spark):
     boxes = spark.createDataFrame([(1, -0.1, 0.9, 0.0, 0.4), (2, 1.0, 0.0, 0.0, 1.0)], "b int, u0 double, u1 double, v0 double, v1 double")
     assert sorted((r["row"], r["col"]) for r in graph.footprints(boxes, 0.5).collect()) == [(0, -1), (0, 0), (0, 1)]
     assert boxes.where(F.lit(False)).count() == 0
+
+
+def test_rectangles_merge_without_losing_cells():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        mask = rng.random((8, 10)) < 0.6
+        after = graph.merged(list(graph.cover(mask)), gate=1.0)
+        again = np.zeros_like(mask, int)
+        for r0, c0, r1, c1 in after:
+            again[r0 : r1 + 1, c0 : c1 + 1] += 1
+        assert (again == mask).all()
+    assert graph.merged([(0, 0, 1, 1), (0, 2, 1, 3), (5, 5, 5, 5)], gate=0.9) == [(0, 0, 1, 3), (5, 5, 5, 5)]
+    assert graph.merged([]) == []
+
+
+def test_centres_and_field_of_view(spark):
+    from heliovox.operators import views
+
+    square = np.array([[0, 0], [2, 0], [2, 1], [0, 1.5]])
+    a = 1.9
+    turned = square @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]) + 5
+    frame = lambda p: spark.createDataFrame([(1, *map(float, q)) for q in p], "b int, x double, y double")
+    got = views.matched_centres(frame(turned[[2, 0, 3, 1]]), frame(square), by="b").first()
+    assert got["residual"] < 1e-9
+    box = views.field_of_view(10, 10, (10.0, 10.0, 5.0, 5.0), (100.0, 100.0, 50.0, 50.0), np.eye(3).tolist(), (0, 0, 0), (100, 100), spark).first()
+    assert (box["x0"], box["y0"], box["x1"], box["y1"]) == (0, 0, 90, 90)

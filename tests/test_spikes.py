@@ -95,5 +95,5 @@ def test_null_numbers_as_sources_are_one_source(spark):
     value[50:54] = 123.0
     rows = [(n, None if n % 2 else 1, int(x), 123.0 if 50 <= n < 60 else float(v), float(s), 1) for n, (x, v, s) in enumerate(zip(t, value, scale))]
     df = spark.createDataFrame(rows, "id long, source long, t long, v double, scale double, grain int")
-    out = S.flag(df, source="source", row_id="id", time_us="t", fields={"v": F.lit(1500.0)}, scale=F.col("scale"), rule=RULE, offset=20.0)
+    out = S.flag(df.withColumnRenamed("v", "copies"), source="source", row_id="id", time_us="t", fields={"copies": F.lit(1500.0)}, scale=F.col("scale"), rule=RULE, offset=20.0)
     assert {r["first_id"] for r in out.where("reason = 'stuck'").collect()} == set(range(50, 60))
