@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from heliovox.functions import geometry as g
 
 
+# Bounds of the rule for zones: heights in the image, ratios of width and height, share of the box filled, pixels from the lower edge.
+FLOOR_FROM, FLOOR_WIDE, FLOOR_FULL, FLOOR_EDGE = 0.55, 1.6, 0.5, 3
+CEILING_TO, CEILING_WIDE, UPRIGHT = 0.30, 0.8, 1.3
+
+
 def zone(height: int, *, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1", cy: str = "cy", area: str = "area") -> Column:
     """floor, ceiling, vertical or any, by where a region lies in an image of `height` rows, its shape and how much of its box it fills."""
-    w, h = F.greatest(F.lit(1), F.col(x1) - F.col(x0)), F.greatest(F.lit(1), F.col(y1) - F.col(y0))
-    low, full, down = F.col(cy) / F.lit(float(max(1, height))), F.col(area) / (w * h), F.col(y1) >= height - 3
-    return F.when((low > 0.55) & (w > 1.6 * h) & down & (full > 0.5), "floor").when((low < 0.30) & (w > 0.8 * h), "ceiling").when(h > 1.3 * w, "vertical").otherwise("any")
+    across, down = F.greatest(F.lit(1), F.col(x1) - F.col(x0)), F.greatest(F.lit(1), F.col(y1) - F.col(y0))
+    level = F.col(cy) / F.lit(float(max(1, height)))
+    on_floor = (level > FLOOR_FROM) & (across > FLOOR_WIDE * down) & (F.col(y1) >= height - FLOOR_EDGE) & (F.col(area) > FLOOR_FULL * across * down)
+    on_ceiling = (level < CEILING_TO) & (across > CEILING_WIDE * down)
+    return F.when(on_floor, "floor").when(on_ceiling, "ceiling").when(down > UPRIGHT * across, "vertical").otherwise("any")
 
 
 def tiles(frames: DataFrame, *, width: str, height: str, rows: int, cols: int) -> DataFrame:
