@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WIDTH = 3
 SHARE, EDITS = 0.4, 0.1
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"[̀-ͯ­​-‏⁠﻿]")
