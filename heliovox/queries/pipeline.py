@@ -32,6 +32,12 @@ def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.regrid(rover.logger_readings(spark, sf_dir), source="logger_id", time_us="utc_us", value="ghi", step_s="step_s")
 
 
+def p3_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods that readings cover, in part at least, with time-weighted means."""
+    covered = p3_grid(spark, sf_dir).where("coverage > 0")
+    return covered.select("logger_id", "slot_us", "n_readings", F.round("mean", 8).alias("mean"), F.round("coverage", 8).alias("coverage"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periods without a reading between a logger's first and last."""
     return p3_grid(spark, sf_dir).where("n_readings = 0").select("logger_id", "slot_us")
@@ -49,5 +55,5 @@ def p4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.union_table(rows, series="series_id", file="file_id", at="exported_at", body="body", keep=["plane_record_id", "family", "exported_at", "line_no"])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_planes": p4_planes}
-SQL: dict[str, str] = {"p2_found": time_sql.P2, "p3_found": time_sql.P3}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p3_means": p3_means, "p4_found": p4_found, "p4_planes": p4_planes}
+SQL: dict[str, str] = {"p2_found": time_sql.P2, "p3_found": time_sql.P3, "p3_means": time_sql.P3_MEANS}

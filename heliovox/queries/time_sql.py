@@ -61,3 +61,10 @@ P3 = f"""with s as {_rows("legnaro_ghi", "reading_id", "timestamp", "received_at
 r as (select g.logger_id, l.step_s * 1000000::bigint step, utc_us // (l.step_s * 1000000::bigint) k from i join legnaro_ghi g on g.reading_id = i.id join loggers l on l.logger_id = g.logger_id where utc_us >= 0 and ghi is not null),
 b as (select logger_id, step, min(k) lo, max(k) hi from r group by 1, 2), e as (select logger_id, step, unnest(range(lo, hi + 1)) k from b)
 select logger_id, k * step as slot_us from e anti join r using (logger_id, step, k)"""
+
+P3_MEANS = f"""with s as {_rows("legnaro_ghi", "reading_id", "timestamp", "received_at", "tz_name", "coalesce(clock = 'standard', false)", USUAL_STAMP, _LOGGER, only=False)}, {instants("i", "s")},
+r as (select g.logger_id, l.step_s * 1000000::bigint step, utc_us t, ghi v from i join legnaro_ghi g on g.reading_id = i.id join loggers l on l.logger_id = g.logger_id where utc_us >= 0 and ghi is not null),
+o as (select *, t // step k, least(t + step, coalesce(lead(t) over (partition by logger_id order by t, v), t + step)) e from r), c as (select *, unnest([k, k + 1]) cell from o),
+h as (select *, greatest(0, least(e, (cell + 1) * step) - greatest(t, cell * step)) held from c), b as (select logger_id, max(k) hi from o group by 1)
+select logger_id, cell * step as slot_us, cast(sum((cell = k)::int) as bigint) n_readings, round(sum(v * held) / sum(held), 8) as "mean", round(sum(held) / any_value(step), 8) coverage
+from h join b using (logger_id) where cell <= hi group by logger_id, cell, step having sum(held) > 0"""
