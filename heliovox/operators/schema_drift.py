@@ -88,14 +88,15 @@ def changes(rows: DataFrame, *, series: str, file: str, at: str, body: str, thin
     must agree but for case and separators. Empty tables, files without readable records and null bodies give no rows;
     a file without readable records has no fields. Repeated records count once per thing.
     """
-    cells = fields(rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body")), keep=["series", "file"], body="body", thing=thing)
+    base = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body"))
+    cells = fields(base, keep=["series", "file"], body="body", thing=thing)
     # Fields by file and the order of files are small beside the records, and used several times.
     links = checkpointed(successors(rows, series=series, file=file, at=at))
     per_file = checkpointed(cells.groupBy("series", "file", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds")))
     both = _side_by_side(per_file, links)
     changed = checkpointed(both.where("not before <=> after"))
     pairs = _pairs(changed)
-    renamed = checkpointed(_renames(pairs, cells, links))
+    renamed = checkpointed(_renames(pairs, base, links, thing))
     plain = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").otherwise("retyped")
     # An empty set of types is a field that is null throughout.
     rest = changed.where("before is null or after is null or (size(before) > 0 and size(after) > 0)").withColumn("change_kind", plain)
@@ -104,12 +105,19 @@ def changes(rows: DataFrame, *, series: str, file: str, at: str, body: str, thin
     return rest.unionByName(renamed.select("file", F.lit("renamed").alias("change_kind"), F.col("old_name").alias("field_name"), "new_name"))
 
 
-def _renames(pairs: DataFrame, cells: DataFrame, links: DataFrame) -> DataFrame:
-    """`series, file, old_name, new_name, factor` of the pairs of fields that hold the same quantity."""
-    values = cells.where("kind is not null and thing <> ''").groupBy("series", "file", "name", "thing").agg(F.min(F.struct("text", "numbers")).alias("x"))
-    old_names = pairs.select("series", "file", "old_name").distinct().join(links.select("series", F.col("file").alias("old_file"), F.col("next_file").alias("file")), ["series", "file"])
+def _renames(pairs: DataFrame, base: DataFrame, links: DataFrame, thing: str) -> DataFrame:
+    """`series, file, old_name, new_name, factor` of the pairs of fields that hold the same quantity.
+
+    Only records of files that a pair concerns are opened again, and of those only the fields in question leave their row.
+    """
+    named = pairs.join(links.select("series", F.col("file").alias("old_file"), F.col("next_file").alias("file")), ["series", "file"])
+    sides = named.select("series", F.col("old_file").alias("file"), F.col("old_name").alias("name")).unionByName(named.select("series", "file", F.col("new_name").alias("name")))
+    wanted = sides.groupBy("series", "file").agg(F.collect_set("name").alias("names"))
+    cells = fields(base.join(wanted, ["series", "file"]), keep=["series", "file", "names"], body="body", thing=thing)
+    cells = cells.where("array_contains(names, name) and kind is not null and thing <> ''")
+    values = checkpointed(cells.groupBy("series", "file", "name", "thing").agg(F.min(F.struct("text", "numbers")).alias("x")))
+    old_names, new_names = named.select("series", "file", "old_file", "old_name").distinct(), pairs.select("series", "file", "new_name").distinct()
     old = old_names.join(values.select("series", F.col("file").alias("old_file"), F.col("name").alias("old_name"), "thing", F.col("x").alias("old")), ["series", "old_file", "old_name"]).drop("old_file")
-    new_names = pairs.select("series", "file", "new_name").distinct()
     new = new_names.join(values.select("series", "file", F.col("name").alias("new_name"), "thing", F.col("x").alias("new")), ["series", "file", "new_name"])
     met = old.join(new, ["series", "file", "thing"])
     units = "array(" + ", ".join(f"{u!r}D" for u in UNITS) + ")"
@@ -185,11 +193,12 @@ def union_table(rows: DataFrame, *, series: str, file: str, at: str, body: str,
     least type that all of its files' values can be cast to. Records that can't be read are left out; a field that a
     record doesn't have is null. The only things collected are field names with their kinds and renames.
     """
-    cells = fields(rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body")), keep=["series", "file"], body="body", thing=thing)
+    base = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body"))
+    cells = fields(base, keep=["series", "file"], body="body", thing=thing)
     links = checkpointed(successors(rows, series=series, file=file, at=at))
     per_file = cells.groupBy("series", "file", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     pairs = checkpointed(_pairs(_side_by_side(per_file, links).where("before is null or after is null")))
-    renames = [tuple(r) for r in _renames(pairs, cells, links).groupBy("old_name", "new_name", "factor").count().collect()]
+    renames = [tuple(r) for r in _renames(pairs, base, links, thing).groupBy("old_name", "new_name", "factor").count().collect()]
     several = F.when(F.size("numbers") == 1, "number").when(F.size("numbers") > 1, "vector").otherwise("string")
     shape = F.when(F.col("kind").isin("number", "boolean"), F.col("kind")).when((F.col("kind") == "array") & (F.size("numbers") == 0), "vector").otherwise(several)
     seen = cells.where("kind is not null").groupBy("name", shape.alias("shape")).agg(F.count("*").alias("n")).collect()
