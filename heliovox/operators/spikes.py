@@ -32,12 +32,14 @@ class Rule:
 
     usual: at least so many times the source's usual residual. up, down: at least this share of the expected value.
     floor: share of the expected value that is added to the usual residual, for sources with next to none.
+    slopes: also take a reading that departs from the straight course of both sides on a slope, for sources that run smoothly.
     """
 
     usual: float = 7.5
     up: float = 0.028
     down: float = 0.028
     floor: float = 0.002
+    slopes: bool = False
 
 
 @dataclass(frozen=True)
@@ -140,6 +142,14 @@ def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, round
         course = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, min(5, n - 1), mode="reflect"), 2 * min(5, n - 1) + 1), axis=1)
         one[4 : n + 2] = score(x[1:-1], x[1:-1], x[:-2], x[2:], np.minimum(steep[: n - 2], steep[3:]), course[1:-1])
         two[4 : n + 1] = score(np.minimum(x[1:-2], x[2:-1]), np.maximum(x[1:-2], x[2:-1]), x[:-3], x[3:], np.minimum(steep[: n - 3], steep[4:]), (course[1:-2] + course[2:-1]) / 2)
+        if rule.slopes and n >= 7:
+            # Both sides drawn on straight must miss the reading in the same direction, by more than they bend elsewhere.
+            bend = np.abs(x[:-2] - 2 * x[1:-1] + x[2:])
+            left_miss, right_miss = x[3:-3] - 2 * x[2:-4] + x[1:-5], x[3:-3] - 2 * x[4:-2] + x[5:-1]
+            miss = np.where(left_miss * right_miss > 0, np.minimum(np.abs(left_miss), np.abs(right_miss)), 0.0)
+            mid = np.abs(x[2:-4] + x[4:-2]) / 2
+            limit = np.maximum(2 * rule.usual * (usual + rule.floor * mid) + 3 * np.maximum(bend[: n - 6], bend[4:]), np.where(left_miss > 0, rule.up, rule.down) * mid)
+            one[6:n] = np.maximum(one[6:n], miss / np.maximum(limit, 1e-9))
         most = np.maximum(one, np.maximum(two, np.r_[0, two[:-1]]))
         around = np.max([most[3 + d : 3 + d + n] for d in (-2, -1, 0, 1, 2)], axis=0)
         single = (one[3 : n + 3] > 1) & (one[3 : n + 3] >= around)

@@ -97,3 +97,14 @@ def test_null_numbers_as_sources_are_one_source(spark):
     df = spark.createDataFrame(rows, "id long, source long, t long, v double, scale double, grain int")
     out = S.flag(df.withColumnRenamed("v", "copies"), source="source", row_id="id", time_us="t", fields={"copies": F.lit(1500.0)}, scale=F.col("scale"), rule=RULE, offset=20.0)
     assert {r["first_id"] for r in out.where("reason = 'stuck'").collect()} == set(range(50, 60))
+
+
+def test_jump_on_a_slope_and_a_plain_valley():
+    rule = S.Rule(slopes=True)
+    t = np.arange(60) * 60_000_000
+    slope = 300 + 12.0 * np.arange(60)
+    slope[30] += 90
+    assert np.flatnonzero(S.jumps(t, slope, np.ones(60), rule)).tolist() == [30]
+    valley = 400 - 150 * np.exp(-(((np.arange(60) - 30) / 4.0) ** 2))
+    assert not S.jumps(t, valley, np.ones(60), rule).any()
+    assert not S.jumps(t, np.where(np.arange(60) < 30, 200.0, 500.0), np.ones(60), rule).any()
