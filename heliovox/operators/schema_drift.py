@@ -227,6 +227,6 @@ def union_table(rows: DataFrame, *, series: str, file: str, at: str, body: str,
             elif kind == "boolean":
                 parts.append(text.try_cast("boolean"))
             else:
-                parts.append(F.coalesce(text, F.expr(f"to_json(try_variant_get(_v, \"{quoted(name)}\", 'variant'))")))
+                parts.append(F.coalesce(text, F.expr(f"nullif(to_json(try_variant_get(_v, \"{quoted(name)}\", 'variant')), 'null')")))
         columns.append(F.coalesce(*parts).alias(lead))
     return out.select(series, file, *keep, *columns)

@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 from heliovox.operators import schema_drift as D
+from heliovox.queries import pipeline
 
 T0 = datetime(2024, 1, 1)
 
@@ -64,3 +65,19 @@ def test_union_table(spark):
     assert [r["id"] for r in out] == [0, 1, 2, 3] * 3
     assert out[-1]["at"] == [1.0, 2.5] and out[0]["at"] is None
     assert D.promote({"number", "vector"}) == "array<double>" and D.promote({"boolean", "number"}) == "string" and D.promote({"number"}) == "double"
+
+
+def test_plane_tables(spark, tmp_path):
+    tilted = "1L as plane_uid, 1L as series_id, 0 as id, {} as orientation, 88.5D as tilt_deg, cast(null as double) as angle_deg, array(1D, 0D, 0D) as normal, timestamp'2024-01-01' as exported_at"
+    plain = "{0}L as plane_uid, 2L as series_id, {0} as id, {1} as angle_deg, array(0D, 0D, 1D) as normal, timestamp'2024-01-02' as exported_at"
+    spark.sql("select " + tilted.format("cast(null as string)") + " union all select " + tilted.format("'Wall'").replace("1L as plane_uid", "2L as plane_uid").replace("cast(null as double)", "7.25D")).write.parquet(f"{tmp_path}/planes.parquet")
+    texts = ["'18,5'", "'-4.5°'", "' 3'", "cast(null as string)"]
+    spark.sql(" union all ".join("select " + plain.format(n, x) for n, x in enumerate(texts))).write.parquet(f"{tmp_path}/planes_notilt.parquet")
+    body = json.dumps({"id": 0, "angle_deg": 7.25, "orientation": "wall"})
+    spark.createDataFrame([(9, 5, 1, "planes", T0 + timedelta(days=9), 0, body)], "record_id long, file_id long, series_id long, family string, exported_at timestamp, line_no int, body string").write.parquet(f"{tmp_path}/plane_records.parquet")
+    out = pipeline.p4_planes(spark, str(tmp_path)).collect()
+    assert sorted((r["family"], r["plane_uid"] or 0, r["angle_deg"]) for r in out if r["angle_deg"] is not None) == [("planes", 0, 7.25), ("planes", 2, 7.25), ("planes_notilt", 0, 18.5), ("planes_notilt", 1, -4.5), ("planes_notilt", 2, 3.0)]
+    assert len(out) == 7 and {r["tilt_deg"] for r in out if r["family"] == "planes_notilt"} == {None} and {r["plane_record_id"] for r in out} == {9, None}
+    assert {r["orientation"] for r in out if r["plane_uid"] == 1 and r["family"] == "planes"} == {None}
+    got = {tuple(r) for r in pipeline.p4_tables(spark, str(tmp_path)).collect()}
+    assert got == {("planes", "added", "orientation", ""), ("planes", "added", "tilt_deg", ""), ("planes", "retyped", "angle_deg", "")}
