@@ -2,8 +2,8 @@
 
 Words are matched against a lexicon in a trie. Plain disguises (look-alike letters, digits for letters, dots, spaces or
 invisible characters between letters, stars, drawn-out letters) are undone first; for what is left, a Levenshtein
-automaton is run along the trie, so that all terms within one edit are found in one walk. A hit by itself counts
-little: it is scored in its sentence, by whom it is aimed at (a person, a group, nobody), by phrases around it, and less
+automaton is run along the trie, so that all terms within one edit are found in one walk; ordinary words that lie so near
+a term are known by a list. A hit by itself counts little: it is scored in its sentence, by whom it is aimed at (a person, a group, nobody), by phrases around it, and less
 where the sentence quotes, forbids or speaks of oneself.
 
 One pass over the texts, row by row, without a shuffle; the lexicon is fixed.
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from heliovox.llm import lexicon as L
 
 THRESHOLD = 1.0
+# Certainties of hits within one edit: of terms of different roles, and of a term that nothing else is near to.
+UNCERTAIN, CLEAR = 0.6, 0.8
 CATEGORIES = ("abusive", "hateful", "sexual")
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _MARKS = re.compile(r"[̀-ͯ]")
@@ -57,12 +59,16 @@ class Trie:
 
     def near(self, word: str, most: int) -> tuple[str, str] | None:
         """The closest term within `most` insertions, deletions, substitutions or swaps of neighbours."""
-        best: list = [most + 1, None]
+        return next(iter(self.closest(word, most)), None)
+
+    def closest(self, word: str, most: int) -> list[tuple[str, str]]:
+        """All terms that are as close as the closest one, if that is within `most` edits."""
+        best: list = [most + 1, []]
         first = list(range(len(word) + 1))
 
         def walk(node: dict, letter: str, row: list[int], above: list[int] | None, before: str) -> None:
-            if "" in node and row[-1] < best[0]:
-                best[:] = [row[-1], node[""]]
+            if "" in node and row[-1] <= min(best[0], most):
+                best[:] = [row[-1], [*(best[1] if row[-1] == best[0] else []), node[""]]]
             for c, child in node.items():
                 if not c:
                     continue
@@ -72,7 +78,7 @@ class Trie:
                     if above is not None and i > 1 and w == letter and word[i - 2] == c:
                         cost = min(cost, above[i - 2] + 1)
                     step.append(cost)
-                if min(step) < best[0]:
+                if min(step) <= min(best[0], most):
                     walk(child, c, step, row, letter)
 
         walk(self.root, "", first, None, "")
@@ -103,6 +109,7 @@ class Scorer:
         for p in [*phrases, *L.ONESELF]:
             self.words.update(squeezed(w) for w in p.split())
         charged = {squeezed(w): w for role, words in roles[:6] for w in words}
+        self.ordinary = {squeezed(w) for w in L.ORDINARY} - self.words
         self.trie = Trie({w: w for w in charged if len(w) >= 5})
         self.spelled = Trie({w: w for p in [*phrases, *(x for _, words in roles[:6] for x in words)] for w in p.split() if len(w) > 2})
         # What stars may hide: whole terms, and the phrases of two words that are starred as one.
@@ -113,7 +120,7 @@ class Scorer:
         self.threats, self.harm, self.acts, self.groups = map(tuples, (L.THREATS, L.HARM, L.SEXUAL_PHRASES, L.GROUP_PHRASES))
         self.oneself = [tuple(squeezed(w) for w in p.split()) for p in L.ONESELF]
         self.phrases = [*self.threats, *self.harm, *self.acts]
-        # A score of 1 takes one of these at least, matched surely, or a whole phrase.
+        # A score above 0 takes one of these at least, or a whole phrase.
         self.first = {w for w, r in self.role.items() if r & {"insult", "slur", "group", "demean", "sexual", "hint"}}
         self.harmless: set[str] = set()
         self.memory, self.size = {}, memory
@@ -141,10 +148,16 @@ class Scorer:
         word = squeezed(token.translate(L.LEET) if leet else token)
         if word in self.words:
             return word, 1.0
-        if leet or len(word) < 5 or len(word) > 16:
+        if leet or len(token) < 5 or len(word) > 16 or word in self.ordinary:
+            return "", 0.0
+        near = self.trie.closest(word, 1) if len(word) >= 5 else []
+        if not near and word != token and len(token) <= 16:  # a swap may have made a double letter
+            near = self.trie.closest(token, 1)
+        near = [term for term, _ in near]
+        if not near:
             return "", 0.0
-        near = self.trie.near(word, 1)
-        return (near[0], 0.6) if near else ("", 0.0)
+        alike = len({frozenset(self.role[term]) for term in near}) == 1
+        return " ".join(near), CLEAR if alike else UNCERTAIN
 
     def tokens(self, sentence: str) -> list[str]:
         def join(m: re.Match) -> str:
@@ -174,9 +187,9 @@ class Scorer:
             word, sure = self.word(token)
             for w in word.replace(",", "").split() if sure else ():
                 hits.append((squeezed(w), sure))
-        words = {w for w, sure in hits if sure >= 0.9}
-        if not self.may_score(words):
+        if not self.may_score({w for w, _ in hits}):
             return 0.0, 0.0, 0.0
+        words = {w for w, sure in hits if sure >= 0.9}
         best: dict[str, float] = {}
         for w, sure in hits:
             for role in self.role.get(w, ()):
@@ -186,11 +199,15 @@ class Scorer:
         oneself = any(order[i : i + len(p)] == list(p) for p in self.oneself for i in range(len(order)))
         damp = 0.3 if "distance" in best else 1.0
         aimed = "address" in best
+        group = best.get("group", 0.0) >= 0.9 or within(self.groups)
+        # Beside whom it is aimed at, a clear hit stands for its term.
+        for role, whom in (("insult", aimed), ("demean", group), ("sexual", aimed)):
+            if whom and best.get(role, 0.0) >= CLEAR:
+                best[role] = 1.0
         insult, slur = best.get("insult", 0.0), best.get("slur", 0.0)
         abusive = max(insult * (1.0 if aimed else 0.3) + slur * (0.5 if aimed else 0.2), 1.0 if within(self.threats) else 0.0)
         if oneself and not within(self.threats):
             abusive *= 0.3
-        group = best.get("group", 0.0) >= 0.9 or within(self.groups)
         hateful = 0.0
         if group:
             hateful = (best.get("demean", 0.0) if best.get("demean", 0.0) >= 0.9 else 0.6 * best.get("demean", 0.0)) + (1.0 if within(self.harm) else 0.0)
@@ -212,7 +229,7 @@ class Scorer:
             known = False
             for part in [token.replace(".", ""), *token.split(".")] if "." in token else [token]:
                 word, sure = self.word(part) if part else ("", 0.0)
-                if sure >= 0.9:
+                if sure:
                     words.update(squeezed(w) for w in word.replace(",", "").split())
                     known = True
             if not known and len(self.harmless) < self.size:
@@ -238,7 +255,7 @@ class Scorer:
 def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """`doc_id`, the `keep` columns and a score per category of every document, over its whole text.
 
-    A score of `THRESHOLD` or more marks content of that category; uncertain hits alone stay below it and score 0. Null and empty texts score 0; repeated rows are scored
+    A score of `THRESHOLD` or more marks content of that category; hits within one edit reach it only beside a person or group they are aimed at. Null and empty texts score 0; repeated rows are scored
     each; other columns are left out.
     """
     rows = documents.select(doc_id, *keep, F.col(text).alias("_text"))

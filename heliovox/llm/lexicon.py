@@ -64,6 +64,19 @@ regeln regel verboten beleidigung beleidigungen gemeldet
 """.split()
 ONESELF = ["i am", "i was", "my side", "myself", "errore mio", "sono un", "sono stato", "von mir", "ich bin", "ich war"]
 
+# Ordinary words within one edit of a term above; they aren't taken for it.
+ORDINARY = """
+aitch animal anker backt baked banker batch beasts benner beste birch black blade blocks blonde bolder boron botch braten brauen breast brick bucked
+butch christian closer corno corny cretan crick cripple crippled daten denner diseased ditch ducked duden dudes ebreo efficiente erotica erratic
+exotic fifth filch foreigner forno freccia gatten grauen hackt hanker hatten highs hitch horns idiom immigrant immigrato inferiore interior jackals
+jenner kenner labbri ladro laser laten latten lavages lesbian lesser loaning logger loner loses lover lower luden maroon matten meaning menda merca
+merla migrant migrante mooning morin mormon morning mucked muslim muslima nacht named native negli nenner nodes northerner packt padri parasit
+parasite parasitic parassita pender perda perla pinner pirlo pitch porro porto poser price pricks raked rasten rated rater rates rattern ravages
+refuge refugee renner ripples ritten rotten rucked rudes sackt salvages savage scappare scappata scappato schein schwarz schwarzen schwarzer schwarzes
+schweiz scolare scolato scovare scovato southerner straniero stupito sucked tanker taser taten tenner termin thieve thigh thorny toner torno tower
+trauen trick trotte trotter tucked undresses verein verlager vermis versage versagen wander wenner white winker witch woman womens writes zingaro
+""".split()
+
 # Characters of other alphabets that look like Latin letters, and digits that stand for letters.
 LOOKALIKES = str.maketrans("авеёзіјкмнорстухѕԁԛԝһαβεικνορτυχ", "abeeзijkmhopctyxsdqwhabeiknoptux".replace("з", "3"))
 LEET = str.maketrans("0134578@$", "oieastbas")

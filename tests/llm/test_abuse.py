@@ -67,3 +67,22 @@ def test_over_tables(spark):
     rates = {r["category"]: r for r in abuse.rates(scores, source="category").collect()}
     assert rates["a"]["documents"] == 3 and rates["a"]["abusive_rate"] == pytest.approx(2 / 3) and rates[None]["abusive_rate"] == 0
     assert abuse.score(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "category"),
+    [("You are an idoit", "abusive"), ("Du bist ein Vollidoit.", "abusive"), ("Immigrants are vermni", "hateful"), ("Send me your pornoos", "sexual"), ("You are a stupid moorn", "abusive")],
+)
+def test_misspelled_beside_whom_it_is_aimed_at(text, category):
+    scores = dict(zip(abuse.CATEGORIES, abuse.Scorer().text(text)))
+    assert scores[category] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You need a brick here", "Your logger stops every morning", "Women work in the interior", "Sei molto efficiente", "Fährst du in die Schweiz?", "Your laser is stupid", "Frauen haben die Daten", "What does the animal do to women?"])
+def test_ordinary_words_near_a_term(text):
+    assert max(abuse.Scorer().text(text)) < abuse.THRESHOLD
+
+
+def test_misspelled_alone_is_kept_for_review():
+    assert 0 < max(S.text("An idoit wrote this.")) < abuse.THRESHOLD
+    assert S.text("An idoit wrote this.") == S.text("Nobody. An idoit wrote this. Fine.")
