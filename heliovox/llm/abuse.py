@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -84,6 +85,13 @@ class Trie:
         walk(self.root, "", first, None, "")
         return best[1]
 
+    def fitting(self, pattern: str) -> list[str]:
+        """All terms that a pattern may stand for, each star as any one character."""
+        nodes = [self.root]
+        for c in pattern:
+            nodes = [child for node in nodes for child in ([v for k, v in node.items() if k] if c == "*" else [node[c]] if c in node else [])]
+        return sorted(node[""][0] for node in nodes if "" in node)
+
     def longest_at(self, text: str, at: int) -> str:
         node, found = self.root, ""
         for i in range(at, len(text)):
@@ -112,10 +120,13 @@ class Scorer:
         self.ordinary = {squeezed(w) for w in L.ORDINARY} - self.words
         self.trie = Trie({w: w for w in charged if len(w) >= 5})
         self.spelled = Trie({w: w for p in [*phrases, *(x for _, words in roles[:6] for x in words)] for w in p.split() if len(w) > 2})
-        # What stars may hide: whole terms, and the phrases of two words that are starred as one.
-        self.starred: dict[tuple[int, str, str], str] = {}
-        for term in [*(x for _, words in roles[:6] for x in words), *(w for p in phrases for w in p.split() if len(w) > 4), *L.SEXUAL_PHRASES, "blode sau", "dreckiger versager", "friggere, bastardo", "a disease", "senza vestiti"]:
-            self.starred.setdefault((len(term), term[0], term[-1]), term)
+        # What stars may hide: whole terms, words and neighbours of phrases, and pairs that stand together in a sentence.
+        own = {role: list(ws) for role, ws in roles}
+        pairs = [f"{a} {b}" for p in phrases for a, b in pairwise(p.split())]
+        pairs += [f"{a} {b}" for a in own["slur"] for b in own["insult"]] + [f"{a} {b}" for a in L.ARTICLES for b in [*own["insult"], *own["demean"]]]
+        pairs += [f"{p.split()[-1]}, {w}" for p in L.THREATS for w in own["insult"]]
+        single = [*(x for _, words in roles[:6] for x in words), *(w for p in phrases for w in p.split() if len(w) > 2), *phrases]
+        self.starred = Trie({w: w for w in [*single, *pairs]})
         tuples = lambda ps: [frozenset(squeezed(w) for w in p.split()) for p in ps]
         self.threats, self.harm, self.acts, self.groups = map(tuples, (L.THREATS, L.HARM, L.SEXUAL_PHRASES, L.GROUP_PHRASES))
         self.oneself = [tuple(squeezed(w) for w in p.split()) for p in L.ONESELF]
@@ -138,10 +149,17 @@ class Scorer:
         if token in self.words:
             return token, 1.0
         if "*" in token:
-            if token[0].isalpha() and token[-1].isalpha() and (token.count("*") > 1 or len(token) == 3):
-                hidden = self.starred.get((len(token), token[0], token[-1]), "")
-                return hidden, 1.0 if hidden else 0.0
-            return "", 0.0
+            bare = token.strip("*")
+            if "*" not in bare and bare:  # emphasis, or a star for a last letter
+                found = self._word(bare)
+                if found[1] >= 0.9:
+                    return found
+            shown = token.translate(L.LEET)
+            # Of a word of three letters two must be seen, as of longer ones; the first always.
+            if not shown[0].isalpha() or sum(c != "*" for c in shown) < 2:
+                return "", 0.0
+            hidden = self.starred.fitting(shown)
+            return " ".join(hidden), 1.0 if hidden else 0.0
         if token.isdigit():
             return "", 0.0
         leet = not token.isalpha()
@@ -183,10 +201,13 @@ class Scorer:
 
     def sentence(self, sentence: str) -> tuple[float, float, float]:
         hits: list[tuple[str, float]] = []
+        open_: set[str] = set()  # of starred words that may be sexual or not
         for token in self.tokens(sentence):
             word, sure = self.word(token)
-            for w in word.replace(",", "").split() if sure else ():
-                hits.append((squeezed(w), sure))
+            read = [squeezed(w) for w in word.replace(",", "").split()] if sure else []
+            hits.extend((w, sure) for w in read)
+            if "*" in token and any(self.role.get(w, set()) & {"insult", "demean"} for w in read):
+                open_.update(w for w in read if self.role.get(w, set()) & {"sexual", "hint"})
         if not self.may_score({w for w, _ in hits}):
             return 0.0, 0.0, 0.0
         words = {w for w, sure in hits if sure >= 0.9}
@@ -213,6 +234,10 @@ class Scorer:
             hateful = (best.get("demean", 0.0) if best.get("demean", 0.0) >= 0.9 else 0.6 * best.get("demean", 0.0)) + (1.0 if within(self.harm) else 0.0)
         elif within(self.harm) and best.get("demean", 0.0) >= 0.9:
             hateful = 1.0
+        if open_ and max(abusive, hateful) >= THRESHOLD:
+            # A starred word that insults here isn't sexual as well.
+            words -= open_ - {w for token in self.tokens(sentence) if "*" not in token for w in map(squeezed, self.word(token)[0].split())}
+            best["sexual"] = max((sure for w, sure in hits if "sexual" in self.role.get(w, ()) and w not in open_), default=0.0)
         hints = sum(0.4 for w in {w for w in words if "hint" in self.role.get(w, ())})
         sexual = max(best.get("sexual", 0.0), 1.0 if within(self.acts) else 0.0) + hints
         if hateful >= THRESHOLD:

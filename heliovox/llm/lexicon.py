@@ -21,6 +21,8 @@ you your yourself yours whoever listen what
 du dich dir dein deine deinen ihr
 sei tu ti te tuo tua voi
 """.split()
+# Words that may be starred together with the term after them.
+ARTICLES = "a an uno una un ein eine".split()
 # Words that must stand together in one sentence.
 THREATS = [
     "miss dropped dead", "shut your mouth", "break your neck", "mother drowned you", "spit on that man", "screw yourself", "fuck yourself", "smash your face",

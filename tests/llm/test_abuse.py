@@ -86,3 +86,20 @@ def test_ordinary_words_near_a_term(text):
 def test_misspelled_alone_is_kept_for_review():
     assert 0 < max(S.text("An idoit wrote this.")) < abuse.THRESHOLD
     assert S.text("An idoit wrote this.") == S.text("Nobody. An idoit wrote this. Fine.")
+
+
+@pytest.mark.parametrize(
+    ("text", "category"),
+    [
+        ("You b*tch", "abusive"), ("you are an id*ot", "abusive"), ("you st*pid m*ron", "abusive"), ("Ich will s**pare con te: s*****e", "sexual"), ("Ieri abbiamo s*****o per ore", "sexual"),
+        ("Sei uno s*****o", "abusive"), ("Le donne sono s*****e", "hateful"), ("You w***************t, get out", "abusive"), ("You are an *idiot*", "abusive"), ("k*ll y**rself", "abusive"),
+    ],
+)
+def test_starred(text, category):
+    scores = dict(zip(abuse.CATEGORIES, abuse.Scorer().text(text)))
+    assert [c for c, s in scores.items() if s >= abuse.THRESHOLD] == [category]
+
+
+@pytest.mark.parametrize("text", ["You see *** here", "your a*b*c and x*y", "You get **bold** text and 3*4*5", "you want *p and p*", "Use your sel*ct * from t"])
+def test_stars_that_hide_nothing(text):
+    assert max(abuse.Scorer().text(text)) < abuse.THRESHOLD
