@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from heliovox.functions import geometry as g
 from heliovox.operators import graph, lattice, space
-from heliovox.queries.base import POINTS, events, points
+from heliovox.queries.base import POINTS, event_points, events, points
 from heliovox.session import table
 
 R = lambda c, n=6: (F.round(c, n) + F.lit(0.0)).alias(c)
@@ -143,9 +143,8 @@ def nearest_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ransac_plane(spark: SparkSession, d: str) -> DataFrame:
-    wall = spark.range(4000).select(F.col("id"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.randn(3).alias("e"))
-    rows = wall.select((F.col("a") * 5).alias("x"), (F.col("b") * 3).alias("y"), F.when(F.col("id") % 4 == 0, F.col("a") * 4 - 2).otherwise(0.2 * F.col("a") + 0.01 * F.col("e")).alias("z"))
-    return space.ransac_plane(rows, threshold=0.05)
+    """The plane that most events lie near, as points of user, value and hour."""
+    return space.ransac_plane(event_points(spark, d), threshold=0.05)
 
 
 def plane_dedupe(spark: SparkSession, d: str) -> DataFrame:
