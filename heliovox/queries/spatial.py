@@ -86,6 +86,25 @@ def enclosed_hole_fill(spark: SparkSession, d: str) -> DataFrame:
     return graph.fill_enclosed(raster, rows=40, cols=60).groupBy("label", "filled").agg(F.count("*").alias("cells"))
 
 
+def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """As `connected_components`, whose SQL takes labels below 3, over all points."""
+    out = graph.cell_components(lattice.distinct_cells(points(spark, d), 0.1), ["i", "j", "k"])
+    first = out.groupBy("component").agg(F.min(F.struct("i", "j", "k")).alias("f"), F.count("*").alias("cells"))
+    return first.select("f.i", "f.j", "f.k", "cells")
+
+
+def largest_component_all(spark: SparkSession, d: str) -> DataFrame:
+    """As `largest_component`, over all points."""
+    return graph.largest_component(lattice.voxels(points(spark, d), 0.1, label="label"), ["i", "j", "k"], weight="n")
+
+
+def enclosed_hole_fill_all(spark: SparkSession, d: str) -> DataFrame:
+    """Empty regions enclosed in the raster of users by hours of all events; a cell's label is the least code of its events' types."""
+    raster = events(spark, d).select(F.col("user_id").alias("row"), F.hour("ts").alias("col"), F.crc32(F.col("event_type").cast("binary")).alias("label")).groupBy("row", "col").agg(F.min("label").alias("label"))
+    rows = (raster.agg(F.max("row")).first()[0] or 0) + 1
+    return graph.fill_enclosed(raster, rows=rows, cols=24).groupBy("label", "filled").agg(F.count("*").alias("cells"))
+
+
 def principal_yaw(spark: SparkSession, d: str) -> DataFrame:
     return space.principal_yaw(points(spark, d)).select(R("yaw_deg", 5))
 
@@ -172,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         z_buffer, pinhole_project, nearest_plane, bounded_face, angular_window_stats, segment_boxes, outlier_knn, outlier_density, densest_crop, connected_components, largest_component,
-        enclosed_hole_fill, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_pairs, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
+        enclosed_hole_fill, connected_components_all, largest_component_all, enclosed_hole_fill_all, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_pairs, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
         greedy_rectangles, largest_rectangles,
     )
 }

@@ -1,5 +1,7 @@
 """Queries of points in space over small tables of their own."""
 
+import numpy as np
+
 from heliovox.queries import spatial
 
 
@@ -8,3 +10,53 @@ def test_ransac_plane_reads_its_table(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
     found = spatial.ransac_plane(spark, str(tmp_path)).first()
     assert found["n"] == sum(" 07:" in ts for _, ts, *_ in rows) and abs(abs(found["nz"]) - 1) < 1e-6 and abs(abs(found["d"]) - 7) < 1e-6
+
+
+def _regions(cells, steps):
+    """Sets of cells that the steps join."""
+    left, out = set(cells), []
+    while left:
+        todo = [left.pop()]
+        region = set(todo)
+        while todo:
+            c = todo.pop()
+            near = {tuple(a + b for a, b in zip(c, s)) for s in steps} & left
+            left -= near
+            region |= near
+            todo += near
+        out.append(region)
+    return out
+
+
+def test_components_of_all_points_against_brute_force(spark, tmp_path):
+    p = np.random.default_rng(3).normal(0, 0.35, (250, 3))
+    rows = [(n, [float(v) for v in x], n % 10) for n, x in enumerate(p)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cells = [tuple(int(v) for v in np.floor(np.float32(x).astype(float) / 0.1)) for x in p]
+    regions = _regions(cells, [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    assert len(regions) > 10
+    assert sorted(map(tuple, spatial.connected_components_all(spark, str(tmp_path)).collect())) == sorted((*min(r), len(r)) for r in regions)
+    best = min(regions, key=lambda r: (-sum(c in r for c in cells), min(r)))
+    assert {tuple(r) for r in spatial.largest_component_all(spark, str(tmp_path)).select("i", "j", "k").collect()} == best
+
+
+def test_holes_of_all_events_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(n, f"2024-01-01 {rng.integers(24):02}:00:00", int(rng.integers(30)), ["view", "click"][rng.integers(2)]) for n in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "1D as value").write.parquet(f"{tmp_path}/events.parquet")
+    import zlib
+    from collections import Counter
+
+    known = {}
+    for _, ts, user, kind in rows:
+        key = (user, int(ts[11:13]))
+        known[key] = min(known.get(key, 1 << 40), zlib.crc32(kind.encode()))
+    high = max(u for u, _ in known) + 1
+    expected = Counter((v, False) for v in known.values())
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    for region in _regions([(r, c) for r in range(high) for c in range(24) if (r, c) not in known], steps):
+        if not any(r in (0, high - 1) or c in (0, 23) for r, c in region):
+            labels = {known[n] for r, c in region for a, b in steps if (n := (r + a, c + b)) in known}
+            expected[(labels.pop() if len(labels) == 1 else 18, True)] += len(region)
+    assert len({f for _, f in expected}) == 2
+    assert {(r["label"], r["filled"]): r["cells"] for r in spatial.enclosed_hole_fill_all(spark, str(tmp_path)).collect()} == dict(expected)
