@@ -14,6 +14,8 @@ PLANES = [(0, 1.0, 0.0, 0.0, -0.05), (1, 0.0, 1.0, 0.0, 0.1), (2, 0.0, 0.0, 2.0,
 FACES = [(0, 0, 0.1, -0.1, 0.1, -0.2, 0.2), (1, 1, -0.05, -0.3, 0.1, 0.0, 0.3), (2, 2, 0.0, -0.1, 0.2, -0.1, 0.2)]
 # Fixed values of an example camera: focal lengths and centre, distortion, and the pose of the sensor.
 CAMERA = (520.0, 515.0, 320.0, 240.0)
+# Fixed values of a revisit: distance in plan, samples between, and samples in a block.
+REVISIT_M, REVISIT_GAP, REVISIT_BLOCK = 0.5, 100, 1000
 DISTORTION = (-0.12, 0.03, 0.001, -0.0005, 0.002)
 
 
@@ -133,12 +135,31 @@ def plane_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revisit_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of one session that see the same place again, at least 100 samples later: for every frame the nearest such pose, by cells."""
+    """Half-metre cells that a session sees again at least 100 samples later, with the first and last sample in each; `revisit_nearest` has the pairs."""
     p = table(spark, d, "posetum").select("session_id", "pose_id", F.col("posetum_row_idx").alias("at"), "tx", "ty").dropna()
     cells = p.withColumn("cx", F.floor(F.col("tx") / 0.5)).withColumn("cy", F.floor(F.col("ty") / 0.5))
     return cells.groupBy("session_id", "cx", "cy").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).where("last_at - first_at >= 100")
 
 
+def revisit_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """For every pose the nearest pose of its session within half a metre in plan that lies at least 100 samples before; of equally near ones the earliest, then the smaller id."""
+    p = table(spark, d, "posetum").select("session_id", "pose_id", F.col("posetum_row_idx").alias("at"), "tx", "ty").dropna()
+    p = p.withColumn("cx", F.floor(F.col("tx") / REVISIT_M)).withColumn("cy", F.floor(F.col("ty") / REVISIT_M))
+    # Poses within reach stand in the same cell or one of its eight neighbours. Blocks of samples keep a cell where a session stands still from being one task's.
+    late = p.withColumn("block", F.floor(F.col("at") / REVISIT_BLOCK))
+    last = p.groupBy("session_id").agg(F.max("at").alias("last"))
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    early = p.join(last, "session_id").select(
+        "session_id", F.col("pose_id").alias("earlier_id"), F.col("at").alias("earlier_at"), F.col("tx").alias("ex"), F.col("ty").alias("ey"), "cx", "cy", "last", F.explode(steps).alias("s")
+    )
+    early = early.where(F.col("earlier_at") + REVISIT_GAP <= F.col("last")).withColumn("block", F.explode(F.sequence(F.floor((F.col("earlier_at") + REVISIT_GAP) / REVISIT_BLOCK), F.floor(F.col("last") / REVISIT_BLOCK))))
+    early = early.select("session_id", "earlier_id", "earlier_at", "ex", "ey", (F.col("cx") + F.col("s.x")).alias("cx"), (F.col("cy") + F.col("s.y")).alias("cy"), "block")
+    gap = F.sqrt((F.col("tx") - F.col("ex")) * (F.col("tx") - F.col("ex")) + (F.col("ty") - F.col("ey")) * (F.col("ty") - F.col("ey")))
+    met = late.join(early, ["session_id", "cx", "cy", "block"]).where(F.col("earlier_at") + REVISIT_GAP <= F.col("at")).withColumn("distance", gap).where(F.col("distance") <= REVISIT_M)
+    best = met.groupBy("session_id", "pose_id", "at").agg(F.min(F.struct("distance", "earlier_at", "earlier_id")).alias("b"))
+    return best.select("session_id", "pose_id", "at", "b.earlier_id", "b.earlier_at", F.round("b.distance", 9).alias("distance"))
+
+
 def top_k_similarity(spark: SparkSession, d: str) -> DataFrame:
     """For every class the five vectors most like its mean."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
@@ -191,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         z_buffer, pinhole_project, nearest_plane, bounded_face, angular_window_stats, segment_boxes, outlier_knn, outlier_density, densest_crop, connected_components, largest_component,
-        enclosed_hole_fill, connected_components_all, largest_component_all, enclosed_hole_fill_all, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_pairs, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
+        enclosed_hole_fill, connected_components_all, largest_component_all, enclosed_hole_fill_all, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_pairs, revisit_nearest, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
         greedy_rectangles, largest_rectangles,
     )
 }

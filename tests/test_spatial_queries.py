@@ -60,3 +60,18 @@ def test_holes_of_all_events_against_brute_force(spark, tmp_path):
             expected[(labels.pop() if len(labels) == 1 else 18, True)] += len(region)
     assert len({f for _, f in expected}) == 2
     assert {(r["label"], r["filled"]): r["cells"] for r in spatial.enclosed_hole_fill_all(spark, str(tmp_path)).collect()} == dict(expected)
+
+
+def test_nearest_revisit_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(n, int(rng.integers(2)), int(rng.integers(2500)), float(rng.normal(0, 2)), float(rng.normal(0, 2))) for n in range(600)]
+    rows += [(1000, 7, 0, 0.499, 0.0), (1001, 7, 100, 0.501, 0.0), (1002, 7, 199, 0.502, 0.0), (1003, 7, 50, 0.5, 0.0)]  # across the edge of a cell
+    spark.createDataFrame([*rows, (1004, None, 3, 0.0, 0.0), (1005, 7, 300, None, 0.0)], "pose_id long, session_id long, posetum_row_idx int, tx double, ty double").write.parquet(f"{tmp_path}/posetum.parquet")
+    expected = {}
+    for i, s, at, x, y in rows:
+        near = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, b, j) for j, t, b, u, v in rows if t == s and b + 100 <= at]
+        near = [m for m in near if m[0] <= 0.5]
+        if near:
+            expected[i] = min(near)[2]
+    got = spatial.revisit_nearest(spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) > 100 and {r["pose_id"]: r["earlier_id"] for r in got} == expected
