@@ -107,12 +107,11 @@ def bounds_along(points: DataFrame, axes: np.ndarray) -> np.ndarray:
     return np.array([[row[f"{n}{k}"] for k in range(3)] for n in ("lo", "hi")], dtype=float)
 
 
-def smallest_rectangle(uv: np.ndarray) -> tuple[float, float, float]:
-    """(angle in degrees from 0 to 90, width, height) of the rectangle of least area around points in a plane: one side lies along an edge of their hull."""
-    p = np.unique(np.round(uv, 9), axis=0)
+def convex_hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points in a plane, in order; distinct points if there are fewer than three."""
+    p = np.unique(points, axis=0)
     if len(p) < 3:
-        span = np.ptp(p, axis=0) if len(p) else np.zeros(2)
-        return 0.0, float(span[0]), float(span[1])
+        return p
 
     def half(points: np.ndarray) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -122,7 +121,17 @@ def smallest_rectangle(uv: np.ndarray) -> tuple[float, float, float]:
             out.append(q)
         return out
 
-    hull = np.array(half(p)[:-1] + half(p[::-1])[:-1])
+    return np.array(half(p)[:-1] + half(p[::-1])[:-1])
+
+
+def smallest_rectangle(uv: np.ndarray) -> tuple[float, float, float]:
+    """(angle in degrees from 0 to 90, width, height) of the rectangle of least area around points in a plane: one side lies along an edge of their hull."""
+    p = np.unique(np.round(uv, 9), axis=0)
+    if len(p) < 3:
+        span = np.ptp(p, axis=0) if len(p) else np.zeros(2)
+        return 0.0, float(span[0]), float(span[1])
+
+    hull = convex_hull(p)
     edges = np.roll(hull, -1, axis=0) - hull
     angles = np.unique(np.round(np.arctan2(edges[:, 1], edges[:, 0]) % (np.pi / 2), 12))
     c, s = np.cos(angles), np.sin(angles)
@@ -135,20 +144,18 @@ def smallest_rectangle(uv: np.ndarray) -> tuple[float, float, float]:
 def oriented_rectangles(points: DataFrame, *, by: str) -> DataFrame:
     """`by, angle_deg, width, height`: the rectangle of least area around the points (u, v) of each plane.
 
-    Only points that are extreme in one of 720 directions leave a task, so a plane of any number of points is a few rows in the last one.
+    Only the corners of the convex hull of a plane's points leave a task, so a plane of any number of points is a few rows in the last one.
     """
-    directions = np.radians(np.arange(0, 360, 0.5))
-    axes = np.column_stack([np.cos(directions), np.sin(directions)])
     kind = dict(points.dtypes)[by]
 
-    def extremes(batches):
+    def corners(batches):
         best: dict = {}
         for batch in batches:
             for key, rows in batch.groupby(by, dropna=False):
                 p = rows[["u", "v"]].dropna().to_numpy(dtype=float)
                 p = np.vstack([p, best[key]]) if key in best else p
                 if len(p):
-                    best[key] = np.unique(p[(p @ axes.T).argmax(axis=0)], axis=0)
+                    best[key] = convex_hull(p)
         for key, p in best.items():
             yield pd.DataFrame({by: key, "u": p[:, 0], "v": p[:, 1]})
 
@@ -156,7 +163,7 @@ def oriented_rectangles(points: DataFrame, *, by: str) -> DataFrame:
         angle, width, height = smallest_rectangle(rows[["u", "v"]].to_numpy())
         return pd.DataFrame([(rows[by].iloc[0], angle, width, height)], columns=[by, "angle_deg", "width", "height"])
 
-    outer = points.select(by, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).mapInPandas(extremes, f"`{by}` {kind}, u double, v double")
+    outer = points.select(by, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).mapInPandas(corners, f"`{by}` {kind}, u double, v double")
     return outer.groupBy(by).applyInPandas(fit, f"`{by}` {kind}, angle_deg double, width double, height double")
 
 

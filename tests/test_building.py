@@ -161,3 +161,14 @@ def test_centres_and_field_of_view(spark):
     assert got["residual"] < 1e-9
     box = views.field_of_view(10, 10, (10.0, 10.0, 5.0, 5.0), (100.0, 100.0, 50.0, 50.0), np.eye(3).tolist(), (0, 0, 0), (100, 100), spark).first()
     assert (box["x0"], box["y0"], box["x1"], box["y1"]) == (0, 0, 90, 90)
+
+
+def test_rectangle_holds_every_corner_of_the_hull(spark):
+    a = np.radians(np.arange(0, 360, 0.1))
+    p = np.column_stack([3 * np.cos(a), 2 * np.sin(a)])
+    found = B.oriented_rectangles(spark.createDataFrame([(1, float(u), float(v)) for u, v in p], "k int, u double, v double"), by="k").first()
+    assert (found["angle_deg"], found["width"], found["height"]) == pytest.approx(B.smallest_rectangle(p))
+    assert len(B.convex_hull(p)) == len(p)
+    t = np.radians(found["angle_deg"])
+    turned = p @ np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+    assert np.all(np.ptp(turned, axis=0) <= np.array([found["width"], found["height"]]) + 1e-9)
