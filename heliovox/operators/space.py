@@ -45,6 +45,7 @@ def nearest_plane(points: DataFrame, planes: DataFrame, *, point_id: str, thresh
 
 def bounded_face(points: DataFrame, faces: DataFrame, *, point_id: str, tolerance: float) -> DataFrame:
     """`point_id, face_id`: the nearest axis-aligned face within the tolerance whose bounds, widened by it, contain the point; points on none are left out.
+    More than `MOST_PLANES` faces are an error.
 
     faces: `face_id, axis, fixed, lo0, hi0, lo1, hi1`; bounds run over the other two axes in order. Of equally near faces the smaller id counts.
     """
@@ -52,6 +53,7 @@ def bounded_face(points: DataFrame, faces: DataFrame, *, point_id: str, toleranc
     first = lambda a: F.when(a == 0, F.col("y")).otherwise(F.col("x"))
     second = lambda a: F.when(a == 2, F.col("y")).otherwise(F.col("z"))
     held = faces.limit(MOST_PLANES + 1).agg(F.array_sort(F.collect_list(F.struct("face_id", "axis", "fixed", "lo0", "hi0", "lo1", "hi1"))).alias("_fs"))
+    held = held.withColumn("_fs", F.when(F.size("_fs") <= MOST_PLANES, F.col("_fs")).otherwise(F.raise_error(F.lit("too many faces for one array"))))
     near = F.transform(
         "_fs",
         lambda f: F.struct(

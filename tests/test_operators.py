@@ -147,3 +147,12 @@ def test_sun_over_rome(spark):
     # Noon of the solstice: elevation 90 - 41.9 + 23.44 degrees.
     at = spark.createDataFrame([(1718968260000000,)], "t long").select(solar.sine_of_elevation(F.col("t"), F.lit(41.9), F.lit(12.5))).first()[0]
     assert abs(np.degrees(np.arcsin(at)) - 71.5) < 0.2
+
+
+def test_too_many_faces_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(space, "MOST_PLANES", 3)
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "i int, x double, y double, z double")
+    faces = lambda n: spark.createDataFrame([(k, 2, 0.5 - 0.1 * k, -1.0, 1.0, -1.0, 1.0) for k in range(n)], "face_id int, axis int, fixed double, lo0 double, hi0 double, lo1 double, hi1 double")
+    assert [tuple(r) for r in space.bounded_face(p, faces(3), point_id="i", tolerance=0.45).collect()] == [(1, 2)]
+    with pytest.raises(Exception, match="too many faces"):
+        space.bounded_face(p, faces(6), point_id="i", tolerance=0.45).collect()
