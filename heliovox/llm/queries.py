@@ -62,7 +62,14 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+def p8_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the scores stand to the labels of the reviewers."""
+    labelled = table(spark, sf_dir, "review_labels").select("doc_id").distinct()
+    scores = abuse.score(table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi"))
+    return abuse.against_reviews(scores, table(spark, sf_dir, "review_labels"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_review": p8_review}
 _NEAREST = """
 select frame_id, '{stream}' as stream_name, match_id{extra} from (
   select f.frame_id, p.{key} as match_id, round((p.us - f.us) / 1e6, 6) as delta_s,

@@ -50,13 +50,25 @@ def test_automaton_against_brute_force():
                     d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
         return d[len(a), len(b)]
 
-    words = sorted(w for w in S.role if len(w) >= 5)
-    trie = abuse.Trie({w: w for w in words})
-    for word in ["moorn", "morron", "idoit", "brick", "cretn", "vermni", "table", "nodes", "parasiets", "savage"]:
-        best = min(distance(word, w) for w in words)
-        near = trie.near(word, 1)
-        assert (near is None) == (best > 1)
-        assert near is None or distance(word, near[0]) == best
+    import random
+
+    words = sorted(w for w in S.automaton.near)
+    draw = random.Random(7)
+    typed = ["moorn", "morron", "idoit", "brick", "cretn", "vermni", "table", "nodes", "parasiets", "savage"]
+    for w in draw.sample(words, 60):
+        at, letter = draw.randrange(len(w)), draw.choice("abcdefgh")
+        typed.append(draw.choice([w[:at] + w[at + 1 :], w[:at] + letter + w[at:], w[:at] + letter + w[at + 1 :], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :]]))
+    automaton = abuse.Automaton(words, words, most=50)  # forgets its sets again and again
+    squeeze = lambda x: __import__("re").sub(r"(.)\1+", r"\1", x)
+    for word in typed:
+        found = dict(automaton.closest(word))
+        least = {w: distance(word, w) for w in words if distance(word, w) <= 1}
+        # Letters drawn out are free, so a term may be nearer than by edits alone, never farther.
+        assert bool(found) >= bool(least)
+        for term, edits in found.items():
+            assert edits <= least.get(term, 1)
+            assert term in least or squeeze(word) != word
+        assert {t for t, e in least.items() if e == min(least.values())} <= found.keys() or min(found.values()) < min(least.values())
 
 
 def test_over_tables(spark):
@@ -83,6 +95,53 @@ def test_ordinary_words_near_a_term(text):
     assert max(abuse.Scorer().text(text)) < abuse.THRESHOLD
 
 
+def test_misspelt_terms():
+    hit, all_ = 0, 0
+    for role, frame, category in (("insult", "You are a {} and you know it.", 0), ("demean", "Immigrants are {}.", 1), ("sexual", "Look at this {}", 2)):
+        for w in abuse.ROLES[role]:
+            for i in range(len(w) if len(w) >= abuse.LEAST else 0):
+                for typed in {w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]}:
+                    all_ += 1
+                    hit += S.text(frame.format(typed))[category] >= abuse.THRESHOLD
+    assert hit / all_ > 0.95
+
+
+@pytest.mark.parametrize(
+    ("text", "category"),
+    [
+        ("All Poles are vermin", "hateful"), ("I will kill you tonight", "abusive"), ("You are garbage and nobody likes you", "abusive"), ("Marco is a complete moron.", "abusive"), ("He is an asshole", "abusive"),
+        ("Die Serben sind Abschaum.", "hateful"), ("Gli albanesi sono parassiti", "hateful"), ("Women are idiots", "hateful"), ("you filthy immigrants", "hateful"), ("Ti spezzo le gambe", "abusive"),
+        ("Ich schlage dir die Zähne ein", "abusive"), ("Those people belong in cages", "hateful"), ("Send me naked photos of you, I am horny", "sexual"),
+    ],
+)
+def test_plain_cases(text, category):
+    scores = dict(zip(abuse.CATEGORIES, S.text(text)))
+    assert [c for c, s in scores.items() if s >= abuse.THRESHOLD] == [category]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The manual says: do not write 'you idiot'.", "Do not call a colleague an idiot.", '"You are an idiot", he said.', "I am such an idiot, you were right.", "This voltage can kill you.", "The pigeons are vermin.",
+        "Our Bulgarians are an asset", "All connectors are garbage, you should replace them.", "Get rid of all cables for good.", "The update fucked everything", "I cani sono animali", "I piani sono inferiori", "You dropped the dead pixel mask",
+    ],
+)
+def test_quoted_forbidden_or_about_things(text):
+    assert max(S.text(text)) < abuse.THRESHOLD
+
+
+def test_without_paid_moves_misspelt_terms_are_not_found():
+    assert max(abuse.Scorer(misspellings=False).text("You are an idoit.")) == 0
+
+
+def test_against_reviews(spark):
+    scores = spark.createDataFrame([(1, 1.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)], "doc_id long, abusive double, hateful double, sexual double")
+    reviews = spark.createDataFrame([(1, "abusive"), (1, "none"), (2, "hateful"), (2, None), (3, "sexual")], "doc_id long, category string")
+    rows = {r["category"]: (r["agreed"], r["missed"], r["extra"]) for r in abuse.against_reviews(scores, reviews).collect()}
+    assert rows == {"abusive": (1, 0, 1), "hateful": (0, 1, 0), "sexual": (0, 0, 0)}
+    assert abuse.against_reviews(scores.limit(0), reviews).count() == 0
+
+
 def test_misspelled_alone_is_kept_for_review():
     assert 0 < max(S.text("An idoit wrote this.")) < abuse.THRESHOLD
     assert S.text("An idoit wrote this.") == S.text("Nobody. An idoit wrote this. Fine.")
