@@ -227,7 +227,7 @@ class Scorer:
         if token in self.role:
             return frozenset([token]), 1.0
         letters = sum(c.isalpha() for c in token)
-        if letters < 2 and not ("*" in token and letters) or len(token) > 40:
+        if not letters or len(token) > 40 or letters < 2 and len(token) < 3:
             return frozenset(), 0.0
         if "*" in token:
             bare = token.strip("*")
