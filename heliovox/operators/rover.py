@@ -10,7 +10,7 @@ from heliovox.session import table
 
 HOME_ZONE = "Europe/Rome"
 # Hourly readings under broken cloud vary by half; minute readings hardly at all.
-GHI_RULE = spikes.Rule(usual=3.0, up=0.55, down=0.73, floor=0.02)
+GHI_RULE = spikes.Rule(sparse=3.5, usual=3.0, up=0.55, down=0.73, floor=0.02)
 CAPTURE_RULE = spikes.Rule(slopes=True)
 
 

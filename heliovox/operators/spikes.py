@@ -1,11 +1,12 @@
 """Implausible values per source: spikes, stuck values and physically impossible readings.
 
-Spikes. The readings of a source become a matrix of daily profiles (days x time of day), as logarithms of
-value over clear-sky scale. Robust principal components, by alternating projections, part it into a low-rank
-normal course and a sparse rest. Sources of fewer than three days have no profile to repeat; their matrix holds
-the overlapping windows of consecutive readings instead. What the low-rank part doesn't explain is a candidate,
-and an exact check follows: one reading, or two in succession, must lie on the same side of both neighbours by
-more than the source's usual residual. Runs of equal readings and physical limits are tested separately.
+Spikes. A source's daily profile, as value over clear-sky scale, is cut into overlapping windows of consecutive
+readings, the rows of a matrix. Robust principal components, by alternating projections, part it into a low-rank
+course, which takes in day, weather and lasting changes, and a sparse rest. Readings in the sparse rest, beyond a
+threshold of the source's own, are the spikes; of these an exact check of their edges keeps those where one reading, or
+two in succession, lie on the same side of both neighbours. Whole days as rows of the matrix leave the weather in
+the sparse rest, where a spike under broken cloud is lost; so windows of a day are its rows. Runs of equal readings and
+physical limits are tested separately.
 
 Sources are cut into blocks of time with an overlap, so a task never holds more than one block of one source,
 however many rows that source has; rows sent again are merged, map-side first, before anything is gathered.
@@ -13,7 +14,6 @@ however many rows that source has; rows sent again are merged, map-side first, b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +28,15 @@ DAY_US = 86_400_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """When a departure from both neighbours is a jump.
+    """When a reading of the sparse rest is a jump.
 
-    usual: at least so many times the source's usual residual. up, down: at least this share of the expected value.
-    floor: share of the expected value that is added to the usual residual, for sources with next to none.
+    sparse: so many times the usual residual put a reading in the sparse rest.
+    usual: at least so many times the source's usual step. up, down: at least this share of the expected value.
+    floor: share of the expected value that is added to the usual step, for sources with next to none.
     slopes: also take a reading that departs from the straight course of both sides on a slope, for sources that run smoothly.
     """
 
+    sparse: float = 6.0
     usual: float = 7.5
     up: float = 0.028
     down: float = 0.028
@@ -73,49 +75,36 @@ def low_rank(m: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
     return low
 
 
-def residuals(t: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Of one source's levels in order of time: what the low-rank part of its profile matrix leaves unexplained."""
-    n = len(t)
-    day = t // DAY_US
-    days = int(day[-1] - day[0]) + 1
-    step = float(np.median(np.diff(t))) if n > 1 else 0.0
-    if days >= 3 and step > 0:
-        slots = int(max(4, min(1440, round(DAY_US / max(step, 60e6)))))
-        row, column = (day - day[0]).astype(int), ((t % DAY_US) * slots // DAY_US).astype(int)
-        used = np.unique(row)
-        row = np.searchsorted(used, row)
-        m = np.full((len(used), slots), np.nan)
-        m[row, column] = level
-        # Empty cells take the reading last before them, in order of time.
-        flat = pd.Series(m.ravel()).ffill().bfill().to_numpy().reshape(m.shape)
-        return level - low_rank(flat, rank=1 if len(used) < 6 else 2)[row, column]
-    width = min(8, n // 2)
-    if width < 2:
-        return np.full(n, np.inf)
-    m = np.lib.stride_tricks.sliding_window_view(level, width)
-    gap = m - low_rank(np.ascontiguousarray(m), rank=1 if width < 6 else 2)
-    most = np.zeros(n)
+def residuals(level: np.ndarray, width: int = 5, rank: int = 2) -> np.ndarray:
+    """Of one source's levels in order of time: what the low-rank part of the windows of its profile leaves unexplained."""
+    n = len(level)
+    width = min(width, max(3, n // 2))
+    if n < width:
+        return np.zeros(n)
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(level, width))
+    low = low_rank(windows, min(rank, width // 2))
+    # A reading stands in as many windows as these are wide; its course is the middle one of what they say.
+    said = np.full((n, width), np.nan)
     for k in range(width):
-        np.maximum(most[k : k + len(gap)], np.abs(gap[:, k]), out=most[k : k + len(gap)])
-    return most
+        said[k : k + len(low), k] = low[:, k]
+    return level - np.nanmedian(said, axis=1)
 
 
-def candidates(t: np.ndarray, level: np.ndarray, rule: Rule) -> np.ndarray:
-    """True where the low-rank course leaves more than is usual, or a quarter of the smallest jump."""
-    if len(t) < 3:
-        return np.ones(len(t), bool)
-    size = np.abs(residuals(t, level))
-    finite = size[np.isfinite(size)]
-    return size > min(1.4826 * float(np.median(finite)) if len(finite) else 0.0, min(math.log1p(rule.up), rule.down) / 4)
+def sparse_rest(level: np.ndarray, lit: np.ndarray, rule: Rule) -> np.ndarray:
+    """True where a reading belongs to the sparse part. lit: where readings vary at all; what is usual is measured there."""
+    size = np.abs(residuals(level))
+    seen = size[lit] if lit.sum() >= 5 else size
+    return size > rule.sparse * max(1.4826 * float(np.median(seen)), 1e-3)
 
 
-def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, rounds: int = 6) -> np.ndarray:
-    """True for one or two readings in succession beyond both neighbours; all arrays in order of time.
+def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, sparse: np.ndarray | None = None, rounds: int = 6) -> np.ndarray:
+    """True for one or two readings in succession beyond both neighbours, of the sparse rest if that is given; all arrays in order of time.
 
     The plainest jump of a neighbourhood is taken out first, lest it make its neighbours look like jumps.
     """
     out = np.zeros(len(t), bool)
-    if len(t) < 5:
+    sparse = np.ones(len(t), bool) if sparse is None else sparse
+    if len(t) < 5 or not sparse.any():
         return out
     k = value / scale
     w = (t[1:-1] - t[:-2]) / np.maximum(t[2:] - t[:-2], 1)
@@ -154,7 +143,7 @@ def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, round
         around = np.max([most[3 + d : 3 + d + n] for d in (-2, -1, 0, 1, 2)], axis=0)
         single = (one[3 : n + 3] > 1) & (one[3 : n + 3] >= around)
         first = (two[3 : n + 3] > 1) & (two[3 : n + 3] >= around) & ~single
-        hit = single | first | np.r_[False, first[:-1]]
+        hit = (single | first | np.r_[False, first[:-1]]) & sparse[left]
         if not hit.any():
             break
         out[left[hit]] = True
@@ -175,15 +164,24 @@ def _stuck(value: np.ndarray, least: int) -> np.ndarray:
 
 
 def _same_reading(t: np.ndarray, grain: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each row the index of the row it repeats (itself if none): equal values, time cut to a coarser grain."""
+    """For each row the index of the row it repeats (itself if none): equal values, time cut to a coarser grain. `t` is in order."""
     same = np.arange(len(t))
-    for i in np.flatnonzero(grain > 1):
-        j = np.searchsorted(t, t[i])
-        while j < len(t) and t[j] < t[i] + grain[i] * 1_000_000:
-            if grain[j] < grain[i] and np.array_equal(values[j], values[i]):
-                same[i] = j
-                break
-            j += 1
+    if not (grain > 1).any():
+        return same
+    key = np.unique(np.column_stack([np.nan_to_num(values, nan=np.inf), np.isnan(values)]), axis=0, return_inverse=True)[1].ravel().astype(np.int64)
+    instants, at = np.unique(t, return_inverse=True)
+    for g in np.unique(grain[grain > 1]):
+        coarse, finer = np.flatnonzero(grain == g), np.flatnonzero(grain < g)
+        if not len(finer):
+            continue
+        # The first finer row of the same values, from the coarse row's time on.
+        place = key[finer] * len(instants) + at[finer]
+        order = np.argsort(place, kind="stable")
+        found = np.searchsorted(place[order], key[coarse] * len(instants) + at[coarse])
+        there = found < len(finer)
+        coarse, other = coarse[there], finer[order[found[there]]]
+        fits = (key[other] == key[coarse]) & (t[other] < t[coarse] + g * 1_000_000)
+        same[coarse[fits]] = other[fits]
     return same
 
 
@@ -217,8 +215,8 @@ def _one_source(g: dict[str, np.ndarray], fields: list[str], rule: Rule, offset:
             if len(calm) >= 5:
                 scale = g["scale"][calm] + offset
                 shifted = value[calm] + offset
-                level = np.log(np.maximum(shifted, offset * 0.1 + 1e-6) / scale)
-                spike = candidates(t[calm], level, rule) & jumps(t[calm], shifted, scale, rule)
+                sparse = sparse_rest(shifted / scale, g["scale"][calm] > offset, rule)
+                spike = jumps(t[calm], shifted, scale, rule, sparse)
                 reason[calm[spike]] = "spike"
         out[f] = reason[same]
     return out
@@ -307,15 +305,19 @@ def rows_of(flagged: DataFrame, rows: DataFrame, source: str, row_id: str, names
     """`row_id, field, reason` of every row that holds a flagged reading.
 
     Readings sent once or twice name their rows themselves. For those sent more often, the rows with the same source and
-    values are looked up, and only their times are read again, by `times(rows)`, which adds `utc_us`.
+    values are read again, whose times come by `times(rows)`, which adds `utc_us`; each such row meets its own reading only.
     """
     flagged = checkpointed(flagged)
     named = flagged.select(F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias(row_id), "field", "reason")
-    often = flagged.where("copies > 2")
-    raw = rows
-    keys = often.select(F.col("source").alias("_hit_source"), F.col("t").alias("_hit_t"), F.col("field").alias("_hit_field"), F.col("reason").alias("_hit_reason"), *[F.col(f"value_{n}").alias(f"_hit_{n}") for n in range(len(names))])
-    match = raw[source].eqNullSafe(keys["_hit_source"])
-    for n, f in enumerate(names):
-        match = match & F.nanvl(raw[f].cast("double"), F.lit(None)).eqNullSafe(keys[f"_hit_{n}"])
-    more = times(raw.join(keys, match)).where(F.coalesce("utc_us", F.lit(-1)) == F.col("_hit_t")).select(row_id, F.col("_hit_field").alias("field"), F.col("_hit_reason").alias("reason"))
+    cells = [f"value_{n}" for n in range(len(names))]
+    often = flagged.where("copies > 2").select(F.col("source").alias("_hit_source"), F.col("t").alias("_hit_t"), F.col("field").alias("_hit_field"), F.col("reason").alias("_hit_reason"), *[F.col(c).alias(f"_hit_{c}") for c in cells])
+    # A stuck value is one key, however many readings hold it; its rows are spread over so many parts.
+    parts = 16
+    keys = often.select("_hit_source", *[f"_hit_{c}" for c in cells]).distinct().withColumn("_hit_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    number = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None))
+    alike = F.col(source).eqNullSafe(F.col("_hit_source"))
+    for c, f in zip(cells, names):
+        alike = alike & number(f).eqNullSafe(F.col(f"_hit_{c}"))
+    again = times(rows.join(keys, alike & (F.pmod(F.xxhash64(row_id), F.lit(parts)) == F.col("_hit_part")), "left_semi"))
+    more = again.join(often, alike & (F.coalesce("utc_us", F.lit(-1)) == F.col("_hit_t"))).select(row_id, F.col("_hit_field").alias("field"), F.col("_hit_reason").alias("reason"))
     return named.unionByName(more).distinct()

@@ -108,3 +108,45 @@ def test_jump_on_a_slope_and_a_plain_valley():
     valley = 400 - 150 * np.exp(-(((np.arange(60) - 30) / 4.0) ** 2))
     assert not S.jumps(t, valley, np.ones(60), rule).any()
     assert not S.jumps(t, np.where(np.arange(60) < 30, 200.0, 500.0), np.ones(60), rule).any()
+
+
+def test_without_the_sparse_rest_there_are_no_spikes(spark, monkeypatch):
+    t, scale, value = course(6)
+    i = next(k for k, x in enumerate(t) if x % DAY == 12 * HOUR)
+    value[i] *= 2.2
+    rows = [(n, "a", int(x), float(v), float(s), 1) for n, (x, v, s) in enumerate(zip(t, value, scale))]
+    assert (i, "spike") in run(spark, rows)[0]
+    monkeypatch.setattr(S, "low_rank", lambda m, rank, rounds=3: m)
+    assert not run(spark, rows)[0]
+
+
+def test_sparse_rest_is_a_small_part_and_holds_spikes_under_weather():
+    rng = np.random.default_rng(3)
+    t, scale, value = course(30, seed=5)
+    clouds = np.repeat(rng.uniform(0.3, 1.0, len(t) // 6 + 1), 6)[: len(t)]  # a cover that stays for three hours
+    value = value * clouds
+    at = [k for k in range(20, len(t) - 20, 53) if scale[k] > 400]
+    value[at] *= 3.5
+    sparse = S.sparse_rest((value + 20) / (scale + 20), scale > 20, RULE)
+    assert sparse[at].mean() > 0.95 and sparse.mean() < 0.35
+
+
+def test_many_texts_without_a_clock_time():
+    rng = np.random.default_rng(1)
+    n = 100_000
+    t = np.sort(rng.integers(0, 40, n) * DAY + np.where(rng.random(n) < 0.5, 0, rng.integers(0, DAY, n)))
+    grain = np.where(t % DAY == 0, 86400, 1)
+    values = np.round(rng.random((n, 1)), 3)
+    values[:50, 0] = np.nan
+    same = S._same_reading(t, grain, values)
+    for i in rng.integers(0, n, 300):
+        j = next((j for j in range(int(np.searchsorted(t, t[i])), n if grain[i] > 1 else 0) if t[j] < t[i] + grain[i] * 1_000_000 and grain[j] < grain[i] and np.array_equal(values[j], values[i], equal_nan=True)), i)
+        assert same[i] == j or (t[same[i]] == t[j] and values[same[i], 0] == values[j, 0])
+
+
+def test_a_stuck_value_sent_three_times(spark):
+    n = 20_000
+    rows = spark.range(3 * n).selectExpr("id", "'a' as source", f"(id % {n}) * 60000000L as t", "7.5D as v", "1D as scale", "1 as grain")
+    out = S.flag(rows, source="source", row_id="id", time_us="t", fields={"v": F.lit(1500.0)}, scale=F.col("scale"), rule=RULE, offset=20.0, grain_s="grain")
+    found = S.rows_of(out, rows, "source", "id", ["v"], lambda some: some.withColumn("utc_us", F.col("t")))
+    assert found.where("reason = 'stuck'").count() == found.count() == 3 * n
