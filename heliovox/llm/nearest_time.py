@@ -6,7 +6,7 @@ search over prefix lengths finds the longest prefix that occurs: its leaves on t
 hold the predecessor or the successor, and the linked leaves give the other. The nearer one within the tolerance is
 the match; of equal instants and of equal distances, the smallest id counts.
 
-An entity's time is cut into blocks, each with the records of the other table up to the tolerance beyond its edges, so
+An entity's time is cut into blocks, at least as wide as the tolerance, each with the records of the other table up to the tolerance beyond its edges, so
 that a busy entity is spread over many tasks, and each trie holds one block. Equal instants are merged before the shuffle.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_BITS = 27  # 134 seconds
+BLOCK_BITS = 27  # 134 seconds, or more for a tolerance beyond that
 
 
 class XFastTrie:
@@ -87,15 +87,15 @@ def match(left: DataFrame, right: DataFrame, *, entity: str, left_id: str, left_
     have those whose entity has no right row near enough; every other left row, repeats included, comes out once. Clashing names don't
     matter. Empty tables give an empty result.
     """
-    span, reach = 1 << BLOCK_BITS, round(tolerance_s * 1e6)
+    reach = round(tolerance_s * 1e6)
+    bits = max(BLOCK_BITS, reach.bit_length())
     ask = left.select(F.col(entity).alias("entity"), F.col(left_id).alias("id"), micros(left_time).alias("t")).where("entity is not null and t is not null")
     have = right.select(F.col(entity).alias("entity"), F.col(right_id).alias("id"), micros(right_time).alias("t")).where("entity is not null and t is not null and id is not null")
-    block = F.shiftright("t", BLOCK_BITS)
+    block = lambda t: F.shiftright(t, bits)
     # Each distinct instant once: queries are answered by instant, and of equal instants the smallest id counts.
-    instants = ask.select("entity", "t").distinct().withColumn("block", block)
-    leaves = have.groupBy("entity", "t").agg(F.min("id").alias("id")).withColumn("home", block)
-    edge = F.col("t") - F.col("home") * span
-    leaves = leaves.withColumn("block", F.explode(F.array_compact(F.array(F.col("home"), F.when(edge <= reach, F.col("home") - 1), F.when(edge >= span - reach, F.col("home") + 1))))).drop("home")
+    instants = ask.select("entity", "t").distinct().withColumn("block", block(F.col("t")))
+    leaves = have.groupBy("entity", "t").agg(F.min("id").alias("id"))
+    leaves = leaves.withColumn("block", F.explode(F.sequence(block(F.col("t") - reach), block(F.col("t") + reach))))
     kinds = dict(ask.dtypes), dict(have.dtypes)
 
     def answer(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:

@@ -28,3 +28,10 @@ def test_over_tables(spark):
     assert N.match(left, right, **args, tolerance_s=0.05).count() == 0
     assert N.match(left.limit(0), right, **args, tolerance_s=1).count() == 0
     assert N.match(left, right.limit(0), **args, tolerance_s=1).count() == 0
+
+
+def test_tolerance_beyond_a_block(spark):
+    left = spark.createDataFrame([(1, 7, 10_000.0), (2, 7, 30_000.0)], "frame_id long, s int, t double")
+    right = spark.createDataFrame([(10, 7, 10_400.0), (20, 7, 9_510.0), (30, 7, 30_501.0)], "pose_id long, s int, t double")
+    got = N.match(left, right, entity="s", left_id="frame_id", left_time="t", right_id="pose_id", right_time="t", tolerance_s=500).collect()
+    assert [(r["frame_id"], r["match_id"], r["delta_s"]) for r in got] == [(1, 10, 400.0)]
