@@ -38,6 +38,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p6_pack(spark, sf_dir))
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far containers, and windows of them, are from the mixture of sources that was asked for."""
+    return packing.mixture(p6_pack(spark, sf_dir))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of evaluation items, with the length of the passage."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -69,7 +74,7 @@ def p8_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.against_reviews(scores, table(spark, sf_dir, "review_labels"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_pack": p6_pack, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_review": p8_review}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_pack": p6_pack, "p6_report": p6_report, "p6_mixture": p6_mixture, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_review": p8_review}
 _NEAREST = """
 select frame_id, '{stream}' as stream_name, match_id{extra} from (
   select f.frame_id, p.{key} as match_id, round((p.us - f.us) / 1e6, 6) as delta_s,

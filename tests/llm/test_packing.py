@@ -59,3 +59,34 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, n_tokens int, source string")
     assert packing.pack(empty).count() == 0
     assert packing.report(packing.pack(empty)).first()["containers"] == 0
+
+
+def test_targets_that_are_asked_for(spark):
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, rng.randint(5, 300), rng.choice("ab")) for i in range(4000)], "doc_id long, n_tokens int, source string")
+    packed = packing.pack(items, targets={"a": 3.0, "b": 1.0}, shard_tokens=10_000_000)
+    first = packed.where("container rlike '-[0-9]$'").groupBy("source").sum("size").collect()
+    share = {r["source"]: r["sum(size)"] for r in first}
+    assert abs(share["a"] / (share["a"] + share["b"]) - 0.75) < 0.05
+    assert packed.count() == 4000
+
+
+def test_pieces_that_fill_a_container_count_towards_the_mixture():
+    place = packing.fill([1000] * 10 + [100] * 100, ["a"] * 10 + ["b"] * 100, {"a": 0.5, "b": 0.5}, {}, 1000)
+    whole = sorted(place[:10])
+    assert all(b - a == 2 for a, b in zip(whole, whole[1:]))
+
+
+def test_sums_before_shards_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BLOCK", 3)
+    shards = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(11)], "shard int, short array<double>")
+    got = {r["shard"]: r["behind"] for r in packing._before(shards, ["a", "b"]).collect()}
+    assert got == {i: [i * (i - 1) / 2, -float(i)] for i in range(11)}
+
+
+def test_mixture(spark):
+    rows = spark.createDataFrame([("a", 50, "0-0-0"), ("b", 50, "0-0-0"), ("a", 100, "0-0-1"), ("b", 100, "0-0-2"), (None, 100, "0-0-3")], "source string, size int, container string")
+    got = {r["window_size"]: r for r in packing.mixture(rows, targets={"a": 1, "b": 1}, windows=(1, 4)).collect()}
+    assert got[1]["windows"] == 4 and got[1]["mean_distance"] == (0 + 0.5 + 0.5 + 1) / 4
+    assert got[4]["windows"] == 1 and abs(got[4]["mean_distance"] - 0.25) < 1e-9
+    assert packing.mixture(rows.limit(0)).count() == 0
