@@ -3,27 +3,36 @@
 A document holds an item if a stretch of at least `share` of the item's words stands in it in order, with at most one
 word in ten altered, left out or added. Such a stretch must share many three-word shingles with some item-sized window:
 of every window's shingles, ordered by rarity in the corpus, the rarest few are a necessary prefix, of which at least
-one must occur. Documents are probed with those prefix shingles only; pairs that meet are bounded by position (shared
-shingles near one diagonal) and verified by aligning the words of the passage.
+one must occur. Items whose least stretch is shorter than three words have shingles of that length, all of which are
+prefix.
 
-The items come in blocks of bounded size, each broadcast; documents are read twice, for the counts and for the join,
-and never shuffled, so neither a frequent passage nor a long document gathers rows in one task.
+1. Documents are read and cut into words once. Shingles that some item has, by a Bloom filter of bounded size, are
+   counted by document; those of documents in which they lie dense enough for some item (the length bound) are kept.
+2. The prefix shingles of all items are joined with the kept ones: pairs of document and item.
+3. Pairs need enough shared shingles near one diagonal (the positional bound); each such band is one window of the item's size.
+4. Texts of the documents left, by a second filter of bounded size, are aligned with the items within their bands.
+
+All joins are by shuffle or by sizes at run time; nothing that grows with corpus or items is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from heliovox.session import checkpointed
+
 WIDTH = 3
 SHARE, EDITS = 0.4, 0.1
-BLOCK_WORDS = 200_000
+# Filters have at most so many bits (64 MB); beyond, more passes by it that the joins then turn away.
+MOST_BITS = 29
+MEMORY = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"[̀-ͯ­​-‏⁠﻿]")
@@ -38,8 +47,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def shingles(words: list[str]) -> Iterator[tuple[str, ...]]:
-    return zip(*(words[k:] for k in range(WIDTH)))
+def width_of(least: int) -> int:
+    return min(WIDTH, least)
 
 
 def least_words(n: int, share: float = SHARE) -> int:
@@ -48,53 +57,118 @@ def least_words(n: int, share: float = SHARE) -> int:
 
 def least_shared(m: int, edits: float = EDITS) -> int:
     """Of the shingles of a stretch of m words, how many survive its edits, one more than average granted."""
-    return max(1, (m - WIDTH + 1) - WIDTH * (int(m * edits) + 1))
-
-
-def prefixes(items: dict[int, list[str]], frequency: dict[tuple[str, ...], int], share: float, edits: float) -> dict[tuple[str, ...], list[int]]:
-    """Shingle -> items of whose windows it is in the necessary prefix."""
-    out: dict[tuple[str, ...], set[int]] = defaultdict(set)
-    for item, words in items.items():
-        m = least_words(len(words), share)
-        grams = list(shingles(words)) or [tuple(words)]
-        order = sorted(range(len(grams)), key=lambda i: (frequency.get(grams[i], 0), grams[i], i))
-        rank = np.empty(len(grams), int)
-        rank[order] = np.arange(len(grams))
-        window = max(1, m - WIDTH + 1)
-        take = window - least_shared(m, edits) + 1
-        for a in range(max(1, len(grams) - window + 1)):
-            for i in sorted(range(a, min(a + window, len(grams))), key=rank.__getitem__)[:take]:
-                out[grams[i]].add(item)
-    return {g: sorted(s) for g, s in out.items()}
-
-
-def stretch(item: np.ndarray, passage: np.ndarray, edits: float = EDITS) -> int:
+    width = width_of(m)
+    return max(1, (m - width + 1) - width * (int(m * edits) + 1))
+
+
+class Words:
+    """Numbers of words, and of shingles of them; the same in every process."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        seen, out = self.seen, np.empty(len(words), np.uint64)
+        for k, w in enumerate(words):
+            n = seen.get(w)
+            if n is None:
+                n = xxhash.xxh3_64_intdigest(w)
+                if len(seen) < MEMORY:
+                    seen[w] = n
+            out[k] = n
+        return out
+
+
+def shingles(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for each `width` words in succession."""
+    n = len(ids) - width + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+class Filter:
+    """A Bloom filter with two probes, of bounded size."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """A filter of the distinct numbers in the only column of `keys`. Only its set bits come to the driver, however many keys there are."""
+        (column,) = keys.columns
+        keys = keys.distinct()
+        bits = min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
+        places = F.explode(F.array(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(column, 64 - bits)))
+        place = F.col("place")
+        each = keys.select(places.alias("place")).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[each["word"].to_numpy(np.int64)] = each["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(bits, words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys, out = keys.view(np.uint64), np.uint64(1)
+        for place in (keys & np.uint64((1 << self.bits) - 1), keys >> np.uint64(64 - self.bits)):
+            out = out & (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)))
+        return out.astype(bool)
+
+
+def prefix(grams: np.ndarray, frequency: np.ndarray, least: int, edits: float) -> np.ndarray:
+    """The shingles of one item that are in the necessary prefix of one of its windows."""
+    window = max(1, least - width_of(least) + 1)
+    take = window - least_shared(least, edits) + 1
+    order = np.lexsort((np.arange(len(grams)), grams, frequency))
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.arange(len(grams))
+    if len(grams) <= window:
+        return np.unique(grams[order[:take]])
+    windows = np.lib.stride_tricks.sliding_window_view(rank, window)
+    chosen = np.unique(np.concatenate([np.partition(part, take - 1, axis=1)[:, :take].ravel() for part in np.array_split(windows, -(-windows.size // 4_000_000))]))
+    return np.unique(grams[order[chosen]])
+
+
+def stretch(item: np.ndarray, passage: np.ndarray, edits: float = EDITS, low: int | None = None, high: int | None = None) -> int:
     """Most words of `item` in one stretch that `passage` holds with at most `edits` of them altered.
 
     Both hold word numbers. A local alignment (match 1, edit -2) is traced back, and the longest part of it
-    within the share of edits taken.
+    within the share of edits taken. low, high: only places j of the passage and i of the item with low <= j - i <= high
+    may meet, so that memory is the item's length times the band's width.
     """
     n, m = len(item), len(passage)
     if not n or not m:
         return 0
-    score = np.zeros((n + 1, m + 1), np.int32)
-    place = 2 * np.arange(m + 1, dtype=np.int32)
+    low, high = max(-n, -n if low is None else low), min(m, m if high is None else high)
+    width = high - low + 1
+    if width < 1:
+        return 0
+    # Column k of row i stands for place i + low + k of the passage; beyond its ends nothing matches.
+    score = np.zeros((n + 1, width), np.int32)
+    padded = np.full(n + width + 1, -2, np.int64)
+    first = max(0, low)
+    padded[first - low : first - low + max(0, min(m, n + high) - first)] = passage[first : min(m, n + high)]
+    cost = 2 * np.arange(width, dtype=np.int32)
     for i in range(1, n + 1):
-        row = np.maximum(0, score[i - 1] - 2)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(passage == item[i - 1], 1, -2))
-        score[i] = np.maximum(row, np.maximum.accumulate(row + place) - place)
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+        equal = padded[i - 1 : i - 1 + width] == item[i - 1]
+        row = np.maximum(score[i - 1] + np.where(equal, 1, -2), 0)
+        row[:-1] = np.maximum(row[:-1], score[i - 1, 1:] - 2)
+        score[i] = np.maximum.accumulate(row + cost) - cost
+    i, k = map(int, np.unravel_index(int(score.argmax()), score.shape))
     steps: list[tuple[int, int]] = []  # (words of the item, edits)
-    while i and j and score[i, j] > 0:
-        if score[i, j] == score[i - 1, j - 1] + (1 if item[i - 1] == passage[j - 1] else -2):
-            steps.append((1, int(item[i - 1] != passage[j - 1])))
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 2:
-            steps.append((1, 1))
+    while i and score[i, k] > 0:
+        same = padded[i - 1 + k] == item[i - 1]
+        if score[i, k] == score[i - 1, k] + (1 if same else -2):
+            steps.append((1, int(not same)))
             i -= 1
+        elif k + 1 < width and score[i, k] == score[i - 1, k + 1] - 2:
+            steps.append((1, 1))
+            i, k = i - 1, k + 1
         else:
             steps.append((0, 1))
-            j -= 1
+            k -= 1
     if not steps:
         return 0
     a = np.array(steps)
@@ -113,112 +187,164 @@ def stretch(item: np.ndarray, passage: np.ndarray, edits: float = EDITS) -> int:
     return best
 
 
-class Matcher:
-    """Finds the items of one block in a document's words."""
-
-    def __init__(self, items: dict[int, list[str]], prefix: dict[tuple[str, ...], list[int]], share: float, edits: float) -> None:
-        self.items, self.prefix, self.share, self.edits = items, prefix, share, edits
-        self.places = {item: defaultdict(list) for item in items}
-        for item, words in items.items():
-            for i, g in enumerate(shingles(words)):
-                self.places[item][g].append(i)
-
-    def document(self, words: list[str]) -> list[tuple[int, int]]:
-        """(item, words of it held) of every item that the document holds."""
-        prefix = self.prefix
-        if len(words) < WIDTH:
-            return []
-        grams = list(shingles(words))
-        met = {item for g in grams if g in prefix for item in prefix[g]}
-        out = []
-        for item in sorted(met):
-            n = len(self.items[item])
-            least = least_words(n, self.share)
-            if len(words) < least * (1 - self.edits):
-                continue
-            places = self.places[item]
-            hits = [(j, i) for j, g in enumerate(grams) if g in places for i in places[g]]
-            for low, high in self._passages(hits, n, least):
-                span = words[max(0, low) : high]
-                number = {w: k for k, w in enumerate(dict.fromkeys(self.items[item]))}
-                held = stretch(np.array([number[w] for w in self.items[item]]), np.array([number.get(w, -1) for w in span]), self.edits)
-                if held >= least:
-                    out.append((item, held))
-                    break
-        return out
+def slack(n: int, edits: float = EDITS) -> int:
+    """How far the words of a stretch of an item of n words may stray from their diagonal."""
+    return int(n * edits) + 1
 
-    def _passages(self, hits: list[tuple[int, int]], n: int, least: int) -> list[tuple[int, int]]:
-        """Stretches of the document that may hold the item: enough shared shingles near one diagonal."""
-        slack = int(n * self.edits) + 1
-        need = least_shared(least, self.edits)
-        by_band: dict[int, set[int]] = defaultdict(set)
-        for j, i in hits:
-            band = (j - i) // (slack + 1)
-            by_band[band].add(j)
-            by_band[band + 1].add(j)
-        spans = []
-        for js in by_band.values():
-            if len(js) >= need:
-                ordered = sorted(js)
-                spans.append((ordered[0] - slack - WIDTH, ordered[-1] + slack + 2 * WIDTH))
-        spans.sort()
-        merged: list[tuple[int, int]] = []
-        for low, high in spans:
-            if merged and low <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-            else:
-                merged.append((low, high))
-        return merged
-
-
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[dict[int, list[str]]]:
-    block: dict[int, list[str]] = {}
-    size = 0
-    for row in items.select(item_id, text).where(F.col(item_id).isNotNull()).toLocalIterator():
-        words = words_of(row[1])
-        if not words:
-            continue
-        block[row[0]] = words
-        size += len(words)
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
+
+def bands(places: np.ndarray, found: np.ndarray, grams: np.ndarray, least: int, n: int, edits: float) -> list[int]:
+    """The diagonals, in steps of `slack + 1`, near which a document shares enough shingles with an item.
+
+    places, found: places and numbers of the document's shingles; grams: those of the item of n words. Band b takes in places j
+    and i with b - 1 <= (j - i) / (slack + 1) < b + 1.
+    """
+    order = np.argsort(grams, kind="stable")
+    start, end = np.searchsorted(grams[order], found), np.searchsorted(grams[order], found, side="right")
+    shared = np.flatnonzero(end > start)
+    need, step = least_shared(least, edits), slack(n, edits) + 1
+    counts: dict[int, int] = {}
+    # Some places at a time, for texts that say the same again and again.
+    for part in np.array_split(shared, max(1, -(-int((end - start)[shared].sum()) // 2_000_000))):
+        times = (end - start)[part]
+        j = np.repeat(np.arange(len(part)), times)
+        i = order[np.repeat(start[part] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())] if len(part) else np.empty(0, np.int64)
+        band = (places[part][j] - i) // step
+        pairs = np.unique(np.column_stack([np.r_[band, band + 1], np.r_[j, j]]), axis=0)
+        for b, c in zip(*np.unique(pairs[:, 0], return_counts=True)):
+            counts[int(b)] = counts.get(int(b), 0) + int(c)
+    return sorted(b for b, c in counts.items() if c >= need)
+
+
+def prepared(items: DataFrame, *, item_id: str, text: str, share: float) -> DataFrame:
+    """`item, words, least, grams` of every item that has words; one row per id."""
+    rows = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).alias("item")).agg(F.max(text).alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = Words()
+        for batch in batches:
+            words = [words_of(t) for t in batch["text"]]
+            least = [least_words(len(w), share) for w in words]
+            grams = [shingles(number.ids(w), width_of(m)).tolist() for w, m in zip(words, least)]
+            out = pd.DataFrame({"item": batch["item"], "words": words, "least": least, "grams": grams})
+            yield out[[bool(w) for w in words]]
+
+    return rows.mapInPandas(cut, f"item {dict(rows.dtypes)['item']}, words array<string>, least int, grams array<bigint>")
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = SHARE, edits: float = EDITS) -> DataFrame:
-    """`doc_id, item_id, words_held`: every document with every item it holds, once each.
+    """`doc_id, item_id, words_held`: every document with every item it holds, once each, and the longest stretch held.
 
     Null and empty texts hold nothing, and items without words are held by nothing. Items are unique by `item_id`, of
-    rows with the same id one is taken. Texts are read whole. Items of fewer than three words are not looked for.
+    rows with the same id one is taken; items with a null id are left out. Of rows with the same `doc_id`, null included,
+    the document holds what any of them holds. Texts are read whole.
     """
     spark = documents.sparkSession
-    docs = documents.select(doc_id, F.col(text).alias("_text"))
-    kinds = dict(docs.dtypes), dict(items.dtypes)
-    schema = f"`{doc_id}` {kinds[0][doc_id]}, `{item_id}` {kinds[1][item_id]}, words_held int"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items.dropDuplicates([item_id]), item_id, text):
-        wanted = spark.sparkContext.broadcast({g: k for k, g in enumerate(dict.fromkeys(g for words in block.values() for g in shingles(words)))})
-
-        def count(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            number = wanted.value
-            for batch in batches:
-                for t in batch["_text"]:
-                    seen.update({number[g] for g in shingles(words_of(t)) if g in number})
-            yield pd.DataFrame({"k": list(seen.keys()), "n": list(seen.values())}, dtype="int64")
-
-        # One row per shingle of the block, however large the corpus.
-        counts = {r["k"]: r["n"] for r in docs.select("_text").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        frequency = {g: counts.get(k, 0) for g, k in wanted.value.items()}
-        found = spark.sparkContext.broadcast((block, prefixes(block, frequency, share, edits)))
-
-        def join(batches: Iterator[pd.DataFrame], found=found) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(*found.value, share, edits)
-            for batch in batches:
-                rows = [(d, item, held) for d, t in zip(batch[doc_id], batch["_text"]) for item, held in matcher.document(words_of(t))]
-                yield pd.DataFrame(rows, columns=[doc_id, item_id, "words_held"])
-
-        out = out.unionByName(docs.mapInPandas(join, schema))
-    return out
+    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text <> ''")
+    kind = dict(docs.dtypes)["doc"]
+    wanted = checkpointed(prepared(items, item_id=item_id, text=text, share=share))
+    passes = Filter.of(wanted.select(F.explode("grams").alias("k")))
+    # How dense shingles must lie: per width and octave of least lengths, so many within so many words.
+    octaves: dict[tuple[int, int], int] = {}
+    for m in sorted(r["least"] for r in wanted.select("least").distinct().collect()):
+        span = 2 ** m.bit_length()
+        octaves.setdefault((width_of(m), span + int(span * edits) + 1), least_shared(m, edits))
+    shared = spark.sparkContext.broadcast((passes.bits, passes.words, octaves))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (bits, words, octaves), number = shared.value, Words()
+        passes = Filter(bits, words)
+        widths = sorted({w for w, _ in octaves})
+        uses: list[np.ndarray] = []
+        held, totals = 0, (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, which = np.unique(np.concatenate([totals[0], *uses]), return_inverse=True)
+            return keys, np.bincount(which, np.concatenate([totals[1], np.ones(len(which) - len(totals[0]))])).astype(np.int64)
+
+        for batch in batches:
+            kept = []
+            for doc, t in zip(batch["doc"], batch["text"]):
+                ids = number.ids(words_of(t))
+                place, found, dense = [], [], False
+                for w in widths:
+                    grams = shingles(ids, w)
+                    at = np.flatnonzero(passes.has(grams))
+                    place.append(at)
+                    found.append(grams[at])
+                    for (width, span), need in octaves.items():
+                        dense = dense or width == w and len(at) >= need and bool((at[need - 1 :] - at[: len(at) - need + 1] < span).any())
+                found = np.concatenate(found) if found else np.empty(0, np.int64)
+                if len(found):
+                    uses.append(np.unique(found))
+                    held += len(uses[-1])
+                if dense:
+                    kept.append((doc, np.concatenate(place).astype(np.int32), found))
+            if held > 2_000_000:
+                totals, uses, held = added(), [], 0
+            yield pd.DataFrame(kept, columns=["doc", "places", "found"]).assign(n=None)
+        keys, n = added() if uses else totals
+        for a in range(0, len(keys), 100_000):
+            yield pd.DataFrame({"doc": [None], "places": [None], "found": [keys[a : a + 100_000]], "n": [n[a : a + 100_000]]})
+
+    read = checkpointed(docs.mapInPandas(scan, f"doc {kind}, places array<int>, found array<bigint>, n array<bigint>"))
+    counts = read.where("n is not null").select(F.explode(F.arrays_zip("found", "n")).alias("x")).groupBy(F.col("x.found").alias("gram")).agg(F.sum("x.n").alias("docs"))
+    kept = read.where("n is null").drop("n")
+
+    # Prefixes, by rarity in all documents.
+    ranked = wanted.select("item", "least", F.posexplode("grams").alias("i", "gram")).join(counts, "gram", "left").select("item", "least", "i", "gram", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        gram = prefix(rows["gram"].to_numpy(), rows["docs"].to_numpy(), int(rows["least"].iloc[0]), edits)
+        return pd.DataFrame({"gram": gram, "item": rows["item"].iloc[0]})
+
+    prefixes = ranked.groupBy("item").applyInPandas(choose, f"gram bigint, item {dict(wanted.dtypes)['item']}")
+    pairs = kept.select("doc", F.explode(F.array_distinct("found")).alias("gram")).join(prefixes, "gram").select("doc", "item").distinct()
+
+    def near_diagonals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (doc, item, b)
+                for doc, item, places, found, grams, least, n in zip(batch["doc"], batch["item"], batch["places"], batch["found"], batch["grams"], batch["least"], batch["n"])
+                for b in bands(places, found, grams, least, n, edits)
+            ]
+            yield pd.DataFrame(rows, columns=["doc", "item", "band"])
+
+    both = pairs.join(wanted.select("item", "least", "grams", F.size("words").alias("n")), "item")
+    both = both.join(kept.withColumnRenamed("doc", "doc_"), both["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
+    near = checkpointed(both.mapInPandas(near_diagonals, f"doc {kind}, item {dict(wanted.dtypes)['item']}, band bigint").distinct())
+
+    # The texts of the documents that are left, by a filter of bounded size before anything is moved.
+    chosen = Filter.of(near.select(F.xxhash64("doc").alias("k")))
+    few = spark.sparkContext.broadcast((chosen.bits, chosen.words))
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filter_ = Filter(*few.value)
+        for batch in batches:
+            yield batch.loc[filter_.has(batch["k"].to_numpy(np.int64)), ["doc", "text"]]
+
+    texts = docs.withColumn("k", F.xxhash64("doc")).mapInPandas(sift, f"doc {kind}, text string")
+    asked = near.join(wanted.select("item", "words", "least"), "item").withColumnRenamed("doc", "doc_")
+    asked = texts.join(asked, texts["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, said = None, []
+        for batch in batches:
+            rows = []
+            for doc, t, item, words, least, band in zip(batch["doc"], batch["text"], batch["item"], batch["words"], batch["least"], batch["band"]):
+                if t is not last and t != last:
+                    last, said = t, words_of(t)
+                n = len(words)
+                step, stray = slack(n, edits) + 1, slack(n, edits)
+                low, high = (band - 1) * step - stray, (band + 1) * step + stray
+                start, end = max(0, low), max(0, min(len(said), n + high))
+                number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                passage = np.array([number.get(w, -1) for w in said[start:end]], np.int64)
+                held = stretch(np.array([number[w] for w in words]), passage, edits, low - start, high - start)
+                if held >= least:
+                    rows.append((doc, item, held))
+            yield pd.DataFrame(rows, columns=["doc", "item", "held"])
+
+    item_kind = dict(wanted.dtypes)["item"]
+    found = asked.mapInPandas(align, f"doc {kind}, item {item_kind}, held int")
+    return found.groupBy("doc", "item").agg(F.max("held").alias("words_held")).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "words_held")
