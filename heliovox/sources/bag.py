@@ -136,16 +136,22 @@ def cloud_points(data: bytes) -> np.ndarray:
 
 
 def custom_points(data: bytes) -> np.ndarray:
-    """x, y, z of the scanner's own message; the padding that may be missing behind the last point is made up."""
+    """x, y, z of the scanner's own message: a header, a time base, the number of points, the scanner, and a sequence of points.
+
+    The sequence has a length of its own; it begins behind three bytes that fill up the scanner's, and its last point may lack its own filling.
+    """
     r = Cdr(data)
     r.header()
-    r.take("Q")
-    number = r.take("I")
-    r.at += 4
-    n = max(number, r.take("I"))
-    body = data[r.at :]
-    body += b"\0" * (n * CUSTOM_STRIDE - len(body))
-    return _finite(np.frombuffer(body, np.dtype({"names": list("xyz"), "formats": ["<f4"] * 3, "offsets": CUSTOM_OFFSETS, "itemsize": CUSTOM_STRIDE}), n))
+    for code in "QIB":
+        r.take(code)
+    length = r.take("I")
+    point = np.dtype({"names": list("xyz"), "formats": [r.end + "f4"] * 3, "offsets": CUSTOM_OFFSETS, "itemsize": CUSTOM_STRIDE})
+    there = (len(data) - r.at) // CUSTOM_STRIDE
+    whole = np.frombuffer(data, point, min(length, there), r.at)
+    rest = data[r.at + there * CUSTOM_STRIDE :]
+    if there < length and len(rest) >= CUSTOM_OFFSETS[-1] + 4:
+        whole = np.append(whole, np.frombuffer(rest.ljust(CUSTOM_STRIDE, b"\0"), point, 1))
+    return _finite(whole)
 
 
 def packet_points(data: bytes) -> np.ndarray | None:
