@@ -30,7 +30,7 @@ def records(rows: DataFrame, *, body: str) -> DataFrame:
 
 
 def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFrame:
-    """A row per record and top-level field: the `keep` columns, `thing`, `name`, `kind`, `text` and `numbers`.
+    """A row per record and top-level field: the `keep` columns, `thing`, `name`, `kind`, `shape`, `text` and `numbers`.
 
     `kind` is string, number, array, object, boolean, or null for JSON null. `numbers` are all numbers in the value,
     whether written as number, text or list, with decimal point or comma.
@@ -43,7 +43,7 @@ def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFr
         F.when(schema == "VOID", F.lit(None)).when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
         .when(schema.like("ARRAY%"), "array").when(schema.like("OBJECT%"), "object").otherwise("number")
     )
-    out = out.withColumn("kind", kind).withColumn("text", F.expr("case when kind in ('array', 'object') then to_json(_f) else try_cast(_f as string) end"))
+    out = out.withColumn("kind", kind).withColumn("shape", F.expr(shape("_f"))).withColumn("text", F.expr("case when kind in ('array', 'object') then to_json(_f) else try_cast(_f as string) end"))
     # In lists a comma parts numbers, in a text by itself it is a decimal sign.
     spaced = F.when(F.col("kind").isin("array", "object"), F.regexp_replace("text", ",", " , ")).otherwise(F.col("text"))
     found = F.regexp_extract_all(F.coalesce(spaced, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])(-?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"), 1)
@@ -167,31 +167,104 @@ def canonical_names(renames: list[tuple[str, str, float, int]], counts: dict[str
     return out
 
 
-# The promotion lattice, each type with the types just above it.
-LATTICE = {"boolean": {"string"}, "double": {"array<double>"}, "array<double>": {"string"}, "string": set()}
-SQL_TYPES = {"boolean": "boolean", "number": "double", "vector": "array<double>", "string": "string"}
+# Forms of text that stand for something else: a whole number, a number (with a unit), a list of numbers, a day or an instant.
+_NUMBER = r"[-+]?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?"
+_WHOLE = r"^\s*[-+]?(0|[1-9][0-9]{0,18})\s*$"
+_QUANTITY = rf"^\s*{_NUMBER}\s*(°|%|[A-Za-zµ]{{1,4}}[23²³]?)?\s*$"
+_LIST = rf"^\s*[\[(]?\s*{_NUMBER}([\s;]+{_NUMBER}|,\s+{_NUMBER})+\s*[\])]?\s*$"
+_STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+# The promotion lattice, each kind of value with the kinds just above it; lists are counted apart, by depth.
+LATTICE = {"bigint": ["double"], "double": ["string"], "boolean": ["string"], "timestamp": ["string"], "numbers": ["double"], "object": ["string"], "string": []}
+_NUMERIC = {"bigint", "double", "numbers"}
 
 
-def promote(shapes: set[str]) -> str:
-    """The least type of the lattice to which values of all these shapes can be cast.
+def above(kind: str) -> set[str]:
+    return {kind}.union(*map(above, LATTICE[kind]))
+
+
+def shape(value: str) -> str:
+    """SQL for the shape of a variant: the kind of its innermost values, with a `[]` for every list around them.
 
-    A number, as such or in a text, list or object, is a `number`, several are a `vector`; one number is also a vector.
+    Text counts as what it says as a whole: a number, alone or with a unit, a list of numbers, a day or an instant. `numbers` is an
+    object of numbers.
     """
-    above = lambda t: {t}.union(*map(above, LATTICE[t]))
-    common = set.intersection(*(above(SQL_TYPES[s]) for s in shapes)) if shapes else {"string"}
-    return min(common, key=lambda t: -len(above(t)))
+    kind = f"regexp_replace(schema_of_variant({value}), 'ARRAY<|>+$', '')"
+    lists = f"repeat('[]', (length(schema_of_variant({value})) - length(replace(schema_of_variant({value}), 'ARRAY<', ''))) div 6)"
+    text = f"try_variant_get({value}, '$', 'string')"
+    said = f"""case when {text} rlike r'{_WHOLE}' and try_cast(trim({text}) as bigint) is not null then 'bigint' when {text} rlike r'^\\s*[-+]?[0-9]+\\s*$' then 'string' when {text} rlike r'{_QUANTITY}' then 'double' when {text} rlike r'{_LIST}' then 'double[]'
+        when {text} rlike r'{_STAMP}' and try_to_timestamp({text}) is not null then 'timestamp' else 'string' end"""
+    return f"""case when {value} is null or schema_of_variant({value}) = 'VOID' then null when schema_of_variant({value}) = 'STRING' then {said}
+        when schema_of_variant({value}) like 'OBJECT%' then if(schema_of_variant({value}) rlike '^OBJECT<([^:,<>]+: (BIGINT|DOUBLE|FLOAT|DECIMAL.[0-9]+,[0-9]+.)(, )?)+>$', 'numbers', 'object')
+        when {kind} = 'BIGINT' then concat('bigint', {lists}) when {kind} rlike '^(DECIMAL|DOUBLE|FLOAT)' then concat('double', {lists}) when {kind} = 'BOOLEAN' then concat('boolean', {lists})
+        when {kind} = 'STRING' then concat('string', {lists}) when {kind} = 'VOID' then concat('void', {lists}) when schema_of_variant({value}) like 'ARRAY%' then 'object[]' else 'string' end"""
 
 
-def _scaled(factor: float):
-    return lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double") * F.lit(factor)
+def promote(shapes: set[str]) -> str:
+    """The least type to which values of all these shapes can be cast without loss.
+
+    Numbers in lists of different depth go to the deepest, a value standing for a list of one; an object of numbers goes with lists of numbers.
+    Objects, and what has nothing else in common, are text, as JSON.
+    """
+    parts = {(x.replace("[]", ""), x.count("[]")) for x in shapes}
+    if any(k == "void" for k, _ in parts):  # empty lists fit any list
+        depth = max(d for k, d in parts if k == "void")
+        parts = {(k, max(d, depth)) for k, d in parts if k != "void"} or {("string", depth)}
+    kinds = {k for k, _ in parts}
+    if kinds == {"numbers"}:
+        return "string"
+    if kinds <= _NUMERIC:
+        depth = max(max(d, int(k == "numbers")) for k, d in parts)
+        kind = "bigint" if kinds == {"bigint"} else "double"
+    else:
+        common = set.intersection(*map(above, kinds)) if kinds else {"string"}
+        kind = min(common, key=lambda t: -len(above(t)))
+        depth = max(d for _, d in parts) if len({d for _, d in parts}) == 1 and len(kinds) == 1 else 0
+        if kind == "object":
+            kind, depth = "string", 0
+    return "array<" * depth + kind + ">" * depth
+
+
+def cast(value: str, wanted: str, factor: float = 1.0) -> str:
+    """SQL for a variant as the type that `promote` gave, numbers times `factor`; null where the value is null."""
+    got, text = lambda t: f"try_variant_get({value}, '$', '{t}')", f"try_variant_get({value}, '$', 'string')"
+    kind, depth = wanted.replace("array<", "").rstrip(">"), wanted.count("array<")
+    if kind in ("bigint", "double"):
+        number = f"try_cast(replace(regexp_extract({text}, r'({_NUMBER})', 1), ',', '.') as double)" if kind == "double" else f"try_cast(trim({text}) as bigint)"
+        levels = [f"if(schema_of_variant({value}) = 'STRING', if({text} rlike r'{_LIST}', null, {number}), {got(kind)})"]
+        if depth:
+            listed = f"transform(regexp_extract_all({text}, r'({_NUMBER})', 1), x -> try_cast(replace(x, ',', '.') as {kind}))"
+            spoken = f"if(schema_of_variant({value}) = 'STRING' and {text} rlike r'{_LIST}', {listed}, null)"
+            levels.append(f"coalesce({got(f'array<{kind}>')}, map_values({got(f'map<string,{kind}>')}), {spoken})")
+        levels += [got("array<" * d + kind + ">" * d) for d in range(2, depth + 1)]
+        # A value of less depth stands for a list of one.
+        parts = []
+        for d, level in reversed(list(enumerate(levels))):
+            scaled = level
+            if factor != 1.0:
+                scaled = "x0"
+                for k in range(1, d + 1):
+                    scaled = f"transform(x{k}, x{k - 1} -> {scaled})" if k > 1 else f"transform(x{k}, x0 -> x0 * {factor!r}D)"
+                scaled = f"transform(array({level}), x{d} -> {scaled if d else f'x0 * {factor!r}D'})[0]"
+            for _ in range(depth - d):
+                scaled = f"if({scaled} is null, null, array({scaled}))"
+            parts.append(scaled)
+        return f"coalesce({', '.join(parts)})"
+    if depth:
+        return got(wanted)
+    if kind == "timestamp":
+        return f"try_to_timestamp({text})"
+    if kind == "boolean":
+        return got("boolean")
+    return f"if(schema_of_variant({value}) rlike '^(ARRAY|OBJECT)', to_json({value}), {text})"
 
 
 def union_table(rows: DataFrame, *, series: str, file: str, at: str, body: str, keep: list[str], thing: str = "id") -> DataFrame:
     """Every readable record of all files in one schema: `series`, `file`, `keep`, and a column per canonical field.
 
     Renamed fields go under the name that most files use, values in other units are converted, and each column has the
-    least type that all of its files' values can be cast to. Records that can't be read are left out; a field that a
-    record doesn't have is null. The only things collected are field names with their kinds and renames.
+    least type that all of its files' values can be cast to without loss: whole numbers stay whole, texts that aren't numbers
+    as a whole stay text, lists keep their depth. Records that can't be read are left out; a field that a
+    record doesn't have is null; names may hold any character. The only things collected are field names with their shapes and renames.
     """
     base = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body"))
     cells = fields(base, keep=["series", "file"], body="body", thing=thing)
@@ -199,34 +272,22 @@ def union_table(rows: DataFrame, *, series: str, file: str, at: str, body: str,
     per_file = cells.groupBy("series", "file", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     pairs = checkpointed(_pairs(_side_by_side(per_file, links).where("before is null or after is null")))
     renames = [tuple(r) for r in _renames(pairs, base, links, thing).groupBy("old_name", "new_name", "factor").count().collect()]
-    several = F.when(F.size("numbers") == 1, "number").when(F.size("numbers") > 1, "vector").otherwise("string")
-    shape = F.when(F.col("kind").isin("number", "boolean"), F.col("kind")).when((F.col("kind") == "array") & (F.size("numbers") == 0), "vector").otherwise(several)
-    seen = cells.where("kind is not null").groupBy("name", shape.alias("shape")).agg(F.count("*").alias("n")).collect()
+    seen = cells.where("kind is not null").groupBy("name", "shape").agg(F.count("*").alias("n")).collect()
     counts: dict[str, int] = defaultdict(int)
     for r in seen:
         counts[r["name"]] += r["n"]
     names = canonical_names(renames, counts)
-    kinds: dict[str, set[str]] = defaultdict(set)
+    shapes: dict[str, set[str]] = defaultdict(set)
     members: dict[str, dict[str, float]] = defaultdict(dict)
     for r in seen:
         lead, factor = names.get(r["name"], (r["name"], 1.0))
-        kinds[lead].add(r["shape"])
+        # Whole numbers in another unit need not stay whole.
+        shapes[lead].add(r["shape"].replace("bigint", "double") if factor != 1.0 else r["shape"])
         members[lead][r["name"]] = factor
-    quoted = lambda n: "$[" + repr(n) + "]"
-    out = records(rows, body=body)
-    columns = []
-    for lead in sorted(members):
-        kind, parts = promote(kinds[lead]), []
-        for name, factor in sorted(members[lead].items()):
-            text = F.expr(f"try_variant_get(_v, \"{quoted(name)}\", 'string')")
-            if kind in ("double", "array<double>"):
-                whole = F.expr(f"to_json(try_variant_get(_v, \"{quoted(name)}\", 'variant'))")
-                spaced = F.coalesce(F.when(whole.rlike(r"^[\[{]"), F.regexp_replace(whole, ",", " , ")), text)
-                numbers = F.transform(F.regexp_extract_all(spaced, F.lit(r"(-?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"), 1), _scaled(factor))
-                parts.append(F.get(numbers, F.lit(0)) if kind == "double" else F.when(F.size(numbers) > 0, numbers))
-            elif kind == "boolean":
-                parts.append(text.try_cast("boolean"))
-            else:
-                parts.append(F.coalesce(text, F.expr(f"nullif(to_json(try_variant_get(_v, \"{quoted(name)}\", 'variant')), 'null')")))
-        columns.append(F.coalesce(*parts).alias(lead))
+    # Fields are looked up by name, whatever characters it holds, and each is read once.
+    every = sorted({n for m in members.values() for n in m})
+    place = {n: f"_f{k}" for k, n in enumerate(every)}
+    out = records(rows, body=body).withColumn("_m", F.expr("try_cast(_v as map<string, variant>)"))
+    out = out.select(series, file, *keep, *[F.try_element_at("_m", F.lit(n)).alias(place[n]) for n in every])
+    columns = [F.expr(f"coalesce({', '.join(cast(place[n], promote(shapes[lead]), f) for n, f in sorted(m.items()))})").alias(lead) for lead, m in sorted(members.items())]
     return out.select(series, file, *keep, *columns)

@@ -46,13 +46,13 @@ def _offset_at(zone: ZoneInfo, at: int) -> int:
     return int(datetime.fromtimestamp(at, timezone.utc).astimezone(zone).utcoffset().total_seconds())
 
 
-def _spans(zone: ZoneInfo, year: int, standard: bool) -> list[tuple[int, int, int]]:
-    """(from, to, offset) in UTC seconds over the year with twelve days on either side."""
-    begin = int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp()) - 12 * 86400
-    end = int(datetime(year + 1, 1, 1, tzinfo=timezone.utc).timestamp()) + 12 * 86400
+def _spans(zone: ZoneInfo, year: int, standard: bool, days: int) -> list[tuple[int, int, int]]:
+    """(from, to, offset) in UTC seconds over the year with so many days on either side."""
+    begin = int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp()) - days * 86400
+    end = int(datetime(year + 1, 1, 1, tzinfo=timezone.utc).timestamp()) + days * 86400
     if standard:
         middle = int(datetime(year, 7, 1, tzinfo=timezone.utc).timestamp())
-        return [(begin, end, min(_offset_at(zone, begin + 12 * 86400), _offset_at(zone, middle)))]
+        return [(begin, end, min(_offset_at(zone, begin + days * 86400), _offset_at(zone, middle)))]
     spans, at, offset = [], begin, _offset_at(zone, begin)
     for probe in range(begin + 7 * 86400, end + 7 * 86400, 7 * 86400):
         probe = min(probe, end)
@@ -66,12 +66,15 @@ def _spans(zone: ZoneInfo, year: int, standard: bool) -> list[tuple[int, int, in
     return [*spans, (at, end, offset)]
 
 
-def zone_intervals(zones: DataFrame) -> DataFrame:
-    """Of a column `zone` of IANA names: `zone, standard, year, spans`, the offset intervals in local microseconds.
+def zone_intervals(zones: DataFrame, window_days: int = 10) -> DataFrame:
+    """Of a column `zone` of IANA names: `zone, standard, year, days, spans`, the offset intervals in local microseconds, of `days` days before
+    and after the year as well: the window in which instants are looked for, and two days for offsets.
 
     `standard` rows hold the zone's winter time all year. Unknown and null names give no rows.
     """
 
+    days = window_days + 2
+
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name in batch["zone"]:
@@ -81,15 +84,15 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
                     continue
                 yield pd.DataFrame(
                     [
-                        (name, standard, year, [{"lo": (a + o) * 1_000_000, "hi": (b + o) * 1_000_000, "off": o} for a, b, o in _spans(zone, year, standard)])
+                        (name, standard, year, days, [{"lo": (a + o) * 1_000_000, "hi": (b + o) * 1_000_000, "off": o} for a, b, o in _spans(zone, year, standard, days)])
                         for standard in (False, True)
                         for year in range(FIRST_YEAR, LAST_YEAR)
                     ],
-                    columns=["zone", "standard", "year", "spans"],
+                    columns=["zone", "standard", "year", "days", "spans"],
                 )
 
     known = zones.select("zone").where("zone is not null").distinct()
-    return known.mapInPandas(lay_out, "zone string, standard boolean, year int, spans array<struct<lo: bigint, hi: bigint, off: int>>")
+    return known.mapInPandas(lay_out, "zone string, standard boolean, year int, days int, spans array<struct<lo: bigint, hi: bigint, off: int>>")
 
 
 def _map(values: dict[str, int]) -> str:
@@ -163,7 +166,7 @@ def readings(df: DataFrame, text: str) -> DataFrame:
 def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone: str, standard: Column | None = None, window_days: int = 10, fields: tuple[str, str, str] = ("utc_us", "time_status", "grain_s")) -> DataFrame:
     """`df` with the instant of `text` in microseconds since 1970 UTC, and how it was found.
 
-    zones: `zone_intervals` of every zone that `zone` names. standard: true where the clock keeps winter time all year.
+    zones: `zone_intervals`, laid out for `window_days`, of every zone that `zone` names. standard: true where the clock keeps winter time all year.
     The status is `exact`, `ambiguous` (the local time occurs twice), `nonexistent` (it was skipped), `out_of_window`
     (readable, but no reading is at most `window_days` before `received`), `unreadable` or, for a null text, null.
     `grain_s` is the unit in seconds to which the text was cut, 1 for seconds and finer.
@@ -174,7 +177,7 @@ def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone
     utc, status, grain = fields
     out = readings(df, text)
     keys = {"_ts_zone": F.col(zone), "_ts_standard": F.coalesce(standard, F.lit(False)) if standard is not None else F.lit(False), "_ts_year": F.year(F.col(received))}
-    spans = zones.select(F.col("zone").alias("_ts_zone"), F.col("standard").alias("_ts_standard"), F.col("year").alias("_ts_year"), F.col("spans").alias("_ts_spans"))
+    spans = zones.select(F.col("zone").alias("_ts_zone"), F.col("standard").alias("_ts_standard"), F.col("year").alias("_ts_year"), F.when(F.col("days") >= window_days + 2, F.col("spans")).otherwise(F.raise_error(F.lit("zone_intervals must be laid out for this window"))).alias("_ts_spans"))
     out = out.withColumns(keys).join(F.broadcast(spans), ["_ts_zone", "_ts_standard", "_ts_year"], "left")
     out = out.withColumn("_ts_got", F.unix_micros(F.col(received).cast("timestamp")))
     out = out.withColumn(
@@ -199,7 +202,7 @@ def normalise(df: DataFrame, zones: DataFrame, *, text: str, received: str, zone
             utc: F.expr(f"case when `{text}` is null then null else coalesce(_ts_best.at, -1L) end"),
             status: F.expr(
                 f"""case when `{text}` is null then null when _ts_best.n > 1 then 'ambiguous' when _ts_best.n = 1 then 'exact'
-                     when _ts_at is not null then 'out_of_window' when size(_ts_readings) = 0 then 'unreadable' when size(_ts_found) = 0 then 'nonexistent' else 'out_of_window' end"""
+                     when _ts_at is not null then 'out_of_window' when size(_ts_readings) = 0 then 'unreadable' when size(_ts_found) = 0 and (_ts_spans is null or exists(_ts_readings, r -> r.us >= _ts_spans[0].lo and r.us < _ts_spans[size(_ts_spans) - 1].hi)) then 'nonexistent' else 'out_of_window' end"""
             ),
         }
     )

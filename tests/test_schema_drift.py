@@ -64,7 +64,31 @@ def test_union_table(spark):
     assert [round(r["tilt"], 9) for r in out] == [round(p["tilt_deg"], 9) for p in first] * 3
     assert [r["id"] for r in out] == [0, 1, 2, 3] * 3
     assert out[-1]["at"] == [1.0, 2.5] and out[0]["at"] is None
-    assert D.promote({"number", "vector"}) == "array<double>" and D.promote({"boolean", "number"}) == "string" and D.promote({"number"}) == "double"
+    assert D.promote({"double", "double[]"}) == "array<double>" and D.promote({"boolean", "double"}) == "string" and D.promote({"double", "bigint"}) == "double"
+
+
+def test_nothing_is_lost_in_the_union(spark):
+    first = [{"id": 9007199254740993, "day": "2024-01-15", "corners": [[1, 2], [3, 4.5]], "it's \"odd\"": "a", "code": "007", "mixed": 1, "flag": True, "who": {"name": "wall"}, "w": "1 2.5", "tags": ["a"]}]
+    second = [{"id": 9007199254740995, "day": "2024-02-01T10:30:00Z", "corners": [[5, 6]], "it's \"odd\"": None, "code": "12", "mixed": [2, 3], "flag": None, "who": "roof", "w": [3, 4], "tags": []}]
+    _, df, args = run(spark, files(first, second))
+    out = D.union_table(df, **args, keep=["line"]).orderBy("file_id")
+    assert dict(out.dtypes)["id"] == "bigint" and dict(out.dtypes)["day"] == "timestamp" and dict(out.dtypes)["tags"] == "array<string>"
+    rows = {r["id"]: r.asDict() for r in out.collect()}
+    a, b = rows[9007199254740993], rows[9007199254740995]
+    assert a["corners"] == [[1.0, 2.0], [3.0, 4.5]] and b["corners"] == [[5.0, 6.0]]
+    assert a["it's \"odd\""] == "a" and (a["code"], b["code"]) == ("007", "12")
+    assert (a["mixed"], b["mixed"]) == ([1], [2, 3]) and (a["flag"], b["flag"]) == (True, None)
+    assert (a["who"], b["who"]) == ('{"name":"wall"}', "roof") and (a["w"], b["w"]) == ([1.0, 2.5], [3.0, 4.0]) and (a["tags"], b["tags"]) == (["a"], [])
+
+
+def test_promotion_lattice():
+    kinds = ["bigint", "double", "boolean", "timestamp", "string", "bigint[]", "double[][]", "string[]", "object", "numbers", "void[]", "object[]"]
+    for a in kinds:
+        for b in kinds:
+            assert D.promote({a, b}) == D.promote({b, a})
+    assert D.promote({"bigint[]", "double"}) == "array<double>" and D.promote({"bigint", "double[][]"}) == "array<array<double>>"
+    assert D.promote({"timestamp", "string"}) == "string" and D.promote({"timestamp"}) == "timestamp" and D.promote({"numbers", "double[]"}) == "array<double>"
+    assert D.promote({"void[]", "bigint[]"}) == "array<bigint>" and D.promote({"string[]", "string"}) == "string" and D.promote({"numbers"}) == "string"
 
 
 def test_plane_tables(spark, tmp_path):

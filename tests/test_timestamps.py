@@ -87,3 +87,13 @@ def test_usual_form_with_impossible_parts(spark, zones):
     texts = ["2024-02-30 12:00:00+01:00", "2024-02-28 24:00:00+01:00", "2024-02-28 12:00:61+01:00", "2024-02-28 12:00:00-09:30"]
     df = spark.createDataFrame([(t, datetime(2024, 3, 1), None) for t in texts], "text string, got timestamp, tz string")
     assert [r["utc_us"] for r in T.normalise(df, zones, text="text", received="got", zone="tz").collect()] == [-1, -1, -1, us("2024-02-28 21:30:00")]
+
+
+def test_windows_beyond_the_year(spark, zones):
+    df = spark.createDataFrame([("2024-11-20 12:00:00", datetime(2025, 1, 10), "Europe/Rome"), ("2024-11-20 12:00:00", datetime(2024, 11, 25), "Europe/Rome")], "text string, got timestamp, tz string")
+    args = dict(text="text", received="got", zone="tz")
+    wide = T.zone_intervals(spark.createDataFrame([("Europe/Rome",)], "zone string"), 60)
+    assert [(r["utc_us"], r["time_status"]) for r in T.normalise(df, wide, **args, window_days=60).collect()] == [(us("2024-11-20 11:00:00"), "exact")] * 2
+    assert [r["time_status"] for r in T.normalise(df, zones, **args).collect()] == ["out_of_window", "exact"]
+    with pytest.raises(Exception, match="laid out"):
+        T.normalise(df, zones, **args, window_days=60).collect()
