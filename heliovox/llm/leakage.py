@@ -61,22 +61,17 @@ def least_shared(m: int, edits: float = EDITS) -> int:
     return max(1, (m - width + 1) - width * (int(m * edits) + 1))
 
 
-class Words:
-    """Numbers of words, and of shingles of them; the same in every process."""
+class Words(dict):
+    """Numbers of words, the same in every process, with a memory of those seen."""
 
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        n = xxhash.xxh3_64_intdigest(word) >> 1
+        if len(self) < MEMORY:
+            self[word] = n
+        return n
 
     def ids(self, words: list[str]) -> np.ndarray:
-        seen, out = self.seen, np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            n = seen.get(w)
-            if n is None:
-                n = xxhash.xxh3_64_intdigest(w)
-                if len(seen) < MEMORY:
-                    seen[w] = n
-            out[k] = n
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def shingles(ids: np.ndarray, width: int) -> np.ndarray:
@@ -192,31 +187,42 @@ def slack(n: int, edits: float = EDITS) -> int:
     return int(n * edits) + 1
 
 
-def bands(places: np.ndarray, found: np.ndarray, grams: np.ndarray, least: int, n: int, edits: float) -> list[int]:
-    """The diagonals, in steps of `slack + 1`, near which a document shares enough shingles with an item.
+def bands(places: np.ndarray, found: np.ndarray, grams: np.ndarray, order: np.ndarray, least: int, n: int, edits: float) -> list[tuple[int, int]]:
+    """The bands of diagonals in which a document shares enough shingles with an item, as (first, last) step of `slack + 1`.
 
-    places, found: places and numbers of the document's shingles; grams: those of the item of n words. Band b takes in places j
-    and i with b - 1 <= (j - i) / (slack + 1) < b + 1.
+    places, found: places and numbers of the document's shingles; grams, order: those of the item of n words, in order of their numbers,
+    and their places. Place j of the document and i of the item lie in step (j - i) // (slack + 1). A stretch may stray over two steps.
     """
-    order = np.argsort(grams, kind="stable")
-    start, end = np.searchsorted(grams[order], found), np.searchsorted(grams[order], found, side="right")
-    shared = np.flatnonzero(end > start)
     need, step = least_shared(least, edits), slack(n, edits) + 1
+    start = np.searchsorted(grams, found)
+    shared = np.flatnonzero(grams[np.minimum(start, len(grams) - 1)] == found)
+    if len(shared) < need:
+        return []
+    start, places = start[shared], places[shared]
+    times = np.searchsorted(grams, found[shared], side="right") - start
     counts: dict[int, int] = {}
     # Some places at a time, for texts that say the same again and again.
-    for part in np.array_split(shared, max(1, -(-int((end - start)[shared].sum()) // 2_000_000))):
-        times = (end - start)[part]
-        j = np.repeat(np.arange(len(part)), times)
-        i = order[np.repeat(start[part] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())] if len(part) else np.empty(0, np.int64)
-        band = (places[part][j] - i) // step
-        pairs = np.unique(np.column_stack([np.r_[band, band + 1], np.r_[j, j]]), axis=0)
-        for b, c in zip(*np.unique(pairs[:, 0], return_counts=True)):
+    cuts = np.searchsorted(np.cumsum(times), np.arange(2_000_000, int(times.sum()), 2_000_000))
+    for part in np.split(np.arange(len(places)), cuts):
+        k = times[part]
+        j = np.repeat(part, k)
+        i = order[np.repeat(start[part] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())] if len(part) else j
+        at = (places[j] - i) // step
+        # Each place counts once in every pair of steps it may belong to.
+        pairs = np.unique(np.r_[(at - 1) * len(places) + j, at * len(places) + j])
+        for b, c in zip(*np.unique(pairs // len(places), return_counts=True)):
             counts[int(b)] = counts.get(int(b), 0) + int(c)
-    return sorted(b for b, c in counts.items() if c >= need)
+    out: list[tuple[int, int]] = []
+    for b in sorted(b for b, c in counts.items() if c >= need):
+        if out and out[-1] == (b - 1, b):
+            out[-1] = (b - 1, b + 1)  # steps b - 1 to b + 1 are aligned at once
+        else:
+            out.append((b, b + 1))
+    return out
 
 
 def prepared(items: DataFrame, *, item_id: str, text: str, share: float) -> DataFrame:
-    """`item, words, least, grams` of every item that has words; one row per id."""
+    """`item, words, least, grams, order` of every item that has words, shingles in order of their numbers with their places; one row per id."""
     rows = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).alias("item")).agg(F.max(text).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,11 +230,12 @@ def prepared(items: DataFrame, *, item_id: str, text: str, share: float) -> Data
         for batch in batches:
             words = [words_of(t) for t in batch["text"]]
             least = [least_words(len(w), share) for w in words]
-            grams = [shingles(number.ids(w), width_of(m)).tolist() for w, m in zip(words, least)]
-            out = pd.DataFrame({"item": batch["item"], "words": words, "least": least, "grams": grams})
+            grams = [shingles(number.ids(w), width_of(m)) for w, m in zip(words, least)]
+            order = [np.argsort(g, kind="stable") for g in grams]
+            out = pd.DataFrame({"item": batch["item"], "words": words, "least": least, "grams": [g[o] for g, o in zip(grams, order)], "order": order})
             yield out[[bool(w) for w in words]]
 
-    return rows.mapInPandas(cut, f"item {dict(rows.dtypes)['item']}, words array<string>, least int, grams array<bigint>")
+    return rows.mapInPandas(cut, f"item {dict(rows.dtypes)['item']}, words array<string>, least int, grams array<bigint>, `order` array<int>")
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = SHARE, edits: float = EDITS) -> DataFrame:
@@ -291,7 +298,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     kept = read.where("n is null").drop("n")
 
     # Prefixes, by rarity in all documents.
-    ranked = wanted.select("item", "least", F.posexplode("grams").alias("i", "gram")).join(counts, "gram", "left").select("item", "least", "i", "gram", F.coalesce("docs", F.lit(0)).alias("docs"))
+    each = wanted.select("item", "least", F.explode(F.arrays_zip("grams", "order")).alias("g")).select("item", "least", F.col("g.grams").alias("gram"), F.col("g.order").alias("i"))
+    ranked = each.join(counts, "gram", "left").select("item", "least", "i", "gram", F.coalesce("docs", F.lit(0)).alias("docs"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
@@ -304,15 +312,15 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     def near_diagonals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc, item, b)
-                for doc, item, places, found, grams, least, n in zip(batch["doc"], batch["item"], batch["places"], batch["found"], batch["grams"], batch["least"], batch["n"])
-                for b in bands(places, found, grams, least, n, edits)
+                (doc, item, first, last)
+                for doc, item, places, found, grams, order, least, n in zip(*(batch[c] for c in ("doc", "item", "places", "found", "grams", "order", "least", "n")))
+                for first, last in bands(places, found, grams, order, least, n, edits)
             ]
-            yield pd.DataFrame(rows, columns=["doc", "item", "band"])
+            yield pd.DataFrame(rows, columns=["doc", "item", "first", "last"])
 
-    both = pairs.join(wanted.select("item", "least", "grams", F.size("words").alias("n")), "item")
+    both = pairs.join(wanted.select("item", "least", "grams", "order", F.size("words").alias("n")), "item")
     both = both.join(kept.withColumnRenamed("doc", "doc_"), both["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
-    near = checkpointed(both.mapInPandas(near_diagonals, f"doc {kind}, item {dict(wanted.dtypes)['item']}, band bigint").distinct())
+    near = checkpointed(both.mapInPandas(near_diagonals, f"doc {kind}, item {dict(wanted.dtypes)['item']}, first bigint, last bigint").distinct())
 
     # The texts of the documents that are left, by a filter of bounded size before anything is moved.
     chosen = Filter.of(near.select(F.xxhash64("doc").alias("k")))
@@ -331,12 +339,12 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
         last, said = None, []
         for batch in batches:
             rows = []
-            for doc, t, item, words, least, band in zip(batch["doc"], batch["text"], batch["item"], batch["words"], batch["least"], batch["band"]):
+            for doc, t, item, words, least, first, last_ in zip(*(batch[c] for c in ("doc", "text", "item", "words", "least", "first", "last"))):
                 if t is not last and t != last:
                     last, said = t, words_of(t)
                 n = len(words)
                 step, stray = slack(n, edits) + 1, slack(n, edits)
-                low, high = (band - 1) * step - stray, (band + 1) * step + stray
+                low, high = first * step - stray, (last_ + 1) * step + stray
                 start, end = max(0, low), max(0, min(len(said), n + high))
                 number = {w: k for k, w in enumerate(dict.fromkeys(words))}
                 passage = np.array([number.get(w, -1) for w in said[start:end]], np.int64)
