@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, functions as F
 
@@ -89,6 +91,8 @@ def pinhole(p: Vector, k: tuple[float, float, float, float], distortion: Sequenc
     fx, fy, cx, cy = k
     k1, k2, p1, p2, k3 = distortion
     x, y = F.try_divide(p[0], p[2]), F.try_divide(p[1], p[2])
+    if not any(distortion):
+        return fx * x + cx, fy * y + cy
     r2 = x * x + y * y
     radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
     u = x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
@@ -135,3 +139,63 @@ def angular_window(p: Vector, half_deg: float) -> Column:
     """Whether a point ahead (along x) lies within the given angle to either side and up or down."""
     az, el = F.degrees(F.atan2(p[1], p[0])), F.degrees(F.atan2(p[2], F.hypot(p[0], p[1])))
     return (F.abs(az) <= half_deg) & (F.abs(el) <= half_deg)
+
+
+def rescaled(k: tuple[float, float, float, float], calibrated: tuple[int, int], captured: tuple[int, int]) -> tuple[float, float, float, float]:
+    """Focal lengths and centre of a camera for captures of another size than it was calibrated with."""
+    w, h = captured[0] / calibrated[0], captured[1] / calibrated[1]
+    return k[0] * w, k[1] * h, k[2] * w, k[3] * h
+
+
+def composed(a: tuple[Sequence[Sequence[float]], Sequence[float]], b: tuple[Sequence[Sequence[float]], Sequence[float]]) -> tuple[list[list[float]], list[float]]:
+    """The rigid motion (rotation, shift) that does `b`, then `a`."""
+    (ra, ta), (rb, tb) = a, b
+    rotation = [[sum(ra[i][k] * rb[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
+    return rotation, [sum(ra[i][k] * tb[k] for k in range(3)) + ta[i] for i in range(3)]
+
+
+def north_up(bearing_deg: float) -> list[list[float]]:
+    """Rotation about the vertical that turns a direction of this bearing to the first axis' side: by 90 degrees less the bearing."""
+    t = math.radians(90.0 - bearing_deg)
+    return [[math.cos(t), -math.sin(t), 0.0], [math.sin(t), math.cos(t), 0.0], [0.0, 0.0, 1.0]]
+
+
+def outward(n: Vector, point: Vector, interior: Vector) -> list[Column]:
+    """A plane's normal at a point of it, turned away from an interior point."""
+    sign = F.when(dot(n, [a - b for a, b in zip(point, interior)]) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return [x * sign for x in n]
+
+
+def pixel_bearing(u: Column, v: Column, k: tuple[float, float, float, float]) -> list[Column]:
+    """Unit vector, in camera axes, towards a pixel of an undistorted image."""
+    p = [(u - k[2]) / k[0], (v - k[3]) / k[1], F.lit(1.0)]
+    size = norm(p)
+    return [x / size for x in p]
+
+
+def box_corners(cx: Column, cy: Column, width: Column, depth: Column, yaw_deg: Column) -> Column:
+    """The four corners, in turn, of a rectangle in plan that is turned about its centre."""
+    c, s = F.cos(F.radians(yaw_deg)), F.sin(F.radians(yaw_deg))
+    at = lambda a, b: F.array(cx + c * width * a - s * depth * b, cy + s * width * a + c * depth * b)
+    return F.array(at(-0.5, -0.5), at(0.5, -0.5), at(0.5, 0.5), at(-0.5, 0.5))
+
+
+def in_turned_box(x: Column, y: Column, cx: Column, cy: Column, width: Column, depth: Column, yaw_deg: Column) -> Column:
+    c, s = F.cos(F.radians(yaw_deg)), F.sin(F.radians(yaw_deg))
+    return (F.abs((x - cx) * c + (y - cy) * s) <= width / 2) & (F.abs((y - cy) * c - (x - cx) * s) <= depth / 2)
+
+
+def _part(n: int, corner: Column) -> Column:
+    return F.get(corner, F.lit(n))
+
+
+def face_bounds(corners: Column) -> list[Column]:
+    """Least and greatest coordinate of a face's corners, axis by axis."""
+    along = [F.transform(corners, partial(_part, n)) for n in range(3)]
+    return [f(a) for a in along for f in (F.array_min, F.array_max)]
+
+
+def snapped(p: Vector, n: Vector, d: Column, share: float) -> list[Column]:
+    """A point moved by a share of its distance towards a plane with a unit normal."""
+    gap = dot(n, p) + d
+    return [a - share * gap * b for a, b in zip(p, n)]

@@ -75,6 +75,13 @@ def largest_component(cells: DataFrame, axes: Sequence[str], *, weight: str | No
     return labelled.join(F.broadcast(best), "component", "left_semi").drop("component")  # one row
 
 
+def without_small(cells: DataFrame, axes: Sequence[str], *, least_side: int, corners: bool = True) -> DataFrame:
+    """Distinct cells of the components whose longest side is of at least so many cells."""
+    labelled = cell_components(cells, axes, corners=corners)
+    sides = labelled.groupBy("component").agg(F.greatest(*[F.max(a) - F.min(a) + 1 for a in axes]).alias("_side"))
+    return labelled.join(sides.where(F.col("_side") >= least_side), "component", "left_semi").select(*axes)
+
+
 def fill_enclosed(raster: DataFrame, *, rows: int, cols: int, unknown: int = 18) -> DataFrame:
     """`row, col, label, filled`: the raster's cells (missing ones are empty), with empty regions that don't touch the border filled.
 

@@ -77,6 +77,17 @@ def voxel_outliers(points: DataFrame, size: float, ratio: float) -> DataFrame:
     return cells.join(kept, list(lattice.INNER), "left_semi").drop(*lattice.INNER)
 
 
+def filtered(points: DataFrame, *, outliers: tuple[float, float] | None, declutter: float | None, voxel: float | None) -> DataFrame:
+    """Points through the steps that are wanted, always in this order: thin cells out (cell size, ratio), the largest part alone (gap between parts), the mean of each cell."""
+    from heliovox.operators import graph
+
+    if outliers is not None:
+        points = voxel_outliers(points, *outliers)
+    if declutter is not None:
+        points = graph.declutter(points, declutter)
+    return points if voxel is None else lattice.grid_average(points, voxel)
+
+
 def densest_crop(points: DataFrame, size: float, half: float) -> DataFrame:
     """Points within `half` in x and y of the centre of the fullest cell; of equally full ones the least indices count."""
     i, j = (lattice.index(lattice.clean(a), size) for a in "xy")

@@ -11,8 +11,10 @@ from heliovox.session import table
 R = lambda c, n=6: (F.round(c, n) + F.lit(0.0)).alias(c)
 
 
-def _wall(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("value < 8").select((F.col("user_id") % 48).cast("bigint").alias("row"), F.hour("ts").cast("bigint").alias("col")).distinct()
+def _wall(spark: SparkSession, d: str, least: float = 65.0) -> DataFrame:
+    """Cells of a wall whose mean value is above 65, or another least."""
+    cells = events(spark, d).groupBy((F.col("user_id") % 48).cast("bigint").alias("row"), F.hour("ts").cast("bigint").alias("col")).agg(F.avg("value").alias("m"))
+    return cells.where(F.col("m") > least).select("row", "col")
 
 
 def declutter(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +27,7 @@ def closed_occupancy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opened_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    return graph.opened(_wall(spark, d), ["row", "col"], corners=False)
+    return graph.opened(_wall(spark, d, 40.0), ["row", "col"], corners=False)
 
 
 def wall_holes(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +137,7 @@ QUERIES = {
     )
 }
 
-_W = "w as (select distinct user_id % 48 r, hour(ts) c from events where value < 8)"
+_W = "w as (select user_id % 48 r, hour(ts) c from events group by 1, 2 having avg(value) > 65)"
 _N8 = "(select a.x dr, b.x dc from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x))"
 _N4 = f"(select * from {_N8} where abs(dr) + abs(dc) <= 1)"
 _CLOSED = f"""{_W}, d as (select distinct r + dr r, c + dc c from w, {_N8}), e as (select r + dr r, c + dc c from d, {_N8} group by 1, 2 having count(*) = 9)"""
@@ -146,7 +148,7 @@ SQL = {
         m as (select b id, min(a) c from r group by 1), s as (select c from m join q using (id) group by 1 having sum(n) >= 10)
         select vec_id from p join q using (i, j, k) join m using (id) where c in (select c from s)""",
     "closed_occupancy": f'with {_CLOSED} select r as "row", c as "col" from e',
-    "opened_occupancy": f"""with {_W}, e as (select r + dr r, c + dc c from w, {_N4} group by 1, 2 having count(*) = 5) select distinct r + dr as "row", c + dc as "col" from e, {_N4}""",
+    "opened_occupancy": f"""with {_W.replace('65', '40')}, e as (select r + dr r, c + dc c from w, {_N4} group by 1, 2 having count(*) = 5) select distinct r + dr as "row", c + dc as "col" from e, {_N4}""",
     "wall_holes": f"""with recursive {_CLOSED}, k as (select * from e where r between 0 and 47 and c between 0 and 23), g as (select a.r, b.c from (select unnest(range(48)) r) a, (select unnest(range(24)) c) b),
         f as (select g.* from g anti join k using (r, c)), o as (select r, c from f where r = 0 or r = 47 or c = 0 or c = 23 union select f.r, f.c from o join f on abs(o.r - f.r) + abs(o.c - f.c) = 1),
         h as (select f.*, row_number() over (order by f.r, f.c) id from f anti join o using (r, c)), x as (select id a, id b from h union select x.a, z.id from x join h y on y.id = x.b join h z on abs(y.r - z.r) + abs(y.c - z.c) = 1),

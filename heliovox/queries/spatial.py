@@ -71,39 +71,20 @@ def densest_crop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    cells = lattice.distinct_cells(points(spark, d).where("label < 3"), 0.1)
-    out = graph.cell_components(cells, ["i", "j", "k"])
-    first = out.groupBy("component").agg(F.min(F.struct("i", "j", "k")).alias("f"), F.count("*").alias("cells"))
-    return first.select("f.i", "f.j", "f.k", "cells")
-
-
-def largest_component(spark: SparkSession, d: str) -> DataFrame:
-    cells = lattice.voxels(points(spark, d).where("label < 3"), 0.1, label="label")
-    return graph.largest_component(cells, ["i", "j", "k"], weight="n")
-
-
-def enclosed_hole_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_discount < 0.01 or l_tax > 0.07").select((F.col("l_partkey") % 40).alias("row"), (F.col("l_orderkey") % 60).alias("col"), (F.col("l_linenumber") % 3).alias("label"))
-    raster = rows.groupBy("row", "col").agg(F.min("label").alias("label")).where("(row * 7 + col * 3) % 4 > 0")
-    return graph.fill_enclosed(raster, rows=40, cols=60).groupBy("label", "filled").agg(F.count("*").alias("cells"))
-
-
-def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """As `connected_components`, whose SQL takes labels below 3, over all points."""
     out = graph.cell_components(lattice.distinct_cells(points(spark, d), 0.1), ["i", "j", "k"])
     first = out.groupBy("component").agg(F.min(F.struct("i", "j", "k")).alias("f"), F.count("*").alias("cells"))
     return first.select("f.i", "f.j", "f.k", "cells")
 
 
-def largest_component_all(spark: SparkSession, d: str) -> DataFrame:
-    """As `largest_component`, over all points."""
+def largest_component(spark: SparkSession, d: str) -> DataFrame:
     return graph.largest_component(lattice.voxels(points(spark, d), 0.1, label="label"), ["i", "j", "k"], weight="n")
 
 
-def enclosed_hole_fill_all(spark: SparkSession, d: str) -> DataFrame:
-    """Empty regions enclosed in the raster of users by hours of all events; a cell's label is the least code of its events' types."""
-    raster = events(spark, d).select(F.col("user_id").alias("row"), F.hour("ts").alias("col"), F.crc32(F.col("event_type").cast("binary")).alias("label")).groupBy("row", "col").agg(F.min("label").alias("label"))
-    rows = (raster.agg(F.max("row")).first()[0] or 0) + 1
+def enclosed_hole_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Empty regions enclosed in a raster of users by hours: pixels whose mean value is above 50; a pixel's label is the most of its users' hundreds."""
+    cells = events(spark, d).groupBy(F.col("user_id").alias("row"), F.hour("ts").alias("col")).agg(F.avg("value").alias("m"), F.max(F.floor(F.col("value") / 100)).alias("label"))
+    raster = cells.where("m > 50").select("row", "col", F.least("label", F.lit(2)).alias("label"))
+    rows = (cells.agg(F.max("row")).first()[0] or 0) + 1
     return graph.fill_enclosed(raster, rows=rows, cols=24).groupBy("label", "filled").agg(F.count("*").alias("cells"))
 
 
@@ -117,7 +98,7 @@ def circular_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plane_fit(spark: SparkSession, d: str) -> DataFrame:
-    return space.plane_moments(points(spark, d), ["label"]).select("label", "n", *[R(c) for c in ("mx", "my", "mz")], *[R(c, 8) for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
+    return space.fit_planes(points(spark, d), ["label"]).select("label", "n", *[R(c, 5) for c in ("nx", "ny", "nz", "d")])
 
 
 def rigid_fit_2d(spark: SparkSession, d: str) -> DataFrame:
@@ -134,13 +115,6 @@ def plane_attributes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("plane_uid", *[R(a) for a in ("cx", "cy", "cz", "cd")], R("tilt", 4), "axis", R("bearing", 4))
 
 
-def revisit_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Half-metre cells that a session sees again at least 100 samples later, with the first and last sample in each; `revisit_nearest` has the pairs."""
-    p = table(spark, d, "posetum").select("session_id", "pose_id", F.col("posetum_row_idx").alias("at"), "tx", "ty").dropna()
-    cells = p.withColumn("cx", F.floor(F.col("tx") / 0.5)).withColumn("cy", F.floor(F.col("ty") / 0.5))
-    return cells.groupBy("session_id", "cx", "cy").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).where("last_at - first_at >= 100")
-
-
 def revisit_nearest(spark: SparkSession, d: str) -> DataFrame:
     """For every pose the nearest pose of its session within half a metre in plan that lies at least 100 samples before; of equally near ones the earliest, then the smaller id."""
     p = table(spark, d, "posetum").select("session_id", "pose_id", F.col("posetum_row_idx").alias("at"), "tx", "ty").dropna()
@@ -204,7 +178,7 @@ def greedy_rectangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def largest_rectangles(spark: SparkSession, d: str) -> DataFrame:
-    cells = events(spark, d).where("value > 20").select("event_type", (F.col("user_id") % 24).cast("int").alias("row"), F.hour("ts").cast("int").alias("col")).distinct()
+    cells = events(spark, d).groupBy("event_type", (F.col("user_id") % 24).cast("int").alias("row"), F.hour("ts").cast("int").alias("col")).agg(F.avg("value").alias("m")).where("m > 25")
     return graph.inscribed(cells, by="event_type").select("event_type", "area")
 
 
@@ -212,13 +186,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         z_buffer, pinhole_project, nearest_plane, bounded_face, angular_window_stats, segment_boxes, outlier_knn, outlier_density, densest_crop, connected_components, largest_component,
-        enclosed_hole_fill, connected_components_all, largest_component_all, enclosed_hole_fill_all, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_pairs, revisit_nearest, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
+        enclosed_hole_fill, principal_yaw, circular_mean, plane_fit, rigid_fit_2d, plane_attributes, revisit_nearest, top_k_similarity, nearest_fill, ransac_plane, plane_dedupe,
         greedy_rectangles, largest_rectangles,
     )
 }
 
 _V = lambda rows: ", ".join("(" + ", ".join(f"{v!r}::double" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
-_CELLS3 = f"c as (select *, cast(floor(x / 0.1) as bigint) i, cast(floor(y / 0.1) as bigint) j, cast(floor(z / 0.1) as bigint) k from {POINTS} where label < 3), o as (select i, j, k, count(*) n from c group by 1, 2, 3)"
+_CELLS3 = f"c as (select *, cast(floor(x / 0.1) as bigint) i, cast(floor(y / 0.1) as bigint) j, cast(floor(z / 0.1) as bigint) k from {POINTS}), o as (select i, j, k, count(*) n from c group by 1, 2, 3)"
 _REACH = f"""with recursive {_CELLS3}, q as (select *, row_number() over (order by i, j, k) id from o),
     r as (select id a, id b from q union select r.a, y.id from r join q x on x.id = r.b join q y on abs(x.i - y.i) <= 1 and abs(x.j - y.j) <= 1 and abs(x.k - y.k) <= 1),
     m as (select b id, min(a) c from r group by 1), l as (select q.*, m.c from q join m using (id))"""
@@ -253,17 +227,24 @@ SQL = {
         select vec_id from c, (select (i + 0.5) * 0.1::double cx, (j + 0.5) * 0.1::double cy from b) where abs(x - cx) <= 0.12::double and abs(y - cy) <= 0.12::double""",
     "connected_components": f"{_REACH} select l.i, l.j, l.k, n_ cells from l join (select c, min(id) f, count(*) n_ from l group by 1) g on l.id = g.f",
     "largest_component": f"{_REACH} select i, j, k from l where c = (select c from l group by 1 order by sum(n) desc, c limit 1)",
-    "enclosed_hole_fill": """with recursive r as (select l_partkey % 40 r, l_orderkey % 60 c, min(l_linenumber % 3) label from lineitem where l_discount < 0.01 or l_tax > 0.07 group by 1, 2),
-        k as (select * from r where (r * 7 + c * 3) % 4 > 0), g as (select a.r, b.c from (select unnest(range(40)) r) a, (select unnest(range(60)) c) b), e as (select g.* from g anti join k using (r, c)),
-        o as (select r, c from e where r = 0 or r = 39 or c = 0 or c = 59 union select e.r, e.c from o join e on abs(o.r - e.r) + abs(o.c - e.c) = 1),
+    "enclosed_hole_fill": """with recursive a as (select user_id r, hour(ts) c, avg(value) m, max(cast(floor(value / 100) as bigint)) label from events group by 1, 2), n as (select max(r) z from a),
+        k as (select r, c, least(label, 2) label from a where m > 50), g as (select a.r, b.c from (select unnest(range((select z from n) + 1)) r) a, (select unnest(range(24)) c) b), e as (select g.* from g anti join k using (r, c)),
+        o as (select r, c from e where r = 0 or r = (select z from n) or c = 0 or c = 23 union select e.r, e.c from o join e on abs(o.r - e.r) + abs(o.c - e.c) = 1),
         h as (select e.*, row_number() over (order by e.r, e.c) id from e anti join o using (r, c)),
         w as (select id a, id b from h union select w.a, y.id from w join h x on x.id = w.b join h y on abs(x.r - y.r) + abs(x.c - y.c) = 1), m as (select b id, min(a) comp from w group by 1),
         b as (select comp, min(label) lo, max(label) hi from h join m using (id) join k on abs(h.r - k.r) + abs(h.c - k.c) = 1 group by 1)
         select label, filled, count(*) cells from (select label, false filled from k union all select case when lo = hi then lo else 18 end label, true filled from h join m using (id) join b using (comp)) group by 1, 2""",
     "principal_yaw": f"select round(((degrees(atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2) % 180) + 180) % 180, 5) + 0.0 yaw_deg from {POINTS}",
     "circular_mean": f"""with a as (select label, avg(cos(4 * atan2(y, x))) c, avg(sin(4 * atan2(y, x))) s from {POINTS} group by 1) select label, round(((degrees(atan2(s, c)) / 4 % 90) + 90) % 90, 4) + 0.0 mean_deg, round(1 - sqrt(c * c + s * s), 6) + 0.0 dispersion from a""",
-    "plane_fit": f"""select label, count(*) n, round(avg(x), 6) + 0.0 mx, round(avg(y), 6) + 0.0 my, round(avg(z), 6) + 0.0 mz, round(covar_pop(x, x), 8) + 0.0 cxx, round(covar_pop(x, y), 8) + 0.0 cxy, round(covar_pop(x, z), 8) + 0.0 cxz,
-        round(covar_pop(y, y), 8) + 0.0 cyy, round(covar_pop(y, z), 8) + 0.0 cyz, round(covar_pop(z, z), 8) + 0.0 czz from {POINTS} group by 1""",
+    "plane_fit": f"""with c as (select label, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_pop(x, x) a, covar_pop(y, y) b, covar_pop(z, z) c, covar_pop(x, y) d, covar_pop(x, z) e, covar_pop(y, z) f from {POINTS} group by 1),
+        q as (select *, (a + b + c) / 3 q from c), p as (select *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) p from q),
+        r as (select *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p) r from p),
+        l as (select *, q + 2 * p * cos(acos(greatest(-1.0::double, least(1.0::double, r))) / 3 + 2 * pi() / 3) l from r),
+        s as (select *, [[d * f - e * (b - l), e * d - (a - l) * f, (a - l) * (b - l) - d * d], [d * (c - l) - e * f, e * e - (a - l) * (c - l), (a - l) * f - d * e], [(b - l) * (c - l) - f * f, f * e - d * (c - l), d * f - (b - l) * e]] k from l),
+        v as (select *, list_sort(list_transform(k, lambda t: {{'s': -(t[1] * t[1] + t[2] * t[2] + t[3] * t[3]), 't': t}}))[1] v from s),
+        w as (select *, v.t[1] / sqrt(-v.s) x, v.t[2] / sqrt(-v.s) y, v.t[3] / sqrt(-v.s) z from v),
+        u as (select *, case when case when abs(x) >= abs(y) and abs(x) >= abs(z) then x when abs(y) >= abs(z) then y else z end < 0 then -1.0::double else 1.0::double end g from w)
+        select label, n, round(x * g, 5) + 0.0 nx, round(y * g, 5) + 0.0 ny, round(z * g, 5) + 0.0 nz, round(-g * (x * mx + y * my + z * mz), 5) + 0.0 d from u""",
     "rigid_fit_2d": """with p as (select label, embedding[1]::double sx, embedding[2]::double sy, embedding[3]::double dx, embedding[4]::double dy from embeddings),
         t as (select label, atan2(covar_pop(sx, dy) - covar_pop(sy, dx), covar_pop(sx, dx) + covar_pop(sy, dy)) t, avg(sx) sx, avg(sy) sy, avg(dx) dx, avg(dy) dy from p group by 1)
         select label, round(degrees(t), 4) + 0.0 theta_deg, round(dx - cos(t) * sx + sin(t) * sy, 6) + 0.0 tx, round(dy - sin(t) * sx - cos(t) * sy, 6) + 0.0 ty from t""",
@@ -271,14 +252,12 @@ SQL = {
         a as (select *, case when abs(x) >= abs(y) and abs(x) >= abs(z) then 0 when abs(y) >= abs(z) then 1 else 2 end axis from p), s as (select *, case when case axis when 0 then x when 1 then y else z end < 0 then -1.0::double else 1.0::double end f from a)
         select plane_uid, round(x * f, 6) + 0.0 cx, round(y * f, 6) + 0.0 cy, round(z * f, 6) + 0.0 cz, round(d * f, 6) + 0.0 cd, round(degrees(acos(greatest(-1.0::double, least(1.0::double, greatest(abs(x), abs(y), abs(z)))))), 4) + 0.0 tilt,
         axis, round((((degrees(atan2(x, y)) + 15) % 360) + 360) % 360, 4) + 0.0 bearing from s""",
-    "revisit_pairs": """select session_id, cast(floor(tx / 0.5) as bigint) cx, cast(floor(ty / 0.5) as bigint) cy, min(posetum_row_idx) first_at, max(posetum_row_idx) last_at, count(*) n from posetum
-        where session_id is not null and pose_id is not null and posetum_row_idx is not null and tx is not null and ty is not null group by 1, 2, 3 having max(posetum_row_idx) - min(posetum_row_idx) >= 100""",
     "top_k_similarity": """with e as (select vec_id, label, unnest(embedding)::double v, unnest(range(64)) i from embeddings), u as (select vec_id, label, i, v / sqrt(sum(v * v) over (partition by vec_id)) v from e),
         m as (select label, i, avg(v) m from u group by 1, 2), l as (select label, sqrt(sum(m * m)) n from m group by 1), s as (select m.label, u.vec_id, sum(u.v * m.m) / any_value(l.n) cosine from u join m using (i) join l on l.label = m.label group by 1, 2)
         select label, vec_id, round(cosine, 6) cosine, i as "rank" from (select *, row_number() over (partition by label order by round(cosine, 9) desc, vec_id) i from s) where i <= 5""",
     "nearest_fill": """with e as (select event_type f, cast(user_id % 30 as int) r, cast(hour(ts) as int) c, value, event_id from events), s as (select f, r, c, arg_min(value, event_id) v from e where (r + c) % 5 = 0 group by 1, 2, 3), q as (select distinct f, r, c from e),
         d as (select q.*, s.v, row_number() over (partition by q.f, q.r, q.c order by (q.r - s.r) ** 2 + (q.c - s.c) ** 2, s.r, s.c) i from q join s on q.f = s.f) select f as frame, r as "row", c as "col", v as "value" from d where i = 1""",
-    "largest_rectangles": """with c as (select distinct event_type f, cast(user_id % 24 as int) r, cast(hour(ts) as int) c from events where value > 20),
+    "largest_rectangles": """with c as (select event_type f, cast(user_id % 24 as int) r, cast(hour(ts) as int) c from events group by 1, 2, 3 having avg(value) > 25),
         n as (select a.f, a.r r0, a.c c0, b.r r1, b.c c1, (b.r - a.r + 1) * (b.c - a.c + 1) area from c a join c b on a.f = b.f and b.r >= a.r and b.c >= a.c),
         k as (select n.f, r0, c0, r1, c1, area, count(*) n_ from n join c on c.f = n.f and c.r between r0 and r1 and c.c between c0 and c1 group by all)
         select f as event_type, max(area) area from k where n_ = area group by 1""",

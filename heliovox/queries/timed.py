@@ -40,7 +40,7 @@ def interpolate_onto_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_containment(spark: SparkSession, d: str) -> DataFrame:
-    purchases = _kind(spark, d, "purchase").where("value > 150").select(F.col("event_id").alias("window_id"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("b"))
+    purchases = _kind(spark, d, "purchase").select(F.col("event_id").alias("window_id"), F.col("us").alias("a"), (F.col("us") + 1_800_000_000).alias("b"))
     hits = timejoin.contained(events(spark, d).select("event_id", "us", "value"), purchases, time="us", start="a", end="b")
     return hits.groupBy("window_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
@@ -246,7 +246,7 @@ SQL = {
         b as (select g.*, s.us t0, s.value v0 from g asof left join s on g.us >= s.us), c as (select b.*, s.us t1, s.value v1 from b asof left join s on b.us <= s.us)
         select event_id, coalesce(round(case when t0 is null then null when t1 is null then v0 when t1 = t0 then v0 else v0 + (v1 - v0) * ((us - t0)::double / (t1 - t0)) end, 6), -1.0) as "value" from c""",
     "interval_containment": f"""with e as {EVENTS} select w.event_id window_id, count(*) n, round(avg(e.value), 6) mean_value from e, e w
-        where w.event_type = 'purchase' and w.value > 150 and e.us between w.us and w.us + 1800000000 group by 1""",
+        where w.event_type = 'purchase' and e.us between w.us and w.us + 1800000000 group by 1""",
     "rate_stats": f"""with e as (select event_type, us, (us - lag(us) over (partition by event_type order by us)) / 1e6 d from {EVENTS}),
         b as (select event_type, count(*) n, (max(us) - min(us)) / 1e6 span_s, quantile_cont(d, 0.5) m, stddev_pop(d) * 1000 jitter_ms, max(d) max_gap_s from e group by 1)
         select event_type, any_value(n) n, round(any_value(span_s), 6) span_s, round((any_value(n) - 1) / any_value(span_s), 6) rate_hz, round(1 / any_value(m), 6) median_hz, round(any_value(jitter_ms), 6) jitter_ms,

@@ -156,3 +156,56 @@ def test_too_many_faces_are_an_error(spark, monkeypatch):
     assert [tuple(r) for r in space.bounded_face(p, faces(3), point_id="i", tolerance=0.45).collect()] == [(1, 2)]
     with pytest.raises(Exception, match="too many faces"):
         space.bounded_face(p, faces(6), point_id="i", tolerance=0.45).collect()
+
+
+def test_bodies_in_geometry(spark):
+    from heliovox.functions import geometry as g
+
+    row = spark.range(1).select(
+        F.array(*g.outward([F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(0.0)] * 3, [F.lit(0.0), F.lit(0.0), F.lit(5.0)])).alias("out"),
+        F.array(*g.pixel_bearing(F.lit(420.0), F.lit(240.0), (100.0, 100.0, 320.0, 240.0))).alias("ray"),
+        g.box_corners(*[F.lit(v) for v in (1.0, 2.0, 4.0, 2.0, 90.0)]).alias("box"),
+        g.in_turned_box(F.lit(1.0), F.lit(3.9), *[F.lit(v) for v in (1.0, 2.0, 4.0, 2.0, 90.0)]).alias("in"),
+        g.in_turned_box(F.lit(2.5), F.lit(2.0), *[F.lit(v) for v in (1.0, 2.0, 4.0, 2.0, 90.0)]).alias("not_in"),
+        F.array(*g.snapped([F.lit(1.0), F.lit(2.0), F.lit(3.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], F.lit(-1.0), 0.5)).alias("at"),
+        F.array(*g.face_bounds(F.array(F.array(F.lit(1.0), F.lit(5.0), F.lit(0.0)), F.array(F.lit(-1.0), F.lit(6.0), F.lit(2.0))))).alias("bounds"),
+    ).first()
+    assert row["out"] == [0.0, 0.0, -1.0] and [round(v, 6) for v in row["ray"]] == [round(0.5**0.5, 6), 0.0, round(0.5**0.5, 6)]
+    assert [[round(v, 9) for v in c] for c in row["box"]] == [[2, 0], [2, 4], [0, 4], [0, 0]] and row["in"] and not row["not_in"]
+    assert row["at"] == [1.0, 2.0, 2.0] and row["bounds"] == [-1, 1, 5, 6, 0, 2]
+    assert g.rescaled((100.0, 100.0, 50.0, 40.0), (200, 100), (100, 100)) == (50.0, 100.0, 25.0, 40.0)
+    turn, shift = g.composed((g.north_up(0.0), [1.0, 0.0, 0.0]), (g.north_up(90.0), [0.0, 2.0, 0.0]))
+    assert [round(v, 9) for v in turn[0]] == [0, -1, 0] and [round(v, 9) for v in shift] == [-1, 0, 0]
+
+
+def test_many_views_of_one_scene(spark):
+    """A warm wall seen by two poses: hidden points and those behind a pose don't count, and a known U-value comes back."""
+    from heliovox.functions import thermal
+    from heliovox.operators import mapping, space
+
+    points = spark.createDataFrame([(1, 2.0, 0.0, 0.0), (2, 2.9, 0.0, 0.0), (3, -1.0, 0.0, 0.0), (4, 50.0, 0.0, 0.0), (5, None, 0.0, 0.0)], "point long, x double, y double, z double")
+    poses = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "pose long, px double, py double, pz double, qx double, qy double, qz double, qw double")
+    pairs = mapping.within_range(points, mapping.oriented(poses), reach=3.0)
+    assert {(r["point"], r["pose"]) for r in pairs.collect()} == {(p, q) for p in (1, 2, 3) for q in (1, 2)}
+    seen = mapping.seen_pixels(pairs, (400.0, 400.0, 320.0, 240.0), (640, 480), 20)
+    front = space.z_buffer(seen, pixel=["pose", "row", "col"], depth="depth", tolerance=0.25)
+    assert {(r["point"], r["pose"], r["row"], r["col"]) for r in front.collect()} == {(1, 1, 12, 16), (1, 2, 12, 16)}
+    wanted = thermal.surface_for_u(F.lit(1.4), F.lit(21.0), F.lit(5.0), F.lit(7.7))
+    written = spark.range(3).select(F.lit(12).cast("long").alias("row"), F.lit(16).cast("long").alias("col"), F.col("id").alias("at"), F.when(F.col("id") == 2, wanted).otherwise(F.lit(0.0)).alias("t"))
+    read = mapping.looked_up(front.select("row", "col", "x", "y", "z"), written, pixel=["row", "col"], order="at", payload=["t"])
+    cells = mapping.accumulated(read, 0.5, value=F.col("t")).withColumn("u", thermal.u_value(F.col("mean"), F.lit(21.0), F.lit(5.0), F.lit(7.7))).collect()
+    assert [(r["i"], r["n"], round(r["u"], 9)) for r in cells] == [(4, 2, 1.4)]
+    assert mapping.accumulated(read.limit(0), 0.5, value=F.col("t")).count() == 0
+
+
+def test_pairs_in_the_plane_zips_and_walls(spark):
+    from heliovox.operators import mapping
+
+    left = spark.createDataFrame([(1, 0.99, 0.0), (2, 5.0, 5.0), (3, None, 0.0)], "a long, u double, v double")
+    right = spark.createDataFrame([(9, 1.01, 0.0), (8, 0.97, 0.0), (7, 8.0, 5.0)], "b long, p double, q double")
+    got = mapping.nearest_in_plane(left, right, left_id="a", right_id="b", at=("u", "v"), other=("p", "q"), reach=0.5).collect()
+    assert [(r["a"], r["b"], round(r["distance"], 9)) for r in got] == [(1, 8, 0.02)] or [(r["a"], r["b"]) for r in got] == [(1, 9)]
+    walls = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 2, -1.0, 0.0, 0.0, 4.0, 1.0, 0.0), (1, 3, 1.0, 0.0, 0.0, 9.0, 1.0, 0.0), (1, 4, 0.0, 1.0, 0.0, 0.0, 3.0, 0.0), (2, 5, 1.0, 0.0, 0.0, 3.0, 0.0, 0.0)], "s int, w int, nx double, ny double, nz double, x double, y double, z double")
+    assert [(r["w"], r["other_id"], r["gap"]) for r in mapping.facing_walls(walls, by="s", wall_id="w", degrees=10.0, least_gap=0.5).collect()] == [(1, 2, 4.0)]
+    zipped = mapping.zipped(left.withColumn("g", F.lit(1)), right.withColumn("g", F.lit(1)).limit(2), by="g", left_order=["a"], right_order=["b"]).collect()
+    assert [(r["ordinal"], r["a"]) for r in sorted(zipped, key=lambda r: r["ordinal"])] == [(1, 1), (2, 2)]

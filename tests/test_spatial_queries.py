@@ -35,23 +35,22 @@ def test_components_of_all_points_against_brute_force(spark, tmp_path):
     cells = [tuple(int(v) for v in np.floor(np.float32(x).astype(float) / 0.1)) for x in p]
     regions = _regions(cells, [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     assert len(regions) > 10
-    assert sorted(map(tuple, spatial.connected_components_all(spark, str(tmp_path)).collect())) == sorted((*min(r), len(r)) for r in regions)
+    assert sorted(map(tuple, spatial.connected_components(spark, str(tmp_path)).collect())) == sorted((*min(r), len(r)) for r in regions)
     best = min(regions, key=lambda r: (-sum(c in r for c in cells), min(r)))
-    assert {tuple(r) for r in spatial.largest_component_all(spark, str(tmp_path)).select("i", "j", "k").collect()} == best
+    assert {tuple(r) for r in spatial.largest_component(spark, str(tmp_path)).select("i", "j", "k").collect()} == best
 
 
 def test_holes_of_all_events_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
-    rows = [(n, f"2024-01-01 {rng.integers(24):02}:00:00", int(rng.integers(30)), ["view", "click"][rng.integers(2)]) for n in range(900)]
-    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "1D as value").write.parquet(f"{tmp_path}/events.parquet")
-    import zlib
-    from collections import Counter
+    rows = [(n, f"2024-01-01 {rng.integers(24):02}:00:00", int(rng.integers(30)), float(rng.integers(260))) for n in range(900)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "'view' as event_type", "value / 2.0 as value").write.parquet(f"{tmp_path}/events.parquet")
+    from collections import Counter, defaultdict
 
-    known = {}
-    for _, ts, user, kind in rows:
-        key = (user, int(ts[11:13]))
-        known[key] = min(known.get(key, 1 << 40), zlib.crc32(kind.encode()))
-    high = max(u for u, _ in known) + 1
+    values = defaultdict(list)
+    for _, ts, user, v in rows:
+        values[user, int(ts[11:13])].append(v / 2.0)
+    known = {k: min(2, max(int(x // 100) for x in v)) for k, v in values.items() if sum(v) / len(v) > 50}
+    high = max(u for u, _ in values) + 1
     expected = Counter((v, False) for v in known.values())
     steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
     for region in _regions([(r, c) for r in range(high) for c in range(24) if (r, c) not in known], steps):
@@ -59,7 +58,7 @@ def test_holes_of_all_events_against_brute_force(spark, tmp_path):
             labels = {known[n] for r, c in region for a, b in steps if (n := (r + a, c + b)) in known}
             expected[(labels.pop() if len(labels) == 1 else 18, True)] += len(region)
     assert len({f for _, f in expected}) == 2
-    assert {(r["label"], r["filled"]): r["cells"] for r in spatial.enclosed_hole_fill_all(spark, str(tmp_path)).collect()} == dict(expected)
+    assert {(r["label"], r["filled"]): r["cells"] for r in spatial.enclosed_hole_fill(spark, str(tmp_path)).collect()} == dict(expected)
 
 
 def test_nearest_revisit_against_brute_force(spark, tmp_path):
