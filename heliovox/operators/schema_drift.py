@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliovox.session import checkpointed
 
@@ -29,6 +29,15 @@ def records(rows: DataFrame, *, body: str) -> DataFrame:
     return parsed.where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
 
 
+def _kind(value: str) -> Column:
+    """string, number, array, object, boolean, or null for JSON null."""
+    schema = F.schema_of_variant(value)
+    return (
+        F.when(schema == "VOID", F.lit(None)).when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+        .when(schema.like("ARRAY%"), "array").when(schema.like("OBJECT%"), "object").otherwise("number")
+    )
+
+
 def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFrame:
     """A row per record and top-level field: the `keep` columns, `thing`, `name`, `kind`, `shape`, `text` and `numbers`.
 
@@ -38,11 +47,7 @@ def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFr
     spark = rows.sparkSession
     read = records(rows, body=body).select(*keep, F.expr(f"regexp_extract(coalesce(try_variant_get(_v, '$.{thing}', 'string'), ''), '0*([0-9]+)[^0-9]*$', 1)").alias("thing"), "_v")
     out = spark.sql("select r.*, f.key as name, f.value as _f from {read} r, lateral variant_explode(r._v) f", read=read).drop("_v")
-    schema = F.schema_of_variant("_f")
-    kind = (
-        F.when(schema == "VOID", F.lit(None)).when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
-        .when(schema.like("ARRAY%"), "array").when(schema.like("OBJECT%"), "object").otherwise("number")
-    )
+    kind = _kind("_f")
     out = out.withColumn("kind", kind).withColumn("shape", F.expr(shape("_f"))).withColumn("text", F.expr("case when kind in ('array', 'object') then to_json(_f) else try_cast(_f as string) end"))
     # In lists a comma parts numbers, in a text by itself it is a decimal sign.
     spaced = F.when(F.col("kind").isin("array", "object"), F.regexp_replace("text", ",", " , ")).otherwise(F.col("text"))
@@ -50,32 +55,31 @@ def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFr
     return out.withColumn("numbers", F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))).drop("_f")
 
 
-def successors(rows: DataFrame, *, series: str, file: str, at: str) -> DataFrame:
-    """`series, file, next_file` of every file that has one after it in its series, by `at`, then `file`.
+def compared(rows: DataFrame, *, series: str, file: str, at: str, body: str) -> DataFrame:
+    """`series, file, before_file, gone, came, retyped`: the fields of every file that has one before it in its series, by `at`, then `file`, against that one.
 
-    Files are ordered within months first; one row per series and month is gathered to link the months.
+    Files are ordered within months first; of each month only the last file is gathered by series, to link the months.
     """
-    files = rows.groupBy(F.col(series).alias("series"), F.col(file).alias("file")).agg(F.min(at).alias("at")).withColumn("month", F.date_trunc("month", "at"))
-    inner = Window.partitionBy("series", "month").orderBy("at", "file")
-    placed = files.withColumn("next_file", F.lead("file").over(inner))
-    months = files.groupBy("series", "month").agg(F.min_by("file", F.struct("at", "file")).alias("head"))
-    months = months.withColumn("next_head", F.lead("head").over(Window.partitionBy("series").orderBy("month"))).select("series", "month", "next_head")
-    joined = placed.join(months, (placed["series"].eqNullSafe(months["series"])) & (placed["month"].eqNullSafe(months["month"])), "left").drop(months["series"]).drop(months["month"])
-    return joined.select("series", "file", F.coalesce("next_file", "next_head").alias("next_file")).where("next_file is not null")
-
-
-def _side_by_side(per_file: DataFrame, links: DataFrame) -> DataFrame:
-    """`series, file, name, before, after`: the types of each field in the file before and in the file itself, null if absent."""
-    after = per_file.join(links.select("series", F.col("next_file").alias("file")), ["series", "file"], "left_semi")
-    before = per_file.join(links, ["series", "file"]).select("series", F.col("next_file").alias("file"), "name", "kinds")
-    both = before.withColumn("was", F.lit(True)).unionByName(after.withColumn("was", F.lit(False)))
-    return both.groupBy("series", "file", "name").agg(F.max(F.when(F.col("was"), F.col("kinds"))).alias("before"), F.max(F.when(~F.col("was"), F.col("kinds"))).alias("after"))
-
-
-def _pairs(changed: DataFrame) -> DataFrame:
-    """The fields that went and came in one file; only such can be renames."""
-    gone = changed.where("after is null").select("series", "file", F.col("name").alias("old_name"))
-    return gone.join(changed.where("before is null").select("series", "file", F.col("name").alias("new_name")), ["series", "file"])
+    parsed = F.try_parse_json(F.col(body))
+    read = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(at).alias("at"), parsed.alias("_v")).withColumn("_v", F.expr("if(schema_of_variant(_v) like 'OBJECT%', _v, null)"))
+    # A file whose records can't be read is a file without fields.
+    cells = rows.sparkSession.sql("select r.series, r.file, r.at, f.key as name, f.value as _f from {read} r, lateral variant_explode_outer(r._v) f", read=read)
+    files = cells.groupBy("series", "file").agg(F.min("at").alias("at"), F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", _kind("_f").alias("kind")))).alias("seen"))
+    # Types of values that aren't null, by name.
+    typed = "transform(array_distinct(transform(seen, x -> x.name)), n -> struct(n as name, array_sort(array_compact(transform(filter(seen, x -> x.name = n), x -> x.kind))) as kinds))"
+    files = files.select("series", "file", "at", F.date_trunc("month", "at").alias("month"), F.struct("file", F.expr(typed).alias("fields")).alias("own"))
+    placed = files.withColumn("before", F.lag("own").over(Window.partitionBy("series", "month").orderBy("at", "file")))
+    ends = files.groupBy("series", "month").agg(F.max_by("own", F.struct("at", "file")).alias("own"))
+    ends = ends.select("series", "month", F.lag("own").over(Window.partitionBy("series").orderBy("month")).alias("earlier")).where("earlier is not null").withColumnsRenamed({"series": "s", "month": "m"})
+    placed = placed.join(ends, placed["series"].eqNullSafe(ends["s"]) & placed["month"].eqNullSafe(ends["m"]), "left")
+    both = placed.select("series", "file", "own", F.coalesce("before", "earlier").alias("before")).where("before is not null")
+    names = lambda side: f"transform({side}.fields, x -> x.name)"
+    # A field that is null throughout has no types, and none to change.
+    other = "get(filter(before.fields, y -> y.name = x.name), 0).kinds"
+    return both.select(
+        "series", "file", F.col("before.file").alias("before_file"), F.expr(f"array_except({names('before')}, {names('own')})").alias("gone"), F.expr(f"array_except({names('own')}, {names('before')})").alias("came"),
+        F.expr(f"transform(filter(own.fields, x -> size(x.kinds) > 0 and size({other}) > 0 and {other} <> x.kinds), x -> x.name)").alias("retyped"),
+    )
 
 
 def changes(rows: DataFrame, *, series: str, file: str, at: str, body: str, thing: str = "id") -> DataFrame:
@@ -89,58 +93,52 @@ def changes(rows: DataFrame, *, series: str, file: str, at: str, body: str, thin
     a file without readable records has no fields. Repeated records count once per thing.
     """
     base = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body"))
-    cells = fields(base, keep=["series", "file"], body="body", thing=thing)
-    # Fields by file and the order of files are small beside the records, and used several times.
-    links = checkpointed(successors(rows, series=series, file=file, at=at))
-    per_file = checkpointed(cells.groupBy("series", "file", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds")))
-    both = _side_by_side(per_file, links)
-    changed = checkpointed(both.where("not before <=> after"))
-    pairs = _pairs(changed)
-    renamed = checkpointed(_renames(pairs, base, links, thing))
-    plain = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").otherwise("retyped")
-    # An empty set of types is a field that is null throughout.
-    rest = changed.where("before is null or after is null or (size(before) > 0 and size(after) > 0)").withColumn("change_kind", plain)
-    named = renamed.select("series", "file", F.explode(F.array("old_name", "new_name")).alias("name"))
-    rest = rest.join(named, ["series", "file", "name"], "left_anti").select("file", "change_kind", F.col("name").alias("field_name"), F.lit("").alias("new_name"))
-    return rest.unionByName(renamed.select("file", F.lit("renamed").alias("change_kind"), F.col("old_name").alias("field_name"), "new_name"))
-
-
-def _renames(pairs: DataFrame, base: DataFrame, links: DataFrame, thing: str) -> DataFrame:
-    """`series, file, old_name, new_name, factor` of the pairs of fields that hold the same quantity.
+    # One row per file, small beside its records, and used twice.
+    files = checkpointed(compared(rows, series=series, file=file, at=at, body=body).where("size(gone) > 0 or size(came) > 0 or size(retyped) > 0"))
+    out = _renamed(files, base, thing)
+    old, new = "transform(renames, r -> r.old_name)", "transform(renames, r -> r.new_name)"
+    line = lambda kind, names: f"transform({names}, n -> struct('{kind}' as change_kind, n as field_name, '' as new_name))"
+    named = "transform(renames, r -> struct('renamed' as change_kind, r.old_name as field_name, r.new_name as new_name))"
+    lines = F.expr(f"concat({named}, {line('removed', f'array_except(gone, {old})')}, {line('added', f'array_except(came, {new})')}, {line('retyped', 'retyped')})")
+    return out.select("file", F.explode(lines).alias("l")).select("file", "l.*")
+
+
+def _renamed(files: DataFrame, base: DataFrame, thing: str) -> DataFrame:
+    """Rows of `compared` with `renames`, an array of `old_name, new_name, factor`: the pairs of fields that hold the same quantity.
 
     Only records of files that a pair concerns are opened again, and of those only the fields in question leave their row.
     """
-    named = pairs.join(links.select("series", F.col("file").alias("old_file"), F.col("next_file").alias("file")), ["series", "file"])
-    sides = named.select("series", F.col("old_file").alias("file"), F.col("old_name").alias("name")).unionByName(named.select("series", "file", F.col("new_name").alias("name")))
-    wanted = sides.groupBy("series", "file").agg(F.collect_set("name").alias("names"))
-    cells = fields(base.join(wanted, ["series", "file"]), keep=["series", "file", "names"], body="body", thing=thing)
+    asked = files.where("size(gone) > 0 and size(came) > 0")
+    sides = asked.select("series", F.col("file").alias("target"), F.explode(F.array(F.struct(F.col("before_file").alias("file"), F.col("gone").alias("names"), F.lit(True).alias("was")), F.struct("file", F.col("came").alias("names"), F.lit(False).alias("was")))).alias("s"))
+    sides = sides.select(F.col("series").alias("s_"), "target", F.col("s.file").alias("f_"), "s.names", "s.was")
+    opened = base.join(sides, base["series"].eqNullSafe(sides["s_"]) & base["file"].eqNullSafe(sides["f_"])).drop("s_", "f_", "file")
+    cells = fields(opened, keep=["series", "target", "was", "names"], body="body", thing=thing)
     cells = cells.where("array_contains(names, name) and kind is not null and thing <> ''")
-    values = checkpointed(cells.groupBy("series", "file", "name", "thing").agg(F.min(F.struct("text", "numbers")).alias("x")))
-    old_names, new_names = named.select("series", "file", "old_file", "old_name").distinct(), pairs.select("series", "file", "new_name").distinct()
-    old = old_names.join(values.select("series", F.col("file").alias("old_file"), F.col("name").alias("old_name"), "thing", F.col("x").alias("old")), ["series", "old_file", "old_name"]).drop("old_file")
-    new = new_names.join(values.select("series", "file", F.col("name").alias("new_name"), "thing", F.col("x").alias("new")), ["series", "file", "new_name"])
-    met = old.join(new, ["series", "file", "thing"])
-    units = "array(" + ", ".join(f"{u!r}D" for u in UNITS) + ")"
+    values = cells.groupBy("series", "target", "was", "name", "thing").agg(F.min(F.struct("text", "numbers")).alias("x"))
+    both = values.groupBy("series", "target", "thing").agg(*[F.collect_list(F.when(side, F.struct("name", "x.text", "x.numbers"))).alias(n) for n, side in (("olds", F.col("was")), ("news", ~F.col("was")))])
+    met = both.select("series", "target", F.explode("olds").alias("old"), "news").select("series", "target", "old", F.explode("news").alias("new"))
     close = f"abs(b - a * u) <= {CLOSE} * greatest(abs(b), abs(a * u)) + 1e-9"
     # Zeros fit any unit, so they only speak for equality.
-    fitting = F.expr(
-        f"""case when size(old.numbers) = 0 or size(new.numbers) = 0 then if(lower(trim(old.text)) = lower(trim(new.text)), array(1D), array())
-             when size(old.numbers) <> size(new.numbers) then array()
-             else filter({units}, u -> forall(zip_with(old.numbers, new.numbers, (a, b) -> {close}), ok -> ok)
-                                       and (u = 1D or exists(old.numbers, a -> abs(a) > 1e-6))) end"""
-    )
-    met = met.withColumn("fits", fitting)
-    keys = ["series", "file", "old_name", "new_name"]
-    seen = met.groupBy(*keys).agg(F.count("*").alias("things"))
-    fits = met.select(*keys, F.explode("fits").alias("factor")).groupBy(*keys, "factor").agg(F.count("*").alias("agree"))
-    scored = seen.join(fits, keys).where(f"agree >= {AGREE} * things and (factor = 1D or agree > 1)")
-    simple = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    unseen = pairs.join(seen, keys, "left_anti").where(simple("old_name") == simple("new_name"))
-    scored = scored.select(*keys, "factor", "agree").unionByName(unseen.select(*keys, F.lit(1.0).alias("factor"), F.lit(0).cast("bigint").alias("agree")))
-    order = [F.desc("agree"), (F.col("factor") != 1).cast("int"), F.levenshtein("old_name", "new_name"), F.col("old_name"), F.col("new_name"), F.col("factor")]
-    by_old = Window.partitionBy("series", "file", "old_name").orderBy(*order)
-    by_new = Window.partitionBy("series", "file", "new_name").orderBy(*order)
-    return scored.withColumn("i", F.row_number().over(by_old)).withColumn("j", F.row_number().over(by_new)).where("i = 1 and j = 1").select(*keys, "factor")
+    fits = f"""transform({{units}}, u -> case when size(old.numbers) = 0 or size(new.numbers) = 0 then u = 1D and lower(trim(old.text)) <=> lower(trim(new.text))
+               when size(old.numbers) <> size(new.numbers) then false
+               else forall(zip_with(old.numbers, new.numbers, (a, b) -> {close}), ok -> ok) and (u = 1D or exists(old.numbers, a -> abs(a) > 1e-6)) end)"""
+    units = "array(" + ", ".join(f"{u!r}D" for u in UNITS) + ")"
+    met = met.select("series", "target", F.col("old.name").alias("old_name"), F.col("new.name").alias("new_name"), F.expr(fits.format(units=units)).alias("fits"))
+    agree = F.array(*[F.count_if(F.coalesce(F.get("fits", F.lit(k)), F.lit(False))) for k in range(len(UNITS))])
+    pairs = met.groupBy("series", "target", "old_name", "new_name").agg(F.count("*").alias("things"), agree.alias("agree"))
+    # Of a pair's factors, those that enough things agree on; in order of how many do, no conversion first, then likeness of names.
+    scored = f"""transform(filter(arrays_zip(agree, {units}), z -> z.agree >= {AGREE} * things and (z.`1` = 1D or z.agree > 1)),
+                 z -> struct(-z.agree as o1, if(z.`1` = 1D, 0, 1) as o2, levenshtein(old_name, new_name) as o3, old_name, new_name, z.`1` as factor))"""
+    found = pairs.select("series", "target", F.struct("old_name", "new_name").alias("pair"), F.expr(scored).alias("scored"))
+    found = found.groupBy(F.col("series").alias("s_"), F.col("target").alias("t_")).agg(F.collect_list("pair").alias("met"), F.flatten(F.collect_list("scored")).alias("scored"))
+    out = files.join(found, files["series"].eqNullSafe(found["s_"]) & files["file"].eqNullSafe(found["t_"]), "left").drop("s_", "t_")
+    simple = lambda c: f"lower(regexp_replace({c}, '[^A-Za-z0-9]', ''))"
+    unseen = f"""transform(filter(flatten(transform(gone, g -> transform(came, c -> struct(g as old_name, c as new_name)))), p -> {simple('p.old_name')} = {simple('p.new_name')} and not array_contains(coalesce(met, array()), p)),
+                 p -> struct(0L as o1, 0 as o2, levenshtein(p.old_name, p.new_name) as o3, p.old_name, p.new_name, 1D as factor))"""
+    out = out.withColumn("scored", F.expr(f"concat(coalesce(scored, array()), {unseen})"))
+    # The best of both its names.
+    best = "transform(filter(scored, c -> not exists(scored, e -> (e.old_name = c.old_name or e.new_name = c.new_name) and e < c)), c -> struct(c.old_name as old_name, c.new_name as new_name, c.factor as factor))"
+    return out.withColumn("renames", F.expr(best)).drop("met", "scored")
 
 
 def canonical_names(renames: list[tuple[str, str, float, int]], counts: dict[str, int]) -> dict[str, tuple[str, float]]:
@@ -268,10 +266,9 @@ def union_table(rows: DataFrame, *, series: str, file: str, at: str, body: str,
     """
     base = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(body).alias("body"))
     cells = fields(base, keep=["series", "file"], body="body", thing=thing)
-    links = checkpointed(successors(rows, series=series, file=file, at=at))
-    per_file = cells.groupBy("series", "file", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    pairs = checkpointed(_pairs(_side_by_side(per_file, links).where("before is null or after is null")))
-    renames = [tuple(r) for r in _renames(pairs, base, links, thing).groupBy("old_name", "new_name", "factor").count().collect()]
+    files = checkpointed(compared(rows, series=series, file=file, at=at, body=body).where("size(gone) > 0 and size(came) > 0"))
+    pairs = _renamed(files, base, thing).select(F.explode("renames").alias("r")).groupBy("r.old_name", "r.new_name", "r.factor").count()
+    renames = [tuple(r) for r in pairs.collect()]
     seen = cells.where("kind is not null").groupBy("name", "shape").agg(F.count("*").alias("n")).collect()
     counts: dict[str, int] = defaultdict(int)
     for r in seen:
