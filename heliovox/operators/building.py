@@ -3,12 +3,15 @@ depends on those before; points only come in as aggregates or through `space`.""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from heliovox.functions import geometry as g
+
 
 @dataclass(frozen=True)
 class Plane:
@@ -173,3 +176,18 @@ def levels(points: DataFrame, *, by: str, band: float = 0.1, share: float = 0.02
 
     floor = points.groupBy(by).agg(F.percentile("z", F.lit(share)).alias("_floor"))
     return fit_planes(points.join(floor, by).where(F.abs(F.col("z") - F.col("_floor")) <= band), [by])
+
+
+def model_surfaces(planes: DataFrame, *, corners: str, normal: Sequence[str], centre: Sequence[str], interior: Sequence[str]) -> DataFrame:
+    """Planes with `surface_type` (wall, roof, floor), `boundary`, `turned` and `polygon`, the corners in the turn, seen from outside, that a building model wants.
+
+    Outward is away from the interior point; corners whose own turn gives the inward normal are reversed. Floors lie on the ground.
+    """
+    out = g.outward([F.col(c) for c in normal], [F.col(c) for c in centre], [F.col(c) for c in interior])
+    at = lambda k, n: F.get(F.get(corners, F.lit(k)), F.lit(n))
+    a, b = ([at(k, n) - at(0, n) for n in range(3)] for k in (1, 2))
+    own = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    turned = g.dot(own, out) < 0
+    kind = F.when(F.abs(F.col(normal[2])) <= 0.7, "wall").when(out[2] > 0, "roof").otherwise("floor")
+    d = planes.withColumns({"turned": turned, "surface_type": kind})
+    return d.withColumns({"boundary": F.when(F.col("surface_type") == "floor", "Ground").otherwise("Outdoors"), "polygon": F.when(F.col("turned"), F.reverse(corners)).otherwise(F.col(corners))})

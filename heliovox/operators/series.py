@@ -188,3 +188,31 @@ def heading_segments(rows: DataFrame, *, by: str, order: str, heading: str, leng
         return (number, s, c), number
 
     return _folded(rows, by, order, [heading, length], step, "segment")
+
+
+def merge_short(rows: DataFrame, *, by: str, segment: str, heading: str, length: str, least: float) -> DataFrame:
+    """Rows with `segment` numbered anew from 0 after short segments were merged, the shortest first, the earlier of equal ones, until none
+    is shorter than `least` or one is left: into the neighbour whose length-weighted mean heading is nearer, the earlier of equal ones.
+
+    What a task holds is one row per segment of a series.
+    """
+    a = F.radians(heading)
+    sums = rows.groupBy(by, segment).agg(F.sum(length).alias("l"), F.sum(F.col(length) * F.sin(a)).alias("s"), F.sum(F.col(length) * F.cos(a)).alias("c"))
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(segment)
+        parts = [[[n], l, s, c] for n, l, s, c in part[[segment, "l", "s", "c"]].itertuples(index=False)]
+        while len(parts) > 1:
+            k = min(range(len(parts)), key=lambda i: (parts[i][1], i))
+            if parts[k][1] >= least:
+                break
+            mean = lambda p: math.atan2(p[2], p[3])
+            turn = lambda i: abs(math.remainder(mean(parts[i]) - mean(parts[k]), 2 * math.pi))
+            into = min((i for i in (k - 1, k + 1) if 0 <= i < len(parts)), key=lambda i: (round(turn(i), 12), i))
+            first, last = sorted((k, into))
+            parts[first : last + 1] = [[x + y for x, y in zip(parts[first], parts[last])]]
+        return pd.DataFrame([(part[by].iloc[0], n, i) for i, p in enumerate(parts) for n in p[0]], columns=[by, segment, "_merged"])
+
+    kind = dict(rows.dtypes)
+    numbers = sums.groupBy(by).applyInPandas(merge, f"`{by}` {kind[by]}, `{segment}` {kind[segment]}, _merged int")
+    return rows.join(numbers, [by, segment]).withColumn(segment, F.col("_merged")).drop("_merged")

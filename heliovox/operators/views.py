@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliovox.functions import geometry as g
+from heliovox.operators import graph
 
 
 # Bounds of the rule for zones: heights in the image, ratios of width and height, share of the box filled, pixels from the lower edge.
@@ -89,3 +90,28 @@ def matched_centres(detected: DataFrame, nominal: DataFrame, *, by: str) -> Data
     )
     residual = (F.col("q") - 2 * F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s"))) / F.col("n")
     return fit.groupBy(by).agg(F.min(F.struct(F.greatest(F.round(residual, 9), F.lit(0.0)).alias("residual"), "shift")).alias("_best")).select(by, "_best.shift", "_best.residual")
+
+
+def glazing(cells: DataFrame, *, by: str, glass: Column, opaque: Column, grow: int, gates: dict[str, tuple[float, float]]) -> DataFrame:
+    """`by, window, cells, r0, c0, r1, c1, filled`: panes of glass in the rasters (`row`, `col`) of walls, numbered by their first cell.
+
+    Glass grows down by up to `grow` cells that nothing opaque occupies, gaps of a cell are closed, and cells that touch, corners included, are one pane. gates:
+    least and greatest `cells`, `width`, `height`, `sill` (first row) or `filled` (share of its bounds) of a pane. Rows count upward; `by` is a whole number.
+    """
+    stride = 1 << 20  # columns apart, so that no two walls touch
+    wall = cells.groupBy(by, "row", "col").agg(F.max(glass).alias("_glass"), F.max(opaque).alias("_opaque"))
+    wide = wall.select(F.col("row").cast("bigint").alias("row"), (F.col("col") + F.col(by) * stride).cast("bigint").alias("col"), "_glass", "_opaque")
+    seeds, solid = wide.where("_glass").select("row", "col"), wide.where("_opaque and not _glass").select("row", "col")
+    down = seeds.select("col", F.col("row").alias("_from"), F.explode(F.sequence(F.col("row") - grow, F.col("row"))).alias("row"))
+    # Growth stops at the first opaque cell below.
+    stops = down.join(solid, ["row", "col"]).groupBy("col", "_from").agg(F.max("row").alias("_stop"))
+    grown = down.join(stops, ["col", "_from"], "left").where(F.col("row") > F.coalesce("_stop", F.col("row") - 1)).select("row", "col").distinct()
+    shut = graph.closed(grown, ["row", "col"]).join(solid, ["row", "col"], "left_anti")
+    panes = graph.cell_components(shut, ["row", "col"])
+    out = panes.groupBy("component").agg(F.count("*").alias("cells"), F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
+    out = out.withColumns({"width": F.col("c1") - F.col("c0") + 1, "height": F.col("r1") - F.col("r0") + 1, "sill": F.col("r0")})
+    out = out.withColumn("filled", F.col("cells") / (F.col("width") * F.col("height")))
+    for name, (least, most) in gates.items():
+        out = out.where(F.col(name).between(least, most))
+    place = F.floor((F.col("c0") + stride // 2) / stride)
+    return out.select(place.alias(by), F.col("component").alias("window"), "cells", "r0", (F.col("c0") - place * stride).alias("c0"), "r1", (F.col("c1") - place * stride).alias("c1"), "filled")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heliovox.operators import building, graph, series, trajectory, views
 from heliovox.queries.base import EVENTS, POINTS, events, points
+from heliovox.queries.spatial import plane_sql
 from heliovox.session import table
 
 R = lambda c, n=6: (F.round(c, n) + F.lit(0.0)).alias(c)
@@ -49,12 +50,13 @@ def footprint_cells(spark: SparkSession, d: str) -> DataFrame:
 def oriented_rectangles(spark: SparkSession, d: str) -> DataFrame:
     """The rectangle of least area around the corners of each plane of a series, seen from above."""
     p = table(spark, d, "planes").where("corners_3d is not null").select("series_id", F.explode("corners_3d").alias("c"))
-    return building.oriented_rectangles(p.select("series_id", F.get("c", F.lit(0)).alias("u"), F.get("c", F.lit(1)).alias("v")), by="series_id")
+    out = building.oriented_rectangles(p.select("series_id", F.get("c", F.lit(0)).alias("u"), F.get("c", F.lit(1)).alias("v")), by="series_id")
+    return out.select("series_id", F.round(F.col("width") * F.col("height"), 5).alias("area"), F.round(F.greatest("width", "height"), 4).alias("longer"))
 
 
 def floor_levels(spark: SparkSession, d: str) -> DataFrame:
     """The plane through the lowest points of each class."""
-    return building.levels(points(spark, d), by="label", band=0.15, share=0.1)
+    return building.levels(points(spark, d), by="label", band=0.15, share=0.1).select("label", "n", *[R(c, 5) for c in ("nx", "ny", "nz", "d")])
 
 
 def heading_snap(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +68,9 @@ def heading_snap(spark: SparkSession, d: str) -> DataFrame:
 
 def rotation_fill(spark: SparkSession, d: str) -> DataFrame:
     """Poses of which every seventh rotation is lost, filled again."""
-    p = table(spark, d, "posetum").where("posetum_row_idx is not null and qw is not null").dropDuplicates(["session_id", "posetum_row_idx"])
+    p = table(spark, d, "posetum").where("posetum_row_idx is not null and qw is not null")
+    # Of rows sent again the first by id.
+    p = p.groupBy("session_id", "posetum_row_idx").agg(F.min_by(F.struct(*trajectory.QUATERNION), "pose_id").alias("q")).select("session_id", "posetum_row_idx", "q.*")
     kept = [F.when(F.col("posetum_row_idx") % 7 != 3, F.col(q)).alias(q) for q in trajectory.QUATERNION]
     filled = trajectory.fill_rotations(p.select("session_id", F.col("posetum_row_idx").alias("at"), *kept), by=["session_id"], order="at")
     return filled.select("session_id", "at", *[R(q) for q in trajectory.QUATERNION])
@@ -121,7 +125,7 @@ def centre_matching(spark: SparkSession, d: str) -> DataFrame:
     lead = flat.groupBy("series_id").agg(F.min("plane_uid").alias("lead"))
     pairs = flat.select("plane_uid", "series_id").distinct().join(lead, "series_id")
     nominal = pairs.join(flat.select(F.col("plane_uid").alias("lead"), "x", "y"), "lead").select("plane_uid", "x", "y")
-    return views.matched_centres(flat.select("plane_uid", "x", "y"), nominal, by="plane_uid")
+    return views.matched_centres(flat.select("plane_uid", "x", "y"), nominal, by="plane_uid").select("plane_uid", "shift", R("residual"))
 
 
 def merged_rectangles(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +146,26 @@ _N8 = "(select a.x dr, b.x dc from (values (-1), (0), (1)) a(x), (values (-1), (
 _N4 = f"(select * from {_N8} where abs(dr) + abs(dc) <= 1)"
 _CLOSED = f"""{_W}, d as (select distinct r + dr r, c + dc c from w, {_N8}), e as (select r + dr r, c + dc c from d, {_N8} group by 1, 2 having count(*) = 9)"""
 SQL = {
+    "floor_levels": plane_sql(f"(select p.* from {POINTS} p join (select label, quantile_cont(z, 0.1) f from {POINTS} group by 1) using (label) where abs(z - f) <= 0.15::double)"),
+    "centre_matching": """with k as (select plane_uid, series_id, c[1] x, c[2] y from (select plane_uid, series_id, unnest(corners_3d) c from planes where corners_3d is not null)), l as (select series_id, min(plane_uid) lead from k group by 1),
+        n as (select p.plane_uid, k.x, k.y from (select distinct plane_uid, series_id from k) p join l using (series_id) join k on k.plane_uid = l.lead),
+        a0 as (select plane_uid, x - avg(x) over w x, y - avg(y) over w y, count(*) over w m from k window w as (partition by plane_uid)), b0 as (select plane_uid, x - avg(x) over w x, y - avg(y) over w y from n window w as (partition by plane_uid)),
+        a1 as (select *, row_number() over (partition by plane_uid order by atan2(y, x), x, y) - 1 i from a0), b as (select *, row_number() over (partition by plane_uid order by atan2(y, x), x, y) - 1 i from b0),
+        a as (select plane_uid, x, y, shift, (i + shift) % m i from (select *, unnest(range(m)) shift from a1)),
+        f as (select plane_uid, shift, count(*) n, sum(a.x * b.x + a.y * b.y) c, sum(a.x * b.y - a.y * b.x) s, sum(a.x * a.x + a.y * a.y + b.x * b.x + b.y * b.y) q from a join b using (plane_uid, i) group by 1, 2)
+        select plane_uid, shift, round(r, 6) + 0.0 residual from (select *, row_number() over (partition by plane_uid order by r, shift) j from (select *, greatest(round((q - 2 * sqrt(c * c + s * s)) / n, 9), 0.0::double) r from f)) where j = 1""",
+    # A side of the least rectangle lies along an edge of the hull, so no direction of any two points gives less.
+    "oriented_rectangles": """with p as (select distinct series_id, round(c[1], 9) u, round(c[2], 9) v from (select series_id, unnest(corners_3d) c from planes where corners_3d is not null)),
+        d as (select distinct a.series_id, round(((atan2(b.v - a.v, b.u - a.u) % (pi() / 2)) + pi() / 2) % (pi() / 2), 12) t from p a join p b on a.series_id = b.series_id and (a.u <> b.u or a.v <> b.v)),
+        r as (select series_id, t, max(u * cos(t) + v * sin(t)) - min(u * cos(t) + v * sin(t)) w, max(v * cos(t) - u * sin(t)) - min(v * cos(t) - u * sin(t)) h from d join p using (series_id) group by 1, 2)
+        select series_id, round(w * h, 5) area, round(greatest(w, h), 4) longer from (select *, row_number() over (partition by series_id order by w * h, t) i from r) where i = 1""",
+    "rotation_fill": """with r as (select session_id, posetum_row_idx at_, case when posetum_row_idx % 7 <> 3 then struct_pack(o := posetum_row_idx, x := qx, y := qy, z := qz, w := qw) end q from posetum where posetum_row_idx is not null and qw is not null
+          qualify row_number() over (partition by session_id, posetum_row_idx order by pose_id) = 1),
+        b as (select session_id, at_, q, last_value(q ignore nulls) over (partition by session_id order by at_ rows between unbounded preceding and current row) a, first_value(q ignore nulls) over (partition by session_id order by at_ rows between current row and unbounded following) z from r),
+        c as (select *, a.x * z.x + a.y * z.y + a.z * z.z + a.w * z.w c, coalesce((at_ - a.o)::double / nullif(z.o - a.o, 0), 0.0::double) t from b), h as (select *, acos(greatest(-1.0::double, least(1.0::double, abs(c)))) h from c),
+        w as (select *, case when abs(c) > 0.9995 then 1 - t else sin((1 - t) * h) / sin(h) end f, case when abs(c) > 0.9995 then t else sin(t * h) / sin(h) end * case when c < 0 then -1.0::double else 1.0::double end s from h),
+        m as (select *, f * a.x + s * z.x mx, f * a.y + s * z.y my, f * a.z + s * z.z mz, f * a.w + s * z.w mw from w), n as (select *, sqrt(mx * mx + my * my + mz * mz + mw * mw) n from m)
+        select session_id, at_ as "at", """ + ", ".join(f"round(coalesce(q.{c}, m{c} / nullif(n, 0), a.{c}, z.{c}), 6) + 0.0 q{c}" for c in "xyzw") + """ from n""",
     "declutter": f"""with recursive p as (select *, cast(floor(x / 0.06) as bigint) i, cast(floor(y / 0.06) as bigint) j, cast(floor(z / 0.06) as bigint) k from {POINTS}),
         q as (select i, j, k, count(*) n, row_number() over (order by i, j, k) id from p group by 1, 2, 3),
         r as (select id a, id b from q union select r.a, y.id from r join q x on x.id = r.b join q y on abs(x.i - y.i) <= 1 and abs(x.j - y.j) <= 1 and abs(x.k - y.k) <= 1),

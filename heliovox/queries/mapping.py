@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from heliovox.functions import geometry as g, thermal
-from heliovox.operators import graph, lattice, mapping, space
+from heliovox.operators import building, graph, mapping, space, views
 from heliovox.queries.base import EVENTS, POINTS, events, points
 from heliovox.queries.spatial import PLANES
 from heliovox.session import table
@@ -254,11 +254,28 @@ def rest_intervals(spark: SparkSession, d: str) -> DataFrame:
     return runs.withColumn("lasts_s", (F.col("last") - F.col("first")) / 1e6).where("lasts_s >= 86400").select("user_id", "first", "last", "length", F.round("lasts_s", 3).alias("lasts_s"))
 
 
+def glazing(spark: SparkSession, d: str) -> DataFrame:
+    """Panes in walls of users by hours: bright pixels are glass, dark ones opaque."""
+    cells = events(spark, d).groupBy(F.floor(F.col("user_id") / 30).alias("wall"), (F.col("user_id") % 30).alias("row"), F.hour("ts").alias("col")).agg(F.avg("value").alias("m"))
+    panes = views.glazing(cells, by="wall", glass=F.col("m") > 75, opaque=F.col("m") < 40, grow=2, gates={"cells": (4, 400), "width": (2, 24), "filled": (0.3, 1.0)})
+    return panes.select("wall", "cells", "r0", "c0", "r1", "c1", R("filled"))
+
+
+def model_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Surfaces of a building model: kind, boundary, and corners in the turn that makes their normal point outward."""
+    p = table(spark, d, "planes").where("normal is not null and centroid_3d is not null and corners_3d is not null")
+    three = lambda c, to: [F.get(c, F.lit(n)).alias(to + a) for n, a in enumerate("xyz")]
+    p = p.select("series_id", "plane_uid", "corners_3d", *three("normal", "n"), *three("centroid_3d", "c"))
+    middle = p.groupBy("series_id").agg(*[F.avg("c" + a).alias("m" + a) for a in "xyz"])
+    out = building.model_surfaces(p.join(middle, "series_id"), corners="corners_3d", normal=("nx", "ny", "nz"), centre=("cx", "cy", "cz"), interior=("mx", "my", "mz"))
+    return out.select("plane_uid", "surface_type", "boundary", "turned", *[(F.round(F.get(F.get("polygon", F.lit(k)), F.lit(n)), 5) + F.lit(0.0)).alias(f"{a}{k}") for k in (0, 1) for n, a in enumerate("xyz")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         points_in_range, raster_lookup, thermal_accumulation, revisit_closest, pixel_association, values_onto_occupied, region_stats, ordinal_zip, facing_walls, merged_plane_ids, small_components_dropped, plane_geometry,
-        pixel_bearings, rotated_boxes, footprint_filter, manifest_resync, filter_pipeline, frame_difference, fold_stability, plane_support, nearest_minute, mixed_order, level_kinds, count_windows, window_rates, rest_intervals,
+        pixel_bearings, rotated_boxes, footprint_filter, manifest_resync, filter_pipeline, frame_difference, fold_stability, plane_support, nearest_minute, mixed_order, level_kinds, count_windows, window_rates, rest_intervals, glazing, model_surfaces,
     )
 }
 
@@ -344,6 +361,19 @@ SQL = {
         select session_id, w as "window", count(*) clouds, cast(sum(n_points) as bigint) points from c group by 1, 2""",
     "window_rates": f"""with e as (select event_type, (us - min(us) over (partition by event_type)) at_ from {EVENTS}), w as (select event_type, at_, unnest(case when at_ > 0 and at_ % 21600000000 = 0 then [at_ // 21600000000 - 1, at_ // 21600000000] else [at_ // 21600000000] end) w from e)
         select event_type, w, count(*) n, coalesce(round((count(*) - 1) / nullif((max(at_) - min(at_)) / 1e6, 0), 6), -1.0) hz from w group by 1, 2""",
+    "glazing": """with recursive a as (select cast(floor(user_id / 30.0) as bigint) w, user_id % 30 r, hour(ts) c, avg(value) m from events group by 1, 2, 3), s as (select w, r, c from a where m > 75), o as (select w, r, c from a where m < 40),
+        d as (select w, c, r f, unnest(range(r - 2, r + 1)) r from s), t as (select w, c, f, max(r) stop from d join o using (w, r, c) group by 1, 2, 3), g as (select distinct w, r, c from d left join t using (w, c, f) where stop is null or r > stop),
+        n as (select a.x dr, b.x dc from (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(x)), e as (select distinct w, r + dr r, c + dc c from g, n), q0 as (select w, r + dr r, c + dc c from e, n group by 1, 2, 3 having count(*) = 9),
+        q as (select *, row_number() over (order by w, r, c) id from q0 anti join o using (w, r, c)),
+        x as (select id a, id b from q union select x.a, z.id from x join q y on y.id = x.b join q z on y.w = z.w and abs(y.r - z.r) <= 1 and abs(y.c - z.c) <= 1), k as (select b id, min(a) n from x group by 1),
+        p as (select w, n, count(*) cells, min(r) r0, min(c) c0, max(r) r1, max(c) c1 from q join k using (id) group by 1, 2)
+        select w as wall, cells, r0, c0, r1, c1, round(cells / ((c1 - c0 + 1) * (r1 - r0 + 1)), 6) + 0.0 filled from p where cells between 4 and 400 and c1 - c0 + 1 between 2 and 24 and cells / ((c1 - c0 + 1) * (r1 - r0 + 1)) >= 0.3""",
+    "model_surfaces": """with p as (select series_id, plane_uid, corners_3d k, normal[1] nx, normal[2] ny, normal[3] nz, centroid_3d[1] cx, centroid_3d[2] cy, centroid_3d[3] cz from planes where normal is not null and centroid_3d is not null and corners_3d is not null),
+        q as (select *, avg(cx) over (partition by series_id) mx, avg(cy) over (partition by series_id) my, avg(cz) over (partition by series_id) mz,
+          k[2][1] - k[1][1] ax, k[2][2] - k[1][2] ay, k[2][3] - k[1][3] az, k[3][1] - k[1][1] bx, k[3][2] - k[1][2] b_y, k[3][3] - k[1][3] bz from p),
+        s as (select *, case when nx * (cx - mx) + ny * (cy - my) + nz * (cz - mz) < 0 then -1.0::double else 1.0::double end f, (ay * bz - az * b_y) * nx + (az * bx - ax * bz) * ny + (ax * b_y - ay * bx) * nz g from q),
+        t as (select *, g * f < 0 turned, case when abs(nz) <= 0.7 then 'wall' when nz * f > 0 then 'roof' else 'floor' end kind from s), u as (select *, case when turned then list_reverse(k) else k end o from t)
+        select plane_uid, kind surface_type, case kind when 'floor' then 'Ground' else 'Outdoors' end boundary, turned, """ + ", ".join(f"round(o[{k + 1}][{n}], 5) + 0.0 {a}{k}" for k in (0, 1) for n, a in enumerate("xyz", 1)) + """ from u""",
     "rest_intervals": f"""with e as (select user_id, us, value > 60 f, row_number() over (partition by user_id order by us) i from {EVENTS}), g as (select *, i - row_number() over (partition by user_id, f order by us) k from e),
         r as (select user_id, min(us) a, max(us) b, count(*) n from g where not f group by user_id, k) select user_id, a as "first", b as "last", n as length, round((b - a) / 1e6, 3) lasts_s from r where b - a >= 86400000000""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heliovox.operators import regrid, rover, schema_drift
-from heliovox.queries import time_sql
+from heliovox.queries import drift_sql, time_sql
 from heliovox.session import table
 
 # In the order in which their schemas are compared: `planes` against `planes_notilt`.
@@ -30,14 +30,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One time-weighted mean per logger and period."""
-    return regrid.regrid(rover.logger_readings(spark, sf_dir), source="logger_id", time_us="utc_us", value="ghi", step_s="step_s")
+    """One time-weighted mean per logger and period, to eight digits."""
+    grid = regrid.regrid(rover.logger_readings(spark, sf_dir), source="logger_id", time_us="utc_us", value="ghi", step_s="step_s")
+    return grid.withColumns({c: F.round(c, 8) for c in ("mean", "coverage")})
 
 
 def p3_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periods that readings cover, in part at least, with time-weighted means."""
     covered = p3_grid(spark, sf_dir).where("coverage > 0")
-    return covered.select("logger_id", "slot_us", "n_readings", F.round("mean", 8).alias("mean"), F.round("coverage", 8).alias("coverage"))
+    return covered.select("logger_id", "slot_us", "n_readings", "mean", "coverage")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,4 @@ def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_grid": p3_grid, "p3_means": p3_means, "p4_found": p4_found, "p4_planes": p4_planes, "p4_tables": p4_tables}
-SQL: dict[str, str] = {"p2_found": time_sql.P2, "p3_found": time_sql.P3, "p3_means": time_sql.P3_MEANS}
+SQL: dict[str, str] = {"p2_found": time_sql.P2, "p3_found": time_sql.P3, "p3_grid": time_sql.P3_GRID, "p3_means": time_sql.P3_MEANS, "p4_found": drift_sql.FOUND, "p4_tables": drift_sql.TABLES}

@@ -202,6 +202,19 @@ _S = 2.0 / (_X * _X + _Y * _Y + _Z * _Z + _W * _W)
 _ROT = [[1 - _S * (_Y * _Y + _Z * _Z), _S * (_X * _Y - _Z * _W), _S * (_X * _Z + _Y * _W)], [_S * (_X * _Y + _Z * _W), 1 - _S * (_X * _X + _Z * _Z), _S * (_Y * _Z - _X * _W)], [_S * (_X * _Z - _Y * _W), _S * (_Y * _Z + _X * _W), 1 - _S * (_X * _X + _Y * _Y)]]
 _LOCAL = [" + ".join(f"({_ROT[r][c]!r}::double) * ({a} - ({o}::double))" for r, (a, o) in enumerate((("x", 0.3), ("y", -0.1), ("z", -2.0)))) for c in range(3)]
 
+def plane_sql(source: str) -> str:
+    """SQL for the plane of least squares of each label's points: the direction of the least eigenvalue, in closed form."""
+    return f"""with c as (select label, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_pop(x, x) a, covar_pop(y, y) b, covar_pop(z, z) c, covar_pop(x, y) d, covar_pop(x, z) e, covar_pop(y, z) f from {source} group by 1),
+        q as (select *, (a + b + c) / 3 q from c), p as (select *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) p from q),
+        r as (select *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p) r from p),
+        l as (select *, q + 2 * p * cos(acos(greatest(-1.0::double, least(1.0::double, r))) / 3 + 2 * pi() / 3) l from r),
+        s as (select *, [[d * f - e * (b - l), e * d - (a - l) * f, (a - l) * (b - l) - d * d], [d * (c - l) - e * f, e * e - (a - l) * (c - l), (a - l) * f - d * e], [(b - l) * (c - l) - f * f, f * e - d * (c - l), d * f - (b - l) * e]] k from l),
+        v as (select *, list_sort(list_transform(k, lambda t: {{'s': -(t[1] * t[1] + t[2] * t[2] + t[3] * t[3]), 't': t}}))[1] v from s),
+        w as (select *, v.t[1] / sqrt(-v.s) x, v.t[2] / sqrt(-v.s) y, v.t[3] / sqrt(-v.s) z from v),
+        u as (select *, case when case when abs(x) >= abs(y) and abs(x) >= abs(z) then x when abs(y) >= abs(z) then y else z end < 0 then -1.0::double else 1.0::double end g from w)
+        select label, n, round(x * g, 5) + 0.0 nx, round(y * g, 5) + 0.0 ny, round(z * g, 5) + 0.0 nz, round(-g * (x * mx + y * my + z * mz), 5) + 0.0 d from u"""
+
+
 SQL = {
     "z_buffer": """with e as (select event_id, user_id % 40 as row_, hour(ts) as col_, value from events) select event_id, row_ as "row", col_ as "col" from
         (select *, min(value) over (partition by row_, col_) least_ from e) where value <= least_ + 8.0""",
@@ -236,15 +249,7 @@ SQL = {
         select label, filled, count(*) cells from (select label, false filled from k union all select case when lo = hi then lo else 18 end label, true filled from h join m using (id) join b using (comp)) group by 1, 2""",
     "principal_yaw": f"select round(((degrees(atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2) % 180) + 180) % 180, 5) + 0.0 yaw_deg from {POINTS}",
     "circular_mean": f"""with a as (select label, avg(cos(4 * atan2(y, x))) c, avg(sin(4 * atan2(y, x))) s from {POINTS} group by 1) select label, round(((degrees(atan2(s, c)) / 4 % 90) + 90) % 90, 4) + 0.0 mean_deg, round(1 - sqrt(c * c + s * s), 6) + 0.0 dispersion from a""",
-    "plane_fit": f"""with c as (select label, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_pop(x, x) a, covar_pop(y, y) b, covar_pop(z, z) c, covar_pop(x, y) d, covar_pop(x, z) e, covar_pop(y, z) f from {POINTS} group by 1),
-        q as (select *, (a + b + c) / 3 q from c), p as (select *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) p from q),
-        r as (select *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p) r from p),
-        l as (select *, q + 2 * p * cos(acos(greatest(-1.0::double, least(1.0::double, r))) / 3 + 2 * pi() / 3) l from r),
-        s as (select *, [[d * f - e * (b - l), e * d - (a - l) * f, (a - l) * (b - l) - d * d], [d * (c - l) - e * f, e * e - (a - l) * (c - l), (a - l) * f - d * e], [(b - l) * (c - l) - f * f, f * e - d * (c - l), d * f - (b - l) * e]] k from l),
-        v as (select *, list_sort(list_transform(k, lambda t: {{'s': -(t[1] * t[1] + t[2] * t[2] + t[3] * t[3]), 't': t}}))[1] v from s),
-        w as (select *, v.t[1] / sqrt(-v.s) x, v.t[2] / sqrt(-v.s) y, v.t[3] / sqrt(-v.s) z from v),
-        u as (select *, case when case when abs(x) >= abs(y) and abs(x) >= abs(z) then x when abs(y) >= abs(z) then y else z end < 0 then -1.0::double else 1.0::double end g from w)
-        select label, n, round(x * g, 5) + 0.0 nx, round(y * g, 5) + 0.0 ny, round(z * g, 5) + 0.0 nz, round(-g * (x * mx + y * my + z * mz), 5) + 0.0 d from u""",
+    "plane_fit": plane_sql(POINTS),
     "rigid_fit_2d": """with p as (select label, embedding[1]::double sx, embedding[2]::double sy, embedding[3]::double dx, embedding[4]::double dy from embeddings),
         t as (select label, atan2(covar_pop(sx, dy) - covar_pop(sy, dx), covar_pop(sx, dx) + covar_pop(sy, dy)) t, avg(sx) sx, avg(sy) sy, avg(dx) dx, avg(dy) dy from p group by 1)
         select label, round(degrees(t), 4) + 0.0 theta_deg, round(dx - cos(t) * sx + sin(t) * sy, 6) + 0.0 tx, round(dy - sin(t) * sx - cos(t) * sy, 6) + 0.0 ty from t""",

@@ -68,3 +68,6 @@ o as (select *, t // step k, least(t + step, coalesce(lead(t) over (partition by
 h as (select *, greatest(0, least(e, (cell + 1) * step) - greatest(t, cell * step)) held from c), b as (select logger_id, max(k) hi from o group by 1)
 select logger_id, cell * step as slot_us, cast(sum((cell = k)::int) as bigint) n_readings, round(sum(v * held) / sum(held), 8) as "mean", round(sum(held) / any_value(step), 8) coverage
 from h join b using (logger_id) where cell <= hi group by logger_id, cell, step having sum(held) > 0"""
+
+P3_GRID = f"""with m as ({P3_MEANS}), f as ({P3}) select logger_id, slot_us, n_readings, "mean", coverage, case when n_readings > 0 then 'observed' else 'held' end status from m
+union all select logger_id, slot_us, 0, null, 0.0, 'empty' from f anti join m using (logger_id, slot_us)"""

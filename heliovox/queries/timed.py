@@ -125,6 +125,7 @@ def keyframe_select(spark: SparkSession, d: str) -> DataFrame:
 def heading_segments(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", "us", (F.hour("ts") * 15.0).alias("heading"), "value")
     out = series.heading_segments(rows, by="user_id", order="us", heading="heading", length="value", limit=60.0, least_length=5.0)
+    out = series.merge_short(out, by="user_id", segment="segment", heading="heading", length="value", least=120.0)
     return out.groupBy("user_id", "segment").agg(F.count("*").alias("n"), F.min("us").alias("first_us"))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+ODOMETRY = "nav_msgs/msg/Odometry"
 POINT_MESSAGES = ("sensor_msgs/msg/PointCloud2", "livox_ros_driver2/msg/CustomMsg")
 # Datatype codes of float fields, and the layout of one point of the custom message.
 FLOATS = {7: "f4", 8: "f8"}
@@ -154,6 +155,68 @@ def custom_points(data: bytes) -> np.ndarray:
     return _finite(whole)
 
 
+def odometry_pose(data: bytes) -> tuple[int, tuple[float, ...]]:
+    """Stamp in ns, and position and rotation (x, y, z, qx, qy, qz, qw), of an odometry message: header, frame of the body, pose."""
+    r = Cdr(data)
+    seconds, nanos, _frame = r.header()
+    r.text()
+    return seconds * 1_000_000_000 + nanos, tuple(r.take("d") for _ in range(7))
+
+
+def poses(messages: DataFrame) -> DataFrame:
+    """`file, id, stamp_ns, header_ns, x, y, z, qx, qy, qz, qw` of the odometry messages of a bag; messages of other types give none."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [odometry_pose(bytes(d)) for d in batch["data"]]
+            out = batch[["file", "id", "stamp_ns"]].assign(header_ns=[at for at, _ in read])
+            for k, name in enumerate(("x", "y", "z", "qx", "qy", "qz", "qw")):
+                out[name] = [p[k] for _, p in read]
+            yield out
+
+    rows = messages.where((F.col("type") == ODOMETRY) & F.col("data").isNotNull()).select("file", "id", "stamp_ns", "data")
+    return rows.mapInPandas(decode, "file string, id bigint, stamp_ns bigint, header_ns bigint, x double, y double, z double, qx double, qy double, qz double, qw double")
+
+
+def cloud_message(points: np.ndarray, frame: str, stamp_ns: int) -> bytes:
+    """A point cloud message of x, y, z as 32-bit floats, little endian."""
+    out = bytearray([0, 1, 0, 0])
+
+    def put(code: str, *values: float) -> None:
+        for v in values:
+            out.extend(b"\0" * (-(len(out) - 4) % struct.calcsize(code)) + struct.pack("<" + code, v))
+
+    def text(value: str) -> None:
+        put("I", len(value.encode()) + 1)
+        out.extend(value.encode() + b"\0")
+
+    put("i", stamp_ns // 1_000_000_000)
+    put("I", stamp_ns % 1_000_000_000)
+    text(frame)
+    put("I", 1, len(points), 3)
+    for n, name in enumerate("xyz"):
+        text(name)
+        put("I", 4 * n)
+        put("B", 7)
+        put("I", 1)
+    put("B", 0)
+    put("I", 12, 12 * len(points), 12 * len(points))
+    out.extend(np.ascontiguousarray(points, "<f4").tobytes())
+    put("B", 1)
+    return bytes(out)
+
+
+def write_bag(path: str, topic: str, frame: str, points: np.ndarray, stamp_ns: int) -> None:
+    """A bag of one point cloud message; an existing file is an error."""
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    with sqlite3.connect(path) as db:
+        db.execute("create table topics (id integer primary key, name text not null, type text not null, serialization_format text not null)")
+        db.execute("create table messages (id integer primary key, topic_id integer not null, timestamp integer not null, data blob not null)")
+        db.execute("insert into topics values (1, ?, ?, 'cdr')", (topic, POINT_MESSAGES[0]))
+        db.execute("insert into messages values (1, 1, ?, ?)", (stamp_ns, cloud_message(points, frame, stamp_ns)))
+
+
 def packet_points(data: bytes) -> np.ndarray | None:
     """x, y, z, reflectivity, tag of a live packet; None for other types and packets that are too short."""
     if len(data) < PACKET_HEADER:

@@ -115,6 +115,71 @@ def write_ply(points: DataFrame, folder: str, *, colours: bool = False) -> None:
     points.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/head")
 
 
+def write_ply_binary(points: DataFrame, path: str) -> int:
+    """One binary PLY of x, y, z as 32-bit floats; gives the number of points. The file is one by its nature, so points stream through the driver batch by batch."""
+    xyz = points.select(*[F.col(a).cast("float").alias(a) for a in "xyz"]).dropna()
+    n, size = 0, 10
+    # The number of points stands in the head, in a field wide enough for any.
+    head = lambda k: f"ply\nformat binary_little_endian 1.0\nelement vertex {k:>{size}}\nproperty float x\nproperty float y\nproperty float z\nend_header\n".encode()
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "body": [b[["x", "y", "z"]].to_numpy("<f4").tobytes()]})
+
+    with open(path, "wb") as out:
+        out.write(head(0))
+        for row in xyz.mapInPandas(packed, "n bigint, body binary").toLocalIterator():
+            n += row["n"]
+            out.write(bytes(row["body"]))
+        out.seek(0)
+        out.write(head(n))
+    return n
+
+
+def write_pcd(points: DataFrame, folder: str, *, intensity: str = "intensity") -> None:
+    """A text PCD in parts, as `write_ply`: `head` with the number of points, `body` with the lines."""
+    number = lambda c: F.format_string("%.6f", c)
+    points.select(F.concat_ws(" ", *[number(F.col(a)) for a in "xyz"], number(F.coalesce(F.col(intensity).cast("double"), F.lit(0.0)))).alias("value")).write.mode("overwrite").text(f"{folder}/body")
+    n = points.sparkSession.read.text(f"{folder}/body").count()
+    lines = ["# .PCD v0.7", "VERSION 0.7", "FIELDS x y z intensity", "SIZE 4 4 4 4", "TYPE F F F F", "COUNT 1 1 1 1", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA ascii"]
+    points.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/head")
+
+
+def map_lines(cells: DataFrame, *, file: str, cols: int) -> DataFrame:
+    """`file, row, line`: maps of `cols` columns as lines of text, values with three digits, cells that are missing empty. A line is one row of one map."""
+    held = cells.groupBy(file, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
+    value = lambda c: F.try_element_at("m", c)
+    shown = F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.when(value(c).isNotNull(), F.format_string("%.3f", value(c))).otherwise(F.lit("")))
+    return held.select(file, "row", F.array_join(shown, ",").alias("line"))
+
+
+def write_map(cells: DataFrame, path: str, *, file: str, cols: int) -> None:
+    """Maps as text, a folder per map; lines are in order of rows within and across its files."""
+    lines = map_lines(cells, file=file, cols=cols)
+    lines.repartitionByRange(F.col(file), F.col("row")).sortWithinPartitions(file, "row").select(file, F.col("line").alias("value")).write.mode("overwrite").partitionBy(file).text(path)
+
+
+def write_bundle(columns: DataFrame, path: str, **scalars: object) -> None:
+    """Columns as Parquet, and beside them one row of scalars."""
+    columns.write.mode("overwrite").parquet(f"{path}/columns")
+    columns.sparkSession.createDataFrame([tuple(scalars.values())], list(scalars)).coalesce(1).write.mode("overwrite").parquet(f"{path}/scalars")
+
+
+def bundle(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/columns"), spark.read.parquet(f"{path}/scalars").first().asDict()
+
+
+def image_folder(spark: SparkSession, path: str) -> DataFrame:
+    """`path, ordinal, length, modified` of a folder's files in the order of the last number in their names, those without one behind, then by name. Contents aren't read."""
+    from pyspark.sql import Window
+
+    found = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    number = F.regexp_extract("path", r"(\d+)[^0-9/]*$", 1).try_cast("bigint")
+    # One folder of one recording.
+    order = Window.partitionBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).orderBy(number.isNull(), number, "path")
+    return found.withColumn("ordinal", F.row_number().over(order) - 1)
+
+
 def documents(df: DataFrame, path: str, *, schema: str, made_by: str) -> None:
     """One JSON document per row, with the name of its schema and what made it."""
     df.select(F.lit(schema).alias("schema"), F.lit(made_by).alias("generated_by"), "*").write.mode("overwrite").json(path)

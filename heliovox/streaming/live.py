@@ -5,10 +5,13 @@ All are plain DataFrame functions that also run on batches, apart from `every_nt
 
 from __future__ import annotations
 
+import socket
 from collections.abc import Iterator
+from time import monotonic, sleep, time_ns
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from heliovox.functions import geometry as g
 
@@ -84,3 +87,73 @@ def every_nth(rows: DataFrame, *, key: str, order: str, value: str, n: int, clas
 def replay(spark, path: str, schema: str, *, files_per_trigger: int = 1) -> DataFrame:
     """Recorded files as a stream, a few per trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+class UdpSource(DataSource):
+    """`received_us, payload`: datagrams of a port, as a stream. Options: host, port, silence (seconds without any that end a batch), most (datagrams of a batch).
+
+    Datagrams that have been read are kept until their batch is committed, so a batch can be given again.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "udp"
+
+    def schema(self) -> str:
+        return "received_us bigint, payload binary"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Datagrams(self.options)
+
+
+class _Datagrams(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict) -> None:
+        self.silence, self.most = float(options.get("silence", "0.2")), int(options.get("most", "10000"))
+        self.held: list[tuple[int, tuple]] = []
+        self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
+        self.socket.bind((options.get("host", "127.0.0.1"), int(options["port"])))
+        self.socket.settimeout(self.silence)
+
+    def __getstate__(self) -> dict:
+        # Datagrams are taken in where the stream is planned; the port doesn't travel.
+        return {**self.__dict__, "socket": None}
+
+    def initialOffset(self) -> dict:
+        return {"seen": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows = []
+        while len(rows) < self.most:
+            try:
+                rows.append((time_ns() // 1000, self.socket.recv(65_535)))
+            except TimeoutError:
+                break
+        first = start["seen"]
+        self.held += [(first + n, r) for n, r in enumerate(rows)]
+        return iter(rows), {"seen": first + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for n, r in self.held if start["seen"] <= n < end["seen"]])
+
+    def commit(self, end: dict) -> None:
+        self.held = [(n, r) for n, r in self.held if n >= end["seen"]]
+
+
+def stop_when_idle(query, seconds: float, poll: float = 0.5) -> None:
+    """Waits until a streaming query has taken in nothing for so long, then stops it."""
+    since, before = monotonic(), -1
+    while query.isActive:
+        batches = [p for p in query.recentProgress if p["numInputRows"] > 0]
+        last = batches[-1]["batchId"] if batches else -1
+        if last != before:
+            since, before = monotonic(), last
+        elif monotonic() - since >= seconds:
+            query.stop()
+            return
+        sleep(poll)
+
+
+def count_windows(rows: DataFrame, *, ordinal: str, size: int, by: list[str], aggregates: list[Column]) -> DataFrame:
+    """`by, window, ...`: aggregates of every `size` rows in succession by their ordinal, which counts from 0; streaming or not."""
+    return rows.groupBy(*by, F.floor(F.col(ordinal) / size).alias("window")).agg(*aggregates)

@@ -209,3 +209,22 @@ def test_pairs_in_the_plane_zips_and_walls(spark):
     assert [(r["w"], r["other_id"], r["gap"]) for r in mapping.facing_walls(walls, by="s", wall_id="w", degrees=10.0, least_gap=0.5).collect()] == [(1, 2, 4.0)]
     zipped = mapping.zipped(left.withColumn("g", F.lit(1)), right.withColumn("g", F.lit(1)).limit(2), by="g", left_order=["a"], right_order=["b"]).collect()
     assert [(r["ordinal"], r["a"]) for r in sorted(zipped, key=lambda r: r["ordinal"])] == [(1, 1), (2, 2)]
+
+
+def test_short_segments_go_to_the_nearer_neighbour(spark):
+    rows = [(1, n, s, h, l) for n, (s, h, l) in enumerate([(0, 0.0, 5.0), (0, 2.0, 5.0), (1, 80.0, 1.0), (2, 90.0, 9.0), (3, 170.0, 2.0), (4, 185.0, 8.0)])] + [(2, 0, 0, 10.0, 0.5)]
+    df = spark.createDataFrame(rows, "who int, at int, segment int, heading double, length double")
+    got = {(r["who"], r["at"]): r["segment"] for r in series.merge_short(df, by="who", segment="segment", heading="heading", length="length", least=4.0).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (1, 3): 1, (1, 4): 2, (1, 5): 2, (2, 0): 0}
+    assert series.merge_short(df.limit(0), by="who", segment="segment", heading="heading", length="length", least=4.0).count() == 0
+
+
+def test_model_surfaces_face_outward(spark):
+    from heliovox.operators import building
+
+    square = [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [1.0, 1.0, 0.0], [0.0, 1.0, 0.0]]
+    rows = [(1, square, 0.0, 0.0, 1.0, 0.5, 0.5, 0.0, 0.5, 0.5, 1.0), (2, [[x, y, 2.0] for x, y, _ in square], 0.0, 0.0, 1.0, 0.5, 0.5, 2.0, 0.5, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "id int, k array<array<double>>, nx double, ny double, nz double, cx double, cy double, cz double, ix double, iy double, iz double")
+    out = {r["id"]: r for r in building.model_surfaces(df, corners="k", normal=("nx", "ny", "nz"), centre=("cx", "cy", "cz"), interior=("ix", "iy", "iz")).collect()}
+    assert (out[1]["surface_type"], out[1]["boundary"], out[1]["turned"], out[1]["polygon"]) == ("floor", "Ground", True, square[::-1])
+    assert (out[2]["surface_type"], out[2]["boundary"], out[2]["turned"]) == ("roof", "Outdoors", False)

@@ -133,3 +133,82 @@ def test_range_window_and_latest(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (2, None, "d")], "k int, t int, v string")
     assert {(r["k"], r["v"]) for r in live.latest(rows, key="k", time="t", value="v").collect()} == {(1, "c"), (2, "d")}
     assert rows.where(F.lit(False)).count() == 0
+
+
+def odometry(stamp, position, rotation):
+    w = Writer().put("i", stamp).put("I", 7).text("odom").text("base_link")
+    for v in (*position, *rotation):
+        w.put("d", v)
+    return w.data + b"\0" * 288
+
+
+def test_poses_of_a_bag(spark, tmp_path):
+    path = tmp_path / "p.db3"
+    with sqlite3.connect(path) as db:
+        db.execute("create table topics (id integer primary key, name text, type text)")
+        db.execute("create table messages (id integer primary key, topic_id integer, timestamp integer, data blob)")
+        db.executemany("insert into topics values (?, ?, ?)", [(1, "/odom", bag.ODOMETRY), (2, "/imu", "sensor_msgs/msg/Imu")])
+        for i in range(1, 4):
+            db.execute("insert into messages values (?, 1, ?, ?)", (i, i * 10**9, odometry(i, (i, 2.5, -1.0), (0.0, 0.0, 0.6, 0.8))))
+        db.execute("insert into messages values (9, 2, 5, x'00')")
+    rows = bag.poses(bag.read(spark, str(path))).orderBy("id").collect()
+    assert [(r["id"], r["header_ns"], r["x"], r["y"], r["z"], r["qz"], r["qw"]) for r in rows] == [(i, i * 10**9 + 7, float(i), 2.5, -1.0, 0.6, 0.8) for i in range(1, 4)]
+
+
+def test_bag_that_was_written(spark, tmp_path):
+    path, p = str(tmp_path / "w.db3"), np.array([[1.5, 2.0, -3.0], [0.25, 0.0, 9.0]])
+    bag.write_bag(path, "/cloud", "map", p, 12_000_000_345)
+    rows = bag.points(bag.read(spark, path)).orderBy("point").collect()
+    assert [[r["x"], r["y"], r["z"]] for r in rows] == p.tolist() and rows[0]["stamp_ns"] == 12_000_000_345
+    with pytest.raises(FileExistsError):
+        bag.write_bag(path, "/cloud", "map", p, 0)
+
+
+def test_more_sinks(spark, tmp_path):
+    p = spark.createDataFrame([(1.0, 2.0, 3.0, 7.0), (4.0, 5.0, 6.0, None), (None, 1.0, 1.0, 1.0)], "x double, y double, z double, intensity double")
+    assert files.write_ply_binary(p, str(tmp_path / "c.ply")) == 2
+    raw = (tmp_path / "c.ply").read_bytes()
+    head, body = raw.split(b"end_header\n")
+    assert b"element vertex          2\n" in head and sorted(np.frombuffer(body, "<f4").reshape(-1, 3).tolist()) == [[1, 2, 3], [4, 5, 6]]
+    files.write_pcd(p.where("x is not null"), str(tmp_path / "pcd"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "pcd/body")).collect()) == ["1.000000 2.000000 3.000000 7.000000", "4.000000 5.000000 6.000000 0.000000"]
+    assert any(r[0] == "POINTS 2" for r in spark.read.text(str(tmp_path / "pcd/head")).collect())
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 2, 2.25), ("a", 1, 1, None), ("b", 0, 1, 3.0)], "file string, row int, col int, value double")
+    assert {(r["file"], r["row"], r["line"]) for r in files.map_lines(cells, file="file", cols=3).collect()} == {("a", 0, "1.000,,2.250"), ("a", 1, ",,"), ("b", 0, ",3.000,")}
+    files.write_map(cells, str(tmp_path / "maps"), file="file", cols=3)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "maps/file=a")).collect()) == [",,", "1.000,,2.250"]
+    files.write_bundle(p, str(tmp_path / "bundle"), voxel=0.5, name="scan")
+    columns, scalars = files.bundle(spark, str(tmp_path / "bundle"))
+    assert columns.count() == 3 and scalars == {"voxel": 0.5, "name": "scan"}
+
+
+def test_image_folder(spark, tmp_path):
+    for name in ("IMG_10.jpg", "IMG_9.jpg", "cover.jpg"):
+        (tmp_path / name).write_bytes(b"x" * 3)
+    rows = files.image_folder(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in rows] == ["IMG_9.jpg", "IMG_10.jpg", "cover.jpg"] and {r["length"] for r in rows} == {3}
+
+
+def test_datagrams_until_silence(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    spark.dataSource.register(live.UdpSource)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as probe:
+        probe.bind(("127.0.0.1", 0))
+        port = probe.getsockname()[1]
+    query = spark.readStream.format("udp").option("port", str(port)).load().writeStream.format("memory").queryName("datagrams").option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def send():
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            for n in range(40):
+                s.sendto(b"p%d" % n, ("127.0.0.1", port))
+                time.sleep(0.1)
+
+    sender = threading.Thread(target=send)
+    sender.start()
+    live.stop_when_idle(query, 8.0)
+    sender.join()
+    got = [bytes(r["payload"]) for r in spark.sql("select payload from datagrams").collect()]
+    assert not query.isActive and len(got) > 5 and len(got) == len(set(got))
