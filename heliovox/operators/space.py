@@ -15,6 +15,7 @@ from heliovox.functions import geometry as g
 from heliovox.operators import lattice
 
 MOST_PLANES = 20_000
+MOST_CLASSES = 10_000
 
 
 def z_buffer(points: DataFrame, *, pixel: Sequence[str], depth: str, tolerance: float) -> DataFrame:
@@ -237,8 +238,36 @@ def _gap(boxes: dict, q: np.ndarray) -> np.ndarray:
     return np.sqrt((np.maximum(np.maximum(boxes["low"] - q, q - boxes["high"]), 0.0) ** 2).sum(axis=1))
 
 
-def _near(asked: np.ndarray, there: np.ndarray, counts: np.ndarray, k: int, same: bool = True) -> list[np.ndarray]:
-    """Ascending distances to the k nearest of `there`, places counted as often as they occur; with `same`, one less of the place itself."""
+def _near(asked: np.ndarray, there: np.ndarray, counts: np.ndarray, k: int, same: bool = True, leaf: int = 1000) -> list[np.ndarray]:
+    """Ascending distances to the k nearest of `there`, places counted as often as they occur; with `same`, one less of the place itself.
+
+    Many places are cut into small boxes first: each is asked by itself, then those of its neighbours that its balls reach.
+    """
+    if len(there) <= 4 * leaf or not len(asked):
+        return _nearest_of(asked, there, counts, k, same)
+    boxes = _boxes(there, leaf)
+    order = np.argsort(home := _box_of(boxes, there), kind="stable")
+    edges = np.searchsorted(home[order], np.arange(len(boxes["low"]) + 1))
+    rows = lambda b: order[edges[b] : edges[b + 1]]
+    at = _box_of(boxes, asked)
+    out: list[np.ndarray] = [np.empty(0)] * len(asked)
+    for b in np.unique(at):
+        who, own = np.flatnonzero(at == b), rows(b)
+        first = _nearest_of(asked[who], there[own], counts[own], k, same)
+        radius = np.array([d[k - 1] if len(d) >= k else np.inf for d in first])
+        reached = np.array([_gap(boxes, q) < r for q, r in zip(asked[who], radius)])
+        reached[:, b] = False
+        others = np.flatnonzero(reached.any(axis=0))
+        if len(others):
+            far = np.concatenate([rows(o) for o in others])
+            more = _nearest_of(asked[who], there[far], counts[far], k, False)
+            first = [np.sort(np.r_[x, y])[:k] for x, y in zip(first, more)]
+        for i, d in zip(who, first):
+            out[i] = d
+    return out
+
+
+def _nearest_of(asked: np.ndarray, there: np.ndarray, counts: np.ndarray, k: int, same: bool) -> list[np.ndarray]:
     out = []
     for start in range(0, len(asked), 256):
         block = asked[start : start + 256]
@@ -263,6 +292,24 @@ def knn_outliers(points: DataFrame, *, point_id: str, k: int, ratio: float) -> D
     return d.crossJoin(F.broadcast(limit)).select(point_id, "mean_distance", F.coalesce(F.col("mean_distance") < F.col("_limit"), F.lit(True)).alias("kept"))  # one row
 
 
+def class_cosines(rows: DataFrame, *, vector: str, label: str, keep: Sequence[str]) -> DataFrame:
+    """`keep, label, cosine`: of every vector with the mean of the unit vectors of every class.
+
+    The classes' means, at most `MOST_CLASSES`, are folded into one row, so each vector is compared where it stands. Null vectors and those of
+    length 0 have no direction and are left out, as are null labels.
+    """
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    wide = rows.where(F.col(label).isNotNull()).select(*keep, F.col(label).alias("_label"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("_size", size("_v")).where("_size > 0")
+    unit = wide.withColumn("_u", F.transform("_v", lambda x: F.try_divide(x, F.col("_size"))))
+    mean = unit.select("_label", F.posexplode("_u").alias("i", "x")).groupBy("_label", "i").agg(F.avg("x").alias("m")).groupBy("_label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m"))
+    mean = mean.select("_label", F.transform("m", lambda p: p["m"]).alias("m")).withColumn("size", size("m"))
+    held = mean.limit(MOST_CLASSES + 1).agg(F.collect_list(F.struct("_label", "m", "size")).alias("_means"))
+    held = held.withColumn("_means", F.when(F.size("_means") <= MOST_CLASSES, F.col("_means")).otherwise(F.raise_error(F.lit("too many classes for one array"))))
+    dot = lambda c: F.aggregate(F.zip_with("_u", c["m"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    each = F.transform("_means", lambda c: F.struct(c["_label"].alias(label), F.try_divide(dot(c), c["size"]).alias("cosine")))
+    return unit.crossJoin(F.broadcast(held)).select(*keep, F.explode(each).alias("_c")).select(*keep, "_c.*")  # one row
+
+
 def ransac_plane(points: DataFrame, *, threshold: float, tries: int = 200, seed: int = 0, sample: int = 3000) -> DataFrame:
     """`n, nx, ny, nz, d`: the plane of the best of `tries` triples, refitted to its inliers.
 

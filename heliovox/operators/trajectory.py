@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -57,32 +59,44 @@ def scan_descriptors(points: DataFrame, *, scan: str, rings: int = 20, sectors:
 
 
 def seen_again(descriptors: DataFrame, *, scan: str, least_gap: int, most: float, rings: int = 20) -> DataFrame:
-    """`a, b, distance`: for every scan the earlier one, at least `least_gap` before, whose ring profile is nearest, if within `most`.
+    """`a, b, distance`: for every scan the earlier one, at least `least_gap` before, whose ring profile is nearest, if within `most` (below 1); of equally near ones the first.
 
-    Profiles (mean height and cell count per ring, which turning doesn't change) are one array per scan; they are compared in blocks of scans.
+    Profiles (mean height and cell count per ring, which turning doesn't change) are one array per scan; the distance of two is that of the arrays over
+    the sum of their lengths. Within `most`, lengths lie within a factor, and every projection within a distance that follows from the length: so scans are put
+    into cells by length and three projections, and only compared with those of neighbouring cells. Nothing within `most` is missed.
     """
     profile = descriptors.groupBy(scan, "ring").agg(F.sum("top").alias("s"), F.count("*").alias("n")).groupBy(scan).agg(F.map_from_entries(F.collect_list(F.struct("ring", F.struct("s", "n").alias("v")))).alias("m"))
     values = [F.coalesce(F.try_element_at("m", F.lit(k))[c].cast("double"), F.lit(0.0)) for k in range(rings) for c in ("s", "n")]
     scans = profile.select(F.col(scan).cast("bigint").alias("scan"), F.array(*values).alias("v"))
-    size = 512
-    n = scans.agg(F.max("scan")).first()[0]
-    blocks = (n or 0) // size + 1
-    left = scans.withColumn("mine", F.expr(f"scan div {size}").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mine"))))
-    right = scans.withColumn("other", F.expr(f"scan div {size}").cast("int")).withColumn("mine", F.explode(F.sequence(F.col("other"), F.lit(int(blocks - 1)))))
-
-    def near(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.stack(mine["v"].to_numpy()) if len(mine) else np.empty((0, 2 * rings)), np.stack(other["v"].to_numpy()) if len(other) else np.empty((0, 2 * rings))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": float})
-        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)) / np.maximum(np.linalg.norm(a, axis=1)[:, None] + np.linalg.norm(b, axis=1)[None], 1e-9)
-        d[mine["scan"].to_numpy()[:, None] - other["scan"].to_numpy()[None] < least_gap] = np.inf
-        k = d.argmin(axis=1)
-        best = d[np.arange(len(a)), k]
-        ok = best <= most
-        return pd.DataFrame({"a": mine["scan"].to_numpy()[ok], "b": other["scan"].to_numpy()[k[ok]], "distance": best[ok]})
-
-    found = left.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInPandas(near, "a long, b long, distance double")
-    return found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    # Sums over a third of the entries each, over the root of their number: projections on three directions at right angles.
+    cuts = [round(2 * rings * k / 3) for k in range(4)]
+    thirds = [F.aggregate(F.slice("v", a + 1, b - a), F.lit(0.0), lambda acc, x: acc + x) / math.sqrt(b - a) for a, b in zip(cuts, cuts[1:])]
+    scans = scans.withColumns({"size": size("v"), **{f"p{n}": t for n, t in enumerate(thirds)}}).where("size > 0")
+    factor = math.log((1 + most) / (1 - most))
+    level = F.floor(F.log("size") / factor)
+    # Of two scans within `most`, one of this level and one of a level beside it, no projection differs by more.
+    reach = lambda k: F.exp((k + 2) * factor) * (2 * most)
+    cell = lambda n, k: F.floor(F.col(f"p{n}") / reach(k))
+    late = scans.select(F.col("scan").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa"), level.alias("k"), *[F.col(f"p{n}") for n in range(3)])
+    late = late.select("a", "va", "sa", "k", *[cell(n, F.col("k")).alias(f"c{n}") for n in range(3)])
+    early = scans.select(F.col("scan").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb"), F.explode(F.sequence(level - 1, level + 1)).alias("k"), *[F.col(f"p{n}") for n in range(3)])
+    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{n}") for n, x in enumerate(d)]) for d in product((-1, 0, 1), repeat=3)])
+    early = early.withColumn("d", F.explode(steps)).select("b", "vb", "sb", "k", *[(cell(n, F.col("k")) + F.col(f"d.d{n}")).alias(f"c{n}") for n in range(3)])
+    apart = size(F.zip_with("va", "vb", lambda x, y: x - y)) / (F.col("sa") + F.col("sb"))
+    met = late.join(early, ["k", "c0", "c1", "c2"]).where(F.col("a") - F.col("b") >= least_gap).select("a", "b", apart.alias("distance")).where(F.col("distance") <= most)
+    return met.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
+
+
+def _nearest_rows(p: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest row of `target` for each of `p`, and the squared distance, some rows at a time."""
+    place, gap = np.empty(len(p), np.int64), np.empty(len(p))
+    step = max(1, 4_000_000 // max(1, len(target)))
+    for start in range(0, len(p), step):
+        d = ((p[start : start + step, None] - target[None]) ** 2).sum(axis=2)
+        place[start : start + step] = j = d.argmin(axis=1)
+        gap[start : start + step] = d[np.arange(len(d)), j]
+    return place, gap
 
 
 def align(source: np.ndarray, target: np.ndarray, start: np.ndarray | None = None, rounds: int = 30, reach: float = 1.0) -> tuple[np.ndarray, float]:
@@ -91,9 +105,7 @@ def align(source: np.ndarray, target: np.ndarray, start: np.ndarray | None = Non
     rmse = np.inf
     for k in range(rounds):
         p = source @ t[:3, :3].T + t[:3, 3]
-        d = ((p[:, None] - target[None]) ** 2).sum(axis=2)
-        j = d.argmin(axis=1)
-        gap = d[np.arange(len(p)), j]
+        j, gap = _nearest_rows(p, target)
         ok = gap <= max(reach * 0.8**k, 0.1 * reach) ** 2
         if ok.sum() < 6:
             break

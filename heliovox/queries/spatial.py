@@ -136,12 +136,7 @@ def revisit_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def top_k_similarity(spark: SparkSession, d: str) -> DataFrame:
     """For every class the five vectors most like its mean."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    size = e.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    unit = e.join(size, "vec_id").select("vec_id", "label", "i", (F.col("v") / F.col("size")).alias("v"))
-    mean = unit.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("len"))
-    score = unit.drop("label").join(mean, "i").groupBy("label", "vec_id").agg(F.sum(F.col("v") * F.col("m")).alias("s")).join(length, "label").select("label", "vec_id", (F.col("s") / F.col("len")).alias("cosine"))
+    score = space.class_cosines(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), vector="embedding", label="label", keep=["vec_id"])
     # A rank limit is pushed below the shuffle, so only five rows per task and class are moved.
     w = Window.partitionBy("label").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
     top = score.withColumn("rank", F.row_number().over(w)).where("rank <= 5")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders of this process, in local mode, which go with it.
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,9 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not shared:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), f"heliovox-{os.getuid()}-checkpoints")
+        shared = os.path.join(tempfile.gettempdir(), f"heliovox-{os.getuid()}-{os.getpid()}-checkpoints")
+        if shared not in _OWN:
+            _OWN.add(shared)
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return shared
 
 
@@ -29,3 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Deletes this application's checkpoints; for when its results have been written."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

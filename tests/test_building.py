@@ -172,3 +172,27 @@ def test_rectangle_holds_every_corner_of_the_hull(spark):
     t = np.radians(found["angle_deg"])
     turned = p @ np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
     assert np.all(np.ptp(turned, axis=0) <= np.array([found["width"], found["height"]]) + 1e-9)
+
+
+def test_places_seen_again_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows, profiles = [], {}
+    for scan in range(120):
+        base = rng.uniform(0.5, 40, 20) if scan < 30 else profiles_of[int(rng.integers(30))] * rng.uniform(0.9, 1.1, 20)
+        if scan == 0:
+            profiles_of = {}
+        if scan < 30:
+            profiles_of[scan] = base
+        for ring, top in enumerate(base):
+            rows.append((scan, ring, 0, float(top)))
+        v = np.empty(40)
+        v[::2], v[1::2] = base, 1.0
+        profiles[scan] = v
+    d = spark.createDataFrame(rows, "scan long, ring int, sector int, top double")
+    got = {r["a"]: r["b"] for r in T.seen_again(d, scan="scan", least_gap=10, most=0.06).collect()}
+    expected = {}
+    for a in profiles:
+        near = [(np.linalg.norm(profiles[a] - profiles[b]) / (np.linalg.norm(profiles[a]) + np.linalg.norm(profiles[b])), b) for b in profiles if a - b >= 10]
+        if near and min(near)[0] <= 0.06:
+            expected[a] = min(near)[1]
+    assert got == expected and len(expected) > 50

@@ -228,3 +228,19 @@ def test_model_surfaces_face_outward(spark):
     out = {r["id"]: r for r in building.model_surfaces(df, corners="k", normal=("nx", "ny", "nz"), centre=("cx", "cy", "cz"), interior=("ix", "iy", "iz")).collect()}
     assert (out[1]["surface_type"], out[1]["boundary"], out[1]["turned"], out[1]["polygon"]) == ("floor", "Ground", True, square[::-1])
     assert (out[2]["surface_type"], out[2]["boundary"], out[2]["turned"]) == ("roof", "Outdoors", False)
+
+
+def test_nearest_of_many_places_against_brute_force():
+    rng = np.random.default_rng(6)
+    there = np.vstack([rng.normal(0, 1, (5000, 3)), rng.normal(4, 0.05, (800, 3))])
+    counts = rng.integers(1, 3, len(there))
+    asked = np.vstack([there[::97], rng.normal(0, 3, (40, 3))])
+    got, expected = space._near(asked, there, counts, 6, leaf=200), space._nearest_of(asked, there, counts, 6, True)
+    assert all(np.allclose(a, b) for a, b in zip(got, expected))
+
+
+def test_class_cosines(spark):
+    rows = spark.createDataFrame([(1, "a", [2.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [-1.0, 0.0]), (4, "b", None), (5, None, [1.0, 1.0]), (6, "b", [0.0, 0.0])], "cosine long, label string, v array<double>")
+    got = {(r[0], r["label"]): round(r[2], 9) for r in space.class_cosines(rows.withColumnRenamed("cosine", "id"), vector="v", label="label", keep=["id"]).collect()}
+    half = round(0.5**0.5, 9)
+    assert got == {(1, "a"): half, (2, "a"): half, (3, "a"): -half, (1, "b"): -1.0, (2, "b"): 0.0, (3, "b"): 1.0}
