@@ -191,3 +191,53 @@ def model_surfaces(planes: DataFrame, *, corners: str, normal: Sequence[str], ce
     kind = F.when(F.abs(F.col(normal[2])) <= 0.7, "wall").when(out[2] > 0, "roof").otherwise("floor")
     d = planes.withColumns({"turned": turned, "surface_type": kind})
     return d.withColumns({"boundary": F.when(F.col("surface_type") == "floor", "Ground").otherwise("Outdoors"), "polygon": F.when(F.col("turned"), F.reverse(corners)).otherwise(F.col(corners))})
+
+
+def slab(points: DataFrame, *, by: str, axis: str, band: float, upper: bool) -> DataFrame:
+    """`by, n, nx, ny, nz, d`: the plane through the points of each group within `band` of its end along an axis: the try for a side that no plane closes."""
+    from heliovox.operators.space import fit_planes
+
+    end = points.groupBy(by).agg((F.max if upper else F.min)(axis).alias("_end"))
+    return fit_planes(points.join(end, by).where(F.abs(F.col(axis) - F.col("_end")) <= band), [by])
+
+
+def box_of_cells(points: DataFrame, *, by: str, size: float, share: float) -> DataFrame:
+    """`by, cells, lo_x .. hi_z`: the bounds of each group's occupied cells' centres, without the outermost `share` on either side."""
+    from heliovox.operators import lattice
+
+    cells = lattice.with_cells(points, size).select(by, *lattice.CELL).distinct()
+    ends = [F.percentile(lattice.centre(F.col(c), size), F.lit(q)).alias(f"{e}_{a}") for c, a in zip(lattice.CELL, lattice.AXES) for e, q in (("lo", share), ("hi", 1 - share))]
+    return cells.groupBy(by).agg(F.count("*").alias("cells"), *ends)
+
+
+def axis_raster(points: DataFrame, *, by: str, size: float, least_side: int) -> DataFrame:
+    """`by, axis, row, col, n`: each group's points on the grid across the axis that its plane's normal lies nearest to, without parts whose longest side is below
+    `least_side` cells. `by` is a whole number."""
+    from heliovox.operators import graph, space
+
+    stride = 1 << 20  # columns apart, so that no two groups touch
+    axis = space.fit_planes(points, [by]).select(by, g.axis_of([F.col(c) for c in ("nx", "ny", "nz")]).alias("axis"))
+    first, second = F.when(F.col("axis") == 0, F.col("y")).otherwise(F.col("x")), F.when(F.col("axis") == 2, F.col("y")).otherwise(F.col("z"))
+    cells = points.join(axis, by).groupBy(by, "axis", F.floor(second / size).alias("row"), F.floor(first / size).alias("col")).agg(F.count("*").alias("n"))
+    wide = cells.withColumn("_wide", F.col("col") + F.col(by) * stride)
+    kept = graph.without_small(wide.select(F.col("row").alias("r"), F.col("_wide").alias("c")), ["r", "c"], least_side=least_side)
+    return wide.join(kept, (F.col("row") == F.col("r")) & (F.col("_wide") == F.col("c")), "left_semi").drop("_wide")
+
+
+def smoothed(points: DataFrame, *, by: str, size: float, band: float) -> DataFrame:
+    """`by, axis, r0, c0, r1, c1`: each group's surface as rectangles: points within `band` of its plane, on the grid across the plane's axis, gaps of a cell closed,
+    enclosed holes filled, and covered by rectangles. A task holds one surface's raster."""
+    from heliovox.operators import graph, space
+
+    planes = space.fit_planes(points, [by]).drop("n")
+    n = [F.col(c) for c in ("nx", "ny", "nz")]
+    near = points.join(planes, by).where(g.plane_distance(n, F.col("d"), [F.col(a) for a in "xyz"]) <= band).withColumn("axis", g.axis_of(n))
+    first, second = F.when(F.col("axis") == 0, F.col("y")).otherwise(F.col("x")), F.when(F.col("axis") == 2, F.col("y")).otherwise(F.col("z"))
+    cells = near.select(by, "axis", F.floor(second / size).cast("int").alias("row"), F.floor(first / size).cast("int").alias("col")).distinct()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mask, r, c = graph._mask(rows)
+        found = [(rows[by].iloc[0], rows["axis"].iloc[0], a + r, b + c, x + r, y + c) for a, b, x, y in graph.cover(graph.filled(graph.closed_mask(mask)))]
+        return pd.DataFrame(found, columns=[by, "axis", "r0", "c0", "r1", "c1"])
+
+    return cells.groupBy(by).applyInPandas(run, f"`{by}` {dict(points.dtypes)[by]}, axis int, r0 int, c0 int, r1 int, c1 int")

@@ -132,3 +132,11 @@ def facing_walls(walls: DataFrame, *, by: str, wall_id: str, degrees: float, lea
     best = both.groupBy(by, wall_id).agg(F.min(F.struct("gap", "other_id")).alias("b")).select(by, wall_id, "b.other_id", "b.gap")
     back = best.select(by, F.col("other_id").alias(wall_id), F.col(wall_id).alias("other_id"))
     return best.join(back, [by, wall_id, "other_id"], "left_semi").where(F.col(wall_id) < F.col("other_id"))
+
+
+def rebuilt(points: DataFrame, poses: DataFrame, *, on: Sequence[str], size: float, by: Sequence[str] = ()) -> DataFrame:
+    """`by, i, j, k, n, x, y, z`: scans' points (`x, y, z`, in axes of their pose) brought into the world by corrected, oriented poses, and averaged per cell."""
+    rows = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
+    world = g.rigid(rows, [F.col(c) for c in ("px", "py", "pz")], [F.col(c) for c in ("x", "y", "z")])
+    moved = points.join(poses, list(on)).select(*by, *[w.alias(a) for w, a in zip(world, lattice.AXES)])
+    return lattice.with_cells(moved, size).groupBy(*by, *lattice.CELL).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in lattice.AXES])

@@ -200,3 +200,4 @@ SQL = {
     "wall_coverage": """with c as (select event_type, user_id % 48 r, hour(ts) c, bool_or(value > 5) o, bool_or(value > 100) g, bool_or(value < 2) h from events group by 1, 2, 3)
         select event_type, round(sum(o::int) / 1152.0::double, 6) + 0.0 occupied, round(sum(g::int) / 1152.0::double, 6) + 0.0 glass, round(sum(h::int) / 1152.0::double, 6) + 0.0 hidden, sum(o::int) / 1152.0::double >= 0.7 kept from c group by 1""",
 }
+SQL["largest_holes"] = f"select * from ({SQL['wall_holes']}) order by cells desc, r0, c0 limit 2"

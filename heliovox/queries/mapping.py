@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from heliovox.functions import geometry as g, thermal
+from heliovox.functions import classes, geometry as g, thermal
 from heliovox.operators import building, graph, mapping, space, views
 from heliovox.queries.base import EVENTS, POINTS, events, points
-from heliovox.queries.spatial import PLANES
+from heliovox.queries.spatial import PLANES, plane_sql
 from heliovox.session import table
 
 R = lambda c, n=6: (F.round(c, n) + F.lit(0.0)).alias(c.split(".")[-1])
@@ -271,11 +271,62 @@ def model_surfaces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("plane_uid", "surface_type", "boundary", "turned", *[(F.round(F.get(F.get("polygon", F.lit(k)), F.lit(n)), 5) + F.lit(0.0)).alias(f"{a}{k}") for k in (0, 1) for n, a in enumerate("xyz")])
 
 
+def map_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as scans in the axes of each session's pose of that number, as one map of means per session."""
+    scans = events(spark, d).select(F.col("user_id").cast("int").alias("at"), (F.col("value") / 51.3).alias("x"), (F.hour("ts") / 10.7).alias("y"), (F.col("event_id") % 7 / 9.1).alias("z"))
+    poses = table(spark, d, "posetum").select("session_id", F.col("posetum_row_idx").alias("at"), "pose_id", *[F.col("t" + a).alias("p" + a) for a in "xyz"], "qx", "qy", "qz", "qw").dropna()
+    first = poses.groupBy("session_id", "at").agg(F.min_by(F.struct("px", "py", "pz", "qx", "qy", "qz", "qw"), "pose_id").alias("p")).select("session_id", "at", "p.*")
+    out = mapping.rebuilt(scans, mapping.oriented(first), on=["at"], size=1.0, by=["session_id"])
+    return out.select("session_id", "i", "j", "k", "n", *[R(a, 5) for a in "xyz"])
+
+
+def slab_planes(spark: SparkSession, d: str) -> DataFrame:
+    """The plane through the highest points of each class."""
+    return building.slab(points(spark, d), by="label", axis="z", band=0.2, upper=True).select("label", "n", *[R(c, 5) for c in ("nx", "ny", "nz", "d")])
+
+
+def box_refit(spark: SparkSession, d: str) -> DataFrame:
+    out = building.box_of_cells(points(spark, d), by="label", size=0.05, share=0.05)
+    return out.select("label", "cells", *[R(f"{e}_{a}", 5) for a in "xyz" for e in ("lo", "hi")])
+
+
+def axis_raster(spark: SparkSession, d: str) -> DataFrame:
+    """Points of each class on the grid across the axis of their plane, parts of a single cell left out."""
+    return building.axis_raster(points(spark, d), by="label", size=0.04, least_side=2)
+
+
+def smoothed_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Surfaces of the classes as rectangles."""
+    return building.smoothed(points(spark, d), by="label", size=0.05, band=0.2)
+
+
+def largest_holes(spark: SparkSession, d: str) -> DataFrame:
+    """The two largest holes of the wall, of equally large ones the first."""
+    from heliovox.queries.buildings import wall_holes
+
+    return wall_holes(spark, d).orderBy(F.desc("cells"), "r0", "c0").limit(2)
+
+
+def class_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Names and roles of the classes of points, numbers beyond the last among them."""
+    rows = points(spark, d).select((F.col("label") * 3 - 2).alias("number"))
+    return rows.groupBy("number", classes.name(F.col("number")).alias("name"), classes.role(F.col("number")).alias("role")).agg(F.count("*").alias("n"))
+
+
+def pose_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the steps between poses of a session: less where heights are free, as the upper triangle of a matrix."""
+    p = table(spark, d, "posetum").where("tz is not null")
+    w = F.round(1.0 / (1.0 + F.abs("tz")), 6)
+    v = classes.information([F.lit(0.1), F.lit(0.1), w, w, w, F.lit(0.1)])
+    return p.select("pose_id", v.alias("v")).select("pose_id", F.size("v").alias("n"), *[F.get("v", F.lit(k)).alias(f"v{k}") for k in (0, 1, 6, 11, 15, 18, 20)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         points_in_range, raster_lookup, thermal_accumulation, revisit_closest, pixel_association, values_onto_occupied, region_stats, ordinal_zip, facing_walls, merged_plane_ids, small_components_dropped, plane_geometry,
-        pixel_bearings, rotated_boxes, footprint_filter, manifest_resync, filter_pipeline, frame_difference, fold_stability, plane_support, nearest_minute, mixed_order, level_kinds, count_windows, window_rates, rest_intervals, glazing, model_surfaces,
+        pixel_bearings, rotated_boxes, footprint_filter, manifest_resync, filter_pipeline, frame_difference, fold_stability, plane_support, nearest_minute, mixed_order, level_kinds, count_windows, window_rates, rest_intervals, glazing, model_surfaces, map_rebuild, slab_planes, box_refit,
+        axis_raster, smoothed_surfaces, largest_holes, class_roles, pose_weights,
     )
 }
 
@@ -374,6 +425,23 @@ SQL = {
         s as (select *, case when nx * (cx - mx) + ny * (cy - my) + nz * (cz - mz) < 0 then -1.0::double else 1.0::double end f, (ay * bz - az * b_y) * nx + (az * bx - ax * bz) * ny + (ax * b_y - ay * bx) * nz g from q),
         t as (select *, g * f < 0 turned, case when abs(nz) <= 0.7 then 'wall' when nz * f > 0 then 'roof' else 'floor' end kind from s), u as (select *, case when turned then list_reverse(k) else k end o from t)
         select plane_uid, kind surface_type, case kind when 'floor' then 'Ground' else 'Outdoors' end boundary, turned, """ + ", ".join(f"round(o[{k + 1}][{n}], 5) + 0.0 {a}{k}" for k in (0, 1) for n, a in enumerate("xyz", 1)) + """ from u""",
+    "map_rebuild": """with p as (select session_id, posetum_row_idx at_, tx, ty, tz, qx, qy, qz, qw, 2.0::double / (qx * qx + qy * qy + qz * qz + qw * qw) s from posetum
+          where session_id is not null and posetum_row_idx is not null and pose_id is not null and tx is not null and ty is not null and tz is not null and qx is not null and qy is not null and qz is not null and qw is not null
+          qualify row_number() over (partition by session_id, posetum_row_idx order by pose_id) = 1), e as (select user_id at_, value / 51.3::double x, hour(ts) / 10.7::double y, event_id % 7 / 9.1::double z from events),
+        w as (select session_id, (1 - s * (qy * qy + qz * qz)) * x + s * (qx * qy - qz * qw) * y + s * (qx * qz + qy * qw) * z + tx x, s * (qx * qy + qz * qw) * x + (1 - s * (qx * qx + qz * qz)) * y + s * (qy * qz - qx * qw) * z + ty y,
+          s * (qx * qz - qy * qw) * x + s * (qy * qz + qx * qw) * y + (1 - s * (qx * qx + qy * qy)) * z + tz z from e join p using (at_))
+        select session_id, cast(floor(x) as bigint) i, cast(floor(y) as bigint) j, cast(floor(z) as bigint) k, count(*) n, round(avg(x), 5) + 0.0 x, round(avg(y), 5) + 0.0 y, round(avg(z), 5) + 0.0 z from w group by session_id, floor(w.x), floor(w.y), floor(w.z)""",
+    "slab_planes": plane_sql(f"(select p.* from {POINTS} p join (select label, max(z) f from {POINTS} group by 1) using (label) where abs(z - f) <= 0.2::double)"),
+    "box_refit": f"""with c as (select distinct label, floor(x / 0.05) i, floor(y / 0.05) j, floor(z / 0.05) k from {POINTS}) select label, count(*) cells, """
+    + ", ".join(f"round(quantile_cont(({c} + 0.5) * 0.05::double, {q}), 5) + 0.0 {e}_{a}" for c, a in zip("ijk", "xyz") for e, q in (("lo", "0.05"), ("hi", "0.95"))) + " from c group by 1",
+    "axis_raster": f"""with recursive f as ({plane_sql(POINTS)}), a as (select label, case when abs(nx) >= abs(ny) and abs(nx) >= abs(nz) then 0 when abs(ny) >= abs(nz) then 1 else 2 end axis from f),
+        c as (select p.label, axis, cast(floor(case axis when 2 then y else z end / 0.04) as bigint) r, cast(floor(case axis when 0 then y else x end / 0.04) as bigint) c, count(*) n from {POINTS} p join a on a.label = p.label group by 1, 2, 3, 4),
+        q as (select *, row_number() over (order by label, r, c) id from c), x as (select id a, id b from q union select x.a, z.id from x join q y on y.id = x.b join q z on y.label = z.label and abs(y.r - z.r) <= 1 and abs(y.c - z.c) <= 1),
+        m as (select b id, min(a) g from x group by 1), k as (select g from q join m using (id) group by 1 having greatest(max(r) - min(r), max(c) - min(c)) + 1 >= 2)
+        select label, axis, r as "row", c as "col", n from q join m using (id) semi join k using (g)""",
+    "class_roles": f"""with n as (select label * 3 - 2 number from {POINTS}), k as (select number, case when number between 0 and {len(classes.NAMES) - 1} then {classes.NAMES!r}[number + 1] else 'other' end nm from n)
+        select number, nm as "name", case when nm in {classes.FENESTRATION!r} then 'fenestration' else 'envelope' end as "role", count(*) n from k group by 1, 2, 3""",
+    "pose_weights": """select pose_id, 21 n, 0.1::double v0, 0.0::double v1, 0.1::double v6, round(1.0 / (1.0 + abs(tz)), 6) v11, round(1.0 / (1.0 + abs(tz)), 6) v15, round(1.0 / (1.0 + abs(tz)), 6) v18, 0.1::double v20 from posetum where tz is not null""",
     "rest_intervals": f"""with e as (select user_id, us, value > 60 f, row_number() over (partition by user_id order by us) i from {EVENTS}), g as (select *, i - row_number() over (partition by user_id, f order by us) k from e),
         r as (select user_id, min(us) a, max(us) b, count(*) n from g where not f group by user_id, k) select user_id, a as "first", b as "last", n as length, round((b - a) / 1e6, 3) lasts_s from r where b - a >= 86400000000""",
 }

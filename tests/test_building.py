@@ -196,3 +196,33 @@ def test_places_seen_again_against_brute_force(spark):
         if near and min(near)[0] <= 0.06:
             expected[a] = min(near)[1]
     assert got == expected and len(expected) > 50
+
+
+def test_masks_closed_and_filled():
+    from heliovox.operators import graph
+
+    mask = np.zeros((9, 9), bool)
+    mask[1:8, 1:8] = True
+    mask[3:6, 3:6] = False  # a hole
+    mask[1, 4] = False  # a notch of one cell
+    assert graph.closed_mask(mask)[1, 4] and not graph.closed_mask(mask)[0].any()
+    assert not graph.closed_mask(mask)[4, 4]
+    full = graph.filled(graph.closed_mask(mask))
+    assert full[1:8, 1:8].all() and full.sum() == 49
+    ring = np.zeros((5, 5), bool)
+    ring[1:4, 1:4] = True
+    ring[2, 2:] = False  # open to the side
+    assert (graph.filled(ring) == ring).all()
+
+
+def test_smoothed_surface_of_a_noisy_wall(spark):
+    from heliovox.operators import building
+
+    rng = np.random.default_rng(2)
+    yz = np.array([(a, b) for a in np.arange(0.025, 2, 0.05) for b in np.arange(0.025, 1, 0.05) if not (0.5 < a < 1.0 and 0.3 < b < 0.7)])
+    wall = np.column_stack([rng.normal(0, 0.01, len(yz)), yz])
+    far = np.column_stack([np.full(20, 3.0), rng.uniform(0, 1, (20, 2))])
+    df = spark.createDataFrame([(1, *map(float, p)) for p in np.vstack([wall, wall, wall, far])], "s int, x double, y double, z double")
+    rows = building.smoothed(df, by="s", size=0.05, band=0.4).collect()
+    assert [(r["axis"], r["r0"], r["c0"], r["r1"], r["c1"]) for r in rows] == [(0, 0, 0, 19, 39)]
+    assert building.smoothed(df.limit(0), by="s", size=0.05, band=0.4).count() == 0
