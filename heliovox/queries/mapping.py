@@ -273,7 +273,7 @@ def model_surfaces(spark: SparkSession, d: str) -> DataFrame:
 
 def map_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Users' events as scans in the axes of each session's pose of that number, as one map of means per session."""
-    scans = events(spark, d).select(F.col("user_id").cast("int").alias("at"), (F.col("value") / 51.3).alias("x"), (F.hour("ts") / 10.7).alias("y"), (F.col("event_id") % 7 / 9.1).alias("z"))
+    scans = events(spark, d).select(F.col("user_id").cast("int").alias("at"), (F.col("value") / 51.3).alias("x"), ((F.hour("ts") + 1) / 10.7).alias("y"), ((F.col("event_id") % 7 + 1) / 9.1).alias("z"))
     poses = table(spark, d, "posetum").select("session_id", F.col("posetum_row_idx").alias("at"), "pose_id", *[F.col("t" + a).alias("p" + a) for a in "xyz"], "qx", "qy", "qz", "qw").dropna()
     first = poses.groupBy("session_id", "at").agg(F.min_by(F.struct("px", "py", "pz", "qx", "qy", "qz", "qw"), "pose_id").alias("p")).select("session_id", "at", "p.*")
     out = mapping.rebuilt(scans, mapping.oriented(first), on=["at"], size=1.0, by=["session_id"])
@@ -427,7 +427,7 @@ SQL = {
         select plane_uid, kind surface_type, case kind when 'floor' then 'Ground' else 'Outdoors' end boundary, turned, """ + ", ".join(f"round(o[{k + 1}][{n}], 5) + 0.0 {a}{k}" for k in (0, 1) for n, a in enumerate("xyz", 1)) + """ from u""",
     "map_rebuild": """with p as (select session_id, posetum_row_idx at_, tx, ty, tz, qx, qy, qz, qw, 2.0::double / (qx * qx + qy * qy + qz * qz + qw * qw) s from posetum
           where session_id is not null and posetum_row_idx is not null and pose_id is not null and tx is not null and ty is not null and tz is not null and qx is not null and qy is not null and qz is not null and qw is not null
-          qualify row_number() over (partition by session_id, posetum_row_idx order by pose_id) = 1), e as (select user_id at_, value / 51.3::double x, hour(ts) / 10.7::double y, event_id % 7 / 9.1::double z from events),
+          qualify row_number() over (partition by session_id, posetum_row_idx order by pose_id) = 1), e as (select user_id at_, value / 51.3::double x, (hour(ts) + 1) / 10.7::double y, (event_id % 7 + 1) / 9.1::double z from events),
         w as (select session_id, (1 - s * (qy * qy + qz * qz)) * x + s * (qx * qy - qz * qw) * y + s * (qx * qz + qy * qw) * z + tx x, s * (qx * qy + qz * qw) * x + (1 - s * (qx * qx + qz * qz)) * y + s * (qy * qz - qx * qw) * z + ty y,
           s * (qx * qz - qy * qw) * x + s * (qy * qz + qx * qw) * y + (1 - s * (qx * qx + qy * qy)) * z + tz z from e join p using (at_))
         select session_id, cast(floor(x) as bigint) i, cast(floor(y) as bigint) j, cast(floor(z) as bigint) k, count(*) n, round(avg(x), 5) + 0.0 x, round(avg(y), 5) + 0.0 y, round(avg(z), 5) + 0.0 z from w group by session_id, floor(w.x), floor(w.y), floor(w.z)""",
