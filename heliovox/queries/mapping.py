@@ -277,7 +277,7 @@ def map_rebuild(spark: SparkSession, d: str) -> DataFrame:
     poses = table(spark, d, "posetum").select("session_id", F.col("posetum_row_idx").alias("at"), "pose_id", *[F.col("t" + a).alias("p" + a) for a in "xyz"], "qx", "qy", "qz", "qw").dropna()
     first = poses.groupBy("session_id", "at").agg(F.min_by(F.struct("px", "py", "pz", "qx", "qy", "qz", "qw"), "pose_id").alias("p")).select("session_id", "at", "p.*")
     out = mapping.rebuilt(scans, mapping.oriented(first), on=["at"], size=1.0, by=["session_id"])
-    return out.select("session_id", "i", "j", "k", "n", *[R(a, 5) for a in "xyz"])
+    return out.select("session_id", "i", "j", "k", "n", *[R(a, 8) for a in "xyz"])
 
 
 def slab_planes(spark: SparkSession, d: str) -> DataFrame:
@@ -430,7 +430,7 @@ SQL = {
           qualify row_number() over (partition by session_id, posetum_row_idx order by pose_id) = 1), e as (select user_id at_, value / 51.3::double x, (hour(ts) + 1) / 10.7::double y, (event_id % 7 + 1) / 9.1::double z from events),
         w as (select session_id, (1 - s * (qy * qy + qz * qz)) * x + s * (qx * qy - qz * qw) * y + s * (qx * qz + qy * qw) * z + tx x, s * (qx * qy + qz * qw) * x + (1 - s * (qx * qx + qz * qz)) * y + s * (qy * qz - qx * qw) * z + ty y,
           s * (qx * qz - qy * qw) * x + s * (qy * qz + qx * qw) * y + (1 - s * (qx * qx + qy * qy)) * z + tz z from e join p using (at_))
-        select session_id, cast(floor(x) as bigint) i, cast(floor(y) as bigint) j, cast(floor(z) as bigint) k, count(*) n, round(avg(x), 5) + 0.0 x, round(avg(y), 5) + 0.0 y, round(avg(z), 5) + 0.0 z from w group by session_id, floor(w.x), floor(w.y), floor(w.z)""",
+        select session_id, cast(floor(x) as bigint) i, cast(floor(y) as bigint) j, cast(floor(z) as bigint) k, count(*) n, round(avg(x), 8) + 0.0 x, round(avg(y), 8) + 0.0 y, round(avg(z), 8) + 0.0 z from w group by session_id, floor(w.x), floor(w.y), floor(w.z)""",
     "slab_planes": plane_sql(f"(select p.* from {POINTS} p join (select label, max(z) f from {POINTS} group by 1) using (label) where abs(z - f) <= 0.2::double)"),
     "box_refit": f"""with c as (select distinct label, floor(x / 0.05) i, floor(y / 0.05) j, floor(z / 0.05) k from {POINTS}) select label, count(*) cells, """
     + ", ".join(f"round(quantile_cont(({c} + 0.5) * 0.05::double, {q}), 5) + 0.0 {e}_{a}" for c, a in zip("ijk", "xyz") for e, q in (("lo", "0.05"), ("hi", "0.95"))) + " from c group by 1",
