@@ -385,11 +385,14 @@ def nearest_sample(cells: DataFrame, samples: DataFrame, *, frame: str, value: s
     A task holds one frame, whose size the camera bounds. Pixels of frames without samples are null.
     """
 
+    # Both sides may stem from one table; columns of their own keep them apart.
+    own = samples.select(F.col(frame).alias("_frame"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).cast("double").alias("_value"))
+
     def fill(key, want, have):
-        p, q = want[["row", "col"]].to_numpy(), have.sort_values(["row", "col"], kind="stable")
-        if not len(q) or not len(want):
-            return want.assign(**{value: np.nan})[[frame, "row", "col", value]]
-        at, v = q[["row", "col"]].to_numpy(), q[value].to_numpy()
+        if not len(want) or not len(have):  # a side without rows may come without columns
+            return want.assign(**{value: np.nan})[[frame, "row", "col", value]] if len(want) else pd.DataFrame({c: [] for c in (frame, "row", "col", value)})
+        p, q = want[["row", "col"]].to_numpy(), have.sort_values(["_row", "_col"], kind="stable")
+        at, v = q[["_row", "_col"]].to_numpy(), q["_value"].to_numpy()
         out = np.empty(len(p))
         for start in range(0, len(p), 512):
             d = ((p[start : start + 512, None, :] - at[None]) ** 2).sum(axis=2)
@@ -397,4 +400,4 @@ def nearest_sample(cells: DataFrame, samples: DataFrame, *, frame: str, value: s
         return want.assign(**{value: out})[[frame, "row", "col", value]]
 
     kind = dict(cells.dtypes)
-    return cells.groupBy(frame).cogroup(samples.groupBy(frame)).applyInPandas(fill, f"`{frame}` {kind[frame]}, row {kind['row']}, col {kind['col']}, `{value}` double")
+    return cells.groupBy(frame).cogroup(own.groupBy("_frame")).applyInPandas(fill, f"`{frame}` {kind[frame]}, row {kind['row']}, col {kind['col']}, `{value}` double")
