@@ -241,3 +241,17 @@ def smoothed(points: DataFrame, *, by: str, size: float, band: float) -> DataFra
         return pd.DataFrame(found, columns=[by, "axis", "r0", "c0", "r1", "c1"])
 
     return cells.groupBy(by).applyInPandas(run, f"`{by}` {dict(points.dtypes)[by]}, axis int, r0 int, c0 int, r1 int, c1 int")
+
+
+def moved(planes: list[Plane], rotation: np.ndarray, shift: np.ndarray) -> list[Plane]:
+    """Planes after a rigid motion."""
+    out = []
+    for p in planes:
+        n = rotation @ p.n
+        out.append(replace(p, normal=tuple(map(float, n)), d=float(p.d / np.linalg.norm(p.normal) - n @ shift), centroid=tuple(map(float, rotation @ np.array(p.centroid) + shift))))
+    return out
+
+
+def reclosed(planes: list[Plane], rotation: np.ndarray, shift: np.ndarray, axes: np.ndarray, bounds: np.ndarray) -> list[dict]:
+    """The closed box of planes after a rigid motion, along the moved axes; `bounds` are those of the moved points along these."""
+    return closed_box(moved(planes, rotation, shift), axes @ rotation.T, bounds)

@@ -8,7 +8,7 @@ the number of nodes.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import product
+from itertools import pairwise, product
 
 import numpy as np
 import pandas as pd
@@ -286,3 +286,75 @@ def merged_rectangles(rectangles: DataFrame, *, by: str, gate: float = 0.9) -> D
         return pd.DataFrame([(rows[by].iloc[0], *r) for r in found], columns=[by, "r0", "c0", "r1", "c1"])
 
     return rectangles.groupBy(by).applyInPandas(run, f"`{by}` {dict(rectangles.dtypes)[by]}, r0 int, c0 int, r1 int, c1 int")
+
+
+# The neighbours of a cell, going round.
+_RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """The skeleton of a mask, one cell wide: border cells are taken off in turns from two opposite corners, as long as their removal parts nothing (Zhang and Suen)."""
+    m = np.pad(mask, 1).astype(np.uint8)
+    h, w = mask.shape
+    while True:
+        before = m.sum()
+        for turn in (0, 1):
+            near = np.stack([m[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a, b in _RING])
+            filled_, rises = near.sum(axis=0), ((near == 0) & (np.roll(near, -1, axis=0) == 1)).sum(axis=0)
+            n, e, s, o = near[0], near[2], near[4], near[6]
+            free = (n * e * s == 0) & (e * s * o == 0) if turn == 0 else (n * e * o == 0) & (n * s * o == 0)
+            m[1:-1, 1:-1] &= ~((filled_ >= 2) & (filled_ <= 6) & (rises == 1) & free).astype(np.uint8) & 1
+        if m.sum() == before:
+            return m[1:-1, 1:-1].astype(bool)
+
+
+def _parts(cells: set[tuple[int, int]], crossings: set[tuple[int, int]] = frozenset()) -> list[set[tuple[int, int]]]:
+    """Cells that touch, corners included unless a crossing lies beside that corner, part by part."""
+    left, out = set(cells), []
+    while left:
+        part, todo = set(), [min(left)]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in left:
+                left.discard((r, c))
+                part.add((r, c))
+                todo += [(r + a, c + b) for a, b in _RING if not (a and b and ((r + a, c) in crossings or (r, c + b) in crossings))]
+        out.append(part)
+    return out
+
+
+def branches(skeleton: np.ndarray, least_spur: int = 0) -> list[tuple[int, int, int, int, float]]:
+    """(first row, first column, last row, last column, length) of the branches of a skeleton between its ends and crossings.
+
+    Branches with a free end and fewer than `least_spur` cells are taken off, the shortest first, as long as a crossing holds them. Steps to a corner count the root of two.
+    """
+    cells = set(zip(*map(list, np.nonzero(skeleton))))
+    near = lambda c: [(c[0] + a, c[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (c[0] + a, c[1] + b) in cells]
+    # Going round a cell, each run of neighbours is one arm.
+    around = lambda c: [(c[0] + a, c[1] + b) in cells for a, b in _RING]
+    arms = lambda c: sum(y and not x for x, y in pairwise([*around(c)[-1:], *around(c)]))
+    while True:
+        crossings = {c for c in cells if arms(c) > 2}
+        paths = _parts(cells - crossings, crossings)
+        spurs = [p for p in paths if len(p) < least_spur and any(arms(c) <= 1 for c in p) and any(q in crossings for c in p for q in near(c))]
+        if not spurs:
+            break
+        cells -= min(spurs, key=lambda p: (len(p), min(p)))
+    out = []
+    for p in paths:
+        straight = sum((r + a, c + b) in p for r, c in p for a, b in ((0, 1), (1, 0)))
+        slant = sum((r + 1, c + b) in p and (r + 1, c) not in p and (r, c + b) not in p for r, c in p for b in (-1, 1))
+        rows, cols = [c[0] for c in p], [c[1] for c in p]
+        out.append((int(min(rows)), int(min(cols)), int(max(rows)), int(max(cols)), straight + slant * 2**0.5))
+    return sorted(out)
+
+
+def skeletons(cells: DataFrame, *, by: str, least_spur: int) -> DataFrame:
+    """`by, r0, c0, r1, c1, length`: the branches of the skeleton of each surface's cells (`row, col`). A task holds one surface's raster."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mask, r, c = _mask(rows)
+        found = branches(thinned(mask), least_spur)
+        return pd.DataFrame([(rows[by].iloc[0], a + r, b + c, x + r, y + c, l) for a, b, x, y, l in found], columns=[by, "r0", "c0", "r1", "c1", "length"])
+
+    return cells.groupBy(by).applyInPandas(run, f"`{by}` {dict(cells.dtypes)[by]}, r0 int, c0 int, r1 int, c1 int, length double")

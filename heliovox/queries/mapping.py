@@ -307,6 +307,12 @@ def largest_holes(spark: SparkSession, d: str) -> DataFrame:
     return wall_holes(spark, d).orderBy(F.desc("cells"), "r0", "c0").limit(2)
 
 
+def skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Branches of the skeletons of bright parts in pictures of users by hours, one per kind of event."""
+    cells = events(spark, d).groupBy("event_type", (F.col("user_id") % 48).cast("int").alias("row"), F.hour("ts").cast("int").alias("col")).agg(F.avg("value").alias("m"))
+    return graph.skeletons(cells.where("m > 50"), by="event_type", least_spur=2)
+
+
 def class_roles(spark: SparkSession, d: str) -> DataFrame:
     """Names and roles of the classes of points, numbers beyond the last among them."""
     rows = points(spark, d).select((F.col("label") * 3 - 2).alias("number"))
@@ -326,7 +332,7 @@ QUERIES = {
     for f in (
         points_in_range, raster_lookup, thermal_accumulation, revisit_closest, pixel_association, values_onto_occupied, region_stats, ordinal_zip, facing_walls, merged_plane_ids, small_components_dropped, plane_geometry,
         pixel_bearings, rotated_boxes, footprint_filter, manifest_resync, filter_pipeline, frame_difference, fold_stability, plane_support, nearest_minute, mixed_order, level_kinds, count_windows, window_rates, rest_intervals, glazing, model_surfaces, map_rebuild, slab_planes, box_refit,
-        axis_raster, smoothed_surfaces, largest_holes, class_roles, pose_weights,
+        axis_raster, smoothed_surfaces, skeletons, largest_holes, class_roles, pose_weights,
     )
 }
 

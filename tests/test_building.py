@@ -226,3 +226,34 @@ def test_smoothed_surface_of_a_noisy_wall(spark):
     rows = building.smoothed(df, by="s", size=0.05, band=0.4).collect()
     assert [(r["axis"], r["r0"], r["c0"], r["r1"], r["c1"]) for r in rows] == [(0, 0, 0, 19, 39)]
     assert building.smoothed(df.limit(0), by="s", size=0.05, band=0.4).count() == 0
+
+
+def test_skeleton_of_a_cross():
+    from heliovox.operators import graph
+
+    mask = np.zeros((21, 31), bool)
+    mask[9:12, 1:30] = True
+    mask[1:20, 14:17] = True
+    thin = graph.thinned(mask)
+    assert thin.sum() < 60 and (thin & ~mask).sum() == 0 and len(graph._parts(set(zip(*map(list, np.nonzero(thin)))))) == 1
+    arms = graph.branches(thin, 4)
+    assert len(arms) == 4 and sorted(round(a[4]) >= 6 for a in arms) == [True] * 4
+    assert {a[1] == a[3] or a[0] == a[2] for a in arms} == {True}
+    spur = np.zeros((5, 20), bool)
+    spur[3, :] = True
+    spur[2, 9] = True
+    assert len(graph.branches(spur, 3)) == 1 and graph.branches(spur, 3)[0] == (3, 0, 3, 19, 19.0)
+
+
+def test_planes_moved_keep_their_points():
+    from heliovox.operators import building as B
+
+    rng = np.random.default_rng(3)
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    shift = rng.normal(size=3)
+    p = B.Plane((0.0, 0.0, 2.0), -6.0, 10, (1.0, 2.0, 3.0))
+    (m,) = B.moved([p], q, shift)
+    for x in ((0, 0, 3.0), (5, -2, 3.0)):
+        assert abs(np.array(m.normal) @ (q @ np.array(x) + shift) + m.d) < 1e-9
+    assert np.allclose(m.centroid, q @ np.array(p.centroid) + shift)
