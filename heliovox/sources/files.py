@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,29 +19,55 @@ def pcd_ascii(spark: SparkSession, path: str) -> DataFrame:
     return out.where("x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z)")
 
 
+LAS_RANGE = 1_000_000
+
+
+def _opened(path: str):
+    """A file for reading from any place, by the scheme of its name."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return system.open_input_file(place)
+
+
 def las(spark: SparkSession, path: str) -> DataFrame:
     """`file, point, x, y, z, label` of LAS point clouds (point formats 0 to 10), label being the classification.
 
-    A file is one task, read in pieces. Files whose points all have one class get label 0.
+    Headers are read first, then ranges of a million points, each a task's piece, so files may be of any size. Files whose points all have one class get label 0.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                data = bytes(content)
+            for name in batch["path"]:
+                with _opened(name) as f:
+                    data = f.read(375)
                 start, form, step = int.from_bytes(data[96:100], "little"), data[104] & 63, int.from_bytes(data[105:107], "little")
                 count = int.from_bytes(data[107:111], "little") or int.from_bytes(data[247:255], "little")
-                scale, offset = np.frombuffer(data, "<f8", 3, 131), np.frombuffer(data, "<f8", 3, 155)
-                place = 15 if form < 6 else 16
-                raw = np.frombuffer(data, np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, place], "itemsize": step}), count, start)
-                label = (raw["c"] & 31 if form < 6 else raw["c"]).astype("int32")
-                if count and (label == label[0]).all():
-                    label = np.zeros_like(label)
-                for a in range(0, count, 100_000):
-                    q = raw[a : a + 100_000]
-                    yield pd.DataFrame({"file": name, "point": np.arange(a, a + len(q)), **{c: q[c] * scale[i] + offset[i] for i, c in enumerate("xyz")}, "label": label[a : a + 100_000]})
+                scale, offset = np.frombuffer(data, "<f8", 3, 131).tolist(), np.frombuffer(data, "<f8", 3, 155).tolist()
+                first = np.arange(0, count, LAS_RANGE)
+                out = pd.DataFrame({"file": name, "first": first, "n": np.minimum(LAS_RANGE, count - first), "start": start, "form": form, "step": step})
+                yield out.assign(scale=[scale] * len(first), offset=[offset] * len(first))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, point bigint, x double, y double, z double, label int")
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with _opened(row.file) as f:
+                    f.seek(row.start + row.first * row.step)
+                    data = f.read(row.n * row.step)
+                place = 15 if row.form < 6 else 16
+                raw = np.frombuffer(data, np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, place], "itemsize": row.step}), row.n)
+                label = (raw["c"] & 31 if row.form < 6 else raw["c"]).astype("int32")
+                for a in range(0, row.n, 100_000):
+                    q = raw[a : a + 100_000]
+                    xyz = {c: q[c] * row.scale[i] + row.offset[i] for i, c in enumerate("xyz")}
+                    yield pd.DataFrame({"file": row.file, "point": np.arange(row.first + a, row.first + a + len(q)), **xyz, "label": label[a : a + 100_000]})
+
+    # Contents aren't read here, only names.
+    names = spark.read.format("binaryFile").load(path).select("path")
+    pieces = names.mapInPandas(ranges, "file string, first bigint, n bigint, start bigint, form int, step int, scale array<double>, offset array<double>").repartition("file", "first")
+    points = pieces.mapInPandas(read, "file string, point bigint, x double, y double, z double, label int")
+    several = points.groupBy("file").agg((F.min("label") < F.max("label")).alias("_several"))
+    return points.join(several, "file").withColumn("label", F.when(F.col("_several"), F.col("label")).otherwise(F.lit(0))).drop("_several")
 
 
 def raster(spark: SparkSession, path: str) -> DataFrame:

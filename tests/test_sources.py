@@ -212,3 +212,14 @@ def test_datagrams_until_silence(spark, tmp_path):
     sender.join()
     got = [bytes(r["payload"]) for r in spark.sql("select payload from datagrams").collect()]
     assert not query.isActive and len(got) > 5 and len(got) == len(set(got))
+
+
+def test_las_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LAS_RANGE", 7)
+    head = bytearray(227)
+    head[96:100], head[104], head[105:107], head[107:111] = (227).to_bytes(4, "little"), 0, (20).to_bytes(2, "little"), (30).to_bytes(4, "little")
+    head[131:155], head[155:179] = struct.pack("<3d", 1, 1, 1), struct.pack("<3d", 0, 0, 0)
+    body = b"".join(struct.pack("<iii", i, 2 * i, 0) + bytes([0, 0, 0, 5]) + b"\0" * 4 for i in range(30))
+    (tmp_path / "one.las").write_bytes(bytes(head) + body)
+    rows = files.las(spark, str(tmp_path)).orderBy("point").collect()
+    assert [(r["point"], r["x"], r["y"], r["label"]) for r in rows] == [(i, float(i), 2.0 * i, 0) for i in range(30)]
