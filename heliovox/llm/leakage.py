@@ -100,9 +100,9 @@ class Filter:
         bits = min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
         places = F.explode(F.array(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(column, 64 - bits)))
         place = F.col("place")
-        each = keys.select(places.alias("place")).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
+        each = keys.select(places.alias("place")).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
         words = np.zeros(1 << (bits - 6), np.uint64)
-        words[each["word"].to_numpy(np.int64)] = each["bits"].to_numpy(np.int64).view(np.uint64)
+        words[each.column("word").to_numpy()] = each.column("bits").to_numpy().view(np.uint64)
         return cls(bits, words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
