@@ -112,16 +112,39 @@ def gap_clusters(rows: DataFrame, *, by: Sequence[str], value: str, most_gap: fl
     return d.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).where(F.col("n") >= least)
 
 
+BIN_BLOCK = 4096
+
+
 def histogram_blocks(rows: DataFrame, *, value: str, width: float, least: int) -> DataFrame:
     """`first_bin, last_bin, bins, n`: stretches of neighbouring bins with at least `least` values each.
 
-    Values are counted per bin map-side; the ordering runs over bins, whose number the range of values bounds.
+    Values are counted per bin map-side. A stretch begins where the bin before is missing; every bin finds the last beginning at or before it within a block of
+    bins, and of blocks only one row each is ordered as a whole.
     """
     bins = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).cast("bigint").alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    d = bins.withColumn("_g", F.col("bin") - F.row_number().over(Window.orderBy("bin")))
+    before = bins.select((F.col("bin") + 1).alias("bin"), F.lit(False).alias("_begins"))
+    marked = bins.join(before, "bin", "left").withColumn("_start", F.when(F.col("_begins").isNull(), F.col("bin"))).withColumn("_block", F.floor(F.col("bin") / BIN_BLOCK))
+    within = marked.withColumn("_g", F.last("_start", ignorenulls=True).over(Window.partitionBy("_block").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = marked.groupBy("_block").agg(F.max("_start").alias("_last"))
+    carried = blocks.select("_block", F.last("_last", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    d = within.join(carried, "_block").withColumn("_g", F.coalesce("_g", "_carried"))
     return d.groupBy("_g").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.count("*").alias("bins"), F.sum("n").alias("n")).drop("_g")
 
 
+def weighted_mean(rows: DataFrame, *, by: Sequence[str], value: Column, weight: Column) -> DataFrame:
+    """`by, n, mean`: mean of values by weight, null where the weights sum to 0; rows with a null value or weight don't count."""
+    d = rows.select(*by, value.alias("_v"), weight.alias("_w")).where("_v is not null and _w is not null")
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("mean"))
+
+
+def consensus(rows: DataFrame, *, by: Sequence[str], value: str, weight: str, tie: str, reach: float) -> DataFrame:
+    """`by, median, n, correction`: the weighted median of each group, and the weighted mean step towards it of the values within `reach` of it."""
+    middle = weighted_median(rows, by=by, value=value, weight=weight, tie=tie)
+    near = rows.join(middle, list(by)).where(F.abs(F.col(value) - F.col("median")) <= reach)
+    out = weighted_mean(near, by=[*by, "median"], value=F.col("median") - F.col(value), weight=F.col(weight))
+    return out.withColumnRenamed("mean", "correction")
+
+
 def weighted_median(rows: DataFrame, *, by: Sequence[str], value: str, weight: str, tie: str) -> DataFrame:
     """`by, median`: the first value, in order, at which half of the weight is reached."""
     keys = list(by)

@@ -79,9 +79,8 @@ def rotation_fill(spark: SparkSession, d: str) -> DataFrame:
 def wall_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Per user the weighted median of the clusters of values found without gaps, and the weighted mean correction towards it."""
     rows = events(spark, d).select("user_id", "value", "event_id", (F.hour("ts") + 1.0).alias("w"))
-    middle = series.weighted_median(rows, by=["user_id"], value="value", weight="w", tie="event_id")
-    near = rows.join(middle, "user_id").where(F.abs(F.col("value") - F.col("median")) <= 15)
-    return near.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("median") - F.col("value")) * F.col("w")) / F.sum("w"), 5).alias("correction"))
+    out = series.consensus(rows, by=["user_id"], value="value", weight="w", tie="event_id", reach=15.0)
+    return out.select("user_id", "n", F.round("correction", 5).alias("correction"))
 
 
 def region_zones(spark: SparkSession, d: str) -> DataFrame:

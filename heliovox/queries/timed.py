@@ -112,8 +112,8 @@ def weighted_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_mean_correction(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem")
-    return rows.groupBy("l_suppkey").agg(F.round(F.try_divide(F.sum(F.col("l_discount") * F.col("l_quantity")), F.sum("l_quantity")), 6).alias("correction"))
+    out = series.weighted_mean(table(spark, d, "lineitem"), by=["l_suppkey"], value=F.col("l_discount"), weight=F.col("l_quantity"))
+    return out.select("l_suppkey", F.round("mean", 6).alias("correction"))
 
 
 def keyframe_select(spark: SparkSession, d: str) -> DataFrame:

@@ -244,3 +244,12 @@ def test_class_cosines(spark):
     got = {(r[0], r["label"]): round(r[2], 9) for r in space.class_cosines(rows.withColumnRenamed("cosine", "id"), vector="v", label="label", keep=["id"]).collect()}
     half = round(0.5**0.5, 9)
     assert got == {(1, "a"): half, (2, "a"): half, (3, "a"): -half, (1, "b"): -1.0, (2, "b"): 0.0, (3, "b"): 1.0}
+
+
+def test_stretches_of_bins_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(series, "BIN_BLOCK", 4)
+    bins = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 20, 21, 27]
+    df = spark.createDataFrame([(float(b) + 0.5,) for b in bins for _ in range(2)] + [(11.5,), (None,)], "v double")
+    got = sorted(tuple(r) for r in series.histogram_blocks(df, value="v", width=1.0, least=2).collect())
+    assert got == [(0, 10, 11, 22), (13, 13, 1, 2), (20, 21, 2, 4), (27, 27, 1, 2)]
+    assert series.histogram_blocks(df.limit(0), value="v", width=1.0, least=2).count() == 0
