@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heliovox.functions import solar
 from heliovox.operators import spikes, timestamps
-from heliovox.session import table
+from heliovox.session import small, table
 
 HOME_ZONE = "Europe/Rome"
+# Loggers that are broadcast, some ten megabytes.
+MOST_LOGGERS = 200_000
 # Hourly readings under broken cloud vary by half; minute readings hardly at all.
 GHI_RULE = spikes.Rule(sparse=3.5, usual=3.0, up=0.55, down=0.73, floor=0.02)
 CAPTURE_RULE = spikes.Rule(slopes=True)
@@ -21,9 +23,9 @@ def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_logger_time(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Rows of `legnaro_ghi` with `utc_us`, `step_s`, `lat` and `lon`; texts without a zone are in the logger's own clock."""
-    # The 40 stations are fixed; the loggers grow, so whether to broadcast them is left to their size at run time.
+    # The 40 stations are fixed; the loggers grow, so they are counted first: up to a number they are broadcast and readings stay where they are, beyond it both are shuffled.
     stations = F.broadcast(table(spark, sf_dir, "stations").select("station_id", "tz_name", "lat", "lon"))
-    loggers = table(spark, sf_dir, "loggers").select("logger_id", "station_id", "step_s", "clock").join(stations, "station_id", "left").drop("station_id")
+    loggers = small(table(spark, sf_dir, "loggers").select("logger_id", "station_id", "step_s", "clock"), MOST_LOGGERS, lambda some: some.join(stations, "station_id", "left").drop("station_id"))
     rows = rows.drop("station_id").join(loggers, "logger_id", "left")
     return timestamps.normalise(rows, _zones(spark, sf_dir), text="timestamp", received="received_at", zone="tz_name", standard=F.col("clock") == "standard").drop("tz_name", "clock")
 

@@ -27,11 +27,6 @@ def z_buffer(points: DataFrame, *, pixel: Sequence[str], depth: str, tolerance:
     return points.join(least, list(pixel)).where(F.col(depth) <= F.col("_least") + tolerance).drop("_least")
 
 
-def small(planes: DataFrame, most: int = MOST_PLANES) -> DataFrame:
-    """`planes` marked for broadcast if there are at most `most`, as they are otherwise."""
-    return F.broadcast(planes) if planes.limit(most + 1).count() <= most else planes
-
-
 def nearest_plane(points: DataFrame, planes: DataFrame, *, point_id: str, threshold: float) -> DataFrame:
     """`point_id, plane_id`: the nearest plane (`plane_id, nx, ny, nz, d`) within the threshold, -1 if none; of equally near ones the smaller id.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heliovox.queries.base import EVENTS
-from heliovox.session import shared_folder, table
+from heliovox.session import delete, shared_folder, table
 from heliovox.sources import files
 from heliovox.streaming import live
 
@@ -18,6 +18,7 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    delete(spark, f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

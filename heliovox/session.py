@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 # Folders of this process, in local mode, which go with it.
@@ -18,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(rows: DataFrame, most: int, then: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
+    """`then(rows)`, marked for broadcast if there are at most `most` rows; `then` must not add any. Beyond that it is joined as sizes at run time say."""
+    out = then(rows)
+    return F.broadcast(out) if rows.limit(most + 1).count() <= most else out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a folder of this machine only in local mode, where the setting is missing."""
     sc = spark.sparkContext
@@ -40,9 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_checkpoints(spark: SparkSession) -> None:
     """Deletes this application's checkpoints; for when its results have been written."""
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder := spark.sparkContext.getCheckpointDir():
+        delete(spark, folder)

@@ -253,3 +253,27 @@ def test_stretches_of_bins_across_blocks(spark, monkeypatch):
     got = sorted(tuple(r) for r in series.histogram_blocks(df, value="v", width=1.0, least=2).collect())
     assert got == [(0, 10, 11, 22), (13, 13, 1, 2), (20, 21, 2, 4), (27, 27, 1, 2)]
     assert series.histogram_blocks(df.limit(0), value="v", width=1.0, least=2).count() == 0
+
+
+def test_small_tables_are_broadcast_and_others_are_not(spark):
+    from heliovox.session import small
+
+    rows = spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(rows.join(small(spark.range(10), 10), "id")) and "strategy=broadcast" not in plan(rows.join(small(spark.range(11), 10), "id"))
+
+
+def test_octree_levels_against_their_points(spark):
+    from heliovox.operators import lattice
+
+    p = np.random.default_rng(12).uniform(-3, 5, (400, 3))
+    df = spark.createDataFrame([tuple(map(float, x)) for x in p], "x double, y double, z double")
+    low, high = p.min(axis=0), p.max(axis=0)
+    extent = (high - low).max()
+    origin = (low + high) / 2 - extent / 2
+    got = {r["depth"]: r["nodes"] for r in lattice.level_counts(df, 6).collect()}
+    for depth in range(7):
+        cells = np.clip(np.floor((p - origin) / (extent / 64)).astype(int), 0, 63) >> (6 - depth)
+        assert got[depth] == len(np.unique(cells, axis=0))
+    leaves = lattice.octree_cells(df, 6).collect()
+    assert len(leaves) == 400 and all(abs(origin[n] + (r[c] + 0.5) * extent / 64 - r[a]) <= extent / 128 + 1e-9 for r in leaves for n, (a, c) in enumerate(zip("xyz", "ijk")))
