@@ -29,9 +29,9 @@ def records(rows: DataFrame, *, body: str) -> DataFrame:
     return parsed.where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
 
 
-def _kind(value: str) -> Column:
-    """string, number, array, object, boolean, or null for JSON null."""
-    schema = F.schema_of_variant(value)
+def _kind(schema: str) -> Column:
+    """string, number, array, object, boolean, or null for JSON null, of a variant's schema."""
+    schema = F.col(schema)
     return (
         F.when(schema == "VOID", F.lit(None)).when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
         .when(schema.like("ARRAY%"), "array").when(schema.like("OBJECT%"), "object").otherwise("number")
@@ -47,12 +47,13 @@ def fields(rows: DataFrame, *, keep: list[str], body: str, thing: str) -> DataFr
     spark = rows.sparkSession
     read = records(rows, body=body).select(*keep, F.expr(f"regexp_extract(coalesce(try_variant_get(_v, '$.{thing}', 'string'), ''), '0*([0-9]+)[^0-9]*$', 1)").alias("thing"), "_v")
     out = spark.sql("select r.*, f.key as name, f.value as _f from {read} r, lateral variant_explode(r._v) f", read=read).drop("_v")
-    kind = _kind("_f")
-    out = out.withColumn("kind", kind).withColumn("shape", F.expr(shape("_f"))).withColumn("text", F.expr("case when kind in ('array', 'object') then to_json(_f) else try_cast(_f as string) end"))
+    # What a value is, is asked once.
+    out = out.withColumn("_s", F.schema_of_variant("_f")).withColumn("kind", _kind("_s"))
+    out = out.withColumn("text", F.expr("case when kind in ('array', 'object') then to_json(_f) else try_cast(_f as string) end")).withColumn("shape", F.expr(shape("text", "_s")))
     # In lists a comma parts numbers, in a text by itself it is a decimal sign.
     spaced = F.when(F.col("kind").isin("array", "object"), F.regexp_replace("text", ",", " , ")).otherwise(F.col("text"))
     found = F.regexp_extract_all(F.coalesce(spaced, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])(-?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"), 1)
-    return out.withColumn("numbers", F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))).drop("_f")
+    return out.withColumn("numbers", F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))).drop("_f", "_s")
 
 
 def compared(rows: DataFrame, *, series: str, file: str, at: str, body: str) -> DataFrame:
@@ -63,8 +64,8 @@ def compared(rows: DataFrame, *, series: str, file: str, at: str, body: str) ->
     parsed = F.try_parse_json(F.col(body))
     read = rows.select(F.col(series).alias("series"), F.col(file).alias("file"), F.col(at).alias("at"), parsed.alias("_v")).withColumn("_v", F.expr("if(schema_of_variant(_v) like 'OBJECT%', _v, null)"))
     # A file whose records can't be read is a file without fields.
-    cells = rows.sparkSession.sql("select r.series, r.file, r.at, f.key as name, f.value as _f from {read} r, lateral variant_explode_outer(r._v) f", read=read)
-    files = cells.groupBy("series", "file").agg(F.min("at").alias("at"), F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", _kind("_f").alias("kind")))).alias("seen"))
+    cells = rows.sparkSession.sql("select r.series, r.file, r.at, f.key as name, f.value as _f from {read} r, lateral variant_explode_outer(r._v) f", read=read).withColumn("_s", F.schema_of_variant("_f"))
+    files = cells.groupBy("series", "file").agg(F.min("at").alias("at"), F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", _kind("_s").alias("kind")))).alias("seen"))
     # Types of values that aren't null, by name.
     typed = "transform(array_distinct(transform(seen, x -> x.name)), n -> struct(n as name, array_sort(array_compact(transform(filter(seen, x -> x.name = n), x -> x.kind))) as kinds))"
     files = files.select("series", "file", "at", F.date_trunc("month", "at").alias("month"), F.struct("file", F.expr(typed).alias("fields")).alias("own"))
@@ -180,21 +181,21 @@ def above(kind: str) -> set[str]:
     return {kind}.union(*map(above, LATTICE[kind]))
 
 
-def shape(value: str) -> str:
-    """SQL for the shape of a variant: the kind of its innermost values, with a `[]` for every list around them.
+def shape(text: str, schema: str) -> str:
+    """SQL for the shape of a variant of this schema: the kind of its innermost values, with a `[]` for every list around them. `text` is the variant as text.
 
     Text counts as what it says as a whole: a number, alone or with a unit, a list of numbers, a day or an instant. `numbers` is an
     object of numbers.
     """
-    kind = f"regexp_replace(schema_of_variant({value}), 'ARRAY<|>+$', '')"
-    lists = f"repeat('[]', (length(schema_of_variant({value})) - length(replace(schema_of_variant({value}), 'ARRAY<', ''))) div 6)"
-    text = f"try_variant_get({value}, '$', 'string')"
     said = f"""case when {text} rlike r'{_WHOLE}' and try_cast(trim({text}) as bigint) is not null then 'bigint' when {text} rlike r'^\\s*[-+]?[0-9]+\\s*$' then 'string' when {text} rlike r'{_QUANTITY}' then 'double' when {text} rlike r'{_LIST}' then 'double[]'
         when {text} rlike r'{_STAMP}' and try_to_timestamp({text}) is not null then 'timestamp' else 'string' end"""
-    return f"""case when {value} is null or schema_of_variant({value}) = 'VOID' then null when schema_of_variant({value}) = 'STRING' then {said}
-        when schema_of_variant({value}) like 'OBJECT%' then if(schema_of_variant({value}) rlike '^OBJECT<([^:,<>]+: (BIGINT|DOUBLE|FLOAT|DECIMAL.[0-9]+,[0-9]+.)(, )?)+>$', 'numbers', 'object')
-        when {kind} = 'BIGINT' then concat('bigint', {lists}) when {kind} rlike '^(DECIMAL|DOUBLE|FLOAT)' then concat('double', {lists}) when {kind} = 'BOOLEAN' then concat('boolean', {lists})
-        when {kind} = 'STRING' then concat('string', {lists}) when {kind} = 'VOID' then concat('void', {lists}) when schema_of_variant({value}) like 'ARRAY%' then 'object[]' else 'string' end"""
+    kind = f"regexp_replace({schema}, 'ARRAY<|>+$', '')"
+    lists = f"repeat('[]', (length({schema}) - length(replace({schema}, 'ARRAY<', ''))) div 6)"
+    named = f"""case when {kind} = 'BIGINT' then 'bigint' when {kind} rlike '^(DECIMAL|DOUBLE|FLOAT)' then 'double' when {kind} = 'BOOLEAN' then 'boolean' when {kind} = 'STRING' then 'string' when {kind} = 'VOID' then 'void' end"""
+    return f"""case when {schema} is null or {schema} = 'VOID' then null when {schema} = 'STRING' then {said} when {schema} = 'BIGINT' then 'bigint' when {schema} = 'BOOLEAN' then 'boolean'
+        when {schema} rlike '^(DECIMAL|DOUBLE|FLOAT)' then 'double'
+        when {schema} like 'OBJECT%' then if({schema} rlike '^OBJECT<([^:,<>]+: (BIGINT|DOUBLE|FLOAT|DECIMAL.[0-9]+,[0-9]+.)(, )?)+>$', 'numbers', 'object')
+        when {schema} like 'ARRAY%' then coalesce(concat({named}, {lists}), 'object[]') else 'string' end"""
 
 
 def promote(shapes: set[str]) -> str:
