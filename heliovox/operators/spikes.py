@@ -91,10 +91,11 @@ def residuals(level: np.ndarray, width: int = 5, rank: int = 2) -> np.ndarray:
 
 
 def sparse_rest(level: np.ndarray, lit: np.ndarray, rule: Rule) -> np.ndarray:
-    """True where a reading belongs to the sparse part. lit: where readings vary at all; what is usual is measured there."""
+    """True where a reading belongs to the sparse part. lit: where readings vary at all; what is usual is measured there, and in the dark, where only
+    limits tell, nothing is sparse."""
     size = np.abs(residuals(level))
     seen = size[lit] if lit.sum() >= 5 else size
-    return size > rule.sparse * max(1.4826 * float(np.median(seen)), 1e-3)
+    return (size > rule.sparse * max(1.4826 * float(np.median(seen)), 1e-3)) & lit
 
 
 def jumps(t: np.ndarray, value: np.ndarray, scale: np.ndarray, rule: Rule, sparse: np.ndarray | None = None, rounds: int = 6) -> np.ndarray:
