@@ -12,7 +12,7 @@ prefix.
 3. Pairs need enough shared shingles near one diagonal (the positional bound); each such band is one window of the item's size.
 4. Texts of the documents left, by a second filter of bounded size, are aligned with the items within their bands.
 
-All joins are by shuffle or by sizes at run time; nothing that grows with corpus or items is broadcast or collected.
+Items and their prefixes are broadcast if they are few, as counted; else they are shuffled as documents are. Nothing that grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from heliovox.session import checkpointed
+from heliovox.session import checkpointed, small
 
 WIDTH = 3
 SHARE, EDITS = 0.4, 0.1
 # Filters have at most so many bits (64 MB); beyond, more passes by it that the joins then turn away.
 MOST_BITS = 29
 MEMORY = 500_000
+# Prefix shingles and words of items up to which they are broadcast, some ten megabytes each.
+MOST_PREFIXES, MOST_WORDS = 300_000, 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"[̀-ͯ­​-‏⁠﻿]")
@@ -306,7 +308,10 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
         gram = prefix(rows["gram"].to_numpy(), rows["docs"].to_numpy(), int(rows["least"].iloc[0]), edits)
         return pd.DataFrame({"gram": gram, "item": rows["item"].iloc[0]})
 
-    prefixes = ranked.groupBy("item").applyInPandas(choose, f"gram bigint, item {dict(wanted.dtypes)['item']}")
+    # Few prefixes and items, as counted here, are broadcast, so that documents' shingles stay where they are; of more, both sides are shuffled.
+    prefixes = small(checkpointed(ranked.groupBy("item").applyInPandas(choose, f"gram bigint, item {dict(wanted.dtypes)['item']}")), MOST_PREFIXES)
+    words = wanted.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    beside = F.broadcast if words <= MOST_WORDS else lambda some: some
     pairs = kept.select("doc", F.explode(F.array_distinct("found")).alias("gram")).join(prefixes, "gram").select("doc", "item").distinct()
 
     def near_diagonals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,8 +323,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
             ]
             yield pd.DataFrame(rows, columns=["doc", "item", "first", "last"])
 
-    both = pairs.join(wanted.select("item", "least", "grams", "order", F.size("words").alias("n")), "item")
-    both = both.join(kept.withColumnRenamed("doc", "doc_"), both["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
+    both = pairs.join(kept.withColumnRenamed("doc", "doc_"), pairs["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
+    both = both.join(beside(wanted.select("item", "least", "grams", "order", F.size("words").alias("n"))), "item")
     near = checkpointed(both.mapInPandas(near_diagonals, f"doc {kind}, item {dict(wanted.dtypes)['item']}, first bigint, last bigint").distinct())
 
     # The texts of the documents that are left, by a filter of bounded size before anything is moved.
@@ -332,8 +337,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
             yield batch.loc[filter_.has(batch["k"].to_numpy(np.int64)), ["doc", "text"]]
 
     texts = docs.withColumn("k", F.xxhash64("doc")).mapInPandas(sift, f"doc {kind}, text string")
-    asked = near.join(wanted.select("item", "words", "least"), "item").withColumnRenamed("doc", "doc_")
-    asked = texts.join(asked, texts["doc"].eqNullSafe(F.col("doc_"))).drop("doc_")
+    asked = near.withColumnRenamed("doc", "doc_")
+    asked = texts.join(asked, texts["doc"].eqNullSafe(F.col("doc_"))).drop("doc_").join(beside(wanted.select("item", "words", "least")), "item")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, said = None, []

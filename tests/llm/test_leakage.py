@@ -72,6 +72,16 @@ def test_items_of_any_length(spark):
     assert expected <= got
 
 
+def test_many_items_are_shuffled(spark, monkeypatch):
+    rng = random.Random(7)
+    items = {n: rng.sample(WORDS, 30) for n in range(5)}
+    docs = {n: rng.sample(WORDS, 10) + items[n][: 10 + 4 * n] for n in items}
+    few = sorted(map(tuple, K.leaks(*frames(spark, docs, items)).collect()))
+    monkeypatch.setattr(K, "MOST_PREFIXES", 0)
+    monkeypatch.setattr(K, "MOST_WORDS", 0)
+    assert sorted(map(tuple, K.leaks(*frames(spark, docs, items)).collect())) == few and len(few) >= 4
+
+
 def test_a_text_that_says_the_same_again_and_again(spark):
     item = ["a", "b", "c", "d"] * 40
     docs = {1: ["a", "b", "c", "d"] * 6000, 2: ["a", "b", "d", "c"] * 6000, 3: ["q"] + item[:64]}
