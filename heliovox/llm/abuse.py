@@ -28,8 +28,8 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 NEAR, HIDDEN = 0.85, 0.8
 AIMED, LOOSE, DISTANT, SUGGESTED = 1.3, 0.3, 0.3, 0.4
 WINDOW = 12
-# Terms shorter than this are too near to ordinary words to be misspelt.
-LEAST = 5
+# Terms shorter than this are too near to ordinary words to be misspelt, and than this to have a letter changed for another.
+LEAST, LEAST_CHANGED = 5, 7
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _MARKS = re.compile(r"[̀-ͯ]")
 _ALIEN = re.compile(r"[Ͱ-֏]")
@@ -54,11 +54,11 @@ def plain(text: str) -> str:
 class Automaton:
     """All terms within one edit of a word, by one walk over its letters.
 
-    A state of the walk is a set of (node of the trie, edits so far, letter still owed by a swap). Sets met before are numbered and
-    their moves remembered; beyond `most` sets all are forgotten, so memory is bounded.
+    A state of the walk is a set of (node of the trie, edit so far, letter still owed by a swap); the edit is 0 for none, 2 for a letter changed, and 1 for any
+    other. Sets met before are numbered and their moves remembered; beyond `most` sets all are forgotten, so memory is bounded.
     """
 
-    def __init__(self, terms: Iterable[str], misspelt: Iterable[str] = (), most: int = 100_000) -> None:
+    def __init__(self, terms: Iterable[str], misspelt: Iterable[str] = (), most: int = 100_000, least_changed: int = LEAST_CHANGED) -> None:
         self.child: list[dict[str, int]] = [{}]
         self.letter, self.term, self.open = [""], [""], [False]
         for term, near in [*((t, False) for t in terms), *((t, True) for t in misspelt)]:
@@ -76,7 +76,7 @@ class Automaton:
             for n in path if near else ():
                 self.open[n] = True
         self.near = set(misspelt)
-        self.most = most
+        self.most, self.least_changed = most, least_changed
         self.forget()
 
     def forget(self) -> None:
@@ -122,7 +122,7 @@ class Automaton:
                 out.add((node, 1, ""))
                 for first, n in children.items():
                     if self.open[n] and first != read:
-                        out.add((n, 1, ""))
+                        out.add((n, 2, ""))
                         swapped = self.child[n].get(read)
                         if swapped is not None and self.open[swapped]:
                             out.add((swapped, 1, first))
@@ -146,8 +146,8 @@ class Automaton:
             cost = {}
             for node, edits, owed in self.sets[at]:
                 term = self.term[node]
-                if term and not owed and (not edits or term in self.near):
-                    cost[term] = min(edits, cost.get(term, 1))
+                if term and not owed and (not edits or term in self.near and (edits == 1 or len(term) >= self.least_changed)):
+                    cost[term] = min(edits, 1, cost.get(term, 1))
             least = min(cost.values(), default=0)
             self.ends[at] = sorted((t, e) for t, e in cost.items() if e == least)
         return self.ends[at]
@@ -315,7 +315,9 @@ class Scorer:
         # Groups: listed ones, folk of some name, and names of peoples where they are spoken of as such.
         def people(i: int) -> bool:
             word = tokens[i][0]
-            return not words[i] and word.isalpha() and len(word) > 3 and (word in names and word[-1] in "sienr" or _PEOPLES.search(word) is not None) and word not in L.CREATURES
+            # The first word of a sentence has a capital whatever it is.
+            named = i > 0 and word in names and word[-1] in "sienr" and word not in L.COMMON
+            return not words[i] and word.isalpha() and len(word) > 3 and (named or _PEOPLES.search(word) is not None) and word not in L.CREATURES
 
         groups = [i for i in range(n) if "group" in roles[i] or ("people" in roles[i] and i and tokens[i][0] != "kind") or ("kind" in words[i] and i and tokens[i - 1][0] in ("their", "your"))]
         unlisted = [i for i in range(n) if people(i)]

@@ -66,6 +66,8 @@ abschaum ungeziefer parasiten untermenschen ratten diebe
 CREATURES = "cani gatti dogs cats wolves hunde katzen vogel tiere rats mice pigeons ants bugs cockroaches weeds topi piccioni formiche ratten mause tauben ameisen".split()
 # Of one person.
 IS = "is was isnt ist war e era".split()
+# Written with a capital at the start of sentences and headings, and no people.
+COMMON = "this these those there here when then where while since always others yes please warning warnings notes rules tests files users values diese hier wenn wer alle questi queste tutti note".split()
 COPULA = "are were all sono erano sind waren alle like".split()
 # Each of these, said of a group, demeans it or wishes it harm.
 HARM = [
@@ -99,7 +101,8 @@ regeln regel verboten beleidigung beleidigungen gemeldet
 REPORTING = """
 say says said saying write writes writing wrote written called call calling reads read word words phrase text manual
 dice disse detto scrive scrivere scritto parola frase dire
-sagt sagte sagen schrieb schreibt schreiben wort steht satz
+sagt sagte sagen schrieb schreibt schreiben wort steht satz beispiel
+example examples measured scored esempio
 """.split()
 FORBIDDING = "not never dont no non mai nicht nie niemals kein".split()
 SELF = ["i am 4:", "i was 4:", "im 4:", "sono 3:", "ero 3:", "ich bin 4:", "ich war 4:"]
@@ -112,14 +115,14 @@ TECHNICAL = [
 
 # Ordinary words within one edit of a term above; they aren't taken for it.
 ORDINARY = """
-aitch anal animal anker backt baked banker batch beasts benner beste birch black blade blocks blonde bolder boron botch braten brauen breast brick
-butch caught christian closer corno corny cowards cretan crick cripple crippled daten denner diseased ditch ducked dummy duden dudes ebreo efficiente
+aitch anal animal anker arab arabia arabic asian backt baked banker batch beasts benner beste birch black blade blocks blonde bolder boron botch braten brauen breast brick brute
+butch caught christian closer corno corny cowards cretan crick cripple crippled daten denner diseased done ditch ducked dummy duden dudes ebreo efficiente
 erratic exotic fifth filch foreigner forno freccia gatten grauen hackt hanker hatten highs hitch idiom immigrant immigrato inferiore interior
-jackals jenner kenner laser laten latten lavages lesbian lesser loaning logger loner loose looser lose loses lover lower luden maroon matten menda merca merla
-migrant migrante mooning morin mormon morning mucked muslim muslima nacht native negli nenner nodes northerner packt padri parasit parasite
-parasitic parassita pender perda pinner pirlo pitch porro porto poser price pricks raked rasten rated rater rates rattern refuge refugee renner
+jackals jenner kenner lacks laser laten latten lavages lesbian lesser loaning logger loner loose looser lose loses lover lower luden maroon matten meaning menda merca merla
+migrant migrante monkey mooning morin mormon morning mucked muslim muslima nacht native negli nenner nodes northerner packt padri parasit parasite
+parasitic parassita pender perda pick pinner pirlo pitch porro porto poser price pricks raked rasten rated rater rates rattern refuge refugee renner
 rotten rudes sackt salvage salvages savage scappare scappata scappato schein schwarz schwarzen schwarzer schwarzes schweiz shore scolato scovare
-southerner straniero stupito sucked tanker taser taten termin there thieve thigh thorny toner torno tower trauen trotter tucked verein verlager vermis
+southerner straniero stupito sucked tanker taser taten termin there tier thieve thigh thorny toner torno tower trauen trotter tucked verein verlager vermis
 versage versagen wander wenner where whole white winker witch woman writes zingaro putting criminal polls poles turkey stripe disabile
 """.split()
 

@@ -58,7 +58,7 @@ def test_automaton_against_brute_force():
     for w in draw.sample(words, 60):
         at, letter = draw.randrange(len(w)), draw.choice("abcdefgh")
         typed.append(draw.choice([w[:at] + w[at + 1 :], w[:at] + letter + w[at:], w[:at] + letter + w[at + 1 :], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :]]))
-    automaton = abuse.Automaton(words, words, most=50)  # forgets its sets again and again
+    automaton = abuse.Automaton(words, words, most=50, least_changed=0)  # forgets its sets again and again
     squeeze = lambda x: __import__("re").sub(r"(.)\1+", r"\1", x)
     for word in typed:
         found = dict(automaton.closest(word))
@@ -130,6 +130,16 @@ def test_quoted_forbidden_or_about_things(text):
     assert max(S.text(text)) < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["You pick a module whose name you like.", "Your roles have holes and done turns.", "This should never be removed, see below.", "Warn that these should be removed.", "You walk toward the summer meaning", "Here is a list of modules whose names you named."])
+def test_ordinary_text(text):
+    assert max(S.text(text)) < abuse.THRESHOLD
+
+
+def test_a_letter_changed_counts_in_long_terms_only():
+    near = abuse.Automaton(["prick", "halfwit"], ["prick", "halfwit"])
+    assert near.closest("trick") == [] and near.closest("halfwig") == [("halfwit", 1)] and near.closest("pirck") == [("prick", 1)] and near.closest("prck") == [("prick", 1)]
+
+
 def test_without_paid_moves_misspelt_terms_are_not_found():
     assert max(abuse.Scorer(misspellings=False).text("You are an idoit.")) == 0
 
