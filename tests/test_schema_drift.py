@@ -105,3 +105,10 @@ def test_plane_tables(spark, tmp_path):
     assert {r["orientation"] for r in out if r["plane_uid"] == 1 and r["family"] == "planes"} == {None}
     got = {tuple(r) for r in pipeline.p4_tables(spark, str(tmp_path)).collect()}
     assert got == {("planes", "added", "orientation", ""), ("planes", "added", "tilt_deg", ""), ("planes", "retyped", "angle_deg", "")}
+
+
+def test_union_of_nothing_and_of_nothing_readable(spark):
+    _, df, args = run(spark, files(planes(2), ["nonsense", None, "[1]"]))
+    assert D.union_table(df.limit(0), **args, keep=["line"]).count() == 0
+    assert D.union_table(df.where("file_id = 110"), **args, keep=["line", "name"]).count() == 0
+    assert D.union_table(df, **args, keep=["line", "kind"]).count() == 2
