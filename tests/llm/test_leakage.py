@@ -131,3 +131,10 @@ def test_over_tables(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 9), (2, 9), (6, 9), (7, 12)]  # one of two words is half the item
     assert K.leaks(documents.limit(0), items).count() == 0
     assert K.leaks(documents, items.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    item = [f"k{i}" for i in range(20)]
+    docs = spark.createDataFrame([(None, " ".join(item)), (None, "other"), (1, "nothing"), (1, " ".join(item[:9])), (2, None)], "doc_id long, text string").selectExpr("*", "'x' as words", "1 as item", "2 as doc")
+    items = spark.createDataFrame([(5, " ".join(item)), (None, " ".join(item))], "item_id long, text string")
+    assert {tuple(r) for r in K.leaks(docs, items).collect()} == {(None, 5, 20), (1, 5, 9)}
