@@ -10,10 +10,19 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliovox.functions import geometry as g
 from heliovox.operators import lattice
+from heliovox.session import small
+
+# Boxes wider than WIDEST cells, and those not of finite size, are few; beyond MOST_WIDE they aren't broadcast.
+WIDEST, MOST_WIDE = 64, 10_000
+# Points of a leaf, children of a node, and pairs of boxes and nodes that are looked at together.
+LEAF, FAN, PAIRS = 32, 8, 4_000
+FAR = 1e100
 
 
 def _paired(left: DataFrame, right: DataFrame, at: Sequence[str], other: Sequence[str], reach: float) -> DataFrame:
@@ -87,6 +96,108 @@ def region_stats(points: DataFrame, regions: DataFrame, *, region_id: str, size:
     return regions.select(region_id).distinct().join(stats, region_id, "left").fillna({"n": 0})
 
 
+def _in_box(x, y, cx, cy, c, s, w, h):
+    """As `geometry.in_turned_box`, with NaN above all numbers, as in SQL."""
+    u, v = np.abs((x - cx) * c + (y - cy) * s), np.abs((y - cy) * c - (x - cx) * s)
+    return ((u <= w / 2) | np.isnan(w)) & ((v <= h / 2) | np.isnan(h))
+
+
+def _tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Finite points along a Z-curve in rows of a leaf each, and the nodes above them from the leaves up: middle, half sides and number of points, by parent."""
+
+    def bits(a):
+        side = a.max() - a.min()
+        q = ((a - a.min()) / (side if side > 0 else 1.0) * (2**31 - 1)).astype(np.uint64)
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            q = (q | (q << np.uint64(shift))) & np.uint64(mask)
+        return q
+
+    def rows(a, width, fill):
+        return np.concatenate([a, np.full(-len(a) % width, fill, dtype=a.dtype)]).reshape(-1, width)
+
+    order = np.argsort(bits(x) | (bits(y) << np.uint64(1)), kind="stable")
+    xs, ys = (rows(a[order], LEAF, np.nan) for a in (x, y))
+    edges = [f(a, axis=1) for a in (xs, ys) for f in (np.fmin.reduce, np.fmax.reduce)]
+    n, levels = (~np.isnan(xs)).sum(axis=1), []
+    while True:
+        x0, x1, y0, y1 = (rows(e, FAN, np.nan) for e in edges)
+        n = rows(n, FAN, 0)
+        levels.append(((x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) / 2, (y1 - y0) / 2, n))
+        if len(n) == 1:
+            return xs, ys, levels
+        edges, n = [f(a, axis=1) for a, f in ((x0, np.fmin.reduce), (x1, np.fmax.reduce), (y0, np.fmin.reduce), (y1, np.fmax.reduce))], n.sum(axis=1)
+
+
+def _counts(x: np.ndarray, y: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """How many of the points stand in each box `cx, cy, cos, sin, w, h`.
+
+    Nodes wholly inside a box count at once, those outside are left, and only points of leaves that its sides cross are tested one by one. What
+    lies nearer to a side than rounding reaches goes on to the test, so the counts are those of testing all points.
+    """
+    total = np.zeros(len(boxes), dtype=np.int64)
+    fit, plain = (np.abs(x) < FAR) & (np.abs(y) < FAR), (np.abs(boxes) < FAR).all(axis=1)
+    with np.errstate(all="ignore"):
+        for k in np.flatnonzero(~plain):
+            total[k] += np.count_nonzero(_in_box(x[fit], y[fit], *boxes[k]))
+        for k in np.flatnonzero(~fit):
+            total += _in_box(x[k], y[k], *boxes.T)
+    if not fit.any() or not plain.any():
+        return total
+    xs, ys, levels = _tree(x[fit], y[fit])
+    far, usual = np.abs(x[fit]).max() + np.abs(y[fit]).max(), np.flatnonzero(plain)
+    for k in range(0, len(usual), PAIRS):
+        some = boxes[usual[k : k + PAIRS]]
+        eps = 1e-9 * (np.abs(some[:, [0, 1, 4, 5]]).sum(axis=1) + far)
+        stack = [(len(levels) - 1, np.arange(len(some)), np.zeros(len(some), dtype=np.int64))]
+        while stack:
+            level, box, node = stack.pop()
+            if len(box) > PAIRS:
+                stack += [(level, box[j : j + PAIRS], node[j : j + PAIRS]) for j in range(0, len(box), PAIRS)]
+                continue
+            cx, cy, c, s, w, h = some[box].T[:, :, None]
+            if level < 0:
+                held = _in_box(xs[node], ys[node], cx, cy, c, s, w, h).sum(axis=1)
+            else:
+                mx, my, ex, ey, n = (a[node] for a in levels[level])
+                dx, dy, e, ac, as_ = mx - cx, my - cy, eps[box][:, None], np.abs(c), np.abs(s)
+                u, v, ru, rv = np.abs(dx * c + dy * s), np.abs(dy * c - dx * s), ex * ac + ey * as_, ex * as_ + ey * ac
+                whole = (u + ru <= w / 2 - e) & (v + rv <= h / 2 - e)
+                held = np.where(whole, n, 0).sum(axis=1)
+                row, child = np.nonzero((u - ru <= w / 2 + e) & (v - rv <= h / 2 + e) & ~whole)  # nodes without points are NaN
+                if len(row):
+                    stack.append((level - 1, box[row], node[row] * FAN + child))
+            total[usual[k : k + PAIRS]] += np.bincount(box, weights=held, minlength=len(some)).astype(np.int64)
+    return total
+
+
+def counted_in_boxes(boxes: DataFrame, points: DataFrame, *, by: str, size: float) -> DataFrame:
+    """`by, n`: how many points (`x, y`) stand in the turned boxes `cx, cy, w, h, a` (degrees) of each `by`, borders included; those without any are left out.
+
+    Boxes are put into all cells of `size` they touch, points into theirs. The points of a cell are a tree, so a box takes about the square root of
+    their number, not every one of them. A task holds the points and boxes of one cell.
+    """
+    own = boxes.where("w > 0 and h > 0 and cx is not null and cy is not null and a is not null").where(F.col(by).isNotNull())
+    own = own.withColumns({"_c": F.cos(F.radians("a")), "_s": F.sin(F.radians("a"))})
+    slack = (F.abs("cx") + F.abs("cy") + F.col("w") + F.col("h")) * 1e-9  # of rounding
+    along, across = (F.abs(F.col("w") * F.col(p)) / 2 + F.abs(F.col("h") * F.col(q)) / 2 + slack for p, q in (("_c", "_s"), ("_s", "_c")))
+    own = own.select(by, "cx", "cy", "_c", "_s", "w", "h", along.alias("_u"), across.alias("_v"))
+    placed = points.where("x is not null and y is not null").select("x", "y", F.floor(F.col("x") / size).alias("_a"), F.floor(F.col("y") / size).alias("_b"))
+    span = lambda c, r: F.sequence(F.floor((F.col(c) - F.col(r)) / size), F.floor((F.col(c) + F.col(r)) / size))
+    usual = F.greatest("_u", "_v") <= WIDEST * size / 2
+    cells = own.where(usual).withColumn("_a", F.explode(span("cx", "_u"))).withColumn("_b", F.explode(span("cy", "_v")))
+    cells = cells.unionByName(small(own.where(~usual), MOST_WIDE).crossJoin(placed.select("_a", "_b").distinct()))
+    kind = dict(own.dtypes)[by]
+
+    def count(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(there) or not len(asked):  # a side without rows may come without columns
+            return pd.DataFrame({by: [], "n": []})
+        n = _counts(there["x"].to_numpy(), there["y"].to_numpy(), asked[["cx", "cy", "_c", "_s", "w", "h"]].to_numpy())
+        return pd.DataFrame({by: asked[by].to_numpy()[n > 0], "n": n[n > 0]})
+
+    each = placed.groupBy("_a", "_b").cogroup(cells.drop("_u", "_v").groupBy("_a", "_b")).applyInPandas(count, f"`{by}` {kind}, n bigint")
+    return each.groupBy(by).agg(F.sum("n").alias("n"))
+
+
 def zipped(left: DataFrame, right: DataFrame, *, by: str, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """The n-th left row of each group beside its n-th right row, as far as both go; `ordinal` counts from 1."""
     number = lambda rows, order: rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -152,14 +152,8 @@ def rotated_boxes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "planes").where("centroid_3d is not null and width_m is not null and height_m is not null and angle_deg is not null")
     p = p.select("plane_uid", F.get("centroid_3d", F.lit(0)).alias("cx"), F.get("centroid_3d", F.lit(1)).alias("cy"), F.col("width_m").alias("w"), F.col("height_m").alias("h"), F.col("angle_deg").alias("a"))
     corners = g.box_corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "a")])
-    half = F.hypot(F.col("w"), F.col("h")) / 2
-    boxes = p.withColumns({"u0": F.col("cx") - half, "u1": F.col("cx") + half, "v0": F.col("cy") - half, "v1": F.col("cy") + half})
-    # Poses meet the boxes whose surrounding square touches their cell.
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / 2).cast("bigint"), F.floor(F.col(b) / 2).cast("bigint"))
-    cells = boxes.where("w > 0 and h > 0").withColumn("_a", F.explode(span("u0", "u1"))).withColumn("_b", F.explode(span("v0", "v1")))
-    poses = table(spark, d, "posetum").select("tx", "ty").dropna().select("tx", "ty", F.floor(F.col("tx") / 2).alias("_a"), F.floor(F.col("ty") / 2).alias("_b"))
-    inside = poses.join(cells, ["_a", "_b"]).where(g.in_turned_box(F.col("tx"), F.col("ty"), *[F.col(c) for c in ("cx", "cy", "w", "h", "a")]))
-    n = inside.groupBy("plane_uid").agg(F.count("*").alias("poses"))
+    poses = table(spark, d, "posetum").select(F.col("tx").alias("x"), F.col("ty").alias("y"))
+    n = mapping.counted_in_boxes(p, poses, by="plane_uid", size=4.0).withColumnRenamed("n", "poses")
     out = p.join(n, "plane_uid", "left").withColumn("k", corners)
     return out.select("plane_uid", F.coalesce("poses", F.lit(0)).alias("poses"), *[(F.round(F.get(F.get("k", F.lit(i)), F.lit(j)), 5) + F.lit(0.0)).alias(f"{a}{i}") for i in range(4) for j, a in enumerate("xy")])
 

@@ -1,8 +1,12 @@
 """Queries of points in space over small tables of their own."""
 
+from collections import Counter
+
+import duckdb
 import numpy as np
 
-from heliovox.queries import spatial
+from heliovox.operators import mapping as counting
+from heliovox.queries import mapping, spatial
 
 
 def test_ransac_plane_reads_its_table(spark, tmp_path):
@@ -74,3 +78,39 @@ def test_nearest_revisit_against_brute_force(spark, tmp_path):
             expected[i] = min(near)[2]
     got = spatial.revisit_nearest(spark, str(tmp_path)).collect()
     assert len(got) == len(expected) > 100 and {r["pose_id"]: r["earlier_id"] for r in got} == expected
+
+
+def test_boxes_are_counted_without_testing_every_point(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, 40_000), rng.normal(0, 1, 40_000)
+    x[:10_000], y[:10_000] = 0.25, 0.5  # a place where many stand
+    a = np.radians(rng.choice([0.0, 90.0, 37.5, -12.25, 180.0], 60))
+    boxes = np.stack([rng.normal(0, 1, 60).round(1), rng.normal(0, 1, 60).round(1), np.cos(a), np.sin(a), rng.uniform(0.1, 5, 60), rng.uniform(0.1, 5, 60)], axis=1)
+    expected, tested, test = [int(counting._in_box(x, y, *b).sum()) for b in boxes], [0], counting._in_box
+
+    def noted(x, *others):
+        tested[0] += np.size(x)
+        return test(x, *others)
+
+    monkeypatch.setattr(counting, "_in_box", noted)
+    assert counting._counts(x, y, boxes).tolist() == expected and tested[0] < 0.1 * len(x) * len(boxes)
+
+
+def test_poses_in_turned_boxes_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    inf, nan = float("inf"), float("nan")
+    poses = [(n, float(rng.normal(0, 6)), float(rng.normal(0, 6))) for n in range(3000)] + [(3000 + n, 1.5, -2.5) for n in range(200)]
+    poses += [(4000, -4.000000000000001, 0.5), (4001, None, 0.0), (4002, nan, 0.0), (4003, inf, 0.0), (4004, 1e300, 2.0), (4005, 5000.0, 1.0)]
+    boxes = [(n, [float(rng.normal(0, 6)), float(rng.normal(0, 6)), 0.0], float(rng.uniform(0.1, 24)), float(rng.uniform(0.1, 8)), float(rng.choice([0.0, 90.0, 30.0, -41.7]))) for n in range(60)]
+    boxes += [(100, [9.884, 0.5, 0.0], 27.768, 1e-12, 0.0)]  # its edge rounds to the other side of a cell's
+    boxes += [(101, [0.0, 0.0, 0.0], 1e7, 3.0, 20.0), (102, [0.0, 0.0, 0.0], inf, 3.0, 20.0), (103, [0.0, 0.0, 0.0], nan, 3.0, 0.0), (104, [0.0, 0.0, 0.0], nan, nan, 0.0)]
+    boxes += [(105, [nan, 0.0, 0.0], 3.0, 3.0, 0.0), (106, [None, 0.0, 0.0], 3.0, 3.0, 0.0), (107, [0.0, 0.0, 0.0], -1.0, 3.0, 0.0), (108, [1e18, 0.0, 0.0], 3.0, 3.0, 0.0), (109, [0.0, 0.0, 0.0], None, 3.0, 0.0)]
+    boxes += [(None, [0.0, 0.0, 0.0], 3.0, 3.0, 0.0), (7, [1.0, 1.0, 0.0], 6.0, 6.0, 45.0)]
+    spark.createDataFrame(poses, "pose_id long, tx double, ty double").write.parquet(f"{tmp_path}/posetum.parquet")
+    spark.createDataFrame(boxes, "plane_uid long, centroid_3d array<double>, width_m double, height_m double, angle_deg double").write.parquet(f"{tmp_path}/planes.parquet")
+    db = duckdb.connect()
+    for t in ("posetum", "planes"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = Counter(db.sql(f"select plane_uid, poses from ({mapping.SQL['rotated_boxes']})").fetchall())
+    got = Counter((r["plane_uid"], r["poses"]) for r in mapping.rotated_boxes(spark, str(tmp_path)).select("plane_uid", "poses").collect())
+    assert got == expected and got[100, 1] == 1 and got[104, 3205] == 1
